@@ -61,3 +61,26 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "or
     return (local.join(F.broadcast(carry), [_PID, *keys], "left")
             .withColumn(name, (F.col(_LRN) + F.coalesce(F.col(_OFF), F.lit(0))).cast("int"))
             .drop(_PID, _LRN, _OFF))
+
+
+def count_before(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str,
+                 left_id: str, name: str = "n_before", inclusive: bool = False) -> DataFrame:
+    """For each ``left`` row, the number of ``right`` rows of the same ``keys``
+    group whose ``value`` is < (``inclusive``: <=) the left row's value.
+
+    A range count without pairs: left and right rows are numbered together
+    and left rows alone; the difference of the two positions is the count of
+    right rows in front. Both steps are ``ordinal``, so hot groups split.
+    ``left_id`` must be unique inside a group.
+    """
+    keys = list(keys)
+    kind = 1 if inclusive else 0          # left sorts after (inclusive) or before equal rights
+    lsel = left.select(*keys, F.col(value).alias("_v"), F.lit(kind).alias("_k"),
+                       F.col(left_id).cast("string").alias("_id"))
+    rsel = right.select(*keys, F.col(value).alias("_v"), F.lit(1 - kind).alias("_k"),
+                        F.lit(None).cast("string").alias("_id"))
+    both = ordinal(lsel.unionByName(rsel), keys, ["_v", "_k", "_id"], "_p")
+    mine = ordinal(both.filter(F.col("_k") == kind), keys, ["_v", "_id"], "_q")
+    counts = mine.select(*keys, F.col("_id").alias("_lid"), (F.col("_p") - F.col("_q")).alias(name))
+    return (left.withColumn("_lid", F.col(left_id).cast("string"))
+            .join(counts, keys + ["_lid"]).drop("_lid"))

@@ -19,7 +19,7 @@ custom_exercises AS (
   FROM part LEFT JOIN part_owner po ON po.l_partkey = p_partkey),
 setup_routines AS (
   SELECT c_custkey AS id, 'Plan ' || CAST(c_custkey AS VARCHAR) AS name, c_custkey AS user_id,
-         TRUE AS routine_created, FALSE AS routine_edit_in_progress FROM customer),
+         c_custkey % 17 <> 0 AS routine_created, FALSE AS routine_edit_in_progress FROM customer),
 day_numbers AS (
   SELECT o_orderkey, o_custkey,
          CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER)
@@ -50,7 +50,7 @@ setup_exercise_details AS (
   FROM lines),
 n_days AS (SELECT o_custkey, count(*) AS n_days FROM orders GROUP BY o_custkey),
 users_current_details AS (
-  SELECT c_custkey AS user_id, c_custkey AS current_routine_id,
+  SELECT c_custkey AS user_id, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey END AS current_routine_id,
          CAST(c_custkey % n_days + 1 AS INTEGER) AS current_day_number, 1 AS current_session_number
   FROM customer LEFT JOIN n_days ON c_custkey = o_custkey),
 track_routines AS (

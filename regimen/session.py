@@ -32,7 +32,7 @@ def get_spark(master: str | None = None, app: str = "regimen",
         .config("spark.driver.memory", os.environ.get("REGIMEN_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")
     return spark
 
 

@@ -26,6 +26,8 @@ from regimen.sources.tables import Model, TableStore
 ROUTINE_PREFIX = "Plan "
 PASSWORD_PLACEHOLDER = "*"
 BLOCKING_MODULUS = 11
+NO_ROUTINE_MODULUS = 13     # customers whose cursor has no routine selected
+DRAFT_MODULUS = 17          # routines still being created (drafts)
 
 
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +84,8 @@ def derive(spark: SparkSession, sf_dir: str) -> Model:
         F.col("c_custkey").alias("id"),
         F.concat(F.lit(ROUTINE_PREFIX), F.col("c_custkey").cast("string")).alias("name"),
         F.col("c_custkey").alias("user_id"),
-        F.lit(True).alias("routine_created"), F.lit(False).alias("routine_edit_in_progress"))
+        (F.col("c_custkey") % DRAFT_MODULUS != 0).alias("routine_created"),
+        F.lit(False).alias("routine_edit_in_progress"))
 
     @functools.cache
     def days():
@@ -123,7 +126,8 @@ def derive(spark: SparkSession, sf_dir: str) -> Model:
     users_current_details = (customer.select("c_custkey")
                              .join(n_days, F.col("c_custkey") == F.col("o_custkey"), "left")
                              .select(F.col("c_custkey").alias("user_id"),
-                                     F.col("c_custkey").alias("current_routine_id"),
+                                     F.when(F.col("c_custkey") % NO_ROUTINE_MODULUS != 0,
+                                            F.col("c_custkey")).alias("current_routine_id"),
                                      (F.col("c_custkey") % F.col("n_days") + 1).cast("int")
                                      .alias("current_day_number"),
                                      F.lit(1).alias("current_session_number")))
