@@ -32,13 +32,16 @@ setup_sessions AS (
 setup_days_sessions AS (
   SELECT o_orderkey AS id, o_orderkey AS day_id, o_orderkey AS session_id, 1 AS session_order
   FROM orders),
-lines AS (
+numbered_lines AS (
   SELECT l_orderkey, l_partkey, l_quantity, l_discount, l_linestatus,
-         concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
-                   CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS line_id,
-         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST,
+              l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST,
+              l_extendedprice NULLS FIRST, l_discount NULLS FIRST, l_tax NULLS FIRST,
+              l_returnflag NULLS FIRST, l_linestatus NULLS FIRST, l_shipdate NULLS FIRST)
               AS INTEGER) AS exercise_order
   FROM lineitem),
+lines AS (SELECT *, CAST(l_orderkey AS VARCHAR) || '-' || CAST(exercise_order AS VARCHAR) AS line_id
+          FROM numbered_lines),
 setup_session_exercises AS (
   SELECT line_id AS id, l_orderkey AS setup_session_id, l_partkey AS exercise_id,
          l_partkey AS custom_exercise_id, exercise_order, CAST(NULL AS VARCHAR) AS exercise_comment

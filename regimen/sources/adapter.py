@@ -35,11 +35,17 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_id(prefix: str = "l_") -> Column:
-    """Id of a line item (its unique natural key) as a string."""
+    """Natural key of a line item as text (not unique in every data set)."""
     return F.concat_ws("-", *[F.col(prefix + c).cast("string")
                               for c in ("orderkey", "linenumber", "partkey", "suppkey")])
 
 
+# order of line items inside an order; every column takes part, so equal rows
+# are the only ties and the numbering is deterministic
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+              "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 _LOADED: dict[tuple[str, str], Model] = {}
 
 
@@ -105,11 +111,10 @@ def derive(spark: SparkSession, sf_dir: str) -> Model:
 
     @functools.cache
     def lines():
-        numbered = ordinal(lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                           "l_quantity", "l_discount", "l_linestatus"),
-                           ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"],
+        numbered = ordinal(lineitem.select("l_orderkey", *LINE_ORDER), ["l_orderkey"], LINE_ORDER,
                            "exercise_order")
-        return numbered.withColumn("line_id", line_id())
+        return numbered.withColumn("line_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                                                          F.col("exercise_order").cast("string")))
 
     setup_session_exercises = lambda: lines().select(
         F.col("line_id").alias("id"), F.col("l_orderkey").alias("setup_session_id"),
