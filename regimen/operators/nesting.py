@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regimen.operators.ordinal import ordinal
+from regimen.operators.ordinal import groups_bounded, hot_rows, ordinal
 from regimen.operators.outline import (day_exercise_rows, days_with_sessions, open_workout_sets,
                                        session_plan, setup_levels)
 from regimen.sources.tables import Model
@@ -54,8 +54,11 @@ def next_by_count(children: DataFrame, parent: str, col: str | None = None,
 def day_session_list(m: Model) -> DataFrame:
     """Each day -> its session names by slot; a day without session -> one NULL name."""
     rows = days_with_sessions(m)
+    slots = (m.setup_days_sessions.groupBy("day_id").agg(F.count(F.lit(1)).alias("n"))
+             .agg(F.max("n")).first()[0])
+    bounded = max(slots or 1, 1) <= hot_rows(m.setup_days.sparkSession)
     return (ordinal(rows, ["day_id"], [F.col("session_order").asc_nulls_last(),
-                                       F.col("slot_id").asc_nulls_last()], "slot_pos")
+                                       F.col("slot_id").asc_nulls_last()], "slot_pos", bounded=bounded)
             .select("routine_id", "day_id", "day_number", "slot_pos", "session_name"))
 
 
@@ -67,21 +70,59 @@ def day_outline(m: Model) -> DataFrame:
     has one row with NULL exercise; empty exercise names are skipped.
     """
     rows = day_exercise_rows(m)
+    if day_rows_bound(m) <= hot_rows(m.setup_days.sparkSession):
+        return _day_outline_one_pass(rows)
+    # a hot day: every later group lies inside one day, all of them split
+    bounded = False
     sessions = (rows.groupBy("routine_id", "day_id", "day_number", "session_name")
                 .agg(F.min("session_order").alias("_first")))
     sessions = ordinal(sessions, ["day_id"], [F.col("_first").asc_nulls_last(),
-                                              F.col("session_name").asc_nulls_last()], "session_pos")
+                                              F.col("session_name").asc_nulls_last()], "session_pos",
+                       bounded=bounded)
     named = rows.filter(F.col("exercise_name").isNotNull() & (F.col("exercise_name") != ""))
     ex = named.join(sessions.select("day_id", "session_name", "session_pos"),
                     ["day_id", "session_name"])
     ex = ordinal(ex, ["day_id", "session_pos"],
-                 ["session_order", "exercise_order", "sse_id"], "exercise_pos")
+                 ["session_order", "exercise_order", "sse_id"], "exercise_pos", bounded=bounded)
     return (sessions.join(ex.select("day_id", "session_pos", "exercise_pos", "exercise_name"),
                           ["day_id", "session_pos"], "left")
             .select("routine_id", "day_id", "day_number", "session_pos", "session_name",
                     "exercise_pos", "exercise_name"))
 
 
+def day_rows_bound(m: Model) -> int:
+    """Upper bound of outline rows per day from two base-table aggregates:
+    (slots of the largest day) x (exercises of the largest session). Cheaper
+    than measuring the joined rows, and a proof for the one-pass plan."""
+    slots = m.setup_days_sessions.groupBy("day_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    ex = (m.setup_session_exercises.groupBy("setup_session_id").agg(F.count(F.lit(1)).alias("n"))
+          .agg(F.max("n")).first()[0])
+    return max(slots or 1, 1) * max(ex or 1, 1)
+
+
+def _day_outline_one_pass(rows: DataFrame) -> DataFrame:
+    """D5 when every day fits one task: one exchange on ``day_id`` serves all
+    windows (hash partitioning on day_id clusters (day_id, session_name) too)."""
+    named = F.col("exercise_name").isNotNull() & (F.col("exercise_name") != "")
+    hit = F.when(named, 1).otherwise(0)
+    by_name = Window.partitionBy("day_id", "session_name")
+    in_session = by_name.orderBy("session_order", "exercise_order", "sse_id")
+    by_day = Window.partitionBy("day_id").orderBy(F.col("_first").asc_nulls_last(),
+                                                  F.col("session_name").asc_nulls_last())
+    x = (rows.repartition("day_id")
+         .withColumn("_first", F.min("session_order").over(by_name))
+         .withColumn("_named", F.sum(hit).over(by_name))
+         .withColumn("session_pos", F.dense_rank().over(by_day).cast("int"))
+         .withColumn("_k", F.row_number().over(in_session))
+         .withColumn("_e", F.sum(hit).over(in_session.rowsBetween(Window.unboundedPreceding,
+                                                                   Window.currentRow))))
+    keep = named | ((F.col("_named") == 0) & (F.col("_k") == 1))
+    return x.filter(keep).select(
+        "routine_id", "day_id", "day_number", "session_pos", "session_name",
+        F.when(named, F.col("_e")).cast("int").alias("exercise_pos"),
+        F.when(named, F.col("exercise_name")).alias("exercise_name"))
+
+
 def nest_day_outline(flat: DataFrame) -> DataFrame:
     """Display form of D5: one row per day, ``sessions: array<struct<name, exercises>>``.
 
@@ -115,11 +156,12 @@ def runs(df: DataFrame, keys: Sequence[str], run_cols: Sequence[str], order: Seq
     hot owner is split. ``run_cols`` must be non-null.
     """
     keys, run_cols = list(keys), list(run_cols)
-    x = ordinal(df, keys, order, "_pos")
-    x = ordinal(x, keys + run_cols, order, "_pos2")
+    bounded = groups_bounded(df, keys)              # all groups below lie inside a keys group
+    x = ordinal(df, keys, order, "_pos", bounded=bounded)
+    x = ordinal(x, keys + run_cols, order, "_pos2", bounded=bounded)
     x = x.withColumn("_island", F.col("_pos") - F.col("_pos2"))
     starts = x.groupBy(*keys, *run_cols, "_island").agg(F.min("_pos").alias("_start"))
-    starts = ordinal(starts, keys, ["_start"], run_name)
+    starts = ordinal(starts, keys, ["_start"], run_name, bounded=bounded)
     return (x.join(starts, keys + run_cols + ["_island"])
             .withColumn(item_name, (F.col("_pos") - F.col("_start") + 1).cast("int"))
             .drop("_pos", "_pos2", "_island", "_start"))

@@ -1,19 +1,24 @@
 """Positions inside a group (row_number per owner) that survive hot owners.
 
-``Window.partitionBy(owner)`` sends a whole owner to one task; one owner with a
-third of all rows then becomes one straggler. ``ordinal`` instead
-
-1. range-partitions by (keys, order): a hot owner is cut into many ranges, and
-   materialises that once with a reliable ``checkpoint`` in the shared
-   checkpoint folder (range bounds come from sampling; two evaluations of
-   the exchange could cut differently, so every later pass must read the
-   same materialised partitions);
-2. numbers rows inside each (range partition, owner) piece;
-3. adds, per piece, the row count of the same owner in earlier partitions.
-
-Only an owner that crosses a partition boundary needs step 3, and each of the
-P-1 boundaries is crossed by at most one owner, so the carry table has at most
-2(P-1) rows: broadcasting it has a proven bound.
+``Window.partitionBy(owner)`` sends a whole owner to one task. That is the
+cheapest plan while every owner fits one task, and a straggler (or a failed
+task) once one owner holds a third of all rows. ``ordinal`` therefore first
+measures the largest group exactly (one aggregate job: partial counts, one
+row per group shuffled) and
+
+* bounded groups -> the plain window (one shuffle);
+* a hot group -> the split plan:
+
+  1. range-partition by (keys, order), which cuts a hot owner into many
+     ranges, and materialise that once with a reliable ``checkpoint`` in the
+     shared checkpoint folder (range bounds come from sampling; two
+     evaluations of the exchange could cut differently, so every later pass
+     must read the same materialised partitions);
+  2. number rows inside each (range partition, owner) piece;
+  3. add, per piece, the rows of the same owner in earlier partitions. Only
+     an owner that is the last of one partition and the first of the next
+     can cross a boundary, so the carry table has at most 2(P-1) rows and
+     broadcasting it has a proven bound.
 """
 
 from __future__ import annotations
@@ -26,45 +31,90 @@ from pyspark.sql import functions as F
 from regimen.session import checkpoint_dir
 
 _PID, _LRN, _N, _OFF = "_ord_pid", "_ord_lrn", "_ord_n", "_ord_off"
+HOT_ROWS_CONF = "spark.regimen.ordinal.hotRows"
+HOT_ROWS_DEFAULT = 1_000_000
+# auto (measure) | split (always the hot-group plan) | window (always the plain window)
+STRATEGY_CONF = "spark.regimen.ordinal.strategy"
 
 
 def _cols(items) -> list[Column]:
     return [c if isinstance(c, Column) else F.col(c) for c in items]
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_rows(spark) -> int:
+    """Rows one task may hold for one group (``spark.regimen.ordinal.hotRows``);
+    0 when the strategy is forced to the split plan."""
+    if spark.conf.get(STRATEGY_CONF, "auto") == "split":
+        return 0
+    return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
+
+
+def groups_bounded(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
+    """True when no ``keys`` group of ``df`` exceeds what one task should hold:
+    ``limit`` rows, by default max(hotRows, 2 x rows / shuffle partitions)."""
+    row = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .agg(F.max("_n").alias("mx"), F.sum("_n").alias("total")).first())
+    if row is None or row["mx"] is None:
+        return True
+    if limit is None:
+        floor = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
+        limit = max(floor, 2 * row["total"] // max(_partitions(df), 1))
+    return row["mx"] <= limit
+
+
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "ordinal",
-            partitions: int | None = None) -> DataFrame:
+            partitions: int | None = None, bounded: bool | None = None) -> DataFrame:
     """Add ``name`` = 1..n position of each row inside its ``keys`` group.
 
     ``order`` (names or sort Columns) must be a total order inside a group
     (add a unique tie-break), otherwise ties get an arbitrary but dense
-    numbering. Key columns must be non-null. Runs one job (the checkpoint)
+    numbering. Key columns must be non-null. ``bounded``: None measures the
+    groups; True / False is the caller's proven answer (e.g. measured on a
+    coarser key). The measurement and the split plan's checkpoint run a job
     when called; the rest stays lazy.
     """
     keys = list(keys)
     order_cols = _cols(order)
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checkpoint_dir(spark)
+    forced = df.sparkSession.conf.get(STRATEGY_CONF, "auto")
+    if forced != "auto":
+        bounded = forced == "window"
+    elif bounded is None:
+        bounded = groups_bounded(df, keys)
+    if bounded:
+        w = Window.partitionBy(*keys).orderBy(*order_cols)
+        return df.withColumn(name, F.row_number().over(w).cast("int"))
+    return _split_ordinal(df, keys, order_cols, name, partitions or _partitions(df))
+
+
+def _split_ordinal(df: DataFrame, keys: list[str], order_cols: list[Column], name: str,
+                   n: int) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *_cols(keys), *order_cols)
               .withColumn(_PID, F.spark_partition_id())
               .checkpoint(eager=True))
     local = ranged.withColumn(
         _LRN, F.row_number().over(Window.partitionBy(_PID, *keys).orderBy(*order_cols)))
-    pieces = ranged.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias(_N))
-    crossing = (pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"))
-                .filter(F.col("_np") > 1).drop("_np"))
+    # first and last owner of every partition: P rows
+    ends = ranged.groupBy(_PID).agg(F.min(F.struct(*keys)).alias("_lo"), F.max(F.struct(*keys)).alias("_hi"))
+    edge = (ends.select(F.col("_lo").alias("_k")).unionByName(ends.select(F.col("_hi").alias("_k")))
+            .select(*[F.col("_k")[k].alias(k) for k in keys]).distinct())          # <= 2P owners
+    pieces = (ranged.join(F.broadcast(edge), keys, "left_semi")
+              .groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias(_N)))           # <= 2P rows
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (pieces.join(F.broadcast(crossing), keys)
-             .withColumn(_OFF, F.sum(_N).over(before))
-             .select(_PID, *keys, _OFF))
+    carry = (pieces.withColumn(_OFF, F.sum(_N).over(before))
+             .filter(F.col(_OFF).isNotNull()).select(_PID, *keys, _OFF))
     return (local.join(F.broadcast(carry), [_PID, *keys], "left")
             .withColumn(name, (F.col(_LRN) + F.coalesce(F.col(_OFF), F.lit(0))).cast("int"))
             .drop(_PID, _LRN, _OFF))
 
 
 def count_before(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str,
-                 left_id: str, name: str = "n_before", inclusive: bool = False) -> DataFrame:
+                 left_id: str, name: str = "n_before", inclusive: bool = False,
+                 bounded: bool | None = None) -> DataFrame:
     """For each ``left`` row, the number of ``right`` rows of the same ``keys``
     group whose ``value`` is < (``inclusive``: <=) the left row's value.
 
@@ -79,8 +129,11 @@ def count_before(left: DataFrame, right: DataFrame, keys: Sequence[str], value:
                        F.col(left_id).cast("string").alias("_id"))
     rsel = right.select(*keys, F.col(value).alias("_v"), F.lit(1 - kind).alias("_k"),
                         F.lit(None).cast("string").alias("_id"))
-    both = ordinal(lsel.unionByName(rsel), keys, ["_v", "_k", "_id"], "_p")
-    mine = ordinal(both.filter(F.col("_k") == kind), keys, ["_v", "_id"], "_q")
+    both = lsel.unionByName(rsel)
+    if bounded is None:
+        bounded = groups_bounded(both, keys)
+    both = ordinal(both, keys, ["_v", "_k", "_id"], "_p", bounded=bounded)
+    mine = ordinal(both.filter(F.col("_k") == kind), keys, ["_v", "_id"], "_q", bounded=bounded)
     counts = mine.select(*keys, F.col("_id").alias("_lid"), (F.col("_p") - F.col("_q")).alias(name))
     return (left.withColumn("_lid", F.col(left_id).cast("string"))
             .join(counts, keys + ["_lid"]).drop("_lid"))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from regimen.functions.keys import det_id
 from regimen.operators.nesting import count_days
-from regimen.operators.ordinal import count_before, ordinal
+from regimen.operators.ordinal import count_before, groups_bounded, ordinal
 from regimen.operators.outline import active_slots, setup_levels, slot_sessions, track_levels
+from regimen.session import checkpoint_dir
 from regimen.sources.tables import Model
 
 TRACK_TABLES = ("track_routines", "track_days", "track_sessions", "track_days_sessions",
@@ -77,10 +78,11 @@ def next_training_day(m: Model) -> DataFrame:
     n = count_days(m)
     reach = (act.join(n, "routine_id").filter(F.col("day_number") <= F.col("total_days"))
              .drop("total_days"))
-    reach = ordinal(reach, ["routine_id", "session_order"], ["day_number"], "_a")
     keys = ["routine_id", "session_order"]
+    bounded = groups_bounded(cur.select(*keys).unionByName(reach.select(*keys)), keys)
+    reach = ordinal(reach, keys, ["day_number"], "_a", bounded=bounded)
     before = count_before(cur.filter(F.col("day_number").isNotNull()), reach, keys,
-                          "day_number", "user_id", "_n_le", inclusive=True)
+                          "day_number", "user_id", "_n_le", inclusive=True, bounded=bounded)
     succ = reach.select(*keys, F.col("_a").alias("_succ_a"), F.col("day_number").alias("_succ"))
     first = reach.filter(F.col("_a") == 1).select(*keys, F.col("day_number").alias("_first"))
     here = act.select(*keys, "day_number", F.lit(True).alias("_here"))
@@ -139,8 +141,11 @@ def snapshot(m: Model, requests: DataFrame, run: str, whole_routine: bool = Fals
     wanted = ["request_id", "user_id", "routine_name"] + ([] if whole_routine else
                                                          ["day_number", "session_name"])
     req = requests.select(*wanted)
+    # six outputs read the resolved requests: materialise them once (one row
+    # per request) instead of re-deriving the request batch in every branch
+    checkpoint_dir(m.setup_routines.sparkSession)
     routines = (req.join(lv["routines"].select("routine_id", "routine_name", "user_id"),
-                         ["user_id", "routine_name"]))
+                         ["user_id", "routine_name"])).checkpoint(eager=True)
     rid = det_id(run, "routine", "request_id", "routine_id")
     track_routines = routines.select(rid.alias("id"), F.col("routine_name").alias("name"), "user_id",
                                      F.col("routine_id").cast("string").alias("setup_id"),

@@ -102,7 +102,7 @@ def set_log_events(spark, sf, m: Model) -> DataFrame:
          .select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
                  (F.col("event_id") % F.col("_n") + 1).cast("int").alias("day_number"),
                  w.cast("string").alias("weight_text"),
-                 F.get_json_object("props", "$.k").alias("reps_text")))
+                 F.from_json("props", "k string")["k"].alias("reps_text")))
     ds = day_session(m).select(F.col("routine_id").alias("user_id"), "day_number", "session_name")
     return (e.join(ds, ["user_id", "day_number"], "left")
             .withColumn("routine_name", plan_name("user_id"))

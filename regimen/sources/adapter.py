@@ -64,13 +64,23 @@ def from_driver(spark: SparkSession, sf_dir: str, materialize: bool = True) -> M
         digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:16]
         store = TableStore(spark, f"{checkpoint_dir(spark)}/regimen-model/{digest}")
         if store.current()[0] == 0:
-            store.commit(derive(spark, sf_dir).tables)
+            store.commit(derive(spark, sf_dir, shared_parts=True).tables)
         _LOADED[key] = store.load()
     return _LOADED[key]
 
 
-def derive(spark: SparkSession, sf_dir: str) -> Model:
-    """The adapter as lazy DataFrames (see module docstring)."""
+def derive(spark: SparkSession, sf_dir: str, shared_parts: bool = False) -> Model:
+    """The adapter as lazy DataFrames (see module docstring).
+
+    ``shared_parts`` checkpoints the numbered days and line items, which four
+    tables each read, so writing all tables numbers them once.
+    """
+    def shared(df: DataFrame) -> DataFrame:
+        if not shared_parts:
+            return df
+        checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+
     customer = driver_table(spark, sf_dir, "customer")
     orders = driver_table(spark, sf_dir, "orders")
     lineitem = driver_table(spark, sf_dir, "lineitem")
@@ -95,8 +105,8 @@ def derive(spark: SparkSession, sf_dir: str) -> Model:
 
     @functools.cache
     def days():
-        return ordinal(orders.select("o_orderkey", "o_custkey", "o_orderdate"),
-                       ["o_custkey"], ["o_orderdate", "o_orderkey"], "day_number")
+        return shared(ordinal(orders.select("o_orderkey", "o_custkey", "o_orderdate"),
+                              ["o_custkey"], ["o_orderdate", "o_orderkey"], "day_number"))
 
     setup_days = lambda: days().select(F.col("o_orderkey").alias("id"), "day_number",
                              F.col("o_custkey").alias("setup_routine_id"))
@@ -113,8 +123,8 @@ def derive(spark: SparkSession, sf_dir: str) -> Model:
     def lines():
         numbered = ordinal(lineitem.select("l_orderkey", *LINE_ORDER), ["l_orderkey"], LINE_ORDER,
                            "exercise_order")
-        return numbered.withColumn("line_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                                                          F.col("exercise_order").cast("string")))
+        return shared(numbered.withColumn("line_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                                                                 F.col("exercise_order").cast("string"))))
 
     setup_session_exercises = lambda: lines().select(
         F.col("line_id").alias("id"), F.col("l_orderkey").alias("setup_session_id"),

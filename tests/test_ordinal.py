@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regimen.operators.nesting import runs
-from regimen.operators.ordinal import count_before, ordinal
+from regimen.operators.ordinal import count_before, groups_bounded, ordinal
 
 
 def _skewed(spark, n=3000, seed=1):
@@ -18,7 +18,7 @@ def _skewed(spark, n=3000, seed=1):
 
 def test_ordinal_matches_row_number_on_hot_key(spark):
     df = _skewed(spark)
-    got = ordinal(df, ["k"], ["v", "i"], "o", partitions=16)
+    got = ordinal(df, ["k"], ["v", "i"], "o", partitions=16, bounded=False)
     want = df.withColumn("o2", F.row_number().over(Window.partitionBy("k").orderBy("v", "i")))
     j = got.join(want, ["k", "i", "v"], "full")
     assert j.count() == df.count()
@@ -27,7 +27,7 @@ def test_ordinal_matches_row_number_on_hot_key(spark):
 
 def test_ordinal_descending_order(spark):
     df = _skewed(spark, 500, 2)
-    got = ordinal(df, ["k"], [F.col("v").desc(), "i"], "o", partitions=5)
+    got = ordinal(df, ["k"], [F.col("v").desc(), "i"], "o", partitions=5, bounded=False)
     want = df.withColumn("o2", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc(), "i")))
     assert got.join(want, ["k", "i", "v"]).filter("o <> o2").count() == 0
 
@@ -39,7 +39,7 @@ def test_count_before_matches_brute_force(spark):
     L = spark.createDataFrame(left, "k int, id int, v int")
     R = spark.createDataFrame(right, "k int, v int")
     for inclusive in (False, True):
-        got = {r.id: r.n for r in count_before(L, R, ["k"], "v", "id", "n", inclusive).collect()}
+        got = {r.id: r.n for r in count_before(L, R, ["k"], "v", "id", "n", inclusive, bounded=False).collect()}
         for k, i, v in left:
             want = sum(1 for rk, rv in right if rk == k and (rv <= v if inclusive else rv < v))
             assert got[i] == want
@@ -61,3 +61,17 @@ def test_runs_match_adjacent_grouping(spark):
                 run, item, prev = run + 1, 0, (name, o)
             item += 1
             assert got[(g, pos)] == (run, item)
+
+
+def test_hot_group_is_detected(spark):
+    df = _skewed(spark)
+    assert groups_bounded(df, ["k"])                 # default floor: 1M rows per group
+    assert not groups_bounded(df, ["k"], limit=500)  # the third of 3000 rows is hot
+    spark.conf.set("spark.regimen.ordinal.hotRows", "10")
+    try:
+        got = runs(df.withColumn("name", F.lit("a")), ["k"], ["name"], ["v", "i"])
+        assert got.filter("run_pos <> 1").count() == 0
+        assert got.groupBy("k").agg(F.max("item_pos").alias("m"), F.count("*").alias("n")) \
+            .filter("m <> n").count() == 0
+    finally:
+        spark.conf.unset("spark.regimen.ordinal.hotRows")
