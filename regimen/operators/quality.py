@@ -53,6 +53,32 @@ def dangling_references(child: DataFrame, col: str, parent: DataFrame, parent_co
     return _report(miss, "foreign_key", table, F.col(col).cast("string"), F.lit(col))
 
 
+def all_dangling_references(m: Model) -> DataFrame:
+    """J3 for every declared foreign key, one anti join per *parent* table: the
+    references of all children of a parent are unioned (cast to the parent's
+    key type) and checked against one distinct scan of the parent keys."""
+    by_parent: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for t, col, pt, pcol, _ in S.FOREIGN_KEYS:
+        by_parent.setdefault((pt, pcol), []).append((t, col))
+    parts = []
+    for (pt, pcol), children in by_parent.items():
+        key_type = m[pt].schema[pcol].dataType
+        refs = None
+        for t, col in children:
+            r = (m[t].filter(F.col(col).isNotNull())
+                 .select(F.lit(t).alias("table"), F.lit(col).alias("detail"),
+                         F.col(col).cast(key_type).alias("_ref")))
+            refs = r if refs is None else refs.unionByName(r)
+        p = m[pt].select(F.col(pcol).alias("_ref")).distinct()
+        miss = refs.join(p, "_ref", "left_anti")
+        parts.append(miss.select(F.lit("foreign_key").alias("rule"), "table",
+                                 F.col("_ref").cast("string").alias("key"), "detail"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def failed_checks(df: DataFrame, col: str, op: str, bound, table: str = "") -> DataFrame:
     """CHECK (col op bound) is false; NULL passes."""
     cond = F.expr(f"`{col}` {op} {bound}")

@@ -189,8 +189,21 @@ def snapshot(m: Model, requests: DataFrame, run: str, whole_routine: bool = Fals
 
 
 def append_snapshot(m: Model, new: dict[str, DataFrame]) -> Model:
-    """Add snapshot rows to the log tables (new model; union, no shuffle)."""
-    return m.replace(**{t: m[t].unionByName(new[t], allowMissingColumns=True) for t in new})
+    """Add snapshot rows to the log tables (new model; union, no shuffle).
+
+    Keys whose types differ (source keys vs. hashed keys) are unioned as text.
+    """
+    out = {}
+    for t, rows in new.items():
+        old = m[t]
+        types = dict(old.dtypes)
+        cols = [c for c in old.columns]
+        a = old.select(*[F.col(c).cast("string").alias(c) if c in rows.columns and dict(rows.dtypes)[c] != types[c]
+                         else F.col(c) for c in cols])
+        b = rows.select(*[F.col(c).cast(dict(a.dtypes)[c]).alias(c) if c in rows.columns
+                          else F.lit(None).cast(dict(a.dtypes)[c]).alias(c) for c in cols])
+        out[t] = a.unionByName(b)
+    return m.replace(**out)
 
 
 def clear_lineage(m: Model, users: DataFrame) -> dict[str, DataFrame]:
@@ -540,17 +553,19 @@ def delete_sessions(m: Model, requests: DataFrame) -> dict[str, DataFrame]:
     ses_gone = (m.setup_sessions.join(
         requests.select(F.col("routine_id").alias("setup_routine_id"), F.col("session_name").alias("name")),
         ["setup_routine_id", "name"], "left_semi").select(F.col("id").alias("session_id")))
-    empty_routines = m.setup_routines.select("id").limit(0)
-    empty_days = m.setup_days.select(F.col("id").alias("day_id")).limit(0)
-    return _cascade_plan(m, empty_routines, empty_days, ses_gone)
+    return _cascade_plan(m, None, None, ses_gone)
 
 
 def _cascade_plan(m: Model, routines_gone, days_gone, ses_gone) -> dict[str, DataFrame]:
-    sr = m.setup_routines.join(routines_gone, "id", "left_anti")
-    days = m.setup_days.join(days_gone.withColumnRenamed("day_id", "id"), "id", "left_anti")
+    """Remove the gone rows level by level (fixed depth: the plan has 4 levels
+    below a routine); ``None`` means nothing goes at that level."""
+    sr = m.setup_routines if routines_gone is None else m.setup_routines.join(routines_gone, "id", "left_anti")
+    days = (m.setup_days if days_gone is None
+            else m.setup_days.join(days_gone.withColumnRenamed("day_id", "id"), "id", "left_anti"))
     ses = m.setup_sessions.join(ses_gone.withColumnRenamed("session_id", "id"), "id", "left_anti")
-    slots = (m.setup_days_sessions.join(days_gone, "day_id", "left_anti")
-             .join(ses_gone, "session_id", "left_anti"))
+    slots = m.setup_days_sessions.join(ses_gone, "session_id", "left_anti")
+    if days_gone is not None:
+        slots = slots.join(days_gone, "day_id", "left_anti")
     ex_gone = m.setup_session_exercises.join(
         ses_gone.withColumnRenamed("session_id", "setup_session_id"), "setup_session_id", "left_semi"
     ).select(F.col("id").alias("setup_session_exercise_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from regimen.plans import q_outline, q_rules, q_stream, q_transform  # noqa: F401  (registers queries)
+from regimen.plans import q_more, q_outline, q_rules, q_stream, q_transform  # noqa: F401  (registers)
 from regimen.plans.oracle import ORACLE
 from regimen.plans.registry import QUERIES
 

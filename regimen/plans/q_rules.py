@@ -279,19 +279,22 @@ def j2_unique_lower_names(spark, sf):
     return G.union_all(*[J.duplicate_lower_names(m[t], o, n, t) for t, o, n in S.UNIQUE_LOWER])
 
 
-def _fk_sql() -> str:
+def _fk_sql(source: dict[str, str] | None = None) -> str:
+    """Union of one anti-join per foreign key; ``source`` maps a table to the
+    relation that stands for it (a changed version)."""
+    src = source or {}
     parts = []
     for t, col, pt, pcol, _ in S.FOREIGN_KEYS:
         parts.append(f"SELECT 'foreign_key' AS rule, '{t}' AS \"table\", CAST(c.{col} AS VARCHAR) AS key, "
-                     f"'{col}' AS detail FROM {t} c WHERE c.{col} IS NOT NULL AND NOT EXISTS "
-                     f"(SELECT 1 FROM {pt} p WHERE CAST(p.{pcol} AS VARCHAR) = CAST(c.{col} AS VARCHAR))")
+                     f"'{col}' AS detail FROM {src.get(t, t)} c WHERE c.{col} IS NOT NULL AND NOT EXISTS "
+                     f"(SELECT 1 FROM {src.get(pt, pt)} p WHERE CAST(p.{pcol} AS VARCHAR) = "
+                     f"CAST(c.{col} AS VARCHAR))")
     return "\nUNION ALL ".join(parts)
 
 
 @query("j3_foreign_keys", _fk_sql())
 def j3_foreign_keys(spark, sf):
-    m = from_driver(spark, sf)
-    return G.union_all(*[J.dangling_references(m[t], c, m[pt], pc, t) for t, c, pt, pc, _ in S.FOREIGN_KEYS])
+    return J.all_dangling_references(from_driver(spark, sf))
 
 
 def _check_sql() -> str:
