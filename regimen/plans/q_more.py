@@ -263,3 +263,28 @@ def e3_history_pages(spark, sf):
     r = P.record_pages(from_driver(spark, sf))
     return r.select("user_id", "page", "record_pos", H.local_date("completion_date").alias("shown_date"),
                     "routine_name", "day_number", "session_name")
+
+
+@query("f1_sorted_outline", """
+SELECT u.id AS user_id, r.id AS routine_id, d.day_number, ds.session_order, x.exercise_order, t.cur_set
+FROM users u JOIN setup_routines r ON u.id = r.user_id JOIN setup_days d ON r.id = d.setup_routine_id
+JOIN setup_days_sessions ds ON d.id = ds.day_id JOIN setup_sessions s ON ds.session_id = s.id
+JOIN setup_session_exercises x ON s.id = x.setup_session_id JOIN exercises e ON e.id = x.exercise_id
+JOIN setup_exercise_details t ON x.id = t.setup_session_exercise_id
+ORDER BY 1, 2, 3, 4, 5, 6""")
+def f1_sorted_outline(spark, sf):
+    """the plan outline in the reference's order (owner first, NULLs last)."""
+    out = C.sort_outline(C.plan_outline(from_driver(spark, sf)))
+    return out.select("user_id", "routine_id", "day_number", "session_order", "exercise_order", "cur_set")
+
+
+@query("h4_parse_instants", """
+SELECT event_id, TRY_CAST(CASE WHEN event_id % 10 = 0 THEN 'not a date'
+                               ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS parsed
+FROM events""")
+def h4_parse_instants(spark, sf):
+    """H4: instants shown as text parse back (at second precision); bad text gives NULL."""
+    ev = driver_table(spark, sf, "events")
+    text = F.when(F.col("event_id") % 10 == 0, F.lit("not a date")).otherwise(
+        F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss"))
+    return ev.select("event_id", H.to_instant(text).cast("timestamp_ntz").alias("parsed"))
