@@ -11,12 +11,12 @@ the batch, appends follow ``seq``, and updates keep the last ``seq``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimen.functions.keys import det_id
 from regimen.operators.nesting import count_days
-from regimen.operators.ordinal import count_before, groups_bounded, ordinal
+from regimen.operators.ordinal import count_before, groups_bounded, hot_rows, ordinal
 from regimen.operators.outline import active_slots, setup_levels, slot_sessions, track_levels
 from regimen.session import checkpoint_dir
 from regimen.sources.tables import Model
@@ -79,7 +79,9 @@ def next_training_day(m: Model) -> DataFrame:
     reach = (act.join(n, "routine_id").filter(F.col("day_number") <= F.col("total_days"))
              .drop("total_days"))
     keys = ["routine_id", "session_order"]
-    bounded = groups_bounded(cur.select(*keys).unionByName(reach.select(*keys)), keys)
+    bounded = groups_bounded(cur.select(*keys).unionByName(act.select(*keys)), keys)
+    if bounded and hot_rows(m.setup_days.sparkSession) > 0:
+        return _next_day_windows(cur, act, n, keys)
     reach = ordinal(reach, keys, ["day_number"], "_a", bounded=bounded)
     before = count_before(cur.filter(F.col("day_number").isNotNull()), reach, keys,
                           "day_number", "user_id", "_n_le", inclusive=True, bounded=bounded)
@@ -95,6 +97,39 @@ def next_training_day(m: Model) -> DataFrame:
                       nxt.cast("int").alias("day_number"), "session_order")
 
 
+def _next_day_windows(cur: DataFrame, act: DataFrame, n: DataFrame, keys: list[str]) -> DataFrame:
+    """I16 when every (routine, slot) fits one task: cursors and active days in
+    one frame, one exchange, three window functions.
+
+    Ordered by (day, kind) with a cursor before an active day of the same
+    number: the smallest active day from the cursor on tells whether the
+    cursor day is active, the smallest reachable one is the successor, and the
+    first reachable active day is the group min.
+    """
+    days = (act.join(n, "routine_id", "left")
+            .select(*keys, F.col("day_number").alias("_d"), F.lit(1).alias("_kind"),
+                    F.lit(None).cast(cur.schema["user_id"].dataType).alias("user_id"),
+                    (F.col("day_number") <= F.col("total_days")).alias("_reach")))
+    cursors = cur.select(*keys, F.col("day_number").alias("_d"), F.lit(0).alias("_kind"), "user_id",
+                         F.lit(None).cast("boolean").alias("_reach"))
+    active_day = F.when(F.col("_kind") == 1, F.col("_d"))
+    reach_day = F.when((F.col("_kind") == 1) & F.col("_reach"), F.col("_d"))
+    order = Window.partitionBy(*keys).orderBy(F.col("_d").asc_nulls_first(), "_kind")
+    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    x = (cursors.unionByName(days)
+         .withColumn("_next_active", F.min(active_day).over(after))
+         .withColumn("_succ", F.min(reach_day).over(after))
+         .withColumn("_first", F.min(reach_day).over(Window.partitionBy(*keys)))
+         .filter(F.col("_kind") == 0))
+    # rows after a cursor all sort at or above its day: the next active day is
+    # the cursor day exactly when that day is active
+    here = F.col("_d").isNotNull() & (F.col("_next_active") == F.col("_d"))
+    nxt = F.coalesce(F.when(here, F.col("_d")), F.when(F.col("_d").isNotNull(), F.col("_succ")),
+                     F.col("_first"))
+    return x.select("user_id", "routine_id", F.col("_d").alias("cursor_day"),
+                    nxt.cast("int").alias("day_number"), "session_order")
+
+
 def whats_next(m: Model) -> DataFrame:
     """Routine name, next training day and its session name, for every user."""
     names = m.setup_routines.select(F.col("id").alias("routine_id"), F.col("name").alias("routine_name"))

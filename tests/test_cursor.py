@@ -37,9 +37,19 @@ def test_next_day_matches_loop_on_random_routines(spark):
             if order:
                 tables["setup_session_exercises"].append((f"{rid}x{d}", f"{rid}s{d}", None, "ce", order, None))
         expected[r] = _simulate(active, len(numbers), cur if cur else None)
+        if rnd.random() < 0.3:      # a second cursor on the same routine, often on the same day
+            other = cur if rnd.random() < 0.5 else rnd.choice([None] + list(range(0, 16)))
+            tables["users"].append((1000 + r, f"friend{r}", "*"))
+            tables["users_current_details"].append((1000 + r, rid, other if other else None, 1))
+            expected[1000 + r] = _simulate(active, len(numbers), other if other else None)
     m = complete(spark, {t: literal_table(spark, t, rows) for t, rows in tables.items()})
-    got = {row.user_id: row.day_number for row in I.next_training_day(m).collect()}
-    assert got == expected
+    for strategy in ("auto", "split"):
+        spark.conf.set("spark.regimen.ordinal.strategy", strategy)
+        try:
+            got = {row.user_id: row.day_number for row in I.next_training_day(m).collect()}
+        finally:
+            spark.conf.unset("spark.regimen.ordinal.strategy")
+        assert got == expected, strategy
 
 
 def test_advance_cursor_wraps_on_day_count(spark):
