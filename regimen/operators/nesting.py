@@ -157,6 +157,8 @@ def runs(df: DataFrame, keys: Sequence[str], run_cols: Sequence[str], order: Seq
     """
     keys, run_cols = list(keys), list(run_cols)
     bounded = groups_bounded(df, keys)              # all groups below lie inside a keys group
+    if bounded and hot_rows(df.sparkSession) > 0:
+        return _runs_one_pass(df, keys, run_cols, order, run_name, item_name)
     x = ordinal(df, keys, order, "_pos", bounded=bounded)
     x = ordinal(x, keys + run_cols, order, "_pos2", bounded=bounded)
     x = x.withColumn("_island", F.col("_pos") - F.col("_pos2"))
@@ -167,6 +169,22 @@ def runs(df: DataFrame, keys: Sequence[str], run_cols: Sequence[str], order: Seq
             .drop("_pos", "_pos2", "_island", "_start"))
 
 
+def _runs_one_pass(df: DataFrame, keys: list[str], run_cols: list[str], order: Sequence,
+                   run_name: str, item_name: str) -> DataFrame:
+    """Runs when every group fits one task: lag + running sum + row_number,
+    all on one hash exchange of ``keys`` (it also clusters (keys, run))."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    changed = F.lit(False)
+    for c in run_cols:
+        changed = changed | ~F.lag(c).over(w).eqNullSafe(F.col(c))
+    x = df.withColumn("_new", F.when(changed | F.lag(F.lit(1)).over(w).isNull(), 1).otherwise(0))
+    x = x.withColumn(run_name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding,
+                                                                Window.currentRow)).cast("int"))
+    return (x.withColumn(item_name, F.row_number().over(Window.partitionBy(*keys, run_name).orderBy(*order))
+                         .cast("int"))
+            .drop("_new"))
+
+
 def open_session_exercises(m: Model) -> DataFrame:
     """D6 on C9: sets of open workouts grouped into exercises per (user, session name).
 

@@ -130,10 +130,23 @@ def count_before(left: DataFrame, right: DataFrame, keys: Sequence[str], value:
     rsel = right.select(*keys, F.col(value).alias("_v"), F.lit(1 - kind).alias("_k"),
                         F.lit(None).cast("string").alias("_id"))
     both = lsel.unionByName(rsel)
-    if bounded is None:
+    forced = both.sparkSession.conf.get(STRATEGY_CONF, "auto")
+    if forced != "auto":
+        bounded = forced == "window"
+    elif bounded is None:
         bounded = groups_bounded(both, keys)
+    if bounded:
+        # one running sum of right rows in (value, kind) order: one exchange, one window
+        run = Window.partitionBy(*keys).orderBy("_v", "_k", "_id").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        counts = (both.withColumn(name, F.sum(1 - F.col("_k") if kind == 1 else F.col("_k")).over(run))
+                  .filter(F.col("_k") == kind)
+                  .select(*keys, F.col("_id").alias("_lid"), F.col(name).cast("long").alias(name)))
+        return (left.withColumn("_lid", F.col(left_id).cast("string"))
+                .join(counts, keys + ["_lid"]).drop("_lid"))
     both = ordinal(both, keys, ["_v", "_k", "_id"], "_p", bounded=bounded)
     mine = ordinal(both.filter(F.col("_k") == kind), keys, ["_v", "_id"], "_q", bounded=bounded)
-    counts = mine.select(*keys, F.col("_id").alias("_lid"), (F.col("_p") - F.col("_q")).alias(name))
+    counts = mine.select(*keys, F.col("_id").alias("_lid"),
+                         (F.col("_p") - F.col("_q")).cast("long").alias(name))
     return (left.withColumn("_lid", F.col(left_id).cast("string"))
             .join(counts, keys + ["_lid"]).drop("_lid"))

@@ -39,10 +39,12 @@ def test_count_before_matches_brute_force(spark):
     L = spark.createDataFrame(left, "k int, id int, v int")
     R = spark.createDataFrame(right, "k int, v int")
     for inclusive in (False, True):
-        got = {r.id: r.n for r in count_before(L, R, ["k"], "v", "id", "n", inclusive, bounded=False).collect()}
-        for k, i, v in left:
-            want = sum(1 for rk, rv in right if rk == k and (rv <= v if inclusive else rv < v))
-            assert got[i] == want
+        for bounded in (False, True):
+            got = {r.id: r.n for r in count_before(L, R, ["k"], "v", "id", "n", inclusive,
+                                                   bounded=bounded).collect()}
+            for k, i, v in left:
+                want = sum(1 for rk, rv in right if rk == k and (rv <= v if inclusive else rv < v))
+                assert got[i] == want, (inclusive, bounded)
 
 
 def test_runs_match_adjacent_grouping(spark):
