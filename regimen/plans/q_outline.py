@@ -103,7 +103,8 @@ def c8_exercise_sets(spark, sf):
 _OPEN_SETS_SQL = """
 open_sets AS (
   SELECT r.user_id, s.id AS session_id, s.name AS session_name, t.id AS set_id,
-         ce.name AS exercise_name, x.exercise_order, t.cur_set, t.reps_goal, t.weight,
+         ce.name AS exercise_name, x.exercise_order, t.cur_set, t.reps_goal,
+         CAST(t.weight AS DOUBLE) AS weight,
          t.reps_done, x.exercise_comment
   FROM track_routines r
   JOIN track_sessions s ON r.id = s.track_routine_id
@@ -121,7 +122,7 @@ FROM open_sets""")
 def c9_open_workout_sets(spark, sf):
     return C.open_workout_sets(from_driver(spark, sf)).select(
         "user_id", "session_name", "exercise_name", "exercise_order", "cur_set", "reps_goal",
-        "weight", "reps_done", "exercise_comment")
+        F.col("weight").cast("double"), "reps_done", "exercise_comment")
 
 
 @query("c10_active_sessions", """
@@ -188,7 +189,8 @@ def c12_completed_workouts(spark, sf):
 @query("c13_workout_details", _COMPLETED_SQL + """,
 req AS (SELECT routine_id AS request_id, user_id, routine_name, completion_date, day_number,
                session_name FROM completed)
-SELECT q.request_id, ce.name AS exercise_name, x.exercise_order, t.cur_set, t.reps_goal, t.weight,
+SELECT q.request_id, ce.name AS exercise_name, x.exercise_order, t.cur_set, t.reps_goal,
+       CAST(t.weight AS DOUBLE) AS weight,
        t.reps_done
 FROM req q
 JOIN track_routines r ON r.user_id = q.user_id AND r.name = q.routine_name
@@ -204,7 +206,8 @@ def c13_workout_details(spark, sf):
     m = from_driver(spark, sf)
     req = C.completed_workouts(m).withColumnRenamed("routine_id", "request_id")
     return C.workout_details(m, req).select(
-        "request_id", "exercise_name", "exercise_order", "cur_set", "reps_goal", "weight",
+        "request_id", "exercise_name", "exercise_order", "cur_set", "reps_goal",
+        F.col("weight").cast("double"),
         "reps_done")
 
 
@@ -298,7 +301,7 @@ FROM numbered""")
 def d6_open_session_exercises(spark, sf):
     return D.open_session_exercises(from_driver(spark, sf)).select(
         "user_id", "session_name", "exercise_pos", "exercise_name", "exercise_order", "set_pos",
-        "cur_set", "reps_goal", "weight", "reps_done")
+        "cur_set", "reps_goal", F.col("weight").cast("double"), "reps_done")
 
 
 @query("d7_exercise_first_order", """

@@ -1,7 +1,9 @@
-"""Registered queries: the set-log stream (K1) and end-to-end flows."""
+"""Registered queries: the set-log stream (K1)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from regimen.plans import q_transform as T
 from regimen.plans.registry import query
 from regimen.sources.adapter import from_driver
@@ -13,4 +15,13 @@ def k1_set_log_stream(spark, sf):
     """Stream the events table through K1; the final log state equals I8."""
     m = from_driver(spark, sf)
     root = K.run_set_log_stream(spark, m, f"{sf}/events*.parquet", base_path=sf)
-    return K.apply_state(m, K.current_state(spark, root)).select("id", "weight", "reps_done")
+    state = K.apply_state(m, K.current_state(spark, root))
+    return state.select("id", F.col("weight").cast("double"), "reps_done")
+
+
+@query("k1_set_log_quarantine", T._SET_LOG + "SELECT event_id, problem FROM checked WHERE problem IS NOT NULL")
+def k1_set_log_quarantine(spark, sf):
+    """The stream's quarantine table: every refused set log with its reason (= J12)."""
+    m = from_driver(spark, sf)
+    root = K.run_set_log_stream(spark, m, f"{sf}/events*.parquet", base_path=sf)
+    return spark.read.parquet(f"{root}/quarantine").select("event_id", "problem")

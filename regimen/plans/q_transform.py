@@ -370,7 +370,7 @@ hit AS (SELECT o.*, t.set_id FROM ok o JOIN targets t USING (user_id, routine_na
                                                               session_name, exercise_order, set_number)),
 last AS (SELECT set_id, arg_max(weight, (ts, event_id)) AS w, arg_max(reps_done, (ts, event_id)) AS rd
          FROM hit GROUP BY set_id)
-SELECT t.id, CASE WHEN l.set_id IS NOT NULL THEN l.w ELSE t.weight END AS weight,
+SELECT t.id, CAST(CASE WHEN l.set_id IS NOT NULL THEN l.w ELSE t.weight END AS DOUBLE) AS weight,
        CASE WHEN l.set_id IS NOT NULL THEN l.rd ELSE t.reps_done END AS reps_done
 FROM track_exercise_details t LEFT JOIN last l ON l.set_id = t.id
 """
@@ -380,7 +380,7 @@ FROM track_exercise_details t LEFT JOIN last l ON l.set_id = t.id
 def i8_update_logged_sets(spark, sf):
     m = from_driver(spark, sf)
     ok, _ = R.validated_set_log(R.set_log_events(spark, sf, m))
-    return I.update_logged_sets(m, ok).select("id", "weight", "reps_done")
+    return I.update_logged_sets(m, ok).select("id", F.col("weight").cast("double"), "reps_done")
 
 
 @query("j12_set_log_quarantine", _SET_LOG + "SELECT event_id, problem FROM checked WHERE problem IS NOT NULL")
