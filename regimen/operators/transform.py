@@ -364,6 +364,50 @@ def delete_session_exercises(m: Model, deletes: DataFrame) -> dict[str, DataFram
     return dict(setup_session_exercises=ex, setup_exercise_details=sets)
 
 
+def _reorder_bounded(children: DataFrame, parent: str, requests: DataFrame) -> bool:
+    spark = children.sparkSession
+    if hot_rows(spark) == 0:
+        return False
+    return groups_bounded(children.select(parent).unionByName(requests.select(parent)), [parent])
+
+
+def _reorder_frame(children: DataFrame, parent: str, ordinal_col: str, requests: DataFrame) -> DataFrame:
+    """Children and requests of a parent in one frame, every check a window
+    aggregate: one hash exchange on the parent (it clusters (parent, order)
+    too). Child rows carry their row as a struct and the new ordinal."""
+    new_int = F.col("new_order").cast("string").try_cast("int")
+    row_type = F.struct(*children.columns)
+    kids = children.select(parent, F.col(ordinal_col).alias("_o"), F.lit(0).alias("_k"),
+                           row_type.alias("_row"), F.lit(None).cast("int").alias("_new"))
+    reqs = requests.select(parent, F.col("old_order").cast("string").try_cast("int").alias("_o"),
+                           F.lit(1).alias("_k"), F.lit(None).cast(kids.schema["_row"].dataType).alias("_row"),
+                           new_int.alias("_new"))
+    by_parent = Window.partitionBy(parent)
+    by_old = Window.partitionBy(parent, "_o")
+    by_new = Window.partitionBy(parent, "_new")
+    is_req = F.col("_k") == 1
+    x = (kids.unionByName(reqs)
+         .withColumn("n", F.sum(1 - F.col("_k")).over(by_parent))
+         .withColumn("listed", F.sum("_k").over(by_parent))
+         .withColumn("_ints", F.sum(F.when(is_req & F.col("_new").isNotNull(), 1).otherwise(0)).over(by_parent))
+         .withColumn("_lo", F.min("_new").over(by_parent))
+         .withColumn("_hi", F.max("_new").over(by_parent))
+         .withColumn("_same_new", F.sum(F.when(is_req & F.col("_new").isNotNull(), 1).otherwise(0)).over(by_new))
+         .withColumn("_kids_at_old", F.sum(1 - F.col("_k")).over(by_old))
+         .withColumn("_reqs_at_old", F.sum("_k").over(by_old))
+         .withColumn("_target", F.max(F.when(is_req, F.col("_new"))).over(by_old)))
+    dup_new = F.max(F.when(is_req & (F.col("_same_new") > 1), 1).otherwise(0)).over(by_parent) > 0
+    bad_old = F.max(F.when(is_req & ((F.col("_kids_at_old") == 0) | (F.col("_reqs_at_old") > 1)), 1)
+                    .otherwise(0)).over(by_parent) > 0
+    reason = (F.when(F.col("listed") == 0, F.lit(None))
+              .when(F.col("_ints") < F.col("listed"), "not an integer")
+              .when(dup_new, "duplicate order")
+              .when((F.col("_lo") < 1) | (F.col("_hi") > F.col("n")), "order out of range")
+              .when(bad_old, "unknown exercise")
+              .when(F.col("listed") != F.col("n"), "incomplete permutation"))
+    return x.withColumn("reason", reason)
+
+
 def reorder_check(children: DataFrame, parent: str, ordinal_col: str,
                   requests: DataFrame) -> DataFrame:
     """Per parent, is the request (old -> new) a permutation of 1..n?
@@ -372,6 +416,10 @@ def reorder_check(children: DataFrame, parent: str, ordinal_col: str,
     every new order is an integer, in 1..n, no duplicates, every old order
     exists, and all n children are listed (n = children of the parent).
     """
+    if _reorder_bounded(children, parent, requests):
+        x = _reorder_frame(children, parent, ordinal_col, requests).filter(F.col("_k") == 1)
+        return (x.groupBy(parent).agg(F.first("listed").cast("long").alias("listed"),
+                                      F.first("n").cast("long").alias("n"), F.first("reason").alias("reason")))
     n = children.groupBy(parent).agg(F.count(F.lit(1)).alias("n"))
     new_int = F.col("new_order").cast("string").try_cast("int")
     exists = children.select(parent, F.col(ordinal_col).alias("old_order"), F.lit(True).alias("_e"))
@@ -402,6 +450,13 @@ def reorder(children: DataFrame, parent: str, ordinal_col: str,
 
     Returns (children with new ordinals, J9 report of every requested parent).
     """
+    if _reorder_bounded(children, parent, requests):
+        x = _reorder_frame(children, parent, ordinal_col, requests)
+        kids = x.filter(F.col("_k") == 0)
+        moved = F.when((F.col("listed") > 0) & F.col("reason").isNull(), F.col("_target"))
+        out = kids.select(*[F.coalesce(moved, F.col(f"_row.{c}")).cast("int").alias(c) if c == ordinal_col
+                            else F.col(f"_row.{c}").alias(c) for c in children.columns])
+        return out, reorder_check(children, parent, ordinal_col, requests)
     report = reorder_check(children, parent, ordinal_col, requests)
     valid = report.filter(F.col("reason").isNull()).select(parent)
     mapping = (requests.join(valid, parent, "left_semi")

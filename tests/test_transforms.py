@@ -55,6 +55,35 @@ def test_reorder_rejects_incomplete_and_non_integer(spark):
     assert reasons == {"ses:Push": "incomplete permutation", "ses:Pull": "not an integer"}
 
 
+def test_reorder_plans_agree_on_random_requests(spark):
+    import random
+    rnd = random.Random(11)
+    kids, reqs = [], []
+    for p in range(60):
+        n = rnd.randrange(0, 5)
+        kids += [(f"x{p}:{o}", f"p{p}", o) for o in range(1, n + 1)]
+        perm = list(range(1, n + 1))
+        rnd.shuffle(perm)
+        kind = rnd.choice(["ok", "dup", "range", "text", "partial", "none"])
+        for old, new in zip(range(1, n + 1), perm):
+            val = {"dup": "1", "range": str(new + n), "text": f"{new}.0"}.get(kind, str(new))
+            if kind == "partial" and old == n:
+                continue
+            if kind != "none":
+                reqs.append((f"p{p}", old, val))
+    children = _df(spark, kids, "id string, parent string, ord int")
+    requests = _df(spark, reqs, "parent string, old_order int, new_order string")
+    got = {}
+    for strategy in ("auto", "split"):
+        spark.conf.set("spark.regimen.ordinal.strategy", strategy)
+        try:
+            out, report = I.reorder(children, "parent", "ord", requests)
+            got[strategy] = (sorted(out.collect()), sorted(report.collect()))
+        finally:
+            spark.conf.unset("spark.regimen.ordinal.strategy")
+    assert got["auto"] == got["split"]
+
+
 def test_cascade_delete_leaves_no_orphans(spark):
     m = seed_model(spark)
     new = I.delete_plan_tree(m, _df(spark, [("routine:ppl",)], "id string"))
