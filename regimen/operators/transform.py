@@ -506,19 +506,29 @@ def assign_sessions(m: Model, requests: DataFrame, run: str) -> tuple[DataFrame,
     return kept.unionByName(new_rows), rejected
 
 
-def resolve_logged_sets(m: Model, requests: DataFrame) -> DataFrame:
-    """I8 target resolution: (user_id, routine_name, day_number, session_name,
-    exercise_order, set_number) -> track set id, open workouts, slot 1 only."""
+TARGET_KEYS = ["user_id", "routine_name", "day_number", "session_name", "exercise_order", "set_number"]
+
+
+def open_set_index(m: Model) -> DataFrame:
+    """Logged sets of open workouts (slot 1) by their natural address: the
+    targets of I8. Only in-progress workouts, so it is a small part of the log."""
     lv = track_levels(m)
-    targets = (lv["routines"].filter(F.col("in_progress"))
-               .select("routine_id", "user_id", "routine_name")
-               .join(lv["days"], "routine_id")
-               .join(lv["slots"].filter(F.col("session_order") == 1), "day_id")
-               .join(lv["sessions"].select("session_id", "session_name"), "session_id")
-               .join(lv["exercises"].select("sse_id", "session_id", "exercise_order"), "session_id")
-               .join(lv["sets"].select("set_id", "sse_id", F.col("cur_set").alias("set_number")), "sse_id"))
-    return requests.join(targets, ["user_id", "routine_name", "day_number", "session_name",
-                                   "exercise_order", "set_number"])
+    return (lv["routines"].filter(F.col("in_progress"))
+            .select("routine_id", "user_id", "routine_name")
+            .join(lv["days"], "routine_id")
+            .join(lv["slots"].filter(F.col("session_order") == 1), "day_id")
+            .join(lv["sessions"].select("session_id", "session_name"), "session_id")
+            .join(lv["exercises"].select("sse_id", "session_id", "exercise_order"), "session_id")
+            .join(lv["sets"].select("set_id", "sse_id", F.col("cur_set").alias("set_number")), "sse_id")
+            .select(*TARGET_KEYS, "set_id"))
+
+
+def resolve_logged_sets(m: Model, requests: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """I8 target resolution: (user_id, routine_name, day_number, session_name,
+    exercise_order, set_number) -> track set id, open workouts, slot 1 only.
+    ``index``: a prebuilt ``open_set_index`` (the stream builds it once)."""
+    targets = open_set_index(m) if index is None else index
+    return requests.join(targets, TARGET_KEYS)
 
 
 def update_logged_sets(m: Model, requests: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.operators.transform import resolve_logged_sets
+from regimen.operators.transform import open_set_index, resolve_logged_sets
 from regimen.plans import requests as R
 from regimen.session import checkpoint_dir
 from regimen.sources.tables import Model
@@ -31,13 +31,13 @@ from regimen.sources.tables import Model
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _batch_writer(spark: SparkSession, m: Model, sf_dir: str, root: str):
+def _batch_writer(spark: SparkSession, m: Model, index: DataFrame, root: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
         events = _as_set_log(batch, m)
         ok, bad = R.validated_set_log(events)
         bad.select("event_id", "ts", "user_id", "problem").write.mode("overwrite") \
             .parquet(f"{root}/quarantine/epoch={epoch_id}")
-        hit = resolve_logged_sets(m, ok)
+        hit = resolve_logged_sets(m, ok, index)
         last = (hit.groupBy("set_id")
                 .agg(F.max_by(F.struct("weight", "reps_done", "ts", "event_id"),
                               F.struct("ts", "event_id")).alias("v"))
@@ -73,7 +73,12 @@ def run_set_log_stream(spark: SparkSession, m: Model, events_path: str, root: st
     if base_path:                      # a glob over files inside a folder
         reader = reader.option("basePath", base_path)
     stream = reader.parquet(events_path).withColumn("ts", F.col("ts").cast("timestamp"))
-    q = (stream.writeStream.foreachBatch(_batch_writer(spark, m, events_path, root))
+    # the targets (sets of open workouts) are resolved once per run, not per batch;
+    # a run sees the workouts open when it starts (availableNow runs are short)
+    index_path = f"{root}/open_set_index"
+    open_set_index(m).write.mode("overwrite").parquet(index_path)
+    index = spark.read.parquet(index_path)
+    q = (stream.writeStream.foreachBatch(_batch_writer(spark, m, index, root))
          .option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
