@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,10 +136,18 @@ class TableStore:
         version, paths = self.current()
         version += 1
         paths = dict(paths)
-        for name, df in changed.items():
+
+        def write(item):
+            name, df = item
             path = f"{self.root}/{name}/v={version}"
             df.select(*SCHEMAS[name].fieldNames()).write.mode("overwrite").parquet(path)
-            paths[name] = path
+            return name, path
+
+        # independent tables are written as concurrent jobs; the manifest row
+        # that makes the version visible is written only after all succeeded
+        with ThreadPoolExecutor(max_workers=min(8, max(len(changed), 1))) as pool:
+            for name, path in pool.map(write, changed.items()):
+                paths[name] = path
         entry = self.spark.createDataFrame([(version, json.dumps(paths, sort_keys=True))], _MANIFEST)
         entry.coalesce(1).write.mode("append").json(f"{self.root}/_manifest")
         return version
