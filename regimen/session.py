@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "regimen",
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # checkpoints of split plans are removed once their DataFrames are gone
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("REGIMEN_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
