@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regimen.operators.ordinal import count_before, ordinal
 from regimen.operators.outline import second
 from regimen.sources.tables import Model
 
@@ -102,20 +103,42 @@ def routine_name_like(m: Model, requests: DataFrame) -> DataFrame:
     user whose name ILIKE the request's pattern (``%``, ``_`` wildcards, ``\\``
     escape).
 
-    Patterns without wildcards are an equi-join on the lower-case name. A
+    Patterns without wildcards are an equi-join on the lower-case name;
+    prefix patterns (``abc%``) a pair-free successor lookup. Any other
     wildcard pattern has to be tried against the user's created routines:
     those pairs are bounded by one user's routine list, never across users.
     """
     created = m.setup_routines.filter(F.col("routine_created")).select("user_id", "name")
+    body = F.expr("substring(pattern, 1, length(pattern) - 1)")
+    is_prefix = (F.col("pattern").endswith("%") & ~body.contains("%") & ~body.contains("_")
+                 & ~F.col("pattern").contains("\\"))
     plain = requests.filter(~_has_wildcard("pattern"))
-    wild = requests.filter(_has_wildcard("pattern"))
-    names = created.select("user_id", F.lower("name").alias("_l")).distinct().withColumn("_hit", F.lit(True))
-    a = (plain.withColumn("_l", F.lower("pattern")).join(names, ["user_id", "_l"], "left")
+    prefix = requests.filter(_has_wildcard("pattern") & is_prefix)
+    wild = requests.filter(_has_wildcard("pattern") & ~is_prefix)
+    names = created.select("user_id", F.lower("name").alias("_l")).distinct()
+    a = (plain.withColumn("_l", F.lower("pattern"))
+         .join(names.withColumn("_hit", F.lit(True)), ["user_id", "_l"], "left")
          .select("request_id", F.col("_hit").isNotNull().alias("exists")))
-    b = (wild.join(created, "user_id", "left")
+    b = _prefix_exists(names, prefix.select("request_id", "user_id", F.lower(body).alias("_p")))
+    c = (wild.join(created, "user_id", "left")
          .withColumn("_m", F.expr("name ILIKE pattern"))
          .groupBy("request_id").agg(F.coalesce(F.max("_m"), F.lit(False)).alias("exists")))
-    return requests.join(a.unionByName(b), "request_id")
+    return requests.join(a.unionByName(b).unionByName(c), "request_id")
+
+
+def _prefix_exists(names: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``exists`` a name of the user starting with the prefix, without pairs:
+    the smallest name >= the prefix starts with it exactly when any name
+    does. ``count_before`` gives how many names sort below the prefix; the
+    next name is the one with the following ordinal (an equi-join)."""
+    numbered = ordinal(names, ["user_id"], ["_l"], "_a")
+    below = count_before(prefixes, names.withColumnRenamed("_l", "_p"), ["user_id"], "_p", "request_id",
+                         "_n")
+    nxt = numbered.select("user_id", F.col("_a").alias("_want"), F.col("_l").alias("_next"))
+    j = (below.withColumn("_want", (F.col("_n") + 1).cast("int"))
+         .join(nxt, ["user_id", "_want"], "left"))
+    return j.select("request_id", F.coalesce(F.col("_next").startswith(F.col("_p")), F.lit(False))
+                    .alias("exists"))
 
 
 def routine_name_exact(m: Model, requests: DataFrame) -> DataFrame:
