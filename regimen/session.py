@@ -47,7 +47,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="regimen-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster "
+                               "(checkpoints and model tables are written there)")
+        current = tempfile.mkdtemp(prefix="regimen-ckpt-", dir="/tmp")   # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
