@@ -265,6 +265,67 @@ def e3_history_pages(spark, sf):
                     "routine_name", "day_number", "session_name")
 
 
+_CREATE_EX = r"""
+owned AS (SELECT user_id, min(name) AS first_name FROM custom_exercises WHERE user_id IS NOT NULL
+          GROUP BY user_id),
+req AS (
+  SELECT c_custkey * 3 AS request_id, 1 AS seq, c_custkey AS user_id,
+         'Exercise ' || CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE c_custkey % 7 = 0
+  UNION ALL SELECT c_custkey * 3 + 1, 2, c_custkey, 'EXERCISE ' || CAST(c_custkey AS VARCHAR)
+  FROM customer WHERE c_custkey % 14 = 0
+  UNION ALL SELECT user_id * 3 + 2, 3, user_id, upper(first_name) FROM owned WHERE user_id % 7 = 0),
+r AS (
+  SELECT request_id, seq, user_id, trim(name, ' ') AS name, lower(trim(name, ' ')) AS lname,
+         CASE WHEN length(trim(name, ' ')) = 0 THEN 'name is empty'
+              WHEN length(trim(name, ' ')) > 255 THEN 'name longer than 255'
+              WHEN NOT regexp_full_match(trim(name, ' '), '[a-zA-Z0-9()+\- ]+')
+                THEN 'name has characters other than letters, digits, ( ) + - and space' END AS p
+  FROM req),
+firsts AS (SELECT user_id, lname, arg_min(request_id, (seq, request_id)) AS first_id
+           FROM r WHERE p IS NULL GROUP BY 1, 2),
+r2 AS (
+  SELECT r.*, coalesce(p,
+           CASE WHEN EXISTS (SELECT 1 FROM custom_exercises c WHERE c.user_id = r.user_id
+                             AND lower(c.name) = r.lname) THEN 'name already used'
+                WHEN f.first_id <> r.request_id THEN 'duplicate in batch' END) AS reason
+  FROM r LEFT JOIN firsts f ON f.user_id = r.user_id AND f.lname = r.lname)
+"""
+
+
+def _create_exercise_requests(spark, sf, m):
+    c = R.customers(spark, sf).select(F.col("c_custkey").alias("user_id"))
+    k = F.col("user_id")
+    a = c.filter(k % 7 == 0).select((k * 3).alias("request_id"), F.lit(1).alias("seq"), "user_id",
+                                    F.concat(F.lit("Exercise "), k.cast("string")).alias("name"))
+    b = c.filter(k % 14 == 0).select((k * 3 + 1).alias("request_id"), F.lit(2).alias("seq"), "user_id",
+                                     F.concat(F.lit("EXERCISE "), k.cast("string")).alias("name"))
+    owned = (m.custom_exercises.filter(F.col("user_id").isNotNull())
+             .groupBy("user_id").agg(F.min("name").alias("first_name")))
+    d = owned.filter(k % 7 == 0).select((k * 3 + 2).alias("request_id"), F.lit(3).alias("seq"), "user_id",
+                                        F.upper("first_name").alias("name"))
+    return a.unionByName(b).unionByName(d)
+
+
+@query("i19_create_custom_exercises", _CREATE_EX + f"""
+SELECT {_h('custom_exercise', 'request_id')} AS id, user_id, name FROM r2 WHERE reason IS NULL""")
+def i19_create_custom_exercises(spark, sf):
+    """I19 (exercises): users % 7 = 0 add one; % 14 = 0 repeat it in upper case; some
+    re-add an exercise they own in upper case (refused, names are unique per user, any case)."""
+    m = from_driver(spark, sf)
+    new, _ = I.create_named(m.custom_exercises, "user_id", _create_exercise_requests(spark, sf, m),
+                            RUN, "custom_exercise")
+    return new
+
+
+@query("i19_custom_exercise_rejects", _CREATE_EX + """
+SELECT request_id, user_id, name, reason FROM r2 WHERE reason IS NOT NULL""")
+def i19_custom_exercise_rejects(spark, sf):
+    m = from_driver(spark, sf)
+    _, rejected = I.create_named(m.custom_exercises, "user_id", _create_exercise_requests(spark, sf, m),
+                                 RUN, "custom_exercise")
+    return rejected
+
+
 @query("f1_sorted_outline", """
 SELECT u.id AS user_id, r.id AS routine_id, d.day_number, ds.session_order, x.exercise_order, t.cur_set
 FROM users u JOIN setup_routines r ON u.id = r.user_id JOIN setup_days d ON r.id = d.setup_routine_id
