@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,7 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 
 _LOADED: dict[tuple[str, str], Model] = {}
+_LOCK = threading.Lock()
 
 
 def from_driver(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Model:
@@ -60,12 +62,13 @@ def from_driver(spark: SparkSession, sf_dir: str, materialize: bool = True) -> M
     if not materialize:
         return derive(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LOADED:
-        digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:16]
-        store = TableStore(spark, f"{checkpoint_dir(spark)}/regimen-model/{digest}")
-        if store.current()[0] == 0:
-            store.commit(derive(spark, sf_dir, shared_parts=True).tables)
-        _LOADED[key] = store.load()
+    with _LOCK:                      # queries started from several threads load once
+        if key not in _LOADED:
+            digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:16]
+            store = TableStore(spark, f"{checkpoint_dir(spark)}/regimen-model/{digest}")
+            if store.current()[0] == 0:
+                store.commit(derive(spark, sf_dir, shared_parts=True).tables)
+            _LOADED[key] = store.load()
     return _LOADED[key]
 
 
