@@ -408,6 +408,12 @@ def _reorder_frame(children: DataFrame, parent: str, ordinal_col: str, requests:
     return x.withColumn("reason", reason)
 
 
+def _reorder_report(frame: DataFrame, parent: str) -> DataFrame:
+    x = frame.filter(F.col("_k") == 1)
+    return x.groupBy(parent).agg(F.first("listed").cast("long").alias("listed"),
+                                 F.first("n").cast("long").alias("n"), F.first("reason").alias("reason"))
+
+
 def reorder_check(children: DataFrame, parent: str, ordinal_col: str,
                   requests: DataFrame) -> DataFrame:
     """Per parent, is the request (old -> new) a permutation of 1..n?
@@ -417,9 +423,7 @@ def reorder_check(children: DataFrame, parent: str, ordinal_col: str,
     exists, and all n children are listed (n = children of the parent).
     """
     if _reorder_bounded(children, parent, requests):
-        x = _reorder_frame(children, parent, ordinal_col, requests).filter(F.col("_k") == 1)
-        return (x.groupBy(parent).agg(F.first("listed").cast("long").alias("listed"),
-                                      F.first("n").cast("long").alias("n"), F.first("reason").alias("reason")))
+        return _reorder_report(_reorder_frame(children, parent, ordinal_col, requests), parent)
     n = children.groupBy(parent).agg(F.count(F.lit(1)).alias("n"))
     new_int = F.col("new_order").cast("string").try_cast("int")
     exists = children.select(parent, F.col(ordinal_col).alias("old_order"), F.lit(True).alias("_e"))
@@ -456,7 +460,7 @@ def reorder(children: DataFrame, parent: str, ordinal_col: str,
         moved = F.when((F.col("listed") > 0) & F.col("reason").isNull(), F.col("_target"))
         out = kids.select(*[F.coalesce(moved, F.col(f"_row.{c}")).cast("int").alias(c) if c == ordinal_col
                             else F.col(f"_row.{c}").alias(c) for c in children.columns])
-        return out, reorder_check(children, parent, ordinal_col, requests)
+        return out, _reorder_report(x, parent)
     report = reorder_check(children, parent, ordinal_col, requests)
     valid = report.filter(F.col("reason").isNull()).select(parent)
     mapping = (requests.join(valid, parent, "left_semi")
