@@ -156,6 +156,14 @@ def multiple_drafts(m: Model) -> DataFrame:
     return _report(d, "one_draft", "setup_routines", F.col("user_id").cast("string"), F.col("_n"))
 
 
+def multiple_open_workouts(m: Model) -> DataFrame:
+    """Users with more than one open workout (starting twice leaves two open
+    snapshots whose sets later reads interleave, D6); detail = how many."""
+    d = (m.track_routines.filter(F.col("in_progress")).groupBy("user_id")
+         .agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    return _report(d, "one_open_workout", "track_routines", F.col("user_id").cast("string"), F.col("_n"))
+
+
 def set_log_problem(weight: Column, reps: Column) -> Column:
     """J12 + J6 + J7: a logged set needs both values, each valid."""
     w = js_trim(weight.cast("string"))

@@ -351,6 +351,15 @@ def j11_multiple_drafts(spark, sf):
     return J.multiple_drafts(from_driver(spark, sf))
 
 
+@query("j11_multiple_open_workouts", """
+SELECT 'one_open_workout' AS rule, 'track_routines' AS "table", CAST(user_id AS VARCHAR) AS key,
+       CAST(count(*) AS VARCHAR) AS detail
+FROM track_routines WHERE in_progress GROUP BY user_id HAVING count(*) > 1""")
+def j11_multiple_open_workouts(spark, sf):
+    """Users with more than one open workout (reported, as SURVEY §2.1 decides)."""
+    return J.multiple_open_workouts(from_driver(spark, sf))
+
+
 @query("j13_exercise_choice", """
 q AS (SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
                        CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS request_id,
