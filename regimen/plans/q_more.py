@@ -20,7 +20,7 @@ from regimen.plans.q_transform import _ACTIVE, _h
 from regimen.plans.registry import query
 from regimen.session import checkpoint_dir
 from regimen.sources.adapter import driver_table, from_driver
-from regimen.sources.tables import TableStore, derived_view, read_table, split_parent_child
+from regimen.sources.tables import TableStore, derived_view, split_parent_child
 
 RUN = R.RUN
 

@@ -3,8 +3,6 @@ history paging with NULL and equal completion dates (F4)."""
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from regimen.operators import nesting as D
 from regimen.operators import paging as P
 from regimen.operators import transform as I
