@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regimen.operators.ordinal import groups_bounded, hot_rows, ordinal
+from regimen.operators.ordinal import HOT_ROWS_CONF, HOT_ROWS_DEFAULT, groups_bounded, hot_rows, ordinal
 from regimen.operators.outline import (day_exercise_rows, days_with_sessions, open_workout_sets,
                                        session_plan, setup_levels)
 from regimen.sources.tables import Model
@@ -127,9 +127,13 @@ def nest_day_outline(flat: DataFrame) -> DataFrame:
     """Display form of D5: one row per day, ``sessions: array<struct<name, exercises>>``.
 
     Collects per session and then per day; both are bounded by the plan of one
-    day. Use on a filtered result (one owner's page), not on a fact table.
+    day. Use on a filtered result (one owner's page), not on a fact table. A day
+    above ``spark.regimen.ordinal.hotRows`` rows is refused (keep it flat).
     """
-    per_session = (flat.groupBy("routine_id", "day_id", "day_number", "session_pos", "session_name")
+    limit = int(flat.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
+    if not groups_bounded(flat, ["day_id"], limit=limit):
+        raise ValueError("a day has more rows than one array should hold; use the flat outline")
+    per_session =(flat.groupBy("routine_id", "day_id", "day_number", "session_pos", "session_name")
                    .agg(F.sort_array(F.collect_list(F.when(F.col("exercise_pos").isNotNull(),
                         F.struct("exercise_pos", F.col("exercise_name").alias("name")))))
                         .alias("_ex")))
