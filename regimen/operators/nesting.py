@@ -62,6 +62,22 @@ def day_session_list(m: Model) -> DataFrame:
             .select("routine_id", "day_id", "day_number", "slot_pos", "session_name"))
 
 
+def nest_day_sessions(flat: DataFrame) -> DataFrame:
+    """Display form of D4: one row per day with ``session_names`` in slot order.
+
+    Structs are collected, not names: ``collect_list`` drops NULLs, and a day
+    without a session must show ``[null]``. Refuses a day above the hot-row
+    limit, like ``nest_day_outline``.
+    """
+    limit = int(flat.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
+    if not groups_bounded(flat, ["day_id"], limit=limit):
+        raise ValueError("a day has more rows than one array should hold; use the flat list")
+    return (flat.groupBy("routine_id", "day_id", "day_number")
+            .agg(F.sort_array(F.collect_list(F.struct("slot_pos", "session_name"))).alias("_s"))
+            .select("routine_id", "day_id", "day_number",
+                    F.transform("_s", lambda s: s["session_name"]).alias("session_names")))
+
+
 def day_outline(m: Model) -> DataFrame:
     """Day -> sessions (merged by name, first slot wins) -> exercise names.
 

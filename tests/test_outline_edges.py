@@ -25,6 +25,13 @@ def _nested(spark, strategy):
     return {r.day_number: [(s.name, list(s.exercises)) for s in r.sessions] for r in rows}
 
 
+def test_day_session_lists_keep_null_for_days_without_session(spark):
+    flat = D.day_session_list(seed_model(spark, EXTRA))
+    got = {r.day_number: list(r.session_names) for r in D.nest_day_sessions(flat).collect()}
+    assert got[1] == ["Push"] and got[8] == ["Push", "Core"] and got[9] == ["Pull", "Pull"]
+    assert got[10] == [None]
+
+
 def test_edge_days_in_both_plans(spark):
     for strategy in ("auto", "split"):
         got = _nested(spark, strategy)
