@@ -69,8 +69,10 @@ def all_dangling_references(m: Model) -> DataFrame:
                  .select(F.lit(t).alias("table"), F.lit(col).alias("detail"),
                          F.col(col).cast(key_type).alias("_ref")))
             refs = r if refs is None else refs.unionByName(r)
-        p = m[pt].select(F.col(pcol).alias("_ref")).distinct()
-        miss = refs.join(p, "_ref", "left_anti")
+        p = m[pt].select(F.col(pcol).alias("_ref")).distinct().withColumn("_found", F.lit(True))
+        # a left join + IS NULL stays one join per parent (an anti join would be
+        # pushed into every branch of the union, re-joining the parent per rule)
+        miss = refs.join(p, "_ref", "left").filter(F.col("_found").isNull())
         parts.append(miss.select(F.lit("foreign_key").alias("rule"), "table",
                                  F.col("_ref").cast("string").alias("key"), "detail"))
     out = parts[0]
