@@ -205,6 +205,22 @@ def _runs_one_pass(df: DataFrame, keys: list[str], run_cols: list[str], order: S
             .drop("_new"))
 
 
+def nest_session_exercises(flat: DataFrame) -> DataFrame:
+    """Display form of D6: one row per (user, session name) with
+    ``exercises: array<struct<name, exercise_order, sets: array<struct>>>``.
+    Refuses a group above the hot-row limit (keep it flat)."""
+    keys = ["user_id", "session_name"]
+    limit = int(flat.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
+    if not groups_bounded(flat, keys, limit=limit):
+        raise ValueError("a session has more rows than one array should hold; use the flat rows")
+    sets = (flat.groupBy(*keys, "exercise_pos", "exercise_name", "exercise_order")
+            .agg(F.sort_array(F.collect_list(F.struct("set_pos", "cur_set", "reps_goal", "weight",
+                                                      "reps_done"))).alias("sets")))
+    return (sets.groupBy(*keys)
+            .agg(F.sort_array(F.collect_list(F.struct("exercise_pos", F.col("exercise_name").alias("name"),
+                                                      "exercise_order", "sets"))).alias("exercises")))
+
+
 def open_session_exercises(m: Model) -> DataFrame:
     """D6 on C9: sets of open workouts grouped into exercises per (user, session name).
 

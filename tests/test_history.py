@@ -24,6 +24,11 @@ def test_two_open_snapshots_interleave_into_one_exercise(spark):
     assert sorted(by_ex) == [(1, "Push-ups"), (2, "Bench press")]
     assert sorted(by_ex[(1, "Push-ups")]) == [(1, 1), (2, 1), (3, 2), (4, 2)]
     assert sorted(by_ex[(2, "Bench press")]) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+    nested = D.nest_session_exercises(D.open_session_exercises(m)).collect()
+    assert len(nested) == 1
+    ex = nested[0].exercises
+    assert [(e.name, e.exercise_order, [s.cur_set for s in e.sets]) for e in ex] == [
+        ("Push-ups", 1, [1, 1, 2, 2]), ("Bench press", 2, [1, 1, 2, 2])]
 
 
 def test_record_pages_null_first_and_ties_by_id(spark):
