@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from regimen.llm import quality
+from regimen.llm import packing, quality
 from regimen.llm.frames import id_remainder, table
 
 
@@ -19,8 +19,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "score", "predicted")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, offset, sequence_id for every piece of every document."""
+    return packing.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
 
