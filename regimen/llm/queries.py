@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from regimen.llm import packing, quality
+from regimen.llm import lines, packing, quality
 from regimen.llm.frames import id_remainder, table
 
 
@@ -19,6 +19,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_near, removed_sha256 for every document."""
+    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, offset, sequence_id for every piece of every document."""
     return packing.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -26,6 +31,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
