@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regimen.llm import quality
+from regimen.llm import decontaminate, lines, ngrams, packing, quality
 from regimen.llm.frames import table
 from regimen.session import checkpoint_dir
 
@@ -22,8 +22,32 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 1").select(*docs.columns)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand earlier in the corpus, equal or one word apart."""
+    return lines.dedup(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return ngrams.dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in training sequences."""
+    return packing.sequences(docs)
+
+
 STAGES = [
     ("quality_classifier", keep_good),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", keep_one_of_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack),
 ]
 
 #: SQL can't express the classifier; tests hold each stage against a brute-force version

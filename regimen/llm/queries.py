@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from regimen.llm import decontaminate, lines, packing, quality
+from regimen.llm import decontaminate, lines, ngrams, packing, quality
 from regimen.llm.frames import id_remainder, table
 
 
@@ -34,11 +34,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, group_id, kept for every document."""
+    return ngrams.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("t")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
 
