@@ -23,8 +23,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier in the corpus, equal or one word apart."""
-    return lines.dedup(docs)
+    """Documents without the lines that stand earlier in the corpus, equal or one word apart; a document that
+    has no other lines goes."""
+    return lines.dedup(docs, drop_emptied=True)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,11 +151,14 @@ def report(docs: DataFrame, min_words: int = 8) -> DataFrame:
                     F.sha2(F.coalesce(numbers, F.lit("")), 256).alias("removed_sha256")))
 
 
-def dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """``docs`` with the lines gone from its text; other columns and texts without such lines stay as they are."""
+def dedup(docs: DataFrame, min_words: int = 8, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the lines gone from its text; other columns and texts without such lines stay as they are.
+    With ``drop_emptied``, rows that lose lines and keep none but blank ones are left out."""
     text = F.col("text").cast("string")
     gone = removed_by_row(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
     left = F.concat_ws("\n", F.filter(F.split(text, "\n"), lambda line, no: ~F.array_contains("__gone", no)))
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (text_key(text) == F.col("__t")), "left")
-    return kept.select(*(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (text_key(text) == F.col("__t")), "left").withColumn("__left", left)
+    if drop_emptied:
+        kept = kept.where(F.col("__gone").isNull() | F.col("__left").rlike("[^\\x20\\x09-\\x0D]"))
+    return kept.select(*(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.col("__left")).alias("text") if c == "text" else F.col(f"`{c}`")
                          for c in docs.columns))
