@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from regimen.llm import decontaminate, lines, ngrams, packing, quality, substrings
+from regimen.llm import decontaminate, lines, ngrams, packing, quality, substrings, suffixes
 from regimen.llm.frames import id_remainder, table
 
 
@@ -39,6 +39,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
+    return suffixes.dedup(table(spark, sf_dir, "documents")).drop("t")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links, group_id, kept for every document."""
     return ngrams.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("t")
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
