@@ -29,3 +29,30 @@ def text_key(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: bits of a bitmap of keys: at least, and at most (16 MiB); beyond that it only filters less
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+_PAGE = 1 << 15
+
+
+def bitmap_of(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(pages of a bitmap of the 64-bit hashes in ``column``, number of bits), with some 16 bits a key."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 16 * keys.count()):
+        bits *= 2
+    place = f"pmod({column}, {bits}L)"
+    pages = (keys.select(F.expr(f"int({place} / {_PAGE})").alias("__page"), F.expr(f"pmod({place}, {_PAGE}L)").alias("at"))
+             .groupBy("__page").agg(F.expr("bitmap_construct_agg(at)").alias("__bitmap")))
+    return stored(pages), bits
+
+
+def maybe_in(rows: DataFrame, column: str, bitmap: tuple[DataFrame, int]) -> DataFrame:
+    """``rows`` whose ``column`` is among the keys of ``bitmap``, and a few others; an exact join has to follow.
+    (An inner one: the optimizer would move a semi join below this filter.)"""
+    pages, bits = bitmap
+    place = f"pmod({column}, {bits}L)"
+    byte = F.conv(F.hex(F.expr(f"substring(__bitmap, int(pmod({place}, {_PAGE}L) / 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr(f"(shiftright(__byte, int(pmod({column}, 8L))) & 1) = 1")
+    return (rows.withColumn("__page", F.expr(f"int({place} / {_PAGE})")).join(F.broadcast(pages), "__page")
+            .withColumn("__byte", byte).where(hit).drop("__page", "__bitmap", "__byte"))

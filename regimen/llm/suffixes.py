@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from regimen.llm import arrays
-from regimen.llm.frames import shuffle_partitions, stored, text_key
+from regimen.llm.frames import bitmap_of, maybe_in, shuffle_partitions, stored, text_key
 
 GRAM = 32
 #: a text is cut into pieces of so many bytes (which overlap by a string less one byte), a shard has about so many
@@ -244,19 +244,6 @@ def _segment_rows(docs: DataFrame, length: int, columns: tuple[str, ...]) -> Dat
     return source.mapInArrow(run, fields + ", bytes binary" * ("bytes" in columns))
 
 
-#: bits of the bitmap of repeated anchors: at least, at most (16 MiB)
-LEAST_BITS, MAX_BITS = 1 << 20, 1 << 27
-_PAGE = 1 << 15
-
-
-def _shared(rows: DataFrame, pages: DataFrame, bits: int) -> DataFrame:
-    """``rows`` whose anchor may be in the bitmap."""
-    place = f"pmod(anchor, {bits}L)"
-    byte = F.conv(F.hex(F.expr(f"substring(bitmap, int(pmod({place}, {_PAGE}L) / 8) + 1, 1)")), 16, 10).cast("int")
-    return (rows.withColumn("page", F.expr(f"int({place} / {_PAGE})")).join(F.broadcast(pages), "page")
-            .withColumn("byte", byte).where(F.expr("shiftright(byte, int(pmod(anchor, 8L))) & 1 = 1")).drop("byte", "bitmap", "page"))
-
-
 def _shard(length: int):
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         """(anchor, whole, spans) of the repeated strings of the segments of a shard."""
@@ -280,14 +267,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, t, spans): byte spans (from, to) of each text that strings of ``length`` bytes found elsewhere cover; spans may overlap."""
     spark = docs.sparkSession
     anchors = _segment_rows(docs, length, ()).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    anchors = stored(anchors)
-    bits = LEAST_BITS
-    while bits < min(MAX_BITS, 16 * anchors.count()):
-        bits *= 2
-    pages = (anchors.select(F.expr(f"int(pmod(anchor, {bits}L) / {_PAGE})").alias("page"), F.expr(f"pmod(pmod(anchor, {bits}L), {_PAGE}L)").alias("at"))
-             .groupBy("page").agg(F.expr("bitmap_construct_agg(at)").alias("bitmap")))
-    pages = stored(pages)
-    distinct = stored(_shared(_segment_rows(docs, length, ("bytes",)), pages, bits).groupBy("anchor", "whole")
+    bitmap = bitmap_of(stored(anchors), "anchor")
+    distinct = stored(maybe_in(_segment_rows(docs, length, ("bytes",)), "anchor", bitmap).groupBy("anchor", "whole")
                       .agg(F.count("*").alias("n"), F.first("bytes").alias("bytes")))
     several = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     volume = distinct.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
@@ -297,7 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     # a segment that occurs once more is repeated as a whole, whatever its shard finds
     lists = distinct.where("n > 1").select("anchor", "whole", F.lit(0).cast("long").alias("low"), (F.length("bytes") - (length - 1)).cast("long").alias("high"))
     lists = lists.unionByName(searched.join(distinct.where("n = 1").select("anchor", "whole"), ["anchor", "whole"]))
-    found = (_shared(_segment_rows(docs, length, ("lo",)), pages, bits).join(lists, ["anchor", "whole"])
+    found = (maybe_in(_segment_rows(docs, length, ("lo",)), "anchor", bitmap).join(lists, ["anchor", "whole"])
              .select("doc_id", "t", F.struct((F.col("lo") + F.col("low")).alias("from"), (F.col("lo") + F.col("high") + (length - 1)).alias("to")).alias("span")))
     return found.groupBy("doc_id", "t").agg(F.collect_list("span").alias("spans"))
 
