@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from regimen.llm import decontaminate, lines, ngrams, packing, quality, substrings, suffixes
+from regimen.llm import decontaminate, language, lines, ngrams, packing, quality, substrings, suffixes
 from regimen.llm.frames import id_remainder, table
 
 
@@ -49,6 +49,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("t")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out")
+    return language.identify(docs).select("doc_id", held_out, "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
 
