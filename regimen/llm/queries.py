@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from regimen.llm import decontaminate, language, lines, ngrams, packing, quality, substrings, suffixes
+from regimen.llm import bitsliced, decontaminate, language, lines, ngrams, packing, quality, substrings, suffixes
 from regimen.llm.frames import id_remainder, table
 
 
@@ -49,6 +49,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("t")
 
 
+def op9_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 best rows of every row whose vec_id is divisible by 50."""
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.pmod("id", F.lit(50)) == 0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_exact_topk_search": op9_exact_topk_search,
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
