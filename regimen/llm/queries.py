@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from regimen.llm import bitsliced, decontaminate, language, lines, ngrams, packing, quality, substrings, suffixes
+from regimen.llm import bitsliced, decontaminate, language, lines, ngrams, packing, pii, quality, substrings, suffixes
 from regimen.llm.frames import id_remainder, table
 
 
+def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (and n_generalised, n_removed) for every document."""
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and n_near_items) for every document."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -62,6 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_sanitisation": op1_pii_sanitisation,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
