@@ -19,26 +19,11 @@ def lower(x) -> Column:
     return F.lower(_c(x))
 
 
-def first_present(*xs) -> Column:
-    """H2: COALESCE."""
-    return F.coalesce(*[_c(x) for x in xs])
-
-
-def trunc_second(ts) -> Column:
-    """H3: date_trunc('seconds', ts); NTZ input is read as UTC (session time zone)."""
-    return F.date_trunc("second", _c(ts).cast("timestamp"))
-
-
 def to_instant(text) -> Column:
     """H4: text -> timestamptz; unparsable text gives NULL."""
     return F.try_to_timestamp(_c(text))
 
 
-def as_of(value: str) -> Column:
-    """H5: NOW() replaced by an explicit instant, so reruns are repeatable."""
-    return F.lit(value).cast("timestamp")
-
-
 def local_date(ts, tz: str = DISPLAY_TZ, fmt: str = DATE_FORMAT) -> Column:
     """H8: instant -> local calendar date text (MM/dd/yyyy); NULL stays NULL."""
     return F.date_format(F.from_utc_timestamp(_c(ts).cast("timestamp"), tz), fmt)

@@ -18,6 +18,10 @@ from regimen.operators.outline import second
 from regimen.sources.tables import Model
 
 
+#: characters of a pattern's literal head that narrow the names it is tried on
+HEAD = 3
+
+
 def _resolve(requests: DataFrame, dim: DataFrame, on: Sequence[str], id_col: str,
              out: str) -> DataFrame:
     """Left join requests to ``dim`` on ``on``; one row per request (min id)."""
@@ -86,44 +90,41 @@ def session_name_exists(m: Model, requests: DataFrame) -> DataFrame:
     return r.withColumn("exists", F.coalesce("exists", F.lit(False))).drop("_l")
 
 
-def custom_exercise_exists(m: Model, requests: DataFrame) -> DataFrame:
-    """(user_id, exercise_name) -> ``exists`` (case-insensitive)."""
-    dim = (m.custom_exercises.select("user_id", F.lower("name").alias("_l")).distinct()
-           .withColumn("exists", F.lit(True)))
-    r = requests.withColumn("_l", F.lower("exercise_name")).join(dim, ["user_id", "_l"], "left")
-    return r.withColumn("exists", F.coalesce("exists", F.lit(False))).drop("_l")
-
-
-def _has_wildcard(c):
-    return F.col(c).contains("%") | F.col(c).contains("_")
-
-
 def routine_name_like(m: Model, requests: DataFrame) -> DataFrame:
     """(request_id, user_id, pattern) -> ``exists`` a created routine of the
     user whose name ILIKE the request's pattern (``%``, ``_`` wildcards, ``\\``
-    escape).
+    escape); a NULL pattern matches nothing.
 
     Patterns without wildcards are an equi-join on the lower-case name;
     prefix patterns (``abc%``) a pair-free successor lookup. Any other
-    wildcard pattern has to be tried against the user's created routines:
-    those pairs are bounded by one user's routine list, never across users.
+    pattern is matched against the names that share its literal head (up to
+    ``HEAD`` characters before the first wildcard or escape) by an equi-join;
+    a pattern without such a head meets the names of its user.
     """
     created = m.setup_routines.filter(F.col("routine_created")).select("user_id", "name")
+    names = created.filter(F.col("name").isNotNull()).select("user_id", F.lower("name").alias("_l")).distinct()
     body = F.expr("substring(pattern, 1, length(pattern) - 1)")
-    is_prefix = (F.col("pattern").endswith("%") & ~body.contains("%") & ~body.contains("_")
-                 & ~F.col("pattern").contains("\\"))
-    plain = requests.filter(~_has_wildcard("pattern"))
-    prefix = requests.filter(_has_wildcard("pattern") & is_prefix)
-    wild = requests.filter(_has_wildcard("pattern") & ~is_prefix)
-    names = created.select("user_id", F.lower("name").alias("_l")).distinct()
+    # an escape before an ordinary character stands for that character; one at the end matches nothing
+    unescaped = F.regexp_replace("pattern", r"(\\[%_\\])|\\([^%_\\])", "$1$2")
+    open_end = F.col("pattern").rlike(r"(^|[^\\])(\\\\)*\\$")
+    kinds = requests.withColumn("_kind", F.when(F.col("pattern").isNull() | open_end, "none")
+                                .when(~F.col("pattern").rlike(r"[%_\\]"), "plain")
+                                .when(F.col("pattern").rlike(r"^[^%_\\]*%$"), "prefix").otherwise("wild"))
+    plain, prefix, wild = (kinds.filter(F.col("_kind") == k) for k in ("plain", "prefix", "wild"))
     a = (plain.withColumn("_l", F.lower("pattern"))
          .join(names.withColumn("_hit", F.lit(True)), ["user_id", "_l"], "left")
          .select("request_id", F.col("_hit").isNotNull().alias("exists")))
     b = _prefix_exists(names, prefix.select("request_id", "user_id", F.lower(body).alias("_p")))
-    c = (wild.join(created, "user_id", "left")
-         .withColumn("_m", F.expr("name ILIKE pattern"))
+    head = F.lower(F.regexp_extract("pattern", r"^[^%_\\]*", 0)).substr(1, HEAD)
+    heads = wild.select("request_id", "user_id", F.lower(unescaped).alias("_pattern"), head.alias("_head"))
+    lengths = F.explode(F.sequence(F.lit(0), F.least(F.length("_l"), F.lit(HEAD))))
+    by_head = names.select("user_id", "_l", lengths.alias("_n")).select("user_id", "_l", F.col("_l").substr(F.lit(1), F.col("_n")).alias("_head"))
+    wanted = heads.select("user_id", "_head").distinct()
+    c = (heads.join(by_head.join(wanted, ["user_id", "_head"], "left_semi"), ["user_id", "_head"], "left")
+         .withColumn("_m", F.expr("_l LIKE _pattern"))
          .groupBy("request_id").agg(F.coalesce(F.max("_m"), F.lit(False)).alias("exists")))
-    return requests.join(a.unionByName(b).unionByName(c), "request_id")
+    hit = a.unionByName(b).unionByName(c)
+    return requests.join(hit, "request_id", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
 def _prefix_exists(names: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regimen.operators.ordinal import HOT_ROWS_CONF, HOT_ROWS_DEFAULT, groups_bounded, hot_rows, ordinal
+from regimen.operators.ordinal import groups_bounded, hot_rows, join_null_safe, largest_group, ordinal, proven_bounded
 from regimen.operators.outline import (day_exercise_rows, days_with_sessions, open_workout_sets,
-                                       session_plan, setup_levels)
+                                       session_plan)
 from regimen.sources.tables import Model
 
 
@@ -54,9 +54,7 @@ def next_by_count(children: DataFrame, parent: str, col: str | None = None,
 def day_session_list(m: Model) -> DataFrame:
     """Each day -> its session names by slot; a day without session -> one NULL name."""
     rows = days_with_sessions(m)
-    slots = (m.setup_days_sessions.groupBy("day_id").agg(F.count(F.lit(1)).alias("n"))
-             .agg(F.max("n")).first()[0])
-    bounded = max(slots or 1, 1) <= hot_rows(m.setup_days.sparkSession)
+    bounded = proven_bounded(rows.sparkSession, m.setup_days_sessions, ["day_id"])
     return (ordinal(rows, ["day_id"], [F.col("session_order").asc_nulls_last(),
                                        F.col("slot_id").asc_nulls_last()], "slot_pos", bounded=bounded)
             .select("routine_id", "day_id", "day_number", "slot_pos", "session_name"))
@@ -66,12 +64,9 @@ def nest_day_sessions(flat: DataFrame) -> DataFrame:
     """Display form of D4: one row per day with ``session_names`` in slot order.
 
     Structs are collected, not names: ``collect_list`` drops NULLs, and a day
-    without a session must show ``[null]``. Refuses a day above the hot-row
-    limit, like ``nest_day_outline``.
+    without a session must show ``[null]``. The flat list is the form for
+    days of any size.
     """
-    limit = int(flat.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
-    if not groups_bounded(flat, ["day_id"], limit=limit):
-        raise ValueError("a day has more rows than one array should hold; use the flat list")
     return (flat.groupBy("routine_id", "day_id", "day_number")
             .agg(F.sort_array(F.collect_list(F.struct("slot_pos", "session_name"))).alias("_s"))
             .select("routine_id", "day_id", "day_number",
@@ -110,10 +105,7 @@ def day_rows_bound(m: Model) -> int:
     """Upper bound of outline rows per day from two base-table aggregates:
     (slots of the largest day) x (exercises of the largest session). Cheaper
     than measuring the joined rows, and a proof for the one-pass plan."""
-    slots = m.setup_days_sessions.groupBy("day_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    ex = (m.setup_session_exercises.groupBy("setup_session_id").agg(F.count(F.lit(1)).alias("n"))
-          .agg(F.max("n")).first()[0])
-    return max(slots or 1, 1) * max(ex or 1, 1)
+    return largest_group((m.setup_days_sessions, ["day_id"]), (m.setup_session_exercises, ["setup_session_id"]))
 
 
 def _day_outline_one_pass(rows: DataFrame) -> DataFrame:
@@ -143,13 +135,10 @@ def nest_day_outline(flat: DataFrame) -> DataFrame:
     """Display form of D5: one row per day, ``sessions: array<struct<name, exercises>>``.
 
     Collects per session and then per day; both are bounded by the plan of one
-    day. Use on a filtered result (one owner's page), not on a fact table. A day
-    above ``spark.regimen.ordinal.hotRows`` rows is refused (keep it flat).
+    day. Use on a filtered result (one owner's page), not on a fact table; the
+    flat outline is the form for days of any size.
     """
-    limit = int(flat.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
-    if not groups_bounded(flat, ["day_id"], limit=limit):
-        raise ValueError("a day has more rows than one array should hold; use the flat outline")
-    per_session =(flat.groupBy("routine_id", "day_id", "day_number", "session_pos", "session_name")
+    per_session = (flat.groupBy("routine_id", "day_id", "day_number", "session_pos", "session_name")
                    .agg(F.sort_array(F.collect_list(F.when(F.col("exercise_pos").isNotNull(),
                         F.struct("exercise_pos", F.col("exercise_name").alias("name")))))
                         .alias("_ex")))
@@ -166,17 +155,19 @@ def nest_day_outline(flat: DataFrame) -> DataFrame:
 # --- D6 / D8: run grouping --------------------------------------------------------------
 
 def runs(df: DataFrame, keys: Sequence[str], run_cols: Sequence[str], order: Sequence,
-         run_name: str = "run_pos", item_name: str = "item_pos") -> DataFrame:
+         run_name: str = "run_pos", item_name: str = "item_pos", bounded: bool | None = None) -> DataFrame:
     """Gaps and islands: a new run starts when any of ``run_cols`` changes
     between adjacent rows (by ``order``) of a ``keys`` group.
 
     No lag and no running sum: with ``pos`` = position in the group and
     ``pos2`` = position among rows with the same run values, ``pos - pos2`` is
     constant exactly along a run. Every step is a skew-safe ``ordinal``, so a
-    hot owner is split. ``run_cols`` must be non-null.
+    hot owner is split. NULL is a value like any other in keys and ``run_cols``.
+    ``bounded``: the caller's proof from base tables; None measures ``df``.
     """
     keys, run_cols = list(keys), list(run_cols)
-    bounded = groups_bounded(df, keys)              # all groups below lie inside a keys group
+    if bounded is None:
+        bounded = groups_bounded(df, keys)          # all groups below lie inside a keys group
     if bounded and hot_rows(df.sparkSession) > 0:
         return _runs_one_pass(df, keys, run_cols, order, run_name, item_name)
     x = ordinal(df, keys, order, "_pos", bounded=bounded)
@@ -184,7 +175,7 @@ def runs(df: DataFrame, keys: Sequence[str], run_cols: Sequence[str], order: Seq
     x = x.withColumn("_island", F.col("_pos") - F.col("_pos2"))
     starts = x.groupBy(*keys, *run_cols, "_island").agg(F.min("_pos").alias("_start"))
     starts = ordinal(starts, keys, ["_start"], run_name, bounded=bounded)
-    return (x.join(starts, keys + run_cols + ["_island"])
+    return (join_null_safe(x, starts, keys + run_cols + ["_island"])
             .withColumn(item_name, (F.col("_pos") - F.col("_start") + 1).cast("int"))
             .drop("_pos", "_pos2", "_island", "_start"))
 
@@ -208,11 +199,8 @@ def _runs_one_pass(df: DataFrame, keys: list[str], run_cols: list[str], order: S
 def nest_session_exercises(flat: DataFrame) -> DataFrame:
     """Display form of D6: one row per (user, session name) with
     ``exercises: array<struct<name, exercise_order, sets: array<struct>>>``.
-    Refuses a group above the hot-row limit (keep it flat)."""
+    The flat rows are the form for sessions of any size."""
     keys = ["user_id", "session_name"]
-    limit = int(flat.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
-    if not groups_bounded(flat, keys, limit=limit):
-        raise ValueError("a session has more rows than one array should hold; use the flat rows")
     sets = (flat.groupBy(*keys, "exercise_pos", "exercise_name", "exercise_order")
             .agg(F.sort_array(F.collect_list(F.struct("set_pos", "cur_set", "reps_goal", "weight",
                                                       "reps_done"))).alias("sets")))
@@ -229,9 +217,12 @@ def open_session_exercises(m: Model) -> DataFrame:
     interleave, with session id and set id as tie-break.
     """
     rows = open_workout_sets(m)
+    bounded = proven_bounded(rows.sparkSession, (m.track_routines.filter("in_progress"), ["user_id"]),
+                             (m.track_sessions, ["track_routine_id"]), (m.track_session_exercises, ["track_session_id"]),
+                             (m.track_exercise_details, ["track_session_exercise_id"]))
     return runs(rows, ["user_id", "session_name"], ["exercise_name", "exercise_order"],
                 ["exercise_order", "cur_set", "session_id", "set_id"],
-                run_name="exercise_pos", item_name="set_pos")
+                run_name="exercise_pos", item_name="set_pos", bounded=bounded)
 
 
 def exercise_first_order(m: Model) -> DataFrame:
@@ -242,11 +233,7 @@ def exercise_first_order(m: Model) -> DataFrame:
 
 def plan_sets_by_order(m: Model) -> DataFrame:
     """Planned sets grouped under their exercise by order number (runs of order)."""
+    bounded = proven_bounded(m.setup_sessions.sparkSession, (m.setup_session_exercises, ["setup_session_id"]),
+                             (m.setup_exercise_details, ["setup_session_exercise_id"]))
     return runs(session_plan(m), ["session_id"], ["order_number"], ["order_number", "set", "set_id"],
-                run_name="exercise_pos", item_name="set_pos")
-
-
-def session_exercise_counts(m: Model) -> DataFrame:
-    """Exercises per session (helper for J9 and the reorder operators)."""
-    lv = setup_levels(m)
-    return lv["exercises"].groupBy("session_id").agg(F.count(F.lit(1)).alias("n_exercises"))
+                run_name="exercise_pos", item_name="set_pos", bounded=bounded)

@@ -23,6 +23,7 @@ row per group shuffled) and
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,15 +56,41 @@ def hot_rows(spark) -> int:
 
 def groups_bounded(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
     """True when no ``keys`` group of ``df`` exceeds what one task should hold:
-    ``limit`` rows, by default max(hotRows, 2 x rows / shuffle partitions)."""
-    row = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .agg(F.max("_n").alias("mx"), F.sum("_n").alias("total")).first())
-    if row is None or row["mx"] is None:
-        return True
+    ``limit`` rows, by default the hot-row limit (absolute: it grows neither
+    with the data nor with the number of partitions)."""
     if limit is None:
-        floor = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
-        limit = max(floor, 2 * row["total"] // max(_partitions(df), 1))
-    return row["mx"] <= limit
+        limit = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
+    return largest_group(df, keys) <= limit
+
+
+def largest_group(*measured) -> int:
+    """Rows of the largest ``keys`` group of ``df``, for arguments ``df, keys``; for
+    several ``(df, keys)`` pairs (levels of a hierarchy, each one narrow scan)
+    the product of their largest groups, which bounds the groups of their
+    join. One job; an empty table counts as 1."""
+    if isinstance(measured[0], DataFrame):
+        measured = [(measured[0], measured[1])]
+    counts = None
+    for k, (df, keys) in enumerate(measured):
+        n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n")
+        counts = n if counts is None else counts.unionByName(n)
+    bound = 1
+    for row in counts.groupBy("k").agg(F.max("n").alias("n")).collect():       # one row per pair
+        bound *= row["n"]
+    return bound
+
+
+def proven_bounded(spark, *measured) -> bool:
+    """Whether base tables prove that every group of their join fits one task."""
+    return largest_group(*measured) <= hot_rows(spark)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL keys match each other, as the groups of a window do."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    joined = left.join(other, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "ordinal",
@@ -72,7 +99,7 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "or
 
     ``order`` (names or sort Columns) must be a total order inside a group
     (add a unique tie-break), otherwise ties get an arbitrary but dense
-    numbering. Key columns must be non-null. ``bounded``: None measures the
+    numbering. A NULL key is a group like any other, in both plans. ``bounded``: None measures the
     groups; True / False is the caller's proven answer (e.g. measured on a
     coarser key). The measurement and the split plan's checkpoint run a job
     when called; the rest stays lazy.
@@ -102,12 +129,12 @@ def _split_ordinal(df: DataFrame, keys: list[str], order_cols: list[Column], nam
     ends = ranged.groupBy(_PID).agg(F.min(F.struct(*keys)).alias("_lo"), F.max(F.struct(*keys)).alias("_hi"))
     edge = (ends.select(F.col("_lo").alias("_k")).unionByName(ends.select(F.col("_hi").alias("_k")))
             .select(*[F.col("_k")[k].alias(k) for k in keys]).distinct())          # <= 2P owners
-    pieces = (ranged.join(F.broadcast(edge), keys, "left_semi")
+    pieces = (join_null_safe(ranged, F.broadcast(edge), keys, "left_semi")
               .groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias(_N)))           # <= 2P rows
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     carry = (pieces.withColumn(_OFF, F.sum(_N).over(before))
              .filter(F.col(_OFF).isNotNull()).select(_PID, *keys, _OFF))
-    return (local.join(F.broadcast(carry), [_PID, *keys], "left")
+    return (join_null_safe(local, F.broadcast(carry), [_PID, *keys], "left")
             .withColumn(name, (F.col(_LRN) + F.coalesce(F.col(_OFF), F.lit(0))).cast("int"))
             .drop(_PID, _LRN, _OFF))
 
@@ -121,15 +148,19 @@ def count_before(left: DataFrame, right: DataFrame, keys: Sequence[str], value:
     A range count without pairs: left and right rows are numbered together
     and left rows alone; the difference of the two positions is the count of
     right rows in front. Both steps are ``ordinal``, so hot groups split.
-    ``left_id`` must be unique inside a group.
+    ``left_id`` must be unique inside a group. Left rows travel as a struct, so
+    they are not joined back; NULL keys are a group, a NULL value counts 0 on
+    the left and is not counted on the right.
     """
     keys = list(keys)
     kind = 1 if inclusive else 0          # left sorts after (inclusive) or before equal rights
-    lsel = left.select(*keys, F.col(value).alias("_v"), F.lit(kind).alias("_k"),
-                       F.col(left_id).cast("string").alias("_id"))
-    rsel = right.select(*keys, F.col(value).alias("_v"), F.lit(1 - kind).alias("_k"),
-                        F.lit(None).cast("string").alias("_id"))
+    lsel = left.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), F.lit(kind).alias("_k"),
+                       F.col(left_id).cast("string").alias("_id"), F.struct(*left.columns).alias("_row"))
+    rsel = right.filter(F.col(value).isNotNull()).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), F.lit(1 - kind).alias("_k"),
+        F.lit(None).cast("string").alias("_id"), F.lit(None).cast(lsel.schema["_row"].dataType).alias("_row"))
     both = lsel.unionByName(rsel)
+    keys = [f"_k_{k}" for k in keys]
     forced = both.sparkSession.conf.get(STRATEGY_CONF, "auto")
     if forced != "auto":
         bounded = forced == "window"
@@ -139,14 +170,10 @@ def count_before(left: DataFrame, right: DataFrame, keys: Sequence[str], value:
         # one running sum of right rows in (value, kind) order: one exchange, one window
         run = Window.partitionBy(*keys).orderBy("_v", "_k", "_id").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
-        counts = (both.withColumn(name, F.sum(1 - F.col("_k") if kind == 1 else F.col("_k")).over(run))
-                  .filter(F.col("_k") == kind)
-                  .select(*keys, F.col("_id").alias("_lid"), F.col(name).cast("long").alias(name)))
-        return (left.withColumn("_lid", F.col(left_id).cast("string"))
-                .join(counts, keys + ["_lid"]).drop("_lid"))
-    both = ordinal(both, keys, ["_v", "_k", "_id"], "_p", bounded=bounded)
-    mine = ordinal(both.filter(F.col("_k") == kind), keys, ["_v", "_id"], "_q", bounded=bounded)
-    counts = mine.select(*keys, F.col("_id").alias("_lid"),
-                         (F.col("_p") - F.col("_q")).cast("long").alias(name))
-    return (left.withColumn("_lid", F.col(left_id).cast("string"))
-            .join(counts, keys + ["_lid"]).drop("_lid"))
+        is_right = F.when(F.col("_k") == 1 - kind, 1).otherwise(0)
+        counted = both.withColumn("_n", F.sum(is_right).over(run)).filter(F.col("_k") == kind)
+    else:
+        both = ordinal(both, keys, ["_v", "_k", "_id"], "_p", bounded=bounded)
+        counted = (ordinal(both.filter(F.col("_k") == kind), keys, ["_v", "_id"], "_q", bounded=bounded)
+                   .withColumn("_n", F.col("_p") - F.col("_q")))
+    return counted.select("_row.*", F.col("_n").cast("long").alias(name))

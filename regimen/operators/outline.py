@@ -149,14 +149,14 @@ def slot_sessions(m: Model) -> DataFrame:
 def active_slots(m: Model) -> DataFrame:
     """C11 (positive side): (routine, day, slot) having an exercise with order 1.
 
-    A slot is a rest slot when it is absent here; distinct via a semi join so
-    the result has at most one row per slot.
+    A slot is a rest slot when it is absent here. The semi join and the unique
+    keys (routine, day number) and (day, slot) leave one row per slot.
     """
     lv = setup_levels(m)
     first = lv["exercises"].filter(F.col("exercise_order") == 1).select("session_id")
     return (lv["slots"].join(first, "session_id", "left_semi")
             .join(lv["days"], "day_id")
-            .select("routine_id", "day_number", "session_order").distinct())
+            .select("routine_id", "day_number", "session_order"))
 
 
 def rest_flags(m: Model, cursors: DataFrame) -> DataFrame:
@@ -237,16 +237,16 @@ def workout_details(m: Model, requests: DataFrame) -> DataFrame:
     day_number, session_name. The date matches at second precision (B16).
     """
     lv = track_levels(m)
+    # from the requests down: a request for one workout never joins the rest of the log
     req = requests.withColumn("_sec", second(F.col("completion_date"))).drop("completion_date")
-    logged = (lv["routines"].select("routine_id", "user_id", "routine_name",
-                                    second(F.col("completion_date")).alias("_sec"))
-              .join(lv["days"], "routine_id")
-              .join(lv["slots"], "day_id")
-              .join(lv["sessions"].select("session_id", "session_name"), "session_id")
-              .join(lv["exercises"], "session_id")
-              .join(lv["sets"], "sse_id")
-              .join(custom_names(m), "custom_exercise_id"))
-    return (req.join(logged, ["user_id", "routine_name", "_sec", "day_number", "session_name"])
+    workouts = lv["routines"].select("routine_id", "user_id", "routine_name", second(F.col("completion_date")).alias("_sec"))
+    return (req.join(workouts, ["user_id", "routine_name", "_sec"])
+            .join(lv["days"], ["routine_id", "day_number"])
+            .join(lv["slots"], "day_id")
+            .join(lv["sessions"].select("session_id", "session_name"), ["session_id", "session_name"])
+            .join(lv["exercises"], "session_id")
+            .join(lv["sets"], "sse_id")
+            .join(custom_names(m), "custom_exercise_id")
             .select("request_id", "user_id", "routine_id", "session_id", "session_name", "sse_id",
                     "set_id", "exercise_name", "exercise_order", "cur_set", "reps_goal", "weight",
                     "reps_done", "exercise_comment"))

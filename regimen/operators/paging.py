@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimen.operators.nesting import count_days
-from regimen.operators.ordinal import ordinal
+from regimen.operators.ordinal import ordinal, proven_bounded
 from regimen.operators.outline import completed_workouts, days_with_sessions
 from regimen.sources.schema import DAYS_PER_PAGE, RECORDS_PER_PAGE
 from regimen.sources.tables import Model
@@ -21,18 +21,13 @@ def page_of(pos: Column, size: int) -> Column:
     return (F.floor((pos - 1) / size) + 1).cast("int")
 
 
-def sort_nulls_like_postgres(df: DataFrame, *cols: tuple[str, bool]) -> DataFrame:
-    """ORDER BY with PostgreSQL NULL placement (last on ASC, first on DESC)."""
-    return df.orderBy(*[F.col(c).desc_nulls_first() if desc else F.col(c).asc_nulls_last()
-                        for c, desc in cols])
-
-
 def slot_row_pages(m: Model, size: int = DAYS_PER_PAGE) -> DataFrame:
     """LIMIT/OFFSET pages of (day, session) rows per routine: a day with two
     sessions takes two places."""
     rows = days_with_sessions(m)
+    bounded = proven_bounded(rows.sparkSession, (m.setup_days, ["setup_routine_id"]), (m.setup_days_sessions, ["day_id"]))
     rows = ordinal(rows, ["routine_id"], ["day_number", F.col("session_order").asc_nulls_last(),
-                                          F.col("slot_id").asc_nulls_last()], "row_pos")
+                                          F.col("slot_id").asc_nulls_last()], "row_pos", bounded=bounded)
     return rows.withColumn("page", page_of(F.col("row_pos"), size))
 
 
@@ -48,8 +43,10 @@ def record_pages(m: Model, size: int = RECORDS_PER_PAGE) -> DataFrame:
     """completed workouts per user, newest first (NULL dates first, as
     PostgreSQL's DESC), with routine id, day and session as tie-break."""
     recs = completed_workouts(m)
+    bounded = proven_bounded(recs.sparkSession, (m.track_routines.filter("NOT in_progress"), ["user_id"]),
+                             (m.track_days, ["track_routine_id"]), (m.track_days_sessions, ["day_id"]))
     recs = ordinal(recs, ["user_id"], [F.col("completion_date").desc_nulls_first(), "routine_id",
-                                       "day_number", "session_name"], "record_pos")
+                                       "day_number", "session_name"], "record_pos", bounded=bounded)
     return recs.withColumn("page", page_of(F.col("record_pos"), size))
 
 

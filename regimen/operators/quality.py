@@ -7,12 +7,14 @@ of independent jobs (each a filter, a grouped count or an anti join).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regimen.functions.scalar import js_trim, to_int
+from regimen.functions.scalar import js_trim, to_int, to_weight
+from regimen.operators.setops import union_all
 from regimen.sources import schema as S
 from regimen.sources.tables import Model
 
@@ -28,21 +30,39 @@ def _report(df: DataFrame, rule: str, table: str, key: Column, detail: Column) -
                      detail.cast("string").alias("detail"))
 
 
-def duplicate_keys(df: DataFrame, cols: Sequence[str], table: str = "",
-                   rule: str = "unique") -> DataFrame:
+def repeated_keys(df: DataFrame, keys: Sequence[tuple[str, Sequence[Column], Sequence[Column]]], table: str = "") -> DataFrame:
+    """J1/J2 for several keys of a table in one pass: ``keys`` are (rule, columns, the
+    columns that must be present: a NULL among them never collides).
+
+    Every row yields one entry per key; entries are counted together, pre-aggregated
+    per task."""
+    entries = F.filter(F.array(*[
+        F.when(functools.reduce(lambda x, y: x & y, [c.isNotNull() for c in needed]),
+               F.struct(F.lit(k).alias("k"), F.lit(rule).alias("rule"), F.array(*[c.cast("string") for c in cols]).alias("parts")))
+        for k, (rule, cols, needed) in enumerate(keys)]), lambda x: x.isNotNull())
+    found = df.select(F.explode(entries).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return found.select(F.col("x.rule").alias("rule"), F.lit(table).alias("table"), F.concat_ws("|", "x.parts").alias("key"),
+                        F.col("_n").cast("string").alias("detail"))
+
+
+def duplicate_keys(df: DataFrame, cols: Sequence[str], table: str = "", rule: str = "unique") -> DataFrame:
     """Key values held by more than one row; a NULL part never collides."""
-    cols = list(cols)
-    present = df.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)))
-    dup = present.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return _report(dup, rule, table, _key(cols), F.col("_n"))
+    return repeated_keys(df, [(rule, [F.col(c) for c in cols], [F.col(c) for c in cols])], table)
 
 
 def duplicate_lower_names(df: DataFrame, owner: str | None, name: str, table: str = "") -> DataFrame:
     """(owner, LOWER(name)) held by more than one row; NULL names are free."""
-    keys = ([owner] if owner else []) + ["_lname"]
-    x = df.filter(F.col(name).isNotNull()).withColumn("_lname", F.lower(name))
-    dup = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return _report(dup, "unique_lower", table, _key(keys), F.col("_n"))
+    return repeated_keys(df, [("unique_lower", [*([F.col(owner)] if owner else []), F.lower(name)], [F.col(name)])], table)
+
+
+def unique_keys(m: Model) -> DataFrame:
+    """J1 over all tables: primary and unique keys, one pass per table."""
+    by_table: dict[str, list] = {}
+    for t, cols in S.PRIMARY_KEYS.items():
+        by_table.setdefault(t, []).append(("primary_key", *[[F.col(c) for c in cols]] * 2))
+    for t, cols in S.UNIQUE:
+        by_table.setdefault(t, []).append(("unique", *[[F.col(c) for c in cols]] * 2))
+    return union_all(*[repeated_keys(m[t], keys, t) for t, keys in by_table.items()])
 
 
 def dangling_references(child: DataFrame, col: str, parent: DataFrame, parent_col: str,
@@ -54,65 +74,67 @@ def dangling_references(child: DataFrame, col: str, parent: DataFrame, parent_co
 
 
 def all_dangling_references(m: Model) -> DataFrame:
-    """J3 for every declared foreign key, one anti join per *parent* table: the
+    """J3 for every declared foreign key, one join per *parent* table: the
     references of all children of a parent are unioned (cast to the parent's
-    key type) and checked against one distinct scan of the parent keys."""
+    key type), counted by (table, column, value) before the shuffle, and only
+    the counts meet the parent keys. One row per dangling child row."""
     by_parent: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for t, col, pt, pcol, _ in S.FOREIGN_KEYS:
         by_parent.setdefault((pt, pcol), []).append((t, col))
     parts = []
     for (pt, pcol), children in by_parent.items():
         key_type = m[pt].schema[pcol].dataType
-        refs = None
-        for t, col in children:
-            r = (m[t].filter(F.col(col).isNotNull())
-                 .select(F.lit(t).alias("table"), F.lit(col).alias("detail"),
-                         F.col(col).cast(key_type).alias("_ref")))
-            refs = r if refs is None else refs.unionByName(r)
+        refs = union_all(*[m[t].filter(F.col(col).isNotNull())
+                           .select(F.lit(t).alias("table"), F.lit(col).alias("detail"), F.col(col).cast(key_type).alias("_ref"))
+                           for t, col in children])
+        refs = refs.groupBy("table", "detail", "_ref").agg(F.count(F.lit(1)).alias("_n"))
         p = m[pt].select(F.col(pcol).alias("_ref")).distinct().withColumn("_found", F.lit(True))
         # a left join + IS NULL stays one join per parent (an anti join would be
         # pushed into every branch of the union, re-joining the parent per rule)
         miss = refs.join(p, "_ref", "left").filter(F.col("_found").isNull())
-        parts.append(miss.select(F.lit("foreign_key").alias("rule"), "table",
-                                 F.col("_ref").cast("string").alias("key"), "detail"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(miss.select(F.lit("foreign_key").alias("rule"), "table", F.col("_ref").cast("string").alias("key"), "detail",
+                                 F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i")).drop("_i"))
+    return union_all(*parts)
+
+
+def row_rules(df: DataFrame, checks: Sequence[tuple] = (), not_null: Sequence[str] = (), table: str = "") -> DataFrame:
+    """J4 and J5 of a table in one scan: ``checks`` are (column, operator, bound), where
+    NULL passes; ``not_null`` columns are reported with the row's id as key."""
+    row_id = F.col("id").cast("string") if "id" in df.columns else F.lit(None).cast("string")
+
+    def entry(bad: Column, rule: str, key: Column, detail: str) -> Column:
+        return F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(table).alias("table"), key.alias("key"), F.lit(detail).alias("detail")))
+
+    found = [entry(~F.expr(f"`{c}` {op} {bound}"), "check", F.col(c).cast("string"), f"{c} {op} {bound}") for c, op, bound in checks]
+    found += [entry(F.col(c).isNull(), "not_null", row_id, c) for c in not_null]
+    return df.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("x.*")
 
 
 def failed_checks(df: DataFrame, col: str, op: str, bound, table: str = "") -> DataFrame:
     """CHECK (col op bound) is false; NULL passes."""
-    cond = F.expr(f"`{col}` {op} {bound}")
-    bad = df.filter(~cond)
-    return _report(bad, "check", table, F.col(col).cast("string"), F.lit(f"{col} {op} {bound}"))
+    return row_rules(df, checks=[(col, op, bound)], table=table)
 
 
 def null_values(df: DataFrame, col: str, table: str = "") -> DataFrame:
     """NOT NULL columns holding NULL (key: the row's id when present)."""
-    key = F.col("id").cast("string") if "id" in df.columns else F.lit(None).cast("string")
-    return _report(df.filter(F.col(col).isNull()), "not_null", table, key, F.lit(col))
+    return row_rules(df, not_null=[col], table=table)
+
+
+def row_violations(m: Model, rules: str = "check,not_null") -> DataFrame:
+    """J4 and J5 over all tables, one scan per table."""
+    parts = []
+    for t in S.TABLES:
+        checks = [(c, op, bound) for u, c, op, bound in S.CHECKS if u == t and "check" in rules.split(",")]
+        not_null = [c for u, c in S.NOT_NULL if u == t and "not_null" in rules.split(",")]
+        if checks or not_null:
+            parts.append(row_rules(m[t], checks, not_null, t))
+    return union_all(*parts)
 
 
 def model_violations(m: Model) -> DataFrame:
     """J1-J5 over all tables, from the rules declared in ``schema``."""
-    parts = []
-    for t, cols in S.PRIMARY_KEYS.items():
-        parts.append(duplicate_keys(m[t], cols, t, "primary_key"))
-    for t, cols in S.UNIQUE:
-        parts.append(duplicate_keys(m[t], cols, t))
-    for t, owner, name in S.UNIQUE_LOWER:
-        parts.append(duplicate_lower_names(m[t], owner, name, t))
-    for t, col, pt, pcol, _ in S.FOREIGN_KEYS:
-        parts.append(dangling_references(m[t], col, m[pt], pcol, t))
-    for t, col, op, bound in S.CHECKS:
-        parts.append(failed_checks(m[t], col, op, bound, t))
-    for t, col in S.NOT_NULL:
-        parts.append(null_values(m[t], col, t))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    lower = [duplicate_lower_names(m[t], owner, name, t) for t, owner, name in S.UNIQUE_LOWER]
+    return union_all(unique_keys(m), *lower, all_dangling_references(m), row_violations(m))
 
 
 # --- input rules (J6-J8, J11-J14) -----------------------------------------------------
@@ -122,16 +144,16 @@ def weight_problem(text: Column) -> Column:
     t = js_trim(text.cast("string"))
     num = F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), t.try_cast("double"))
     dec = t.try_cast("decimal(6,2)")
-    return (F.when(num.isNull() | (num < 0), F.lit("weight must be a non-negative number"))
-            .when((num * 2) != F.floor(num * 2), F.lit("weight must be in increments of 0.5"))
-            .when(dec.isNull(), F.lit("weight out of range")))
+    return (F.when(num.isNull() | (num < 0), F.lit("weight:not_a_number"))
+            .when((num * 2) != F.floor(num * 2), F.lit("weight:not_a_half_step"))
+            .when(dec.isNull(), F.lit("weight:out_of_range")))
 
 
 def reps_problem(text: Column, minimum: int = 0) -> Column:
     """Reps done: integer >= 0; rep goal (``minimum=1``): integer >= 1."""
     n = to_int(text.cast("string"))
     return F.when(n.isNull() | (n < minimum),
-                  F.lit(f"reps must be a whole number >= {minimum}"))
+                  F.lit(f"reps:not_an_integer_from_{minimum}"))
 
 
 def name_problem(name: Column, max_len: int | None = None) -> Column:
@@ -171,10 +193,18 @@ def set_log_problem(weight: Column, reps: Column) -> Column:
     w = js_trim(weight.cast("string"))
     r = js_trim(reps.cast("string"))
     missing = w.isNull() | (w == "") | r.isNull() | (r == "")
-    return F.when(missing, F.lit("weight and reps are both required")) \
+    return F.when(missing, F.lit("set:incomplete")) \
         .otherwise(F.coalesce(weight_problem(weight), reps_problem(reps, 0)))
 
 
+def validated_set_log(events: DataFrame) -> DataFrame:
+    """J6/J7/J12 on set logs (weight_text, reps_text): ``problem`` (NULL: accepted) and,
+    for accepted ones, typed ``weight`` and ``reps_done``."""
+    e = events.withColumn("problem", set_log_problem(F.col("weight_text"), F.col("reps_text")))
+    return (e.withColumn("weight", F.when(F.col("problem").isNull(), to_weight(F.col("weight_text"))))
+            .withColumn("reps_done", F.when(F.col("problem").isNull(), to_int(F.col("reps_text")))))
+
+
 def exercise_choice_problem(m: Model, requests: DataFrame) -> DataFrame:
     """Requests (request_id, user_id, exercise_name): the choice must be
     non-empty and name one of the user's exercises (exact name, as B5)."""

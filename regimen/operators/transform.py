@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from regimen.functions.keys import det_id
 from regimen.operators.nesting import count_days
-from regimen.operators.ordinal import count_before, groups_bounded, hot_rows, ordinal
+from regimen.operators.ordinal import count_before, groups_bounded, hot_rows, largest_group, ordinal
 from regimen.operators.outline import active_slots, setup_levels, slot_sessions, track_levels
 from regimen.session import checkpoint_dir
+from regimen.sources import schema as S
 from regimen.sources.tables import Model
 
 TRACK_TABLES = ("track_routines", "track_days", "track_sessions", "track_days_sessions",
@@ -79,8 +80,10 @@ def next_training_day(m: Model) -> DataFrame:
     reach = (act.join(n, "routine_id").filter(F.col("day_number") <= F.col("total_days"))
              .drop("total_days"))
     keys = ["routine_id", "session_order"]
-    bounded = groups_bounded(cur.select(*keys).unionByName(act.select(*keys)), keys)
-    if bounded and hot_rows(m.setup_days.sparkSession) > 0:
+    # cursors on a routine and days of it, both counted on their base tables
+    bounded = (largest_group(m.users_current_details.filter("current_routine_id IS NOT NULL"), ["current_routine_id"])
+               + largest_group(m.setup_days, ["setup_routine_id"])) <= hot_rows(m.setup_days.sparkSession)
+    if bounded:
         return _next_day_windows(cur, act, n, keys)
     reach = ordinal(reach, keys, ["day_number"], "_a", bounded=bounded)
     before = count_before(cur.filter(F.col("day_number").isNotNull()), reach, keys,
@@ -329,6 +332,29 @@ def add_logged_sets(m: Model, requests: DataFrame, run: str) -> DataFrame:
                          _lit_null("int").alias("myo_order"), _lit_null("string").alias("setup_id"))
 
 
+def add_planned_sets(m: Model, requests: DataFrame, run: str) -> DataFrame:
+    """I4 (plan): a new set at ``COALESCE(MAX(cur_set), 0) + 1`` of a planned exercise."""
+    placed = append_children(m.setup_exercise_details, "setup_session_exercise_id", "cur_set", requests)
+    return placed.select(det_id(run, "set", "request_id").alias("id"), "setup_session_exercise_id",
+                         _lit_null("decimal(6,2)").alias("weight"), "cur_set", _lit_null("int").alias("reps_goal"),
+                         _lit_null("int").alias("myo_order"))
+
+
+def add_logged_exercises(m: Model, requests: DataFrame, run: str) -> dict[str, DataFrame]:
+    """I4 (log): append exercises to an open workout's session at ``COUNT + 1``, with their first set.
+
+    ``requests``: request_id, seq, track_session_id, custom_exercise_id."""
+    placed = append_children(m.track_session_exercises, "track_session_id", "exercise_order", requests, base="count")
+    exercise = det_id(run, "exercise", "request_id")
+    rows = placed.select(exercise.alias("id"), "track_session_id", _lit_null("long").alias("exercise_id"),
+                         "custom_exercise_id", "exercise_order", _lit_null("string").alias("exercise_comment"),
+                         _lit_null("string").alias("setup_id"))
+    first = placed.select(det_id(run, "set", "request_id").alias("id"), exercise.alias("track_session_exercise_id"),
+                          _lit_null("decimal(6,2)").alias("weight"), F.lit(1).alias("cur_set"), _lit_null("int").alias("reps_goal"),
+                          _lit_null("int").alias("reps_done"), _lit_null("int").alias("myo_order"), _lit_null("string").alias("setup_id"))
+    return dict(track_session_exercises=rows, track_exercise_details=first)
+
+
 def delete_and_shift(children: DataFrame, parent: str, ordinal_col: str,
                      deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Delete the n-th children and close the gaps.
@@ -337,13 +363,33 @@ def delete_and_shift(children: DataFrame, parent: str, ordinal_col: str,
     new ordinal = old - (number of deletes of the parent below it); only
     deletes that hit a row count. Returns (kept rows renumbered, deleted rows).
     """
-    hits = (deletes.select(parent, ordinal_col).distinct()
-            .join(children.select(parent, ordinal_col), [parent, ordinal_col], "left_semi"))
+    hits = deletes.select(parent, ordinal_col).dropna().distinct()
+    if 2 * largest_group(children, [parent]) <= hot_rows(children.sparkSession):
+        return _delete_frame(children, parent, ordinal_col, hits)
+    hits = hits.join(children.select(parent, ordinal_col), [parent, ordinal_col], "left_semi")
     removed = children.join(hits, [parent, ordinal_col], "left_semi")
     kept = children.join(hits, [parent, ordinal_col], "left_anti")
-    counted = count_before(kept, hits, [parent], ordinal_col, "id", "_below")
+    counted = count_before(kept, hits, [parent], ordinal_col, "id", "_below", bounded=False)
     kept = counted.withColumn(ordinal_col, (F.col(ordinal_col) - F.col("_below")).cast("int")).drop("_below")
-    return kept.select(*children.columns), removed
+    return kept.select(*children.columns), removed.select(*children.columns)
+
+
+def _delete_frame(children: DataFrame, parent: str, ordinal_col: str, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """I5 when every parent fits one task: children (as structs) and deletes in one
+    frame, one hash exchange on the parent, a running count of the deletes below."""
+    kids = children.select(F.col(parent).alias("_p"), F.col(ordinal_col).alias("_o"), F.lit(0).alias("_k"),
+                           F.struct(*children.columns).alias("_row"))
+    cuts = hits.select(F.col(parent).alias("_p"), F.col(ordinal_col).alias("_o"), F.lit(1).alias("_k"),
+                       F.lit(None).cast(kids.schema["_row"].dataType).alias("_row"))
+    here = Window.partitionBy("_p", "_o")
+    below = Window.partitionBy("_p").orderBy("_o", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    x = (kids.unionByName(cuts).repartition("_p")
+         .withColumn("_cut", F.max("_k").over(here) == 1)
+         .withColumn("_hit", F.when((F.col("_k") == 1) & (F.min("_k").over(here) == 0), 1).otherwise(0))
+         .withColumn("_below", F.coalesce(F.sum("_hit").over(below), F.lit(0))).filter("_k = 0"))
+    shifted = (F.col(f"_row.{ordinal_col}") - F.col("_below")).cast("int").alias(ordinal_col)
+    kept = x.filter(~F.col("_cut")).select(*[shifted if c == ordinal_col else F.col(f"_row.{c}").alias(c) for c in children.columns])
+    return kept, x.filter("_cut").select("_row.*")
 
 
 def delete_days(m: Model, deletes: DataFrame) -> dict[str, DataFrame]:
@@ -494,9 +540,9 @@ def assign_sessions(m: Model, requests: DataFrame, run: str) -> tuple[DataFrame,
     r = r.withColumn("reason", reason)
     rejected = r.filter(F.col("reason").isNotNull()).select("request_id", "reason")
     ok = r.filter(F.col("reason").isNull())
-    # last request per (day, slot) wins
-    last = ok.groupBy("day_id", "slot").agg(F.max("seq").alias("seq"))
-    ok = ok.join(last, ["day_id", "slot", "seq"], "left_semi")
+    # last request per (day, slot) wins; equal seq: the larger request id
+    ok = (ok.groupBy("day_id", "slot").agg(F.max_by(F.struct("request_id", "seq", "session_id"), F.struct("seq", "request_id")).alias("v"))
+          .select("day_id", "slot", "v.*"))
     slots = m.setup_days_sessions
     upd = ok.select("day_id", F.col("slot").alias("session_order"), F.col("session_id").alias("_new"))
     updated = (slots.join(upd, ["day_id", "session_order"], "left")
@@ -704,33 +750,47 @@ def delete_routines(m: Model, routine_ids: DataFrame) -> tuple[dict[str, DataFra
 
 # --- I18 / I19 / I20: names and creation ------------------------------------------------
 
-def rename_sessions(m: Model, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests (request_id, seq, session_id, new_name). A rename applies if
-    the name passes J8 and no *other* session of the routine has the same
-    lower-case name (a case-only change of the row itself is allowed); of
-    several renames of one session the last ``seq`` wins, and two sessions of
-    one routine may not take the same new name in one batch (both refused).
-    Returns (new setup_sessions, rejected requests with reason)."""
+def rename(existing: DataFrame, owner: str, requests: DataFrame, others: DataFrame | None = None,
+           max_len: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requests (request_id, seq, id, new_name) rename rows of ``existing``
+    (id, ``owner``, name). Names are trimmed first. A rename applies if the
+    name passes J8 and no *other* row of ``others`` (default: all rows) of the
+    owner has the same lower-case name (a case-only change of the row itself is
+    allowed); of several renames of one row the last (seq, request_id) wins, and
+    two rows of one owner may not take the same new name in one batch (both
+    refused). Returns (new rows, rejected requests with reason)."""
+    from regimen.functions.scalar import js_trim
     from regimen.operators.quality import name_problem
-    ss = m.setup_sessions
-    last = (requests.groupBy("session_id").agg(F.max_by(F.struct("request_id", "new_name"), "seq")
-                                               .alias("_r"))
-            .select("session_id", "_r.request_id", "_r.new_name"))
-    r = last.join(ss.select(F.col("id").alias("session_id"), "setup_routine_id"), "session_id")
-    r = r.withColumn("_lname", F.lower("new_name")).withColumn("reason", name_problem(F.col("new_name")))
-    others = ss.select(F.col("id").alias("_other"), "setup_routine_id", F.lower("name").alias("_lname"))
-    clash = (r.join(others, ["setup_routine_id", "_lname"])
-             .filter(F.col("_other") != F.col("session_id"))
+    last = (requests.withColumn("new_name", js_trim("new_name")).groupBy("id")
+            .agg(F.max_by(F.struct("request_id", "new_name"), F.struct("seq", "request_id")).alias("_r"))
+            .select("id", "_r.request_id", "_r.new_name"))
+    r = last.join(existing.select("id", owner), "id")
+    r = r.withColumn("_lname", F.lower("new_name")).withColumn("reason", name_problem(F.col("new_name"), max_len))
+    taken = (existing if others is None else others).select(F.col("id").alias("_other"), owner, F.lower(js_trim("name")).alias("_lname"))
+    clash = (r.join(taken, [owner, "_lname"]).filter(F.col("_other") != F.col("id"))
              .select("request_id").distinct().withColumn("_clash", F.lit(True)))
-    twice = (r.groupBy("setup_routine_id", "_lname").agg(F.count(F.lit(1)).alias("_n"))
+    twice = (r.groupBy(owner, "_lname").agg(F.count(F.lit(1)).alias("_n"))
              .filter("_n > 1").drop("_n").withColumn("_twice", F.lit(True)))
-    r = (r.join(clash, "request_id", "left").join(twice, ["setup_routine_id", "_lname"], "left")
+    r = (r.join(clash, "request_id", "left").join(twice, [owner, "_lname"], "left")
          .withColumn("reason", F.coalesce("reason", F.when(F.col("_clash"), "name already used")
                                           .when(F.col("_twice"), "name requested twice"))))
-    ok = r.filter(F.col("reason").isNull()).select(F.col("session_id").alias("id"),
-                                                   F.col("new_name").alias("_new"))
-    new_ss = ss.join(ok, "id", "left").withColumn("name", F.coalesce("_new", "name")).select(*ss.columns)
-    return new_ss, r.filter(F.col("reason").isNotNull()).select("request_id", "session_id", "reason")
+    ok = r.filter(F.col("reason").isNull()).select("id", F.col("new_name").alias("_new"))
+    renamed = existing.join(ok, "id", "left").withColumn("name", F.coalesce("_new", "name")).select(*existing.columns)
+    return renamed, r.filter(F.col("reason").isNotNull()).select("request_id", "id", "reason")
+
+
+def rename_sessions(m: Model, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """I18 for sessions: requests (request_id, seq, session_id, new_name); names are unique per routine."""
+    new, bad = rename(m.setup_sessions, "setup_routine_id", requests.withColumnRenamed("session_id", "id"))
+    return new, bad.withColumnRenamed("id", "session_id")
+
+
+def rename_routines(m: Model, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """I18 for routines: requests (request_id, seq, routine_id, new_name); 1 to 100
+    characters, unique among the user's *created* routines."""
+    new, bad = rename(m.setup_routines, "user_id", requests.withColumnRenamed("routine_id", "id"),
+                      others=m.setup_routines.filter("routine_created"), max_len=S.ROUTINE_NAME_MAX)
+    return new, bad.withColumnRenamed("id", "routine_id")
 
 
 def create_named(existing: DataFrame, owner: str, requests: DataFrame, run: str, entity: str,
@@ -756,10 +816,34 @@ def create_named(existing: DataFrame, owner: str, requests: DataFrame, run: str,
     return new_rows, r.filter(F.col("reason").isNotNull()).select("request_id", owner, "name", "reason")
 
 
+def create_sessions_on_days(m: Model, requests: DataFrame, run: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Requests (request_id, seq, setup_routine_id, day_number, slot, name) create a
+    session and place it on a day in one step. The session obeys ``create_named``; an
+    unknown day refuses the request; the slot number is taken as given.
+    Returns (new setup_sessions and setup_days_sessions rows, rejects)."""
+    days = m.setup_days.select("setup_routine_id", "day_number", F.col("id").alias("day_id"))
+    placed = requests.join(days, ["setup_routine_id", "day_number"], "left")
+    known = placed.filter(F.col("day_id").isNotNull())
+    sessions, bad = create_named(m.setup_sessions, "setup_routine_id", known.select("request_id", "seq", "setup_routine_id", "name"),
+                                 run, "session")
+    slots = (known.select(det_id(run, "session", "request_id").alias("session_id"), "request_id", "day_id", "slot")
+             .join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+             .select(det_id(run, "slot", "request_id").alias("id"), "day_id", "session_id", F.col("slot").cast("int").alias("session_order")))
+    rejects = bad.select("request_id", "reason").unionByName(
+        placed.filter(F.col("day_id").isNull()).select("request_id", F.lit("unknown day").alias("reason")))
+    return dict(setup_sessions=sessions, setup_days_sessions=slots), rejects
+
+
+def new_drafts(resolved: DataFrame) -> DataFrame:
+    """The draft rows of ``setup_routines`` that ``resolve_drafts`` created (no name, flags at their defaults)."""
+    return resolved.filter("created").select(F.col("routine_id").alias("id"), _lit_null("string").alias("name"), "user_id",
+                                             F.lit(False).alias("routine_created"), F.lit(False).alias("routine_edit_in_progress"))
+
+
 def resolve_drafts(m: Model, users: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
     """Each requesting user's open draft (routine_created = false), else a
-    new draft routine. Returns (user_id -> routine_id with ``created`` flag,
-    users with more than one draft (J11), who get none)."""
+    new draft routine (its row: ``new_drafts``). Returns (user_id -> routine_id
+    with ``created`` flag, users with more than one draft (J11), who get none)."""
     drafts = m.setup_routines.filter(~F.col("routine_created"))
     per_user = drafts.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
                                             F.min("id").alias("draft_id"))

@@ -78,8 +78,7 @@ def a4_versioned_write(spark, sf):
     m = from_driver(spark, sf)
     new = I.delete_days(m, R.delete_day_requests(m))
     store = TableStore(spark, f"{checkpoint_dir(spark)}/regimen-a4/{uuid.uuid4().hex}")
-    store.commit({"setup_days": new["setup_days"]})
-    store.commit({"setup_days_sessions": new["setup_days_sessions"]})
+    store.commit(new)                    # days and their slots become visible together
     return store.load().setup_days.select("id", "setup_routine_id", "day_number")
 
 

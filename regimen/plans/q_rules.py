@@ -248,10 +248,7 @@ def _unique_sql() -> str:
 
 @query("j1_unique_keys", _unique_sql())
 def j1_unique_keys(spark, sf):
-    m = from_driver(spark, sf)
-    parts = [J.duplicate_keys(m[t], cols, t, "primary_key") for t, cols in S.PRIMARY_KEYS.items()]
-    parts += [J.duplicate_keys(m[t], cols, t) for t, cols in S.UNIQUE]
-    return G.union_all(*parts)
+    return J.unique_keys(from_driver(spark, sf))
 
 
 @query("j1_duplicate_line_keys", """
@@ -305,8 +302,7 @@ def _check_sql() -> str:
 
 @query("j4_checks", _check_sql())
 def j4_checks(spark, sf):
-    m = from_driver(spark, sf)
-    return G.union_all(*[J.failed_checks(m[t], c, op, b, t) for t, c, op, b in S.CHECKS])
+    return J.row_violations(from_driver(spark, sf), "check")
 
 
 def _not_null_sql() -> str:
@@ -321,8 +317,16 @@ def _not_null_sql() -> str:
 
 @query("j5_not_null", _not_null_sql())
 def j5_not_null(spark, sf):
-    m = from_driver(spark, sf)
-    return G.union_all(*[J.null_values(m[t], c, t) for t, c in S.NOT_NULL])
+    return J.row_violations(from_driver(spark, sf), "not_null")
+
+
+_ALL_RULES = "\nUNION ALL ".join((_unique_sql(), _lower_sql(), _fk_sql(), _check_sql(), _not_null_sql()))
+
+
+@query("j_model_violations", _ALL_RULES)
+def j_model_violations(spark, sf):
+    """J1-J5 over the whole model in one report."""
+    return J.model_violations(from_driver(spark, sf))
 
 
 _NAME_SQL = r"""

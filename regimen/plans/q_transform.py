@@ -343,13 +343,13 @@ ev2 AS (
   FROM ev LEFT JOIN day_session ds ON ds.routine_id = ev.user_id AND ds.day_number = ev.day_number),
 checked AS (
   SELECT *,
-    CASE WHEN wt IS NULL OR wt = '' OR rt IS NULL OR rt = '' THEN 'weight and reps are both required'
+    CASE WHEN wt IS NULL OR wt = '' OR rt IS NULL OR rt = '' THEN 'set:incomplete'
          WHEN NOT regexp_full_match(wt, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)') OR TRY_CAST(wt AS DOUBLE) < 0
-           THEN 'weight must be a non-negative number'
-         WHEN TRY_CAST(wt AS DOUBLE) * 2 <> floor(TRY_CAST(wt AS DOUBLE) * 2) THEN 'weight must be in increments of 0.5'
-         WHEN TRY_CAST(wt AS DECIMAL(6,2)) IS NULL THEN 'weight out of range'
+           THEN 'weight:not_a_number'
+         WHEN TRY_CAST(wt AS DOUBLE) * 2 <> floor(TRY_CAST(wt AS DOUBLE) * 2) THEN 'weight:not_a_half_step'
+         WHEN TRY_CAST(wt AS DECIMAL(6,2)) IS NULL THEN 'weight:out_of_range'
          WHEN NOT regexp_full_match(rt, '[+-]?[0-9]+') OR TRY_CAST(rt AS INTEGER) IS NULL
-              OR TRY_CAST(rt AS INTEGER) < 0 THEN 'reps must be a whole number >= 0' END AS problem
+              OR TRY_CAST(rt AS INTEGER) < 0 THEN 'reps:not_an_integer_from_0' END AS problem
   FROM ev2)
 """
 

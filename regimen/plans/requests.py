@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.functions.scalar import to_int, to_weight
-from regimen.operators.quality import set_log_problem
+from regimen.operators import quality
 from regimen.sources.adapter import ROUTINE_PREFIX, driver_table
 from regimen.sources.tables import Model
 
@@ -90,33 +89,39 @@ def assign_requests(spark, sf, m: Model) -> DataFrame:
     return upd.unionByName(ins).unionByName(bad)
 
 
-def set_log_events(spark, sf, m: Model) -> DataFrame:
-    """Set-log events from ``events``: user, day = event_id % days + 1, the
-    day's session, exercise 1, set 1; weight = floor(value*2)/2 for even ids
-    (else the raw value); reps = props.k. Raw text fields, unvalidated."""
-    ev = driver_table(spark, sf, "events")
-    n = m.setup_days.groupBy(F.col("setup_routine_id").alias("user_id")).agg(
-        F.count(F.lit(1)).alias("_n"))
+def set_log_lookup(m: Model) -> DataFrame:
+    """(user_id, day_number, session_name, n_days): what turns a raw event into a set log."""
+    n = m.setup_days.groupBy(F.col("setup_routine_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n_days"))
+    days = m.setup_days.select(F.col("setup_routine_id").alias("user_id"), "day_number").distinct()
+    ds = day_session(m).select(F.col("routine_id").alias("user_id"), "day_number", "session_name")
+    return days.join(n, "user_id").join(ds, ["user_id", "day_number"], "left")
+
+
+def as_set_logs(events: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Set logs from raw ``events`` (a batch or a stream): user, day = event_id % days
+    + 1, the day's session, exercise 1, set 1; weight = floor(value*2)/2 for even
+    ids (else the raw value); reps = props.k. Raw text fields, unvalidated."""
+    counts = lookup.select("user_id", "n_days").distinct()
     w = F.when(F.col("event_id") % 2 == 0, F.floor(F.col("value") * 2) / 2).otherwise(F.col("value"))
-    e = (ev.join(n, "user_id")
+    e = (events.join(counts, "user_id")
          .select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
-                 (F.col("event_id") % F.col("_n") + 1).cast("int").alias("day_number"),
+                 (F.col("event_id") % F.col("n_days") + 1).cast("int").alias("day_number"),
                  w.cast("string").alias("weight_text"),
                  F.from_json("props", "k string")["k"].alias("reps_text")))
-    ds = day_session(m).select(F.col("routine_id").alias("user_id"), "day_number", "session_name")
-    return (e.join(ds, ["user_id", "day_number"], "left")
+    return (e.join(lookup.drop("n_days"), ["user_id", "day_number"], "left")
             .withColumn("routine_name", plan_name("user_id"))
             .withColumn("exercise_order", F.lit(1)).withColumn("set_number", F.lit(1)))
 
 
+def set_log_events(spark, sf, m: Model) -> DataFrame:
+    """The set logs of the ``events`` table."""
+    return as_set_logs(driver_table(spark, sf, "events"), set_log_lookup(m))
+
+
 def validated_set_log(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split set-log events into accepted rows (typed weight and
-    reps) and quarantined rows with the reason."""
-    e = events.withColumn("problem", set_log_problem(F.col("weight_text"), F.col("reps_text")))
-    ok = (e.filter(F.col("problem").isNull())
-          .withColumn("weight", to_weight(F.col("weight_text")))
-          .withColumn("reps_done", to_int(F.col("reps_text"))).drop("problem"))
-    return ok, e.filter(F.col("problem").isNotNull())
+    """Accepted set logs (typed weight and reps) and refused ones with the reason."""
+    checked = quality.validated_set_log(events)
+    return checked.filter(F.col("problem").isNull()).drop("problem"), checked.filter(F.col("problem").isNotNull())
 
 
 def rep_goal_requests(m: Model) -> DataFrame:

@@ -13,15 +13,12 @@ the tables it touches, and Catalyst prunes columns down to the scan.
 from __future__ import annotations
 
 import functools
-import hashlib
-import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimen.operators.ordinal import ordinal
-from regimen.session import checkpoint_dir
-from regimen.sources.tables import Model, TableStore
+from regimen.sources.tables import Model
 
 # Fixed values of the adapter (mirrored by the DuckDB oracle).
 ROUTINE_PREFIX = "Plan "
@@ -47,43 +44,9 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
               "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-_LOADED: dict[tuple[str, str], Model] = {}
-_LOCK = threading.Lock()
-
-
-def from_driver(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Model:
-    """The model over the driver tables.
-
-    ``materialize`` writes the 16 tables once per data folder into the shared
-    checkpoint folder (a new version of a ``TableStore``) and reads them from
-    there, as a deployment keeps its tables; later queries in the process
-    only read parquet. ``materialize=False`` returns the lazy derivation.
-    """
-    if not materialize:
-        return derive(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    with _LOCK:                      # queries started from several threads load once
-        if key not in _LOADED:
-            digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:16]
-            store = TableStore(spark, f"{checkpoint_dir(spark)}/regimen-model/{digest}")
-            if store.current()[0] == 0:
-                store.commit(derive(spark, sf_dir, shared_parts=True).tables)
-            _LOADED[key] = store.load()
-    return _LOADED[key]
-
-
-def derive(spark: SparkSession, sf_dir: str, shared_parts: bool = False) -> Model:
-    """The adapter as lazy DataFrames (see module docstring).
-
-    ``shared_parts`` checkpoints the numbered days and line items, which four
-    tables each read, so writing all tables numbers them once.
-    """
-    def shared(df: DataFrame) -> DataFrame:
-        if not shared_parts:
-            return df
-        checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
-
+def from_driver(spark: SparkSession, sf_dir: str) -> Model:
+    """The model over the driver tables, derived lazily: a query reads the files as they
+    are when it runs, and only those that its tables need."""
     customer = driver_table(spark, sf_dir, "customer")
     orders = driver_table(spark, sf_dir, "orders")
     lineitem = driver_table(spark, sf_dir, "lineitem")
@@ -108,8 +71,8 @@ def derive(spark: SparkSession, sf_dir: str, shared_parts: bool = False) -> Mode
 
     @functools.cache
     def days():
-        return shared(ordinal(orders.select("o_orderkey", "o_custkey", "o_orderdate"),
-                              ["o_custkey"], ["o_orderdate", "o_orderkey"], "day_number"))
+        return ordinal(orders.select("o_orderkey", "o_custkey", "o_orderdate"),
+                       ["o_custkey"], ["o_orderdate", "o_orderkey"], "day_number")
 
     setup_days = lambda: days().select(F.col("o_orderkey").alias("id"), "day_number",
                              F.col("o_custkey").alias("setup_routine_id"))
@@ -126,8 +89,8 @@ def derive(spark: SparkSession, sf_dir: str, shared_parts: bool = False) -> Mode
     def lines():
         numbered = ordinal(lineitem.select("l_orderkey", *LINE_ORDER), ["l_orderkey"], LINE_ORDER,
                            "exercise_order")
-        return shared(numbered.withColumn("line_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                                                                 F.col("exercise_order").cast("string"))))
+        return numbered.withColumn("line_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                                                          F.col("exercise_order").cast("string")))
 
     setup_session_exercises = lambda: lines().select(
         F.col("line_id").alias("id"), F.col("l_orderkey").alias("setup_session_id"),

@@ -3,16 +3,17 @@
 A change never edits files in place: a batch of changes becomes a new version
 directory per changed table plus one manifest row, written last, that names
 the directory of every table. Readers pick the highest committed version, so
-a job that dies half way leaves the previous version intact and a retry simply
-writes the same version again.
+a job that dies half way leaves the previous version intact and can be retried.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,31 +100,35 @@ def split_parent_child(df: DataFrame, parent_cols: dict[str, str],
 
 
 _MANIFEST = T.StructType([T.StructField("version", T.LongType()),
-                          T.StructField("tables", T.StringType())])
+                          T.StructField("tables", T.StringType()),
+                          T.StructField("writer", T.StringType())])
 
 
 class TableStore:
     """A4: versioned table directories under one root on a shared file system.
 
-    ``root/<table>/v=<n>`` holds the parquet of a table at version n;
-    ``root/_manifest`` holds one JSON row per committed version mapping every
-    table to the directory that is current in it.
+    A commit writes each changed table to a directory of its own
+    (``root/<table>/<writer>``) and then one JSON row under
+    ``root/_manifest/v=<n>`` that maps every table to its current directory. If
+    two writers claim one version, the row with the smaller writer id counts;
+    the other commit ends with ``VersionConflict``, and no reader sees its files.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _manifest(self) -> DataFrame | None:
+    def _rows(self, version: str = "*") -> DataFrame | None:
+        """Manifest rows; None if there are none yet. Any other failure to read them is an error."""
         try:
-            return self.spark.read.schema(_MANIFEST).json(f"{self.root}/_manifest")
-        except Exception:  # no version committed yet
-            return None
+            return self.spark.read.schema(_MANIFEST).json(f"{self.root}/_manifest/v={version}")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
     def current(self) -> tuple[int, dict[str, str]]:
-        m = self._manifest()
-        if m is None:
-            return 0, {}
-        row = m.orderBy(F.col("version").desc()).select("version", "tables").first()
+        rows = self._rows()
+        row = None if rows is None else rows.orderBy(F.col("version").desc(), "writer").first()
         return (0, {}) if row is None else (row["version"], json.loads(row["tables"]))
 
     def load(self) -> Model:
@@ -132,15 +137,16 @@ class TableStore:
                                      for t, p in paths.items()})
 
     def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Write the changed tables as a new version; return its number."""
+        """Write the changed tables together as one new version; return its number."""
         version, paths = self.current()
         version += 1
         paths = dict(paths)
+        writer = uuid.uuid4().hex
 
         def write(item):
             name, df = item
-            path = f"{self.root}/{name}/v={version}"
-            df.select(*SCHEMAS[name].fieldNames()).write.mode("overwrite").parquet(path)
+            path = f"{self.root}/{name}/{writer}"
+            df.select(*SCHEMAS[name].fieldNames()).write.parquet(path)
             return name, path
 
         # independent tables are written as concurrent jobs; the manifest row
@@ -148,6 +154,15 @@ class TableStore:
         with ThreadPoolExecutor(max_workers=min(8, max(len(changed), 1))) as pool:
             for name, path in pool.map(write, changed.items()):
                 paths[name] = path
-        entry = self.spark.createDataFrame([(version, json.dumps(paths, sort_keys=True))], _MANIFEST)
-        entry.coalesce(1).write.mode("append").json(f"{self.root}/_manifest")
+        conflict = VersionConflict(f"version {version} of {self.root} was committed by another writer")
+        if self._rows(str(version)) is not None:
+            raise conflict
+        entry = self.spark.createDataFrame([(version, json.dumps(paths, sort_keys=True), writer)], _MANIFEST)
+        entry.coalesce(1).write.mode("append").json(f"{self.root}/_manifest/v={version}")
+        if self._rows(str(version)).agg(F.min("writer")).first()[0] != writer:
+            raise conflict
         return version
+
+
+class VersionConflict(RuntimeError):
+    """Another writer has committed the version that this one was based on."""

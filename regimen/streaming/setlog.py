@@ -1,104 +1,114 @@
 """K1: the set-log stream folds logged sets into the current log state.
 
-``readStream`` over the event files -> ``foreachBatch``: parse, validate
-(J6/J7/J12) into accepted rows and a quarantine, resolve the target set (I8),
-keep the last write per set.
-
-Every micro-batch writes its per-set last values to ``updates/epoch=N``
-(overwrite: a retried epoch rewrites the same rows). The current value of a
-set is ``max_by(value, (ts, event_id))`` over all updates, which does not
-depend on batch order: a late or replayed batch can never overwrite a newer
-value, and the final state equals the batch job I8 over the same events.
+Input is a stream of set logs: ``event_id``, ``ts``, the address of a logged set
+(``TARGET_KEYS`` of I8) and the raw texts ``weight_text`` and ``reps_text``.
+Every micro-batch is judged in one pass: validated (J6/J7/J12), joined to the
+open sets, and written once to ``log/epoch=N/outcome=...``, where the outcome is
+``refused`` (with the problem), ``unresolved`` (valid, but no open set has the
+address) or ``update``. A retried epoch rewrites the same rows.
+
+After a run the updates of its epochs are merged with the previous state into
+``state/epoch=N``, so a reader never goes through all epochs. The value of a
+set is ``max_by(value, (ts, event_id))``, which does not depend on batch order:
+a late or replayed batch can never overwrite a newer value, and the final state
+equals the batch job I8 over the same events. An empty stream has an empty state.
 
 No watermark: a watermark would drop events that arrive more than its delay
 behind the newest one, but a late set log is still the truth for its set
-unless a newer write exists, which the merge already decides. Replayed events
-need no de-duplication state either: they rewrite identical values.
+unless a newer write exists, which the merge already decides.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.operators.transform import open_set_index, resolve_logged_sets
-from regimen.plans import requests as R
+from regimen.operators.quality import validated_set_log
+from regimen.operators.transform import TARGET_KEYS, open_set_index
 from regimen.session import checkpoint_dir
 from regimen.sources.tables import Model
 
-EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+_LOG = ("event_id long, ts timestamp, user_id long, weight decimal(6,2), reps_done int, problem string, set_id string, "
+        "epoch long, outcome string")
+_STATE = "set_id string, weight decimal(6,2), reps_done int, ts timestamp, event_id long, epoch long"
 
 
-def _batch_writer(spark: SparkSession, m: Model, index: DataFrame, root: str):
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        events = _as_set_log(batch, m)
-        ok, bad = R.validated_set_log(events)
-        bad.select("event_id", "ts", "user_id", "problem").write.mode("overwrite") \
-            .parquet(f"{root}/quarantine/epoch={epoch_id}")
-        hit = resolve_logged_sets(m, ok, index)
-        last = (hit.groupBy("set_id")
-                .agg(F.max_by(F.struct("weight", "reps_done", "ts", "event_id"),
-                              F.struct("ts", "event_id")).alias("v"))
-                .select("set_id", "v.weight", "v.reps_done", "v.ts", "v.event_id"))
-        last.write.mode("overwrite").parquet(f"{root}/updates/epoch={epoch_id}")
-    return write
-
-
-def _as_set_log(events: DataFrame, m: Model) -> DataFrame:
-    """Same derivation as ``requests.set_log_events`` for a batch of raw events."""
-    n = m.setup_days.groupBy(F.col("setup_routine_id").alias("user_id")).agg(F.count(F.lit(1)).alias("_n"))
-    w = F.when(F.col("event_id") % 2 == 0, F.floor(F.col("value") * 2) / 2).otherwise(F.col("value"))
-    e = (events.join(n, "user_id")
-         .select("event_id", "ts", "user_id",
-                 (F.col("event_id") % F.col("_n") + 1).cast("int").alias("day_number"),
-                 w.cast("string").alias("weight_text"),
-                 F.from_json("props", "k string")["k"].alias("reps_text")))
-    ds = R.day_session(m).select(F.col("routine_id").alias("user_id"), "day_number", "session_name")
-    return (e.join(ds, ["user_id", "day_number"], "left")
-            .withColumn("routine_name", R.plan_name("user_id"))
-            .withColumn("exercise_order", F.lit(1)).withColumn("set_number", F.lit(1)))
-
-
-def run_set_log_stream(spark: SparkSession, m: Model, events_path: str, root: str | None = None,
-                       max_files_per_trigger: int | None = None, base_path: str | None = None) -> str:
-    """Process every available event file once (``availableNow``) and return the
-    state folder. The stream's own checkpoint lives under the same root, so a
-    restarted job resumes where it stopped."""
+def judged(batch: DataFrame, index: DataFrame) -> DataFrame:
+    """Set logs with their outcome: refused, unresolved or update."""
+    checked = validated_set_log(batch)
+    hit = checked.join(index.select(*TARGET_KEYS, F.col("set_id").cast("string").alias("set_id")), TARGET_KEYS, "left")
+    outcome = (F.when(F.col("problem").isNotNull(), "refused").when(F.col("set_id").isNull(), "unresolved").otherwise("update"))
+    return hit.select("event_id", "ts", "user_id", "weight", "reps_done", "problem", "set_id", outcome.alias("outcome"))
+
+
+def run_set_log_stream(m: Model, logs: DataFrame, root: str | None = None) -> str:
+    """Process what the stream ``logs`` has now (``availableNow``) and return the state
+    folder. The stream's own checkpoint lives under the same root, so a restarted job
+    resumes where it stopped. The sets of open workouts are resolved once per run:
+    a run sees the workouts open when it starts."""
+    spark = logs.sparkSession
     root = root or f"{checkpoint_dir(spark)}/regimen-setlog/{uuid.uuid4().hex}"
-    reader = spark.readStream.schema(EVENT_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if base_path:                      # a glob over files inside a folder
-        reader = reader.option("basePath", base_path)
-    stream = reader.parquet(events_path).withColumn("ts", F.col("ts").cast("timestamp"))
-    # the targets (sets of open workouts) are resolved once per run, not per batch;
-    # a run sees the workouts open when it starts (availableNow runs are short)
-    index_path = f"{root}/open_set_index"
-    open_set_index(m).write.mode("overwrite").parquet(index_path)
-    index = spark.read.parquet(index_path)
-    q = (stream.writeStream.foreachBatch(_batch_writer(spark, m, index, root))
-         .option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    checkpoint_dir(spark)
+    index = open_set_index(m).checkpoint()
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        judged(batch, index).write.partitionBy("outcome").mode("overwrite").parquet(f"{root}/log/epoch={epoch_id}")
+
+    query = (logs.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    _compact(spark, root)
     return root
 
 
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of this module; empty if nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def set_log(spark: SparkSession, root: str) -> DataFrame:
+    """Every set log seen, with its outcome."""
+    return _read(spark, f"{root}/log", _LOG)
+
+
+def _latest(df: DataFrame) -> int:
+    """The last epoch among the folder's partitions."""
+    newest = df.agg(F.max("epoch")).first()[0]
+    return -1 if newest is None else newest
+
+
+def _compact(spark: SparkSession, root: str) -> None:
+    log, state = set_log(spark, root), _read(spark, f"{root}/state", _STATE)
+    done, last = _latest(state), _latest(log)
+    if last <= done:
+        return
+    new = log.filter((F.col("outcome") == "update") & (F.col("epoch") > done))
+    both = new.select("set_id", "weight", "reps_done", "ts", "event_id").unionByName(
+        state.filter(F.col("epoch") == done).select("set_id", "weight", "reps_done", "ts", "event_id"))
+    merged = (both.groupBy("set_id").agg(F.max_by(F.struct("weight", "reps_done", "ts", "event_id"), F.struct("ts", "event_id")).alias("v"))
+              .select("set_id", "v.*"))
+    merged.write.mode("overwrite").parquet(f"{root}/state/epoch={last}")
+
+
 def current_state(spark: SparkSession, root: str) -> DataFrame:
-    """Last write per set over all committed updates (order-independent)."""
-    updates = spark.read.parquet(f"{root}/updates")
-    return (updates.groupBy("set_id")
-            .agg(F.max_by(F.struct("weight", "reps_done"), F.struct("ts", "event_id")).alias("v"))
-            .select("set_id", "v.weight", "v.reps_done"))
+    """Last write per set over all committed epochs."""
+    state = _read(spark, f"{root}/state", _STATE)
+    return state.filter(F.col("epoch") == _latest(state)).select("set_id", "weight", "reps_done")
 
 
 def apply_state(m: Model, state: DataFrame) -> DataFrame:
     """New ``track_exercise_details`` with the streamed values written in."""
     ted = m.track_exercise_details
-    j = ted.join(state.withColumnRenamed("set_id", "id")
-                 .withColumnRenamed("weight", "_w").withColumnRenamed("reps_done", "_r")
-                 .withColumn("_hit", F.lit(True)), "id", "left")
+    j = ted.join(state.select(F.col("set_id").alias("id"), F.col("weight").alias("_w"), F.col("reps_done").alias("_r"),
+                              F.lit(True).alias("_hit")), "id", "left")
     return j.select(*[F.when(F.col("_hit"), F.col("_w").cast("decimal(6,2)")).otherwise(F.col("weight"))
                       .alias("weight") if c == "weight" else
                       F.when(F.col("_hit"), F.col("_r").cast("int")).otherwise(F.col("reps_done"))

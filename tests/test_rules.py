@@ -27,15 +27,15 @@ def test_lower_names_unique_ignores_nulls(spark):
 
 def test_weight_rule(spark):
     got = _one(spark, ["12.3", "-1", "10000", "abc", "", "12.5", "0"], J.weight_problem)
-    assert got == ["weight must be in increments of 0.5", "weight must be a non-negative number",
-                   "weight out of range", "weight must be a non-negative number",
-                   "weight must be a non-negative number", None, None]
+    assert got == ["weight:not_a_half_step", "weight:not_a_number",
+                   "weight:out_of_range", "weight:not_a_number",
+                   "weight:not_a_number", None, None]
 
 
 def test_reps_rules_and_integer_parse(spark):
     assert _one(spark, ["1.0", "1e1", " 5 ", "0", "-2", None], H.to_int) == [None, None, 5, 0, -2, None]
     assert _one(spark, ["0", "1", "x"], lambda c: J.reps_problem(c, 1)) == [
-        "reps must be a whole number >= 1", None, "reps must be a whole number >= 1"]
+        "reps:not_an_integer_from_1", None, "reps:not_an_integer_from_1"]
 
 
 def test_name_rule(spark):
@@ -52,8 +52,8 @@ def test_whole_match_rejects_trailing_newline(spark):
 def test_set_log_needs_both_values(spark):
     df = spark.createDataFrame([("10", ""), ("", "5"), ("10", "5"), ("10.2", "5")], "w string, r string")
     got = [r[0] for r in df.select(J.set_log_problem(F.col("w"), F.col("r"))).collect()]
-    assert got == ["weight and reps are both required", "weight and reps are both required", None,
-                   "weight must be in increments of 0.5"]
+    assert got == ["set:incomplete", "set:incomplete", None,
+                   "weight:not_a_half_step"]
 
 
 def test_local_date_and_field_names(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regimen.operators import transform as I
 from regimen.plans import requests as R
+from regimen.plans.q_stream import streamed_events
 from regimen.sources.adapter import from_driver
 from regimen.streaming import setlog as K
 
@@ -26,15 +27,29 @@ def test_stream_equals_batch_under_replay_and_reordering(spark):
     # three files written newest first, so later events arrive in earlier batches
     for i, part in enumerate([2, 1, 0]):
         events.filter(F.col("event_id") % 3 == part).write.parquet(f"{folder}/part{i}")
-    root = K.run_set_log_stream(spark, m, f"{folder}/part*", max_files_per_trigger=1, base_path=folder)
+    root = K.run_set_log_stream(m, streamed_events(spark, m, f"{folder}/part*", folder, 1))
     assert _state(K.apply_state(m, K.current_state(spark, root))) == want
 
     # a restart over the same checkpoint processes nothing new and keeps the state
-    K.run_set_log_stream(spark, m, f"{folder}/part*", root=root, max_files_per_trigger=1, base_path=folder)
+    K.run_set_log_stream(m, streamed_events(spark, m, f"{folder}/part*", folder, 1), root)
     assert _state(K.apply_state(m, K.current_state(spark, root))) == want
 
     # the same events replayed under another name are de-duplicated per batch
     # and can only rewrite identical values
     events.write.parquet(f"{folder}/part9")
-    K.run_set_log_stream(spark, m, f"{folder}/part*", root=root, base_path=folder)
+    K.run_set_log_stream(m, streamed_events(spark, m, f"{folder}/part*", folder), root)
     assert _state(K.apply_state(m, K.current_state(spark, root))) == want
+
+
+def test_outcomes_add_up_and_an_empty_stream_has_an_empty_state(spark):
+    m = from_driver(spark, SMALL)
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    folder = tempfile.mkdtemp(prefix="regimen-events-", dir="/tmp")
+    events.filter("false").write.parquet(f"{folder}/part0")
+    root = K.run_set_log_stream(m, streamed_events(spark, m, f"{folder}/part*", folder))
+    assert K.current_state(spark, root).count() == 0 and K.set_log(spark, root).filter("outcome = 'update'").count() == 0
+    events.write.parquet(f"{folder}/part1")
+    K.run_set_log_stream(m, streamed_events(spark, m, f"{folder}/part*", folder), root)
+    counts = {r["outcome"]: r["count"] for r in K.set_log(spark, root).groupBy("outcome").count().collect()}
+    ok, bad = R.validated_set_log(R.set_log_events(spark, SMALL, m))
+    assert counts["refused"] == bad.count() and counts["update"] + counts["unresolved"] == ok.count() and counts["unresolved"] > 0
