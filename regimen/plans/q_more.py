@@ -44,8 +44,8 @@ def a1_read_model_table(spark, sf):
     return from_driver(spark, sf).users.select("id", "username", "password")
 
 
-_A3_PREFIX = _D5_SQL[:_D5_SQL.rindex("SELECT s.routine_id")]
-_A3_FINAL = _D5_SQL[_D5_SQL.rindex("SELECT s.routine_id"):]
+_A3_PREFIX = _D5_SQL[:_D5_SQL.rindex("SELECT routine_id")].rstrip()
+_A3_FINAL = _D5_SQL[_D5_SQL.rindex("SELECT routine_id"):]
 
 
 @query("a3_derived_view", _A3_PREFIX + ", d5 AS (" + _A3_FINAL + """)
@@ -326,12 +326,8 @@ def i19_custom_exercise_rejects(spark, sf):
 
 
 @query("f1_sorted_outline", """
-SELECT u.id AS user_id, r.id AS routine_id, d.day_number, ds.session_order, x.exercise_order, t.cur_set
-FROM users u JOIN setup_routines r ON u.id = r.user_id JOIN setup_days d ON r.id = d.setup_routine_id
-JOIN setup_days_sessions ds ON d.id = ds.day_id JOIN setup_sessions s ON ds.session_id = s.id
-JOIN setup_session_exercises x ON s.id = x.setup_session_id JOIN exercises e ON e.id = x.exercise_id
-JOIN setup_exercise_details t ON x.id = t.setup_session_exercise_id
-ORDER BY 1, 2, 3, 4, 5, 6""")
+SELECT routine_id AS user_id, routine_id, day_number, session_order, exercise_order, cur_set
+FROM plan_days JOIN part_sets USING (session_id) WHERE exercise_name IS NOT NULL ORDER BY 1, 2, 3, 4, 5, 6""")
 def f1_sorted_outline(spark, sf):
     """the plan outline in the reference's order (owner first, NULLs last)."""
     out = C.sort_outline(C.plan_outline(from_driver(spark, sf)))

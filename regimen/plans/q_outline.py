@@ -10,57 +10,36 @@ from regimen.plans.registry import query
 from regimen.sources.adapter import from_driver
 
 _OUTLINE_SQL = """
-SELECT u.id AS user_id, u.username AS "user", r.id AS routine_id, r.name AS routine_name,
-       d.day_number, s.name AS session_name, ds.session_order, e.name AS exercise_name,
-       x.exercise_order, t.cur_set
-FROM users u
-JOIN {p}_routines r ON u.id = r.user_id
-JOIN {p}_days d ON r.id = d.{p}_routine_id
-JOIN {p}_days_sessions ds ON d.id = ds.day_id
-JOIN {p}_sessions s ON ds.session_id = s.id
-JOIN {p}_session_exercises x ON s.id = x.{p}_session_id
-JOIN exercises e ON e.id = x.exercise_id
-JOIN {p}_exercise_details t ON x.id = t.{p}_session_exercise_id
+SELECT c_custkey AS user_id, c_name AS "user", routine_id, 'Plan ' || CAST(c_custkey AS VARCHAR) AS routine_name,
+       day_number, session_name, session_order, exercise_name, exercise_order, cur_set
+FROM {days} JOIN customer ON c_custkey = {owner} JOIN part_sets USING (session_id) WHERE exercise_name IS NOT NULL
 """
+_PLAN_OUTLINE = _OUTLINE_SQL.format(days="plan_days", owner="routine_id")
+_LOG_OUTLINE = _OUTLINE_SQL.format(days="(SELECT *, workout_id AS routine_id, 1 AS session_order FROM log_days) x", owner="user_id")
 
 
-@query("c1_plan_outline", _OUTLINE_SQL.format(p="setup"))
-def c1_plan_outline(spark, sf):
-    return C.plan_outline(from_driver(spark, sf))
-
+@query("c1_plan_outline", _PLAN_OUTLINE, dense=True)
+def c1_plan_outline(spark, sf, model=from_driver):
+    return C.plan_outline(model(spark, sf))
 
-@query("c2_log_outline", _OUTLINE_SQL.format(p="track"))
-def c2_log_outline(spark, sf):
-    return C.log_outline(from_driver(spark, sf))
 
+@query("c2_log_outline", _LOG_OUTLINE, dense=True)
+def c2_log_outline(spark, sf, model=from_driver):
+    return C.log_outline(model(spark, sf))
 
-_DAY_SLOTS_SQL = """
-day_slots AS (
-  SELECT d.setup_routine_id AS routine_id, d.id AS day_id, d.day_number, ds.id AS slot_id,
-         ds.session_order, s.name AS session_name, s.id AS session_id
-  FROM setup_days d
-  LEFT JOIN setup_days_sessions ds ON d.id = ds.day_id
-  LEFT JOIN setup_sessions s ON ds.session_id = s.id)
-"""
 
-
-@query("c3_days_with_sessions", _DAY_SLOTS_SQL + """
-SELECT routine_id, day_number, session_order, session_name FROM day_slots""")
-def c3_days_with_sessions(spark, sf):
-    return C.days_with_sessions(from_driver(spark, sf)).select(
+@query("c3_days_with_sessions", """
+SELECT routine_id, day_number, session_order, session_name FROM plan_days""", dense=True)
+def c3_days_with_sessions(spark, sf, model=from_driver):
+    return C.days_with_sessions(model(spark, sf)).select(
         "routine_id", "day_number", "session_order", "session_name")
 
 
-@query("c4_day_exercise_rows", _DAY_SLOTS_SQL + """,
-rows AS (
-  SELECT ds.routine_id, ds.day_number, ds.session_order, ds.session_name, x.exercise_order,
-         ce.name AS exercise_name
-  FROM day_slots ds
-  LEFT JOIN setup_session_exercises x ON ds.session_id = x.setup_session_id
-  LEFT JOIN custom_exercises ce ON x.custom_exercise_id = ce.id)
-SELECT * FROM rows""")
-def c4_day_exercise_rows(spark, sf):
-    return C.day_exercise_rows(from_driver(spark, sf)).select(
+@query("c4_day_exercise_rows", """
+SELECT routine_id, day_number, session_order, session_name, exercise_order, exercise_name
+FROM plan_days LEFT JOIN part_lines USING (session_id)""", dense=True)
+def c4_day_exercise_rows(spark, sf, model=from_driver):
+    return C.day_exercise_rows(model(spark, sf)).select(
         "routine_id", "day_number", "session_order", "session_name", "exercise_order",
         "exercise_name")
 
@@ -75,76 +54,51 @@ def c5_current_routine_name(spark, sf):
 
 
 @query("c6_slot_sessions", """
-SELECT d.setup_routine_id AS routine_id, d.day_number, ds.session_order, s.name AS session_name
-FROM setup_days_sessions ds
-JOIN setup_days d ON ds.day_id = d.id
-JOIN setup_sessions s ON ds.session_id = s.id""")
-def c6_slot_sessions(spark, sf):
-    return C.slot_sessions(from_driver(spark, sf)).drop("session_id")
+SELECT routine_id, day_number, session_order, session_name FROM plan_days WHERE session_id IS NOT NULL""", dense=True)
+def c6_slot_sessions(spark, sf, model=from_driver):
+    return C.slot_sessions(model(spark, sf)).drop("session_id")
 
 
 @query("c7_session_plan", """
-SELECT x.setup_session_id AS session_id, ce.name, x.exercise_order AS order_number,
-       t.cur_set AS "set", t.reps_goal AS reps
-FROM setup_session_exercises x
-JOIN custom_exercises ce ON x.custom_exercise_id = ce.id
-JOIN setup_exercise_details t ON x.id = t.setup_session_exercise_id""")
-def c7_session_plan(spark, sf):
-    return C.session_plan(from_driver(spark, sf)).drop("sse_id", "set_id")
+SELECT session_id, exercise_name AS name, exercise_order AS order_number, cur_set AS "set", reps_goal AS reps
+FROM part_sets WHERE exercise_name IS NOT NULL""", dense=True)
+def c7_session_plan(spark, sf, model=from_driver):
+    return C.session_plan(model(spark, sf)).drop("sse_id", "set_id")
 
 
-@query("c8_exercise_sets", """
-SELECT setup_session_exercise_id AS sse_id, cur_set AS "set", reps_goal AS reps
-FROM setup_exercise_details""")
-def c8_exercise_sets(spark, sf):
-    return C.exercise_sets(from_driver(spark, sf)).drop("set_id")
+@query("c8_exercise_sets", 'SELECT sse_id, cur_set AS "set", reps_goal AS reps FROM part_sets', dense=True)
+def c8_exercise_sets(spark, sf, model=from_driver):
+    return C.exercise_sets(model(spark, sf)).drop("set_id")
 
 
 _OPEN_SETS_SQL = """
 open_sets AS (
-  SELECT r.user_id, s.id AS session_id, s.name AS session_name, t.id AS set_id,
-         ce.name AS exercise_name, x.exercise_order, t.cur_set, t.reps_goal,
-         CAST(t.weight AS DOUBLE) AS weight,
-         t.reps_done, x.exercise_comment
-  FROM track_routines r
-  JOIN track_sessions s ON r.id = s.track_routine_id
-  JOIN track_session_exercises x ON s.id = x.track_session_id
-  JOIN track_exercise_details t ON x.id = t.track_session_exercise_id
-  JOIN custom_exercises ce ON ce.id = x.custom_exercise_id
-  WHERE r.in_progress)
+  SELECT user_id, session_id, session_name, set_id, exercise_name, exercise_order, cur_set, reps_goal, weight,
+         reps_done, comment AS exercise_comment
+  FROM log_days JOIN part_sets USING (session_id) WHERE is_open AND exercise_name IS NOT NULL)
 """
 
 
 @query("c9_open_workout_sets", _OPEN_SETS_SQL + """
 SELECT user_id, session_name, exercise_name, exercise_order, cur_set, reps_goal, weight,
        reps_done, exercise_comment
-FROM open_sets""")
-def c9_open_workout_sets(spark, sf):
-    return C.open_workout_sets(from_driver(spark, sf)).select(
+FROM open_sets""", dense=True)
+def c9_open_workout_sets(spark, sf, model=from_driver):
+    return C.open_workout_sets(model(spark, sf)).select(
         "user_id", "session_name", "exercise_name", "exercise_order", "cur_set", "reps_goal",
         F.col("weight").cast("double"), "reps_done", "exercise_comment")
 
 
-@query("c10_active_sessions", """
-SELECT r.user_id, d.day_number, s.name AS session_name, s.id AS session_id
-FROM track_routines r
-JOIN track_days d ON r.id = d.track_routine_id
-JOIN track_days_sessions ds ON d.id = ds.day_id
-JOIN track_sessions s ON ds.session_id = s.id
-WHERE r.in_progress""")
-def c10_active_sessions(spark, sf):
-    return C.active_sessions(from_driver(spark, sf)).select(
+@query("c10_active_sessions", "SELECT user_id, day_number, session_name, session_id FROM log_days WHERE is_open", dense=True)
+def c10_active_sessions(spark, sf, model=from_driver):
+    return C.active_sessions(model(spark, sf)).select(
         "user_id", "day_number", "session_name", "session_id")
 
 
 _ACTIVE_SQL = """
 active AS (
-  SELECT DISTINCT d.setup_routine_id AS routine_id, d.day_number, ds.session_order
-  FROM setup_days d
-  JOIN setup_days_sessions ds ON d.id = ds.day_id
-  JOIN setup_sessions s ON ds.session_id = s.id
-  JOIN setup_session_exercises x ON s.id = x.setup_session_id
-  WHERE x.exercise_order = 1)
+  SELECT routine_id, day_number, session_order FROM plan_days
+  WHERE session_id IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 1))
 """
 
 
@@ -166,44 +120,31 @@ def c11_rest_flags(spark, sf):
     return C.rest_flags(m, cursors)
 
 
-_COMPLETED_SQL = """
+COMPLETED_SQL = """
 completed AS (
-  SELECT r.user_id, r.id AS routine_id, r.completion_date, r.name AS routine_name, d.day_number,
-         s.name AS session_name
-  FROM track_routines r
-  JOIN track_days d ON r.id = d.track_routine_id
-  JOIN track_days_sessions ds ON d.id = ds.day_id
-  JOIN track_sessions s ON ds.session_id = s.id
-  WHERE NOT r.in_progress)
+  SELECT user_id, workout_id AS routine_id, completion_date, workout_name AS routine_name, day_number, session_name
+  FROM log_days WHERE NOT is_open)
 """
 
 
-@query("c12_completed_workouts", _COMPLETED_SQL + """
-SELECT user_id, completion_date, routine_name, day_number, session_name FROM completed""")
-def c12_completed_workouts(spark, sf):
-    return (C.completed_workouts(from_driver(spark, sf))
+@query("c12_completed_workouts", COMPLETED_SQL + """
+SELECT user_id, completion_date, routine_name, day_number, session_name FROM completed""", dense=True)
+def c12_completed_workouts(spark, sf, model=from_driver):
+    return (C.completed_workouts(model(spark, sf))
             .withColumn("completion_date", F.col("completion_date").cast("timestamp_ntz"))
             .select("user_id", "completion_date", "routine_name", "day_number", "session_name"))
 
 
-@query("c13_workout_details", _COMPLETED_SQL + """,
-req AS (SELECT routine_id AS request_id, user_id, routine_name, completion_date, day_number,
-               session_name FROM completed)
-SELECT q.request_id, ce.name AS exercise_name, x.exercise_order, t.cur_set, t.reps_goal,
-       CAST(t.weight AS DOUBLE) AS weight,
-       t.reps_done
-FROM req q
-JOIN track_routines r ON r.user_id = q.user_id AND r.name = q.routine_name
- AND date_trunc('second', r.completion_date) = date_trunc('second', q.completion_date)
-JOIN track_days d ON r.id = d.track_routine_id AND d.day_number = q.day_number
-JOIN track_days_sessions ds ON d.id = ds.day_id
-JOIN track_sessions s ON ds.session_id = s.id AND s.name = q.session_name
-JOIN track_session_exercises x ON s.id = x.track_session_id
-JOIN track_exercise_details t ON x.id = t.track_session_exercise_id
-JOIN custom_exercises ce ON ce.id = x.custom_exercise_id""")
-def c13_workout_details(spark, sf):
+@query("c13_workout_details", """
+same AS (
+  SELECT a.workout_id AS request_id, b.session_id
+  FROM log_days a JOIN log_days b USING (user_id, workout_name, day_number, session_name)
+  WHERE NOT a.is_open AND date_trunc('second', a.completion_date) = date_trunc('second', b.completion_date))
+SELECT request_id, exercise_name, exercise_order, cur_set, reps_goal, weight, reps_done
+FROM same JOIN part_sets USING (session_id) WHERE exercise_name IS NOT NULL""", dense=True)
+def c13_workout_details(spark, sf, model=from_driver):
     """Detail of every completed workout (the request batch is the whole history)."""
-    m = from_driver(spark, sf)
+    m = model(spark, sf)
     req = C.completed_workouts(m).withColumnRenamed("routine_id", "request_id")
     return C.workout_details(m, req).select(
         "request_id", "exercise_name", "exercise_order", "cur_set", "reps_goal",
@@ -212,11 +153,10 @@ def c13_workout_details(spark, sf):
 
 
 @query("d1_count_days", """
-SELECT r.id AS routine_id, CAST(count(d.id) AS BIGINT) AS total_days
-FROM setup_routines r LEFT JOIN setup_days d ON d.setup_routine_id = r.id
-GROUP BY r.id""")
-def d1_count_days(spark, sf):
-    return D.count_days(from_driver(spark, sf))
+SELECT id AS routine_id, CAST(coalesce(n, 0) AS BIGINT) AS total_days
+FROM setup_routines LEFT JOIN (SELECT routine_id AS id, count(DISTINCT day_id) AS n FROM plan_days GROUP BY 1) d USING (id)""", dense=True)
+def d1_count_days(spark, sf, model=from_driver):
+    return D.count_days(model(spark, sf))
 
 
 @query("d2_next_exercise_order", """
@@ -242,42 +182,34 @@ def d3_next_set_number(spark, sf):
                                F.col("id").alias("track_session_exercise_id")))
 
 
-@query("d4_day_session_list", _DAY_SLOTS_SQL + """
+@query("d4_day_session_list", """
 SELECT routine_id, day_number,
        CAST(row_number() OVER (PARTITION BY day_id ORDER BY session_order NULLS LAST,
                                slot_id NULLS LAST) AS INTEGER) AS slot_pos,
        session_name
-FROM day_slots""")
-def d4_day_session_list(spark, sf):
-    return D.day_session_list(from_driver(spark, sf)).drop("day_id")
-
-
-_D5_SQL = _DAY_SLOTS_SQL + """,
-rows AS (
-  SELECT ds.*, x.id AS sse_id, x.exercise_order, ce.name AS exercise_name
-  FROM day_slots ds
-  LEFT JOIN setup_session_exercises x ON ds.session_id = x.setup_session_id
-  LEFT JOIN custom_exercises ce ON x.custom_exercise_id = ce.id),
-sess AS (
+FROM plan_days""", dense=True)
+def d4_day_session_list(spark, sf, model=from_driver):
+    return D.day_session_list(model(spark, sf)).drop("day_id")
+
+
+_D5_SQL = """
+outline AS (SELECT * FROM plan_days LEFT JOIN part_lines USING (session_id)),
+blocks AS (
   SELECT routine_id, day_id, day_number, session_name,
-         CAST(row_number() OVER (PARTITION BY day_id ORDER BY min(session_order) NULLS LAST,
-                                 session_name NULLS LAST) AS INTEGER) AS session_pos
-  FROM rows GROUP BY routine_id, day_id, day_number, session_name),
-ex AS (
-  SELECT s.day_id, s.session_pos, r.exercise_name,
-         CAST(row_number() OVER (PARTITION BY s.day_id, s.session_pos
-                                 ORDER BY r.session_order, r.exercise_order, r.sse_id) AS INTEGER)
-           AS exercise_pos
-  FROM rows r JOIN sess s ON r.day_id = s.day_id AND r.session_name = s.session_name
-  WHERE r.exercise_name IS NOT NULL AND r.exercise_name <> '')
-SELECT s.routine_id, s.day_number, s.session_pos, s.session_name, e.exercise_pos, e.exercise_name
-FROM sess s LEFT JOIN ex e ON s.day_id = e.day_id AND s.session_pos = e.session_pos
+         CAST(dense_rank() OVER (PARTITION BY day_id ORDER BY min(session_order) NULLS LAST, session_name NULLS LAST) AS INTEGER) AS session_pos
+  FROM outline GROUP BY routine_id, day_id, day_number, session_name),
+named AS (
+  SELECT day_id, session_pos, exercise_name,
+         CAST(row_number() OVER (PARTITION BY day_id, session_pos ORDER BY session_order, exercise_order, sse_id) AS INTEGER) AS exercise_pos
+  FROM outline JOIN blocks b USING (day_id) WHERE exercise_name <> '' AND outline.session_name IS NOT DISTINCT FROM b.session_name)
+SELECT routine_id, day_number, session_pos, session_name, exercise_pos, exercise_name
+FROM blocks LEFT JOIN named USING (day_id, session_pos)
 """
 
 
-@query("d5_day_outline", _D5_SQL)
-def d5_day_outline(spark, sf):
-    return D.day_outline(from_driver(spark, sf)).drop("day_id")
+@query("d5_day_outline", _D5_SQL, dense=True)
+def d5_day_outline(spark, sf, model=from_driver):
+    return D.day_outline(model(spark, sf)).drop("day_id")
 
 
 @query("d6_open_session_exercises", _OPEN_SETS_SQL + """,
@@ -296,44 +228,30 @@ numbered AS (
 SELECT user_id, session_name, CAST(run AS INTEGER) AS exercise_pos, exercise_name, exercise_order,
        CAST(row_number() OVER (PARTITION BY user_id, session_name, run ORDER BY pos) AS INTEGER)
          AS set_pos,
-       cur_set, reps_goal, weight, reps_done
-FROM numbered""")
-def d6_open_session_exercises(spark, sf):
-    return D.open_session_exercises(from_driver(spark, sf)).select(
+       cur_set, reps_goal, weight, reps_done, exercise_comment
+FROM numbered""", dense=True)
+def d6_open_session_exercises(spark, sf, model=from_driver):
+    return D.open_session_exercises(model(spark, sf)).select(
         "user_id", "session_name", "exercise_pos", "exercise_name", "exercise_order", "set_pos",
-        "cur_set", "reps_goal", F.col("weight").cast("double"), "reps_done")
+        "cur_set", "reps_goal", F.col("weight").cast("double"), "reps_done", "exercise_comment")
 
 
 @query("d7_exercise_first_order", """
-SELECT x.setup_session_id AS session_id, ce.name, min(x.exercise_order) AS first_order
-FROM setup_session_exercises x
-JOIN custom_exercises ce ON x.custom_exercise_id = ce.id
-JOIN setup_exercise_details t ON x.id = t.setup_session_exercise_id
-GROUP BY x.setup_session_id, ce.name""")
-def d7_exercise_first_order(spark, sf):
-    return D.exercise_first_order(from_driver(spark, sf))
+SELECT session_id, exercise_name AS name, min(exercise_order) AS first_order
+FROM part_sets WHERE exercise_name IS NOT NULL GROUP BY session_id, exercise_name""", dense=True)
+def d7_exercise_first_order(spark, sf, model=from_driver):
+    return D.exercise_first_order(model(spark, sf))
 
 
 @query("d8_plan_sets_by_order", """
-plan AS (
-  SELECT x.setup_session_id AS session_id, x.exercise_order AS order_number, t.cur_set AS "set",
-         t.id AS set_id, t.reps_goal AS reps, ce.name
-  FROM setup_session_exercises x
-  JOIN custom_exercises ce ON x.custom_exercise_id = ce.id
-  JOIN setup_exercise_details t ON x.id = t.setup_session_exercise_id),
-ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY order_number, "set", set_id) AS pos
-  FROM plan),
 flagged AS (
-  SELECT *, CASE WHEN lag(order_number) OVER (PARTITION BY session_id ORDER BY pos)
-                      IS DISTINCT FROM order_number THEN 1 ELSE 0 END AS new_run
-  FROM ordered),
-numbered AS (
-  SELECT *, sum(new_run) OVER (PARTITION BY session_id ORDER BY pos) AS run FROM flagged)
-SELECT session_id, CAST(run AS INTEGER) AS exercise_pos, order_number, name,
-       CAST(row_number() OVER (PARTITION BY session_id, run ORDER BY pos) AS INTEGER) AS set_pos,
-       "set", reps
-FROM numbered""")
-def d8_plan_sets_by_order(spark, sf):
-    return D.plan_sets_by_order(from_driver(spark, sf)).select(
+  SELECT *, CASE WHEN lag(exercise_order) OVER w IS DISTINCT FROM exercise_order THEN 1 ELSE 0 END AS fresh,
+         row_number() OVER w AS pos
+  FROM part_sets WHERE exercise_name IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY exercise_order, cur_set, set_id)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY pos) AS run FROM flagged)
+SELECT session_id, CAST(run AS INTEGER) AS exercise_pos, exercise_order AS order_number, exercise_name AS name,
+       CAST(row_number() OVER (PARTITION BY session_id, run ORDER BY pos) AS INTEGER) AS set_pos, cur_set AS "set", reps_goal AS reps
+FROM numbered""", dense=True)
+def d8_plan_sets_by_order(spark, sf, model=from_driver):
+    return D.plan_sets_by_order(model(spark, sf)).select(
         "session_id", "exercise_pos", "order_number", "name", "set_pos", "set", "reps")

@@ -12,6 +12,7 @@ from regimen.operators import quality as J
 from regimen.operators import setops as G
 from regimen.operators.outline import completed_workouts, session_plan
 from regimen.plans import requests as R
+from regimen.plans.q_outline import COMPLETED_SQL as _COMPLETED
 from regimen.plans.registry import query
 from regimen.sources import schema as S
 from regimen.sources.adapter import driver_table, from_driver
@@ -246,9 +247,9 @@ def _unique_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
-@query("j1_unique_keys", _unique_sql())
-def j1_unique_keys(spark, sf):
-    return J.unique_keys(from_driver(spark, sf))
+@query("j1_unique_keys", _unique_sql(), dense=True)
+def j1_unique_keys(spark, sf, model=from_driver):
+    return J.unique_keys(model(spark, sf))
 
 
 @query("j1_duplicate_line_keys", """
@@ -270,9 +271,9 @@ def _lower_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
-@query("j2_unique_lower_names", _lower_sql())
-def j2_unique_lower_names(spark, sf):
-    m = from_driver(spark, sf)
+@query("j2_unique_lower_names", _lower_sql(), dense=True)
+def j2_unique_lower_names(spark, sf, model=from_driver):
+    m = model(spark, sf)
     return G.union_all(*[J.duplicate_lower_names(m[t], o, n, t) for t, o, n in S.UNIQUE_LOWER])
 
 
@@ -289,9 +290,9 @@ def _fk_sql(source: dict[str, str] | None = None) -> str:
     return "\nUNION ALL ".join(parts)
 
 
-@query("j3_foreign_keys", _fk_sql())
-def j3_foreign_keys(spark, sf):
-    return J.all_dangling_references(from_driver(spark, sf))
+@query("j3_foreign_keys", _fk_sql(), dense=True)
+def j3_foreign_keys(spark, sf, model=from_driver):
+    return J.all_dangling_references(model(spark, sf))
 
 
 def _check_sql() -> str:
@@ -300,9 +301,9 @@ def _check_sql() -> str:
         f"'{c} {op} {b}' AS detail FROM {t} WHERE NOT ({c} {op} {b})" for t, c, op, b in S.CHECKS)
 
 
-@query("j4_checks", _check_sql())
-def j4_checks(spark, sf):
-    return J.row_violations(from_driver(spark, sf), "check")
+@query("j4_checks", _check_sql(), dense=True)
+def j4_checks(spark, sf, model=from_driver):
+    return J.row_violations(model(spark, sf), "check")
 
 
 def _not_null_sql() -> str:
@@ -315,18 +316,18 @@ def _not_null_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
-@query("j5_not_null", _not_null_sql())
-def j5_not_null(spark, sf):
-    return J.row_violations(from_driver(spark, sf), "not_null")
+@query("j5_not_null", _not_null_sql(), dense=True)
+def j5_not_null(spark, sf, model=from_driver):
+    return J.row_violations(model(spark, sf), "not_null")
 
 
 _ALL_RULES = "\nUNION ALL ".join((_unique_sql(), _lower_sql(), _fk_sql(), _check_sql(), _not_null_sql()))
 
 
-@query("j_model_violations", _ALL_RULES)
-def j_model_violations(spark, sf):
+@query("j_model_violations", _ALL_RULES, dense=True)
+def j_model_violations(spark, sf, model=from_driver):
     """J1-J5 over the whole model in one report."""
-    return J.model_violations(from_driver(spark, sf))
+    return J.model_violations(model(spark, sf))
 
 
 _NAME_SQL = r"""
@@ -350,9 +351,9 @@ def j8_names(spark, sf):
 @query("j11_multiple_drafts", """
 SELECT 'one_draft' AS rule, 'setup_routines' AS "table", CAST(user_id AS VARCHAR) AS key,
        CAST(count(*) AS VARCHAR) AS detail
-FROM setup_routines WHERE NOT routine_created GROUP BY user_id HAVING count(*) > 1""")
-def j11_multiple_drafts(spark, sf):
-    return J.multiple_drafts(from_driver(spark, sf))
+FROM setup_routines WHERE NOT routine_created GROUP BY user_id HAVING count(*) > 1""", dense=True)
+def j11_multiple_drafts(spark, sf, model=from_driver):
+    return J.multiple_drafts(model(spark, sf))
 
 
 @query("j11_multiple_open_workouts", """
@@ -395,23 +396,21 @@ SELECT 'day_and_session' AS rule, 'setup_routines' AS "table", CAST(r.id AS VARC
 FROM setup_routines r
 LEFT JOIN (SELECT DISTINCT setup_routine_id AS id FROM setup_days) d ON d.id = r.id
 LEFT JOIN (SELECT DISTINCT setup_routine_id AS id FROM setup_sessions) s ON s.id = r.id
-WHERE d.id IS NULL OR s.id IS NULL""")
-def j14_empty_routines(spark, sf):
-    return J.empty_routines(from_driver(spark, sf))
+WHERE d.id IS NULL OR s.id IS NULL""", dense=True)
+def j14_empty_routines(spark, sf, model=from_driver):
+    return J.empty_routines(model(spark, sf))
 
 
 # --- F: paging --------------------------------------------------------------------------
 
 @query("f2_slot_row_pages", """
-SELECT d.setup_routine_id AS routine_id, d.day_number, s.name AS session_name,
-       CAST(row_number() OVER (PARTITION BY d.setup_routine_id ORDER BY d.day_number,
-            ds.session_order NULLS LAST, ds.id NULLS LAST) AS INTEGER) AS row_pos,
-       CAST(floor((row_number() OVER (PARTITION BY d.setup_routine_id ORDER BY d.day_number,
-            ds.session_order NULLS LAST, ds.id NULLS LAST) - 1) / 3) + 1 AS INTEGER) AS page
-FROM setup_days d LEFT JOIN setup_days_sessions ds ON ds.day_id = d.id
-LEFT JOIN setup_sessions s ON s.id = ds.session_id""")
-def f2_slot_row_pages(spark, sf):
-    return P.slot_row_pages(from_driver(spark, sf)).select("routine_id", "day_number", "session_name",
+placed AS (
+  SELECT routine_id, day_number, session_name,
+         CAST(row_number() OVER (PARTITION BY routine_id ORDER BY day_number, session_order NULLS LAST, slot_id NULLS LAST) AS INTEGER) AS row_pos
+  FROM plan_days)
+SELECT *, CAST(floor((row_pos - 1) / 3) + 1 AS INTEGER) AS page FROM placed""", dense=True)
+def f2_slot_row_pages(spark, sf, model=from_driver):
+    return P.slot_row_pages(model(spark, sf)).select("routine_id", "day_number", "session_name",
                                                            "row_pos", "page")
 
 
@@ -424,16 +423,6 @@ def f3_day_pages(spark, sf):
     return P.day_pages(from_driver(spark, sf)).select("routine_id", "day_number", "day_pos", "page")
 
 
-_COMPLETED = """
-completed AS (
-  SELECT r.user_id, r.id AS routine_id, r.completion_date, r.name AS routine_name, d.day_number,
-         s.name AS session_name
-  FROM track_routines r JOIN track_days d ON r.id = d.track_routine_id
-  JOIN track_days_sessions ds ON d.id = ds.day_id JOIN track_sessions s ON ds.session_id = s.id
-  WHERE NOT r.in_progress)
-"""
-
-
 @query("f4_record_pages", _COMPLETED + """
 SELECT user_id, routine_id, completion_date, day_number, session_name,
        CAST(row_number() OVER w AS INTEGER) AS record_pos,

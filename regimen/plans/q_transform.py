@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,14 +191,24 @@ def i2_snapshot_routine(spark, sf):
     return _snapshot_rows(I.snapshot(m, req, RUN, whole_routine=True))
 
 
-@query("i3_clear_lineage", """
-hit AS (SELECT id FROM track_routines WHERE setup_id IS NOT NULL AND user_id % 2 = 0)
-SELECT t.id, CASE WHEN h.id IS NOT NULL THEN NULL ELSE t.setup_id END AS setup_id
-FROM track_routines t LEFT JOIN hit h ON h.id = t.id""")
-def i3_clear_lineage(spark, sf):
-    m = from_driver(spark, sf)
+_LINEAGE_TABLES = ("track_routines", "track_days", "track_sessions", "track_session_exercises", "track_exercise_details")
+
+
+@query("i3_clear_lineage", "cleared AS (SELECT id FROM track_routines WHERE setup_id IS NOT NULL AND user_id % 2 = 0),\n"
+       "gone_lines AS (SELECT line_id FROM lines WHERE l_orderkey IN (SELECT id FROM cleared))\n"
+       + "\nUNION ALL ".join(
+           f"SELECT '{t}' AS \"table\", CAST(id AS VARCHAR) AS id, CASE WHEN {where} THEN NULL ELSE CAST(setup_id AS VARCHAR) END AS setup_id FROM {t}"
+           for t, where in (("track_routines", "id IN (SELECT id FROM cleared)"), ("track_days", "id IN (SELECT id FROM cleared)"),
+                            ("track_sessions", "id IN (SELECT id FROM cleared)"),
+                            ("track_session_exercises", "id IN (SELECT line_id FROM gone_lines)"),
+                            ("track_exercise_details", "track_session_exercise_id IN (SELECT line_id FROM gone_lines)"))), dense=True)
+def i3_clear_lineage(spark, sf, model=from_driver):
+    """I3 for users with an even id: all five tables of the log, with what is left of their lineage."""
+    m = model(spark, sf)
     users = m.users.filter(F.col("id") % 2 == 0).select(F.col("id").alias("user_id"))
-    return I.clear_lineage(m, users)["track_routines"].select("id", "setup_id")
+    new = I.clear_lineage(m, users)
+    parts = [new[t].select(F.lit(t).alias("table"), F.col("id").cast("string"), F.col("setup_id").cast("string")) for t in _LINEAGE_TABLES]
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @query("i4_append_exercises", f"""
