@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame operations only.
 
-A line is the text between two ``\\n``; its words are what white space separates. Lines are equal if
-their words are. Two lines of ``min_words`` or more words are near if one word put in, left out or
+A line is the text between two ``\\n``; its words are what single spaces separate (two spaces have an
+empty word between them). Lines are equal if their words are. Two lines of ``min_words`` or more words are near if one word put in, left out or
 replaced turns one into the other (edit distance 1 over words). A line goes if an equal or a near
 line stands earlier in the corpus: in a smaller doc_id, or above it in the same document. All is
 judged on the input, not on what is left.
@@ -12,7 +12,7 @@ judged on the input, not on what is left.
    line has are dropped; the lines left (candidates) are found again by a bitmap of fixed size, and
    exactly by their hash.
 3. Every candidate emits the hash of its words with word i left out, for every i, and its own full
-   hash. Lines that replace the same word share (hash, i); a line with a word put in shares a variant
+   hash; hashes that one line alone emits are dropped. Lines that replace the same word share (hash, i); a line with a word put in shares a variant
    with the full hash of the other. Groups are reduced to their earliest line, never to pairs: in such
    a group every line is within the bound of the earliest.
 4. The earliest partner of every line found is verified word by word.
@@ -26,55 +26,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from regimen.llm.frames import stored, text_key
+from regimen.llm.frames import bitmap_of, maybe_in, stored, text_key
 
-#: most bits of the candidate bitmap (16 MiB); a smaller bitmap lets more lines through to the exact join
-MAX_BITS = 1 << 27
-_PAGE = 1 << 15
+_BLANK = "^[\\x20\\x09-\\x0D]*$"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, t, no, words, n, h) of every line that isn't blank; t with doc_id is the row's key."""
     text = F.col("text").cast("string")
     lines = docs.select("doc_id", text_key(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    words = F.filter(F.split("line", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return (lines.select("doc_id", "t", "no", words.alias("words")).withColumn("n", F.size("words"))
-            .where("n > 0").withColumn("h", F.xxhash64("words")))
+    return (lines.where(~F.col("line").rlike(_BLANK)).select("doc_id", "t", "no", F.split("line", " ").alias("words"))
+            .withColumn("n", F.size("words")).withColumn("h", F.xxhash64("words")))
 
 
 def _half_keys() -> Column:
-    """Hashes of the first and the last h words, for the halves h that a partner of n or n - 1 words, or this
-    line beside a longer one, can share."""
-    sides = []
-    for m in (F.col("n"), F.col("n") - 1):
-        h = F.floor(m / 2).cast("int")
-        sides += [F.xxhash64(F.lit(0), h, F.slice("words", F.lit(1), h)),
-                  F.xxhash64(F.lit(1), h, F.slice("words", F.col("n") - h + 1, h))]
-    return F.array_distinct(F.array(*sides))
+    """Hashes of the first and the last h words, for the halves h that a line of as many words, of one
+    less or of one more can share with this one."""
+    def sides(h: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(0), h, F.slice("words", F.lit(1), h)), F.xxhash64(F.lit(1), h, F.slice("words", F.col("n") - h + 1, h))]
+    half = F.floor(F.col("n") / 2).cast("int")
+    return F.when(F.col("n") % 2 == 0, F.array(*sides(half), *sides(half - 1))).otherwise(F.array(*sides(half)))
 
 
-def _candidates(lines: DataFrame, min_words: int) -> DataFrame:
+def _candidates(table: DataFrame) -> DataFrame:
     """(h) of the distinct lines of which another one shares a half."""
-    keys = (lines.where(F.col("n") >= min_words - 1).select("h", F.explode(_half_keys()).alias("key")))
+    keys = table.where("keys is not null").select("h", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
     return stored(keys.join(shared, "key").select("h").distinct())
 
 
-def _found_again(lines: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The distinct lines (h, words) whose hash is among the candidates: first by a bitmap, then exactly."""
-    bits = 1 << 20
-    while bits < min(MAX_BITS, 16 * candidates.count()):
-        bits *= 2
-    place = F.pmod(F.col("h"), F.lit(bits))
-    pages = (candidates.select(F.floor(place / _PAGE).cast("int").alias("page"), F.pmod(place, F.lit(_PAGE)).alias("at"))
-             .groupBy("page").agg(F.expr("bitmap_construct_agg(at)").alias("bitmap")))
-    byte = F.conv(F.hex(F.expr(f"substring(bitmap, int(pmod(pmod(h, {bits}L), {_PAGE}L) / 8) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftright(byte, int(pmod(h, 8L))) & 1").alias("hit")
-    passed = (lines.withColumn("page", F.floor(place / _PAGE).cast("int")).join(F.broadcast(pages), "page")
-              .withColumn("byte", byte).withColumn("hit", hit).where("hit = 1").select("h", "n", "words"))
-    return passed.join(candidates, "h", "left_semi").groupBy("h").agg(F.first("n").alias("n"), F.first("words").alias("words"))
-
-
 def _variants(found: DataFrame) -> DataFrame:
     """(h, m, v, i): hash v of the m words left without word i; i = -1: of all words."""
     words = found.select("h", "n", F.posexplode("words").alias("i", "word"))
@@ -101,13 +81,25 @@ def _near(words: Column, other: Column) -> Column:
     return common(words, other) + common(F.reverse(words), F.reverse(other)) >= longest - 1
 
 
-def near_lines(lines: DataFrame, min_words: int = 8) -> DataFrame:
+def line_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, t, no, h, keys) of every line, kept; keys are null for lines too short for a near one."""
+    keys = F.when(F.col("n") >= min_words, _half_keys()).alias("keys")
+    return stored(lines_of(docs).select("doc_id", "t", "no", "h", keys))
+
+
+def near_lines(docs: DataFrame, table: DataFrame, min_words: int) -> DataFrame:
     """(h, partner): distinct lines with an earlier near line, and the hash of the earliest found."""
-    candidates = _candidates(lines, min_words)
-    places = lines.groupBy("h").agg(F.min(F.struct("doc_id", "t", "no")).alias("place"))
-    found = stored(_found_again(lines.where(F.col("n") >= min_words), candidates)
-                   .join(places, "h").select("h", "n", "words", "place"))
-    variants = _variants(found).join(found.select("h", F.struct("place", "h").alias("at")), "h")
+    candidates = _candidates(table)
+    bitmap = bitmap_of(candidates, "h")
+    places = maybe_in(table, "h", bitmap).groupBy("h").agg(F.min(F.struct("doc_id", "t", "no")).alias("place"))
+    words = (maybe_in(lines_of(docs).where(F.col("n") >= min_words), "h", bitmap).groupBy("h")
+             .agg(F.first("n").alias("n"), F.first("words").alias("words")))
+    found = stored(words.join(candidates, "h").join(places, "h").select("h", "n", "words", "place"))
+    every = stored(_variants(found))
+    # most variants belong to one line alone; the others are few
+    shared = stored(every.groupBy("v").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("v"))
+    variants = stored(maybe_in(every, "v", bitmap_of(shared, "v")).join(shared, "v")
+                      .join(found.select("h", F.struct("place", "h").alias("at")), "h"))
     groups = (variants.groupBy("m", "v", "i").agg(F.min("at").alias("first")))
     by_variant = (groups.groupBy("m", "v").agg(F.min(F.when(F.col("i") < 0, F.col("first"))).alias("full"),
                                                F.min(F.when(F.col("i") >= 0, F.col("first"))).alias("longer")))
@@ -121,13 +113,13 @@ def near_lines(lines: DataFrame, min_words: int = 8) -> DataFrame:
 
 def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """(doc_id, t, no, near) of every line that goes; near: no equal line stands earlier."""
-    lines = lines_of(docs)
+    table = line_table(docs, min_words)
     place = F.struct("doc_id", "t", "no")
-    distinct = lines.groupBy("h").agg(F.min(place).alias("place"), F.max(place).alias("last"))
-    near = near_lines(lines, min_words).select("h", F.lit(True).alias("is_near"))
+    distinct = table.groupBy("h").agg(F.min(place).alias("place"), F.max(place).alias("last"))
+    near = near_lines(docs, table, min_words).select("h", F.lit(True).alias("is_near"))
     judged = (distinct.join(near, "h", "left").where("is_near or place < last")
               .select("h", "place", F.coalesce("is_near", F.lit(False)).alias("is_near")))
-    return (lines.select("h", "doc_id", "t", "no").join(judged, "h")
+    return (table.select("h", "doc_id", "t", "no").join(judged, "h")
             .where(F.col("is_near") | (place > F.col("place")))
             .select("doc_id", "t", "no", (place == F.col("place")).alias("near")))
 
