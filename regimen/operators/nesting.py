@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from regimen.operators.ordinal import groups_bounded, hot_rows, join_null_safe, largest_group, ordinal, proven_bounded
 from regimen.operators.outline import (day_exercise_rows, days_with_sessions, open_workout_sets,
-                                       session_plan)
+                                       session_plan, workout_details)
 from regimen.sources.tables import Model
 
 
@@ -237,3 +237,12 @@ def plan_sets_by_order(m: Model) -> DataFrame:
                              (m.setup_exercise_details, ["setup_session_exercise_id"]))
     return runs(session_plan(m), ["session_id"], ["order_number"], ["order_number", "set", "set_id"],
                 run_name="exercise_pos", item_name="set_pos", bounded=bounded)
+
+
+def workout_page(m: Model, requests: DataFrame) -> DataFrame:
+    """D6 on C13: the exercises (with comment) and sets of requested workouts, by request."""
+    rows = workout_details(m, requests)
+    bounded = proven_bounded(rows.sparkSession, (requests, ["request_id"]), (m.track_session_exercises, ["track_session_id"]),
+                             (m.track_exercise_details, ["track_session_exercise_id"]))
+    return runs(rows, ["request_id"], ["exercise_name", "exercise_order"], ["exercise_order", "cur_set", "set_id"],
+                run_name="exercise_pos", item_name="set_pos", bounded=bounded)

@@ -344,3 +344,132 @@ def h4_parse_instants(spark, sf):
     text = F.when(F.col("event_id") % 10 == 0, F.lit("not a date")).otherwise(
         F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss"))
     return ev.select("event_id", H.to_instant(text).cast("timestamp_ntz").alias("parsed"))
+
+
+# --- variants of I4, I18, I19, I20 and D6 on C13 --------------------------------------------
+
+@query("i4_add_planned_sets", f"""
+req AS (SELECT line_id AS request_id, line_id FROM lines WHERE l_orderkey % 4 = 1)
+SELECT {_h('set', 'request_id')} AS id, line_id AS setup_session_exercise_id, CAST(s.last + 1 AS INTEGER) AS cur_set
+FROM req JOIN (SELECT setup_session_exercise_id AS line_id, max(cur_set) AS last FROM setup_exercise_details GROUP BY 1) s USING (line_id)""",
+       dense=True)
+def i4_add_planned_sets(spark, sf, model=from_driver):
+    """I4 (plan): one more set, at MAX + 1, for the exercises of every fourth session."""
+    m = model(spark, sf)
+    req = (m.setup_session_exercises.filter(F.col("setup_session_id") % 4 == 1)
+           .select(F.col("id").alias("request_id"), F.lit(1).alias("seq"), F.col("id").alias("setup_session_exercise_id")))
+    return I.add_planned_sets(m, req, RUN).select("id", "setup_session_exercise_id", "cur_set")
+
+
+@query("i4_add_logged_exercises", f"""
+req AS (SELECT o_orderkey AS request_id, o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F'),
+n AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+placed AS (SELECT req.*, CAST(coalesce(n, 0) + 1 AS INTEGER) AS place FROM req LEFT JOIN n USING (o_orderkey))
+SELECT {_h('exercise', 'request_id')} AS exercise_id, o_orderkey AS track_session_id, o_custkey AS custom_exercise_id,
+       place AS exercise_order, {_h('set', 'request_id')} AS set_id, 1 AS cur_set FROM placed""")
+def i4_add_logged_exercises(spark, sf):
+    """I4 (log): an exercise at COUNT + 1 with its first set, in every open workout."""
+    m = from_driver(spark, sf)
+    req = (m.track_sessions.join(m.track_routines.filter("in_progress").select(F.col("id").alias("track_routine_id"), "user_id"), "track_routine_id")
+           .select(F.col("id").alias("request_id"), F.lit(1).alias("seq"), F.col("id").alias("track_session_id"), F.col("user_id").alias("custom_exercise_id")))
+    new = I.add_logged_exercises(m, req, RUN)
+    sets = new["track_exercise_details"].select(F.col("track_session_exercise_id").alias("exercise_id"), F.col("id").alias("set_id"), "cur_set")
+    return (new["track_session_exercises"].select(F.col("id").alias("exercise_id"), "track_session_id", "custom_exercise_id", "exercise_order")
+            .join(sets, "exercise_id"))
+
+
+_RENAME_ROUTINES = r"""
+req AS (
+  SELECT c_custkey AS request_id, c_custkey AS routine_id,
+         CASE c_custkey % 6 WHEN 0 THEN '  Strength ' || CAST(c_custkey AS VARCHAR) || ' '
+                            WHEN 1 THEN 'plan ' || CAST(c_custkey AS VARCHAR) WHEN 2 THEN '   '
+                            WHEN 3 THEN repeat('x', 101) WHEN 4 THEN 'a#b' ELSE repeat('y', 100) END AS new_name
+  FROM customer),
+judged AS (
+  SELECT *, trim(new_name, ' ') AS clean,
+         CASE WHEN trim(new_name, ' ') = '' THEN 'name is empty' WHEN length(trim(new_name, ' ')) > 100 THEN 'name longer than 100'
+              WHEN NOT regexp_full_match(trim(new_name, ' '), '[a-zA-Z0-9()+\- ]+')
+                THEN 'name has characters other than letters, digits, ( ) + - and space' END AS reason
+  FROM req)
+"""
+
+
+@query("i18_rename_routines", _RENAME_ROUTINES + """
+SELECT c_custkey AS id, CASE WHEN reason IS NULL THEN clean ELSE 'Plan ' || CAST(c_custkey AS VARCHAR) END AS name
+FROM customer JOIN judged ON routine_id = c_custkey""")
+def i18_rename_routines(spark, sf):
+    """I18 for routines: trimmed names, a case-only change of the own name, names of 100 and 101 characters."""
+    m = from_driver(spark, sf)
+    return I.rename_routines(m, R.rename_routine_requests(spark, sf))[0].select("id", "name")
+
+
+@query("i18_rename_routine_rejects", _RENAME_ROUTINES + "SELECT request_id, routine_id, reason FROM judged WHERE reason IS NOT NULL")
+def i18_rename_routine_rejects(spark, sf):
+    m = from_driver(spark, sf)
+    return I.rename_routines(m, R.rename_routine_requests(spark, sf))[1]
+
+
+@query("i19_create_sessions_on_days", f"""
+firsts AS (SELECT o_custkey, o_orderkey AS day_id FROM day_numbers WHERE day_number = 1)
+SELECT {_h('session', 'c_custkey')} AS session_id, c_custkey AS setup_routine_id, 'New ' || CAST(c_custkey AS VARCHAR) AS name,
+       day_id, 9 AS session_order
+FROM customer JOIN firsts ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0""")
+def i19_create_sessions_on_days(spark, sf):
+    """A new session placed on day 1; every third request names a day that doesn't exist."""
+    m = from_driver(spark, sf)
+    c = R.customers(spark, sf).select(F.col("c_custkey").alias("request_id"), F.lit(1).alias("seq"), F.col("c_custkey").alias("setup_routine_id"))
+    day = F.when(F.col("setup_routine_id") % 3 == 0, 0).otherwise(1)
+    req = c.withColumn("day_number", day).withColumn("slot", F.lit(9)).withColumn("name", F.concat(F.lit("New "), F.col("setup_routine_id").cast("string")))
+    new, _ = I.create_sessions_on_days(m, req, RUN)
+    slots = new["setup_days_sessions"].select("session_id", "day_id", "session_order")
+    return new["setup_sessions"].select(F.col("id").alias("session_id"), "setup_routine_id", "name").join(slots, "session_id")
+
+
+@query("i20_new_drafts", f"""
+drafts AS (SELECT user_id, count(*) AS n FROM setup_routines WHERE NOT routine_created GROUP BY 1)
+SELECT {_h('draft', 'c_custkey')} AS id, CAST(NULL AS VARCHAR) AS name, c_custkey AS user_id,
+       FALSE AS routine_created, FALSE AS routine_edit_in_progress
+FROM customer LEFT JOIN drafts ON user_id = c_custkey WHERE n IS NULL""", dense=True)
+def i20_new_drafts(spark, sf, model=from_driver):
+    """The draft rows made for users without one."""
+    m = model(spark, sf)
+    found, _ = I.resolve_drafts(m, m.users.select(F.col("id").alias("user_id")), RUN)
+    return I.new_drafts(found)
+
+
+@query("d6_workout_page", """
+plain AS (SELECT workout_id AS request_id, exercise_order, exercise_name, comment AS exercise_comment, cur_set, set_id, reps_goal, weight, reps_done
+          FROM log_days JOIN part_sets USING (session_id) WHERE NOT is_open AND exercise_name IS NOT NULL),
+flagged AS (
+  SELECT *, row_number() OVER w AS pos,
+         CASE WHEN lag(exercise_order) OVER w IS DISTINCT FROM exercise_order OR lag(exercise_name) OVER w IS DISTINCT FROM exercise_name
+              THEN 1 ELSE 0 END AS fresh
+  FROM plain WINDOW w AS (PARTITION BY request_id ORDER BY exercise_order, cur_set, set_id)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY request_id ORDER BY pos) AS run FROM flagged)
+SELECT request_id, CAST(run AS INTEGER) AS exercise_pos, exercise_name, exercise_order, exercise_comment,
+       CAST(row_number() OVER (PARTITION BY request_id, run ORDER BY pos) AS INTEGER) AS set_pos, cur_set, reps_goal, weight, reps_done
+FROM numbered""")
+def d6_workout_page(spark, sf):
+    """C13 + D6: every completed workout's exercises with comment and sets."""
+    m = from_driver(spark, sf)
+    req = C.completed_workouts(m).withColumnRenamed("routine_id", "request_id")
+    page = D.workout_page(m, req)
+    return page.select("request_id", "exercise_pos", "exercise_name", "exercise_order", "exercise_comment", "set_pos", "cur_set", "reps_goal",
+                       F.col("weight").cast("double"), "reps_done")
+
+
+@query("i7_repeated_requests", """
+twice AS (SELECT a.o_orderkey AS day_id, b.o_orderkey AS winner FROM day_numbers a JOIN day_numbers b USING (o_custkey)
+          WHERE a.day_number = 1 AND b.day_number = 3)
+SELECT o_orderkey AS day_id, CAST(coalesce(winner, o_orderkey) AS BIGINT) AS session_id, 1 AS session_order
+FROM orders LEFT JOIN twice ON day_id = o_orderkey""")
+def i7_repeated_requests(spark, sf):
+    """Two requests of equal ``seq`` for one slot; the larger request id wins, once."""
+    m = from_driver(spark, sf)
+    ds = R.day_session(m)
+    wanted = ds.filter("day_number IN (2, 3)").select("routine_id", F.col("day_number").alias("k"), "session_name")
+    three = ds.filter("day_number = 3").select("routine_id")
+    req = wanted.join(three, "routine_id", "left_semi").select(
+        (F.col("routine_id") * 4 + F.col("k")).alias("request_id"), F.lit(1).alias("seq"), "routine_id", F.lit(1).alias("day_number"),
+        F.lit(1).alias("slot"), "session_name")
+    return I.assign_sessions(m, req, RUN)[0].select("day_id", "session_id", "session_order")

@@ -196,3 +196,13 @@ def create_session_requests(spark, sf) -> DataFrame:
     bad = c.filter(k % 10 == 0).select((k * 3 + 2).alias("request_id"), F.lit(3).alias("seq"),
                                        "setup_routine_id", F.lit("  Bad#Name ").alias("name"))
     return a.unionByName(b).unionByName(bad)
+
+
+def rename_routine_requests(spark, sf) -> DataFrame:
+    """I18 (routines): by the customer's key, a new name in blanks, the own name in
+    other case, a blank, 101 characters, a bad character, 100 characters."""
+    c = customers(spark, sf).select(F.col("c_custkey").alias("routine_id"))
+    k, text = F.col("routine_id") % 6, F.col("routine_id").cast("string")
+    new = (F.when(k == 0, F.concat(F.lit("  Strength "), text, F.lit(" "))).when(k == 1, F.concat(F.lit("plan "), text)).when(k == 2, F.lit("   "))
+           .when(k == 3, F.lit("x" * 101)).when(k == 4, F.lit("a#b")).otherwise(F.lit("y" * 100)))
+    return c.select(F.col("routine_id").alias("request_id"), F.lit(1).alias("seq"), "routine_id", new.alias("new_name"))
