@@ -91,8 +91,7 @@ def day_outline(m: Model) -> DataFrame:
                                               F.col("session_name").asc_nulls_last()], "session_pos",
                        bounded=bounded)
     named = rows.filter(F.col("exercise_name").isNotNull() & (F.col("exercise_name") != ""))
-    ex = named.join(sessions.select("day_id", "session_name", "session_pos"),
-                    ["day_id", "session_name"])
+    ex = join_null_safe(named, sessions.select("day_id", "session_name", "session_pos"), ["day_id", "session_name"])
     ex = ordinal(ex, ["day_id", "session_pos"],
                  ["session_order", "exercise_order", "sse_id"], "exercise_pos", bounded=bounded)
     return (sessions.join(ex.select("day_id", "session_pos", "exercise_pos", "exercise_name"),

@@ -1,12 +1,17 @@
 """Invariants of the skew-safe building blocks against plain computations."""
 
 import random
+import tempfile
 
+import pytest
+from conftest import SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from regimen.operators import transform as I
 from regimen.operators.nesting import runs
 from regimen.operators.ordinal import count_before, groups_bounded, ordinal
+from regimen.plans import catalog
 
 
 def _skewed(spark, n=3000, seed=1):
@@ -77,3 +82,76 @@ def test_hot_group_is_detected(spark):
             .filter("m <> n").count() == 0
     finally:
         spark.conf.unset("spark.regimen.ordinal.hotRows")
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def _both_plans(spark, build):
+    """The rows of ``build()`` under the plain windows and under the split plan."""
+    out = []
+    for strategy in ("window", "split"):
+        spark.conf.set("spark.regimen.ordinal.strategy", strategy)
+        try:
+            out.append(_rows(build()))
+        finally:
+            spark.conf.unset("spark.regimen.ordinal.strategy")
+    return out
+
+
+def test_both_plans_agree_on_nulls_and_ties(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([0, 0, 0, 1, None]), i, rnd.choice(["a", None, "b"]), rnd.choice([1, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, pos int, name string, ord int").repartition(5)
+    window, split = _both_plans(spark, lambda: runs(df, ["g"], ["name", "ord"], ["pos"]))
+    assert window == split and len(window) == 300
+    window, split = _both_plans(spark, lambda: ordinal(df, ["g"], ["name", "pos"], "o"))
+    assert window == split
+    right = df.select("g", F.col("ord").alias("v"))
+    left = df.select("g", F.col("pos").alias("id"), F.col("ord").alias("v"), "name")
+    window, split = _both_plans(spark, lambda: count_before(left, right, ["g"], "v", "id", "n", inclusive=True))
+    assert window == split and len(window) == 300
+
+
+def test_delete_and_shift_keeps_rows_without_a_parent(spark):
+    rows = [(f"{p}-{o}-{k}", p, o) for p in (1, 2, None) for o in (1, 2, 3, None) for k in (0, 1)]
+    kids = spark.createDataFrame(rows, "id string, p int, o int")
+    cuts = spark.createDataFrame([(1, 1), (1, 1), (2, 3), (2, 9), (None, 1), (1, None)], "p int, o int")
+
+    def build():
+        kept, gone = I.delete_and_shift(kids, "p", "o", cuts)
+        return kept.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)))
+
+    window, split = _both_plans(spark, build)
+    assert window == split and len(window) == len(rows)
+    spark.conf.set("spark.regimen.ordinal.strategy", "window")
+    try:
+        got = {r.id: (r.o, r.gone) for r in build().collect()}
+    finally:
+        spark.conf.unset("spark.regimen.ordinal.strategy")
+    assert got["1-1-0"] == (1, True) and got["1-2-1"] == (1, False) and got["1-3-0"] == (2, False) and got["2-3-1"] == (3, True)
+    assert got["None-1-0"] == (1, False) and got["1-None-0"] == (None, False) and got["2-2-0"] == (2, False)
+
+
+HOT = ["d4_day_session_list_dense", "d5_day_outline_dense", "d6_open_session_exercises_dense", "d8_plan_sets_by_order_dense", "f2_slot_row_pages_dense",
+       "f3_day_pages", "f4_record_pages", "f7_sorted_sessions", "i4_append_exercises", "i5_delete_days", "i6_reorder_exercises", "i16_next_training_day",
+       "b11_routine_name_like"]
+
+
+@pytest.fixture(scope="module")
+def hot_owner(spark):
+    """The driver tables with a third of all orders under one customer."""
+    folder = tempfile.mkdtemp(prefix="regimen-hot-", dir="/tmp")
+    for t in ("customer", "part", "lineitem", "events"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").filter("o_orderkey % 3 = 0")
+    orders = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 9 == 0, F.lit(1).cast("long")).otherwise(F.col("o_custkey")))
+    orders.write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_both_plans_agree_on_a_hot_owner(spark, hot_owner, name):
+    window, split = _both_plans(spark, lambda: catalog.QUERIES[name](spark, hot_owner))
+    assert window == split and window
