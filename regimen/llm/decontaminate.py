@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from regimen.llm.frames import stored, text_key
+from regimen.llm.frames import broadcast_if_small, stored, text_key
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -63,12 +63,12 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, rows: DataFrame, slop: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t, row, shift, starts) of the windows both of whose anchors fit, and (doc_id, t, row) of proximity matches."""
-    words = rows.select(F.explode("q").alias("word")).select(F.xxhash64("word").alias("term")).distinct()
+    words = stored(rows.select(F.explode("q").alias("word")).select(F.xxhash64("word").alias("term")).distinct())
     text = F.col("text").cast("string")
     counts = (docs.select(F.explode(words_of(text)).alias("word")).select(F.xxhash64("word").alias("term"))
-              .join(words, "term").groupBy("term").count())
+              .join(broadcast_if_small(words), "term").groupBy("term").count())
     anchors = stored(anchors_of(rows, counts))
-    found = stored(postings(docs, anchors.select("term").distinct()))
+    found = stored(postings(docs, broadcast_if_small(stored(anchors.select("term").distinct()))))
     shifted = (found.join(anchors.groupBy("row", "off", "term").agg(F.collect_set("start").alias("starts")), "term")
                .select("doc_id", "t", "row", "off", (F.col("pos") - F.col("off")).alias("shift"), "starts"))
     needed = anchors.groupBy("row", "start").agg(F.count("*").alias("needed"))

@@ -31,6 +31,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df`` (stored, with short rows) hinted for broadcast if its counted rows are few; else as it is, for
+    the planner to shuffle."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 #: bits of a bitmap of keys: at least, and at most (16 MiB); beyond that it only filters less
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 _PAGE = 1 << 15
