@@ -109,7 +109,7 @@ def score_slices(query: np.ndarray, least: np.ndarray, maps: np.ndarray) -> tupl
             constant -= int(weight.sum()) * ((1 << bits) - 1)
         for shift in range(int(weight.max(initial=0)).bit_length()):
             dims = np.flatnonzero((weight >> shift) & 1)
-            for b in range(bits):
+            for b in range(bits if len(dims) else 0):
                 while len(columns) <= shift + b:
                     columns.append([])
                 part = maps[dims, b]
