@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
               .where(F.col("quality").isNotNull() & (id_remainder(F.col("doc_id"), 4) != 2))
               .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("_y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = (statistics_of(docs.select("doc_id", "text").join(chosen, "doc_id"), "doc_id", "_y")
+    rows = (statistics_of(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "_y")    # max_rows ids
             .orderBy(F.xxhash64("doc_id"), F.xxhash64("stats")).limit(max_rows).collect())
     x = np.array([r["stats"] for r in rows], np.float32).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["_y"] for r in rows], float))
