@@ -132,9 +132,28 @@ def scanned(docs: DataFrame, reach: int = 5) -> DataFrame:
                                   "mentions array<struct<entity:long,term:long,from:int,to:int>>")
 
 
+#: (term, count) entries that a counting task holds before it hands them on
+HELD = 1 << 20
+
+
+def _summed(terms: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms with their summed counts."""
+    term, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]), return_inverse=True)
+    total = np.zeros(len(term), np.int64)
+    np.add.at(total, place, np.concatenate([np.zeros(0, np.int64), *counts]))
+    return term, total
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): in how many documents of the whole corpus each of ``terms`` stands."""
+    """(term, n): in how many documents of the whole corpus each of ``terms`` stands. A task sums up the counts
+    of its documents, as far as ``HELD`` entries go, before they meet ``terms``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = [], []
+
+        def handed_on() -> pa.RecordBatch:
+            term, n = _summed(*held)
+            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
+
         for batch in batches:
             offsets, data = arrays.buffer_of(batch.column("text"))
             for _, _, o, d in arrays.slices(offsets, data):
@@ -148,7 +167,15 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 new = np.ones(len(words), bool)
                 new[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
                 term, n = np.unique(words[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
+                held[0].append(term)
+                held[1].append(n)
+                if sum(map(len, held[0])) > HELD:
+                    term, n = _summed(*held)
+                    held = [term], [n]
+                    if len(term) > HELD // 2:
+                        yield handed_on()
+                        held = [], []
+        yield handed_on()
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long")
     return maybe_in(counted, "term", bitmap_of(terms, "term")).join(terms, "term").groupBy("term").agg(F.sum("n").alias("n"))
