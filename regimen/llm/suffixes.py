@@ -37,7 +37,7 @@ from regimen.llm.frames import bitmap_of, maybe_in, shuffle_partitions, stored,
 
 GRAM = 32
 #: a text is cut into pieces of so many bytes (which overlap by a string less one byte), a shard has about so many
-PIECE, SHARD = 1 << 22, 1 << 20
+PIECE, SHARD = 1 << 22, 1 << 18
 _PLACE = np.uint64((1 << 23) - 1)
 _SEPARATOR = 0xFF                                   # never a byte of UTF-8
 
@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     several = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     volume = distinct.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     parts = max(shuffle_partitions(spark), int(volume) // SHARD)
-    searched = (distinct.join(several, "anchor", "left_semi").withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts))).groupBy("part")
+    searched = (distinct.join(several, "anchor", "left_semi").select("anchor", "whole", "bytes").withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts))).groupBy("part")
                 .applyInPandas(_shard(length), "anchor long, whole long, low long, high long"))
     # a segment that occurs once more is repeated as a whole, whatever its shard finds
     lists = distinct.where("n > 1").select("anchor", "whole", F.lit(0).cast("long").alias("low"), (F.length("bytes") - (length - 1)).cast("long").alias("high"))
