@@ -72,8 +72,9 @@ def candidates(docs: DataFrame, rows: DataFrame, slop: int) -> tuple[DataFrame,
     shifted = (found.join(anchors.groupBy("row", "off", "term").agg(F.collect_set("start").alias("starts")), "term")
                .select("doc_id", "t", "row", "off", (F.col("pos") - F.col("off")).alias("shift"), "starts"))
     needed = anchors.groupBy("row", "start").agg(F.count("*").alias("needed"))
-    starts = (shifted.select("doc_id", "t", "row", "shift", F.explode("starts").alias("start"))
-              .groupBy("doc_id", "t", "row", "shift", "start").agg(F.count("*").alias("n"))
+    met = F.when(F.min("off") < F.max("off"), 2).otherwise(1)       # anchors, of two at most; equal rows repeat their postings
+    starts = (shifted.select("doc_id", "t", "row", "shift", "off", F.explode("starts").alias("start"))
+              .groupBy("doc_id", "t", "row", "shift", "start").agg(met.alias("n"))
               .join(needed, ["row", "start"]).where("n = needed")
               .groupBy("doc_id", "t", "row", "shift").agg(F.collect_list("start").alias("starts")))
     near = Window.partitionBy("doc_id", "t", "row").orderBy("shift", "off")

@@ -66,6 +66,14 @@ def test_items_of_common_words(spark):
     assert report(documents(spark, rows), items_of(spark, items)) == brute(rows, items)
 
 
+def test_equal_rows_that_hold_an_item(spark):
+    item, one = sentence(60, 12), "solitaire"
+    rows = [(1, f"{sentence(61, 9)} {item} {one}")] * 2 + [(2, f"{item} end")] * 3 + [(3, one)] * 2 + [(None, item)] * 2 + [(4, item), (5, sentence(62, 9))]
+    want = brute(rows, [(1, item), (2, one)])
+    assert report(documents(spark, rows), items_of(spark, [(1, item), (2, one)])) == want and sum(r[5] for r in want) == 10
+    assert [r["doc_id"] for r in decontaminate.clean(documents(spark, rows), items_of(spark, [(1, item), (2, one)])).collect()] == [5]
+
+
 def test_proximity_without_a_phrase(spark):
     item = sentence(50, 20).split()
     apart = item[:10] + ["x", "y"] + item[10:]
