@@ -5,9 +5,12 @@ values are the protected entities. Terms (words of letters, ASCII lower-cased) w
 of an entity are its context. Over all documents Spark counts how many hold an entity (e), a term (t),
 and the term in the entity's context (e, t). A term discloses an entity to the degree
     PMI(e; t) / IC(e),   PMI = log2(N n(e,t) / (n(e) n(t))),   IC = log2(N / n(e)),
-the share of the entity's information that the term gives away. Terms that share ``support`` or more
-documents with the entity are generalised from ``generalise`` on and removed from ``remove`` on, in
-the entity's contexts. The method only adds spans: base spans stay as they are.
+the share of the entity's information that the term gives away. Every pair from one shared document on
+is judged: terms are generalised from the degree ``generalise`` on and removed from ``remove`` on, in the
+entity's contexts. Few shared documents are weak evidence, so the counts of a pair that shares fewer than
+``support`` are smoothed: its term counts as if ``support`` more documents held it. How rare the term is then
+decides: one that stands nowhere else, by an entity of one document, has the degree
+1 - log2(1 + support) / log2(N). The method only adds spans: base spans stay as they are.
 
 Positions count code points, ends are exclusive. A base match whose check fails is dropped and not
 tried again; kinds are matched independently. All patterns run in time linear in the text. Null texts
@@ -178,18 +181,20 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         yield handed_on()
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long")
-    return maybe_in(counted, "term", bitmap_of(terms, "term")).join(terms, "term").groupBy("term").agg(F.sum("n").alias("n"))
+    return maybe_in(counted, "term", bitmap_of(terms, "term")).groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, support: int, generalise: float) -> DataFrame:
-    """(entity, term, degree) of the terms that disclose an entity to the degree ``generalise`` or more."""
+def disclosures(docs: DataFrame, found: DataFrame, support: int, generalise: float, smoothed: bool = False) -> DataFrame:
+    """(entity, term, degree) of the terms that disclose an entity to the degree ``generalise`` or more: of those that
+    share ``support`` documents or more with it, and if ``smoothed`` also of all others, by smoothed counts."""
     total = docs.count()
     pairs = found.where(F.size("mentions") > 0).select("doc_id", "t", F.explode("mentions").alias("m")).select("doc_id", "t", "m.entity", "m.term").distinct()
-    both = stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
+    both = stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= (1 if smoothed else support)))
     entities = pairs.select("doc_id", "t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = term_counts(docs, stored(both.select("term").distinct())).withColumnRenamed("n", "n_term")
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    shared = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+    holders = F.greatest("n_term", "n_both") + F.when(F.col("n_both") < support, support).otherwise(0)
+    shared = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * holders))
     return (both.join(entities, "entity").join(terms, "term").where(information > 0)
             .select("entity", "term", (shared / information).alias("degree")).where(F.col("degree") >= generalise))
 
@@ -197,7 +202,7 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int, generalise: flo
 def spans(docs: DataFrame, reach: int = 5, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
     """(doc_id, t, spans) per row of ``docs``: structs of kind (place in ``KINDS``), from and to, sorted."""
     found = stored(scanned(docs, reach))
-    degrees = disclosures(docs, found, support, generalise)
+    degrees = disclosures(docs, found, support, generalise, smoothed=True)
     mentions = (found.where(F.size("mentions") > 0).select("doc_id", "t", F.explode("mentions").alias("m"))
                 .select("doc_id", "t", "m.entity", "m.term", "m.from", "m.to"))
     added = (mentions.join(degrees, ["entity", "term"]).groupBy("doc_id", "t", "from", "to").agg(F.max("degree").alias("degree"))

@@ -89,6 +89,18 @@ def test_degrees_are_those_of_the_counts(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
 
 
+def test_entities_of_one_or_two_documents(spark):
+    """A rare term by an entity of one or two documents is added, a common one is not."""
+    rows = [(1, "common Zorblax wrote to kim@corp.example.com common"), (2, "common Quuxly call +1 925 555 2751 common"), (3, "common Quuxly call +1 925 555 2751 common")]
+    rows += [(100 + k, f"{sentence(200 + k, 4)} common wrote to call") for k in range(300)]
+    got = {r["doc_id"]: r for r in pii.report(documents(spark, rows)).collect()}
+    for i, x in rows[:3]:
+        at = x.index("Zorblax" if i == 1 else "Quuxly")
+        added = [s for s in got[i]["spans"].split(",") if s.startswith(("generalised", "removed"))]
+        assert added == [f"generalised:{at}:{at + (7 if i == 1 else 6)}"]
+    assert all(got[i]["spans"] == "" for i, _ in rows[3:])
+
+
 def test_sanitise_and_edges(spark):
     docs = documents(spark, edge_texts() + corpus_of_disclosure())
     got = pii.sanitise(docs)
