@@ -66,11 +66,12 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, chunk: int = 50_000, with_ids: bool = False,
-           ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+           ranks: str | None = None, pattern: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """Rows of doc_id, piece, start, length, ids_crc32 (and ids), packed within their partition:
     ``bin`` (unique) and ``offset`` in it; ``fill`` is set on the first piece of each bin."""
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
+    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     end = np.array([end_id], "<u4").tobytes()
     id_field = docs.schema["doc_id"]
     schema = pa.schema([("doc_id", to_arrow_type(id_field.dataType)), ("piece", pa.int32()), ("start", pa.int64()),
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, chunk: int =
                         ("fill", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks, pattern).ids
+        encode = encoder(ranks, pattern, vocabulary).ids
         numbered = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
 

@@ -31,6 +31,15 @@ def test_ids_of_any_white_space(text):
     assert np.frombuffer(ENCODE(text), "<u4").tolist() == ids_of(text)
 
 
+def test_added_tokens_are_those_of_the_tokenizer(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a b {end} c", end, end * 3, f"{end}a", f" {end} ", f"a  {end}\n {end}b ", f"don{end}'t <|endoftext|", f"<{end}>", "<|ENDOFTEXT|>"]
+    got = {r["doc_id"]: r["ids"] for r in packing.sequences(documents(spark, list(enumerate(texts))), with_ids=True).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == [*plain.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def held(rows, got, capacity):
     """The pieces are those of every document, and sequences are gapless and within the capacity."""
     want = collections.Counter()
