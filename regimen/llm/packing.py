@@ -1,15 +1,14 @@
 """Best-fit packing of documents into token sequences, by hierarchical residual packing.
 
 ``pieces`` turns every document into its ids plus an end id and cuts only those longer than a
-sequence, into pieces of ``capacity`` tokens of which the first may be shorter. ``pack`` then
-1. packs best-fit (longest first) within each partition, in chunks of ``chunk`` pieces;
-2. emits bins that are full but for ``slack`` tokens;
-3. merges the underfull bins of ``fan`` neighbouring groups as items of a next best-fit round, up a
-   tree, until one group is left. A bin holds at most ``capacity`` pieces, so a row stays small.
-
-A group hands at most ``carry`` bins upwards, those with the most room (the one after sorting by
-fill); the others are final as they are. Every piece is in exactly one sequence either way, and no
-group grows with the input.
+sequence, into pieces of ``capacity`` tokens of which the first may be shorter. Then
+1. each partition packs its pieces best-fit (longest first), in chunks of ``chunk`` pieces;
+2. bins that are full but for ``slack`` tokens are sequences;
+3. the residue, all pieces of all other bins of all partitions, is packed best-fit once more as a whole.
+Only lengths decide in a best-fit packing, and there are at most ``capacity`` of them. So the whole residue
+is planned from the number of its pieces of each length (``planned``): a plan of a size bounded by the
+capacity, in which pieces of one length are told apart by their rank. Nothing is held back or closed early,
+and no group grows with the input.
 
 Null and empty texts are one piece with the end id alone. Rows that repeat a doc_id, or are wholly
 equal, are packed as documents of their own. An empty table gives no rows.
@@ -21,11 +20,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from regimen.llm.frames import stored
@@ -65,10 +63,60 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return owner, offset, np.array(fill, np.int64)
 
 
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, chunk: int = 50_000, with_ids: bool = False,
+def ranks_of(values: np.ndarray) -> np.ndarray:
+    """The place of each value among the equal ones, in order."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.searchsorted(ordered, ordered)
+    return out
+
+
+def planned(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best-fit packing, longest first, of ``counts[n]`` pieces of each length n, many alike bins at a time. Rows of
+    (n, first rank, pieces a bin, first sequence, offset in it): from the first rank on, each ``pieces a bin`` next
+    pieces of length n go one behind the other into the next sequence. A step uses up a class of alike bins for this
+    length or the pieces of this length, so the number of rows depends on the capacity alone."""
+    rows: list[tuple[int, int, int, int, int]] = []
+    by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]       # (first sequence, number) of alike bins
+    rooms = sequences = 0                                                          # bit r is set if a bin has r tokens of room
+
+    def put(room: int, first: int, number: int) -> None:
+        nonlocal rooms
+        if room and number:
+            by_room[room].append((first, number))
+            rooms |= 1 << room
+
+    for n in sorted((k for k, c in counts.items() if c), reverse=True):
+        rank, left = 0, counts[n]
+        while left:
+            fitting = rooms >> n
+            if fitting:
+                room = n + (fitting & -fitting).bit_length() - 1
+                first, number = by_room[room].pop()
+                if not by_room[room]:
+                    rooms ^= 1 << room
+            else:
+                room, first, number = capacity, sequences, -(-left // (capacity // n))
+                sequences += number
+            each = room // n
+            rows.append((n, rank, each, first, capacity - room))
+            whole = min(number, left // each)
+            put(room - each * n, first, whole)
+            used = whole * each
+            if whole < number and used < left:                 # the last pieces don't make up a bin's share
+                put(room - (left - used) * n, first + whole, 1)
+                whole, used = whole + 1, left
+            put(room, first + whole, number - whole)
+            rank, left = rank + used, left - used
+    return np.array(rows, np.int64).reshape(-1, 5)
+
+
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, chunk: int = 50_000, slack: int = 8, with_ids: bool = False,
            ranks: str | None = None, pattern: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """Rows of doc_id, piece, start, length, ids_crc32 (and ids), packed within their partition:
-    ``bin`` (unique) and ``offset`` in it; ``fill`` is set on the first piece of each bin."""
+    ``bin`` (unique) and ``offset`` in it; ``rank`` numbers the partition's residual pieces of each length, and is
+    null in bins that are full but for ``slack``."""
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
@@ -76,22 +124,27 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, chunk: int =
     id_field = docs.schema["doc_id"]
     schema = pa.schema([("doc_id", to_arrow_type(id_field.dataType)), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()),
-                        ("fill", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
+                        ("rank", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks, pattern, vocabulary).ids
         numbered = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
+        seen = np.zeros(capacity + 1, np.int64)       # residual pieces of each length so far
 
         def packed() -> pa.RecordBatch:
             nonlocal numbered
             columns = list(zip(*rows)) or [[]] * (5 + with_ids)
-            owner, offset, fill = best_fit(np.array(columns[3], np.int64), capacity)
-            fills = np.where(offset == 0, fill[owner], 0) if len(rows) else []
-            out = [*columns[:5], owner + numbered, offset, fills, *columns[5:]]
+            lengths = np.array(columns[3], np.int64)
+            owner, offset, fill = best_fit(lengths, capacity)
+            open_ = fill[owner] < capacity - slack if len(rows) else np.zeros(0, bool)
+            rank = np.zeros(len(rows), np.int64)
+            rank[open_] = ranks_of(lengths[open_]) + seen[lengths[open_]]
+            seen[:] += np.bincount(lengths[open_], minlength=capacity + 1)
+            out = [*columns[:5], owner + numbered, offset, pa.array(rank, mask=~open_), *columns[5:]]
             numbered += len(fill)
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -106,57 +159,36 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, chunk: int =
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, f"doc_id {id_field.dataType.simpleString()}, piece int, start long, length long, "
-                                  "ids_crc32 long, bin long, offset long, fill long" + ", ids array<int>" * with_ids)
-
-
-def _merged(capacity: int, slack: int, carry: int):
-    """One round over the bins of a group; ``members`` and ``offsets`` list the first-round bins within."""
-    def merge(bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("bin", ignore_index=True)
-        owner, offset, fill = best_fit(bins["fill"].to_numpy(), capacity)
-        order = np.lexsort((offset, owner))
-        cuts = np.flatnonzero(np.diff(owner[order])) + 1
-        rows = []
-        for at in np.split(order, cuts) if len(order) else []:
-            members = np.concatenate([bins["members"][i] for i in at])
-            offsets = np.concatenate([np.asarray(bins["offsets"][i]) + offset[i] for i in at])
-            rows.append((int(bins["bin"][at[0]]), int(fill[owner[at[0]]]), members, offsets))
-        out = pd.DataFrame(rows, columns=["bin", "fill", "members", "offsets"])
-        out["part"] = int(bins["part"].iloc[0])
-        rank = out["fill"].rank(method="first")
-        out["open"] = (out["fill"] < capacity - slack) & (rank <= carry)
-        return out[["part", "bin", "fill", "members", "offsets", "open"]]
-    return merge
-
-
-def pack(packed: DataFrame, capacity: int = 1024, slack: int = 8, fan: int = 8, carry: int = 20_000) -> DataFrame:
-    """(bin, sequence_id, base) of every first-round bin of :func:`pieces`."""
-    width = F.shiftright("bin", 33)
-    bins = packed.where("fill > 0").select("bin", "fill", width.alias("part"))
-    full = F.col("fill") >= capacity - slack
-    done = [bins.where(full).select("bin", F.col("bin").alias("sequence_id"), F.lit(0).cast("long").alias("base"))]
-    level = bins.where(~full).select("part", "bin", "fill", F.array("bin").alias("members"),
-                                     F.array(F.lit(0).cast("long")).alias("offsets"))
-    parts = (bins.agg(F.max("part")).first()[0] or 0) + 1
-    schema = "part long, bin long, fill long, members array<long>, offsets array<long>, open boolean"
-    final = lambda d: (d.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip("members", "offsets")).alias("m"))
-                       .select(F.col("m.members").alias("bin"), "sequence_id", F.col("m.offsets").alias("base")))
-    while True:
-        parts = -(-parts // fan)
-        grouped = level.withColumn("part", F.floor(F.col("part") / fan).cast("long")).groupBy("part")
-        level = stored(grouped.applyInPandas(_merged(capacity, slack, carry), schema))
-        done.append(final(level.where("not open" if parts > 1 else "true")))
-        if parts <= 1:
-            break
-        level = level.where("open").drop("open")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+                                  "ids_crc32 long, bin long, offset long, rank long" + ", ids array<int>" * with_ids)
 
 
 def sequences(docs: DataFrame, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id and offset of every piece."""
-    packed = stored(pieces(docs, capacity, end_id, with_ids=with_ids))
-    return (packed.join(pack(packed, capacity).withColumnRenamed("bin", "_bin"), F.col("bin") == F.col("_bin"))
-            .withColumn("offset", F.col("offset") + F.col("base")).drop("bin", "_bin", "base", "fill"))
+    packed = stored(pieces(docs, capacity, end_id, with_ids=with_ids).withColumn("_part", F.shiftright("bin", 33)))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "offset", *["ids"] * with_ids]
+    residue = packed.where("rank is not null")
+    counts = stored(residue.groupBy("_part", "length").agg(F.count("*").alias("n")))
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}       # at most capacity rows
+    plan = docs.sparkSession.sparkContext.broadcast(planned(total, capacity))      # of a size bounded by the capacity
+    beyond = ((packed.agg(F.max("_part")).first()[0] or 0) + 1) << 33             # above all bins of the partitions
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("_part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_begin"))
+    ranked = residue.join(begins, ["_part", "length"]).withColumn("bin", F.col("rank") + F.col("_begin"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, each, sequence, base = plan.value.T
+        order = np.lexsort((first, n))
+        n, first, each, sequence, base = n[order], first[order], each[order], sequence[order], base[order]
+        key = (n << 40) + first
+        for batch in batches:
+            lengths, ranks = batch.column("length").to_numpy(), batch.column("bin").to_numpy()
+            row = np.searchsorted(key, (lengths << 40) + ranks, "right") - 1
+            nth = ranks - first[row]
+            out = {c: batch.column(c) for c in columns}
+            out["offset"] = pa.array(base[row] + nth % each[row] * lengths)
+            yield pa.RecordBatch.from_pydict(out | {"sequence_id": pa.array(beyond + sequence[row] + nth // each[row])})
+
+    done = packed.where("rank is null").select(*columns, F.col("bin").alias("sequence_id"))
+    again = ranked.select(*columns, "bin")
+    out = done.unionByName(again.mapInArrow(place, T.StructType([*again.schema.fields[:-1]]).add("sequence_id", "long")))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "offset", *["ids"] * with_ids, "sequence_id")

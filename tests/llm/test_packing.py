@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from corpus import documents, edge_texts, pairs, small
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from regimen.llm import packing
@@ -82,6 +83,37 @@ def test_tree_of_many_partitions(spark):
     assert used <= least * 1.1 + 2
 
 
+def test_residue_of_partitions_that_only_fit_each_other(spark):
+    """Long pieces of one source meet the short ones of another, however many; the first partitions alone hold 20,400 long ones."""
+    long, short = 20_400, 10_200
+    docs = spark.createDataFrame([(k, "w" + " w" * (37 if k < long else 23)) for k in range(long + short)], "doc_id long, text string")
+    docs = docs.repartitionByRange(12, "doc_id")
+    got = packing.sequences(docs, capacity=64).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()
+    assert sorted(r["n"] for r in got) == [39] * (long - short) + [64] * short
+
+
+def test_plans_are_those_of_best_fit():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        lengths = rng.integers(1, rng.integers(2, 66), rng.integers(1, 300))
+        counts = collections.Counter(lengths.tolist())
+        plan = packing.planned(counts, 64)
+        fills = collections.Counter()
+        places = collections.defaultdict(list)
+        for n, first, each, sequence, base in plan.tolist():
+            last = min([r[1] for r in plan.tolist() if r[0] == n and r[1] > first], default=counts[n])
+            for i in range(last - first):
+                fills[sequence + i // each] += n
+                places[sequence + i // each].append((base + i % each * n, n))
+        for own in places.values():
+            at = 0
+            for offset, n in sorted(own):
+                assert offset == at
+                at += n
+            assert at <= 64
+        assert sum(fills.values()) == lengths.sum() and len(fills) == len(packing.best_fit(lengths, 64)[2])
+
+
 def test_ids_on_request_and_empty_table(spark):
     got = packing.sequences(documents(spark, [(1, "hello world")]), with_ids=True).collect()
     assert got[0]["ids"] == [*ids_of("hello world"), 2]
