@@ -20,7 +20,7 @@ document for the counts and get the same result each. Empty tables give no rows.
 
 from __future__ import annotations
 
-import itertools
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -34,8 +34,6 @@ from regimen.llm.frames import bitmap_of, maybe_in, stored, text_key
 #: the order of kinds in outputs; the first four are base kinds
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 
-WINDOW = 64
-
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -91,19 +89,21 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms within ``reach`` words, and ``WINDOW`` characters a word, on each side
-    of each span that touch no span."""
+    """(entity, term, start, end) of the nearest ``reach`` terms on each side of each span that touch no span, however
+    far they are. The text's terms are found once."""
     found: list[tuple[bytes, str, int, int]] = []
-    taken = sorted((a, b) for _, a, b in spans)
+    places = [m.span() for m in _TERM.finditer(text)] if spans else []
+    starts, ends = [a for a, _ in places], [b for _, b in places]
+    touched: set[int] = set()
+    for _, a, b in spans:
+        touched.update(range(bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)))
     for kind, a, b in spans:
         value = text[a:b].lower() if kind == "email" else "".join(_DIGIT.findall(text[a:b])) if kind != "ip" else text[a:b]
         entity = f"{kind}:{value}".encode()
-        low, high = max(0, a - WINDOW * reach), min(len(text), b + WINDOW * reach)
-        before = [m for m in _TERM.finditer(text, low, a) if m.start() > low or low == 0]
-        after = [m for m in itertools.islice(_TERM.finditer(text, b, high), reach) if m.end() < high or high == len(text)]
-        for m in before[-reach:] + after:
-            if not any(x < m.end() and m.start() < y for x, y in taken):
-                found.append((entity, m.group().translate(_LOWER), m.start(), m.end()))
+        before, after = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        for k in (*range(max(0, before - reach), before), *range(after, min(len(places), after + reach))):
+            if k not in touched:
+                found.append((entity, text[slice(*places[k])].translate(_LOWER), *places[k]))
     if not found:
         return []
     entity = _hashes([e for e, _, _, _ in found]).view(np.int64).tolist()

@@ -48,6 +48,17 @@ def test_whole_small_table(spark):
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and (r["spans"] + ",").startswith(joined and joined + ",")
 
 
+def test_contexts_reach_over_any_distance():
+    """The nearest five terms count, whatever stands between, and however long they are."""
+    far = " 1234567890 |||| " * 40
+    text = f"six five four three two one{far}kim@corp.example.com{far}un deux trois quatre cinq six"
+    got = [text[a:b] for _, _, a, b in pii.contexts(text, pii.base_spans(text), 5)]
+    assert got == "five four three two one un deux trois quatre cinq".split()
+    run = "漢字" * 400
+    text = f"{run} +1 925 555 2751 {run}。 one@two.example.com last"
+    assert [text[a:b] for e, _, a, b in pii.contexts(text, [s for s in pii.base_spans(text) if s[0] == "phone"], 1)] == [run, f"{run}。"]
+
+
 def corpus_of_disclosure():
     """``zorblax`` stands by one address in four documents and nowhere else; ``common`` stands everywhere."""
     rows = [(k, f"{sentence(k, 8)} common Zorblax wrote to kim@corp.example.com common {sentence(50 + k, 8)}") for k in range(4)]
