@@ -147,9 +147,20 @@ def _summed(terms: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return term, total
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): in how many documents of the whole corpus each of ``terms`` stands. A task sums up the counts
-    of its documents, as far as ``HELD`` entries go, before they meet ``terms``."""
+def repeated(docs: DataFrame) -> DataFrame:
+    """(text, more): every row that stands several times wholly equal, once, with the number of its further copies. Only ids and
+    hashes of all rows are shuffled; texts only of rows that a bitmap of the repeated ones lets pass."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("t", text_key(F.col("text")))
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "t")
+    several = stored(rows.groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1").select(key.alias("k")))
+    return (maybe_in(rows.withColumn("k", key), "k", bitmap_of(several, "k")).groupBy("doc_id", "t")
+            .agg(F.first("text").alias("text"), (F.count("*") - 1).alias("more")).where("more > 0").select("text", "more"))
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, copies: DataFrame) -> DataFrame:
+    """(term, n): in how many documents of the whole corpus each of ``terms`` stands; the further copies of repeated rows
+    (``copies``) are taken off. A task sums up the counts of its documents, as far as ``HELD`` entries go, and all
+    tasks' counts are summed by term before they meet ``terms``, which are dealt by term too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = [], []
 
@@ -159,7 +170,8 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         for batch in batches:
             offsets, data = arrays.buffer_of(batch.column("text"))
-            for _, _, o, d in arrays.slices(offsets, data):
+            weight = batch.column("weight").to_numpy()
+            for low, _, o, d in arrays.slices(offsets, data):
                 upper = (d >= 65) & (d <= 90)
                 lowered = d + upper.astype(np.uint8) * np.uint8(32)
                 starts, ends, first = arrays.word_bounds(o, lowered, _TERM_BYTES)
@@ -169,9 +181,8 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 words, owner = words[order], owner[order]
                 new = np.ones(len(words), bool)
                 new[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
-                term, n = np.unique(words[new], return_counts=True)
-                held[0].append(term)
-                held[1].append(n)
+                held[0].append(words[new])
+                held[1].append(weight[low + owner[new]])
                 if sum(map(len, held[0])) > HELD:
                     term, n = _summed(*held)
                     held = [term], [n]
@@ -180,18 +191,20 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                         held = [], []
         yield handed_on()
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long")
-    return maybe_in(counted, "term", bitmap_of(terms, "term")).groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.lit(1).cast("long").alias("weight"))
+    rows = rows.unionByName(copies.select("text", (-F.col("more")).cast("long").alias("weight")))
+    return rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term")
 
 
 def disclosures(docs: DataFrame, found: DataFrame, support: int, generalise: float, smoothed: bool = False) -> DataFrame:
     """(entity, term, degree) of the terms that disclose an entity to the degree ``generalise`` or more: of those that
     share ``support`` documents or more with it, and if ``smoothed`` also of all others, by smoothed counts."""
-    total = docs.count()
+    copies = stored(repeated(docs))
+    total = docs.count() - (copies.agg(F.sum("more")).first()[0] or 0)
     pairs = found.where(F.size("mentions") > 0).select("doc_id", "t", F.explode("mentions").alias("m")).select("doc_id", "t", "m.entity", "m.term").distinct()
     both = stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= (1 if smoothed else support)))
     entities = pairs.select("doc_id", "t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = term_counts(docs, stored(both.select("term").distinct())).withColumnRenamed("n", "n_term")
+    terms = term_counts(docs, stored(both.select("term").distinct()), copies).withColumnRenamed("n", "n_term")
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     holders = F.greatest("n_term", "n_both") + F.when(F.col("n_both") < support, support).otherwise(0)
     shared = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * holders))

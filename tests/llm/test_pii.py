@@ -112,6 +112,16 @@ def test_entities_of_one_or_two_documents(spark):
     assert all(got[i]["spans"] == "" for i, _ in rows[3:])
 
 
+def test_wholly_equal_rows_count_once(spark):
+    rows = [(1, "common Zorblax wrote to kim@corp.example.com common")] + [(100 + k, f"{sentence(200 + k, 4)} common wrote to call") for k in range(300)]
+    once = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, rows)).collect()}
+    assert "generalised" in once[1]
+    for copies in (2, 10):
+        for repeated in (rows[0], rows[5]):
+            got = [(r["doc_id"], r["spans"]) for r in pii.report(documents(spark, rows + [repeated] * (copies - 1))).collect()]
+            assert len(got) == len(rows) + copies - 1 and set(got) == set(once.items())
+
+
 def test_sanitise_and_edges(spark):
     docs = documents(spark, edge_texts() + corpus_of_disclosure())
     got = pii.sanitise(docs)
