@@ -1,7 +1,7 @@
 """Tables of the model: read, literal rows, derived views, versioned writes (A1-A5).
 
 A change never edits files in place: a batch of changes becomes a new version
-directory per changed table plus one manifest row, written last, that names
+directory per changed table plus one manifest, published last, that names
 the directory of every table. Readers pick the highest committed version, so
 a job that dies half way leaves the previous version intact and can be retried.
 """
@@ -13,11 +13,10 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from regimen.sources import claims
 from regimen.sources.schema import SCHEMAS, TABLES
 
 
@@ -99,46 +98,41 @@ def split_parent_child(df: DataFrame, parent_cols: dict[str, str],
     return parent, child
 
 
-_MANIFEST = T.StructType([T.StructField("version", T.LongType()),
-                          T.StructField("tables", T.StringType()),
-                          T.StructField("writer", T.StringType())])
-
-
 class TableStore:
     """A4: versioned table directories under one root on a shared file system.
 
-    A commit writes each changed table to a directory of its own
-    (``root/<table>/<writer>``) and then one JSON row under
-    ``root/_manifest/v=<n>`` that maps every table to its current directory. If
-    two writers claim one version, the row with the smaller writer id counts;
-    the other commit ends with ``VersionConflict``, and no reader sees its files.
+    A commit writes each changed table to a directory of its own (``root/<table>/<writer>``) and then claims the next
+    version by publishing ``root/_manifest/<version>.json``, which maps every table to its current directory. The
+    manifest appears whole or not at all, and one writer at most gets a version (``claims.publish``): the other commit
+    ends with ``VersionConflict``, and no reader sees its files. ``update`` builds the change anew on the other's
+    version and tries again.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _rows(self, version: str = "*") -> DataFrame | None:
-        """Manifest rows; None if there are none yet. Any other failure to read them is an error."""
-        try:
-            return self.spark.read.schema(_MANIFEST).json(f"{self.root}/_manifest/v={version}")
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/_manifest/{version:012d}.json"
+
+    def versions(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in claims.listed(self.spark, f"{self.root}/_manifest")]
+
+    def paths(self, version: int) -> dict[str, str]:
+        """The directory of every table in one version."""
+        return json.loads(claims.content(self.spark, self._manifest(version)))["tables"] if version else {}
 
     def current(self) -> tuple[int, dict[str, str]]:
-        rows = self._rows()
-        row = None if rows is None else rows.orderBy(F.col("version").desc(), "writer").first()
-        return (0, {}) if row is None else (row["version"], json.loads(row["tables"]))
-
-    def load(self) -> Model:
-        _, paths = self.current()
-        return complete(self.spark, {t: read_table(self.spark, p, t, declared=False)
-                                     for t, p in paths.items()})
-
-    def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Write the changed tables together as one new version; return its number."""
-        version, paths = self.current()
+        version = max(self.versions(), default=0)
+        return version, self.paths(version)
+
+    def load(self, version: int | None = None) -> Model:
+        """The model of the newest version, or of the given one."""
+        paths = self.current()[1] if version is None else self.paths(version)
+        return complete(self.spark, {t: read_table(self.spark, p, t, declared=False) for t, p in paths.items()})
+
+    def commit(self, changed: dict[str, DataFrame], based_on: int | None = None) -> int:
+        """Write the changed tables together as the version after ``based_on`` (by default the newest one); return its number."""
+        version, paths = self.current() if based_on is None else (based_on, self.paths(based_on))
         version += 1
         paths = dict(paths)
         writer = uuid.uuid4().hex
@@ -149,20 +143,29 @@ class TableStore:
             df.select(*SCHEMAS[name].fieldNames()).write.parquet(path)
             return name, path
 
-        # independent tables are written as concurrent jobs; the manifest row
-        # that makes the version visible is written only after all succeeded
+        # independent tables are written as concurrent jobs; the manifest that
+        # makes the version visible is published only after all succeeded
         with ThreadPoolExecutor(max_workers=min(8, max(len(changed), 1))) as pool:
             for name, path in pool.map(write, changed.items()):
                 paths[name] = path
-        conflict = VersionConflict(f"version {version} of {self.root} was committed by another writer")
-        if self._rows(str(version)) is not None:
-            raise conflict
-        entry = self.spark.createDataFrame([(version, json.dumps(paths, sort_keys=True), writer)], _MANIFEST)
-        entry.coalesce(1).write.mode("append").json(f"{self.root}/_manifest/v={version}")
-        if self._rows(str(version)).agg(F.min("writer")).first()[0] != writer:
-            raise conflict
+        entry = json.dumps({"version": version, "writer": writer, "tables": paths}, sort_keys=True)
+        if not claims.publish(self.spark, self._manifest(version), entry):
+            for name in changed:
+                claims.removed(self.spark, f"{self.root}/{name}/{writer}")
+            raise VersionConflict(f"version {version} of {self.root} was committed by another writer")
         return version
 
+    def update(self, change: Callable[[Model], dict[str, DataFrame]], attempts: int = 10) -> int:
+        """Commit ``change`` of the newest model; where another writer was first, build it anew on that version."""
+        for k in range(attempts):
+            version, _ = self.current()
+            try:
+                return self.commit(change(self.load(version)), based_on=version)
+            except VersionConflict:
+                if k + 1 == attempts:
+                    raise
+        raise ValueError("attempts")
+
 
 class VersionConflict(RuntimeError):
     """Another writer has committed the version that this one was based on."""

@@ -2,12 +2,14 @@
 
 import shutil
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from regimen.operators import lookup as B
 from regimen.operators import transform as I
+from regimen.sources import claims
 from regimen.sources.adapter import from_driver
 from regimen.sources.tables import TableStore, VersionConflict, complete, literal_table
 
@@ -65,6 +67,53 @@ def test_store_versions_are_atomic_and_exclusive(spark):
     assert TableStore(spark, root).load().setup_days.count() == 2 and TableStore(spark, root).load().setup_sessions.count() == 1
 
 
+def _days(spark, n):
+    return {"setup_days": literal_table(spark, "setup_days", [(k, k, 1) for k in range(1, n + 1)])}
+
+
+def test_of_two_writers_at_one_version_one_succeeds(spark, monkeypatch):
+    """B commits whole between A's check of the version and A's claim of it."""
+    root = _folder()
+    a, b = TableStore(spark, root), TableStore(spark, root)
+    real, made = claims.publish, []
+
+    def publish(spark, path, text):
+        if not made:
+            made.append(0)
+            made[0] = b.commit(_days(spark, 2))
+        return real(spark, path, text)
+
+    monkeypatch.setattr(claims, "publish", publish)
+    with pytest.raises(VersionConflict):
+        a.commit(_days(spark, 1))
+    assert made == [1] and a.versions() == [1] and a.load().setup_days.count() == 2
+    assert len(claims.listed(spark, f"{root}/setup_days")) == 1                       # the loser's files are gone
+
+
+def test_updates_of_many_writers_all_count(spark):
+    root = _folder()
+    TableStore(spark, root).commit(_days(spark, 1))
+
+    def more(m):
+        n = m.setup_days.agg(F.max("day_number")).first()[0]
+        return {"setup_days": m.setup_days.unionByName(literal_table(spark, "setup_days", [(n + 1, n + 1, 1)]))}
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda _: TableStore(spark, root).update(more), range(4)))
+    assert sorted(versions) == [2, 3, 4, 5]
+    assert sorted(r["id"] for r in TableStore(spark, root).load().setup_days.collect()) == ["1", "2", "3", "4", "5"]
+    assert TableStore(spark, root).load(2).setup_days.count() == 2
+
+
+def test_a_claim_is_exclusive_on_other_file_systems_too(spark, monkeypatch):
+    """The branch for Hadoop file systems, run on the local one."""
+    monkeypatch.setattr(claims, "_is_local", lambda *_: False)
+    folder = _folder()
+    assert claims.publish(spark, f"{folder}/x/1.json", "é") and not claims.publish(spark, f"{folder}/x/1.json", "b")
+    assert claims.content(spark, f"{folder}/x/1.json") == "é" and claims.listed(spark, f"{folder}/x") == ["1.json"]
+    assert claims.listed(spark, f"{folder}/none") == []
+
+
 def test_an_unreadable_manifest_is_not_an_empty_store(spark):
     root = _folder()
     TableStore(spark, root).commit({"setup_days": literal_table(spark, "setup_days", [(1, 1, 1)])})
