@@ -52,3 +52,17 @@ def k1_set_log_outcomes(spark, sf):
     """Every set log has one outcome: accepted ones are updates or unresolved."""
     _, root = _run(spark, sf)
     return K.set_log(spark, root).select("event_id", "outcome")
+
+
+@query("k1_late_workouts", T._SET_LOG + "," + T._TARGETS)
+def k1_late_workouts(spark, sf):
+    """The logs come first: a run without the workouts of keys % 3 = 0 and 1, then one without those of % 3 = 0, then
+    one with all, over the same events. Every value arrives; the final log state equals I8."""
+    m = from_driver(spark, sf)
+    logs = streamed_events(spark, m, f"{sf}/events*.parquet", sf)
+    root = None
+    for least in (2, 1, 0):
+        opened = m.replace(track_routines=m.track_routines.filter(F.col("id") % 3 >= least))
+        root = K.run_set_log_stream(opened, logs, root)
+    state = K.apply_state(m, K.current_state(spark, root))
+    return state.select("id", F.col("weight").cast("double"), "reps_done")
