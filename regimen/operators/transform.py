@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from regimen.functions.keys import det_id
 from regimen.operators.nesting import count_days
-from regimen.operators.ordinal import count_before, groups_bounded, hot_rows, largest_group, ordinal
+from regimen.operators.ordinal import count_before, groups_bounded, hot_rows, join_null_safe, largest_group, ordinal
 from regimen.operators.outline import active_slots, setup_levels, slot_sessions, track_levels
 from regimen.session import checkpoint_dir
 from regimen.sources import schema as S
@@ -472,18 +472,19 @@ def reorder_check(children: DataFrame, parent: str, ordinal_col: str,
         return _reorder_report(_reorder_frame(children, parent, ordinal_col, requests), parent)
     n = children.groupBy(parent).agg(F.count(F.lit(1)).alias("n"))
     new_int = F.col("new_order").cast("string").try_cast("int")
-    exists = children.select(parent, F.col(ordinal_col).alias("old_order"), F.lit(True).alias("_e"))
-    r = (requests.withColumn("_new", new_int)
-         .withColumn("old_order", F.col("old_order").cast("string").try_cast("int"))
-         .join(exists, [parent, "old_order"], "left"))
+    # as in the window plan, NULL is a parent and an order like any other, and children that share an order are one place
+    exists = children.select(parent, F.col(ordinal_col).alias("old_order")).distinct().withColumn("_e", F.lit(True))
+    r = join_null_safe(requests.withColumn("_new", new_int)
+                       .withColumn("old_order", F.col("old_order").cast("string").try_cast("int")),
+                       exists, [parent, "old_order"], "left")
     agg = r.groupBy(parent).agg(
         F.count(F.lit(1)).alias("listed"),
         F.count("_new").alias("integers"),
         F.countDistinct("_new").alias("distinct_new"),
         F.min("_new").alias("min_new"), F.max("_new").alias("max_new"),
         F.count("_e").alias("existing"),
-        F.countDistinct("old_order").alias("distinct_old"))
-    j = agg.join(n, parent, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        (F.countDistinct("old_order") + F.max(F.col("old_order").isNull().cast("int"))).alias("distinct_old"))
+    j = join_null_safe(agg, n, [parent], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     reason = (F.when(F.col("integers") < F.col("listed"), "not an integer")
               .when(F.col("distinct_new") < F.col("listed"), "duplicate order")
               .when((F.col("min_new") < 1) | (F.col("max_new") > F.col("n")), "order out of range")
@@ -509,10 +510,10 @@ def reorder(children: DataFrame, parent: str, ordinal_col: str,
         return out, _reorder_report(x, parent)
     report = reorder_check(children, parent, ordinal_col, requests)
     valid = report.filter(F.col("reason").isNull()).select(parent)
-    mapping = (requests.join(valid, parent, "left_semi")
+    mapping = (join_null_safe(requests, valid, [parent], "left_semi")
                .select(parent, F.col("old_order").cast("string").try_cast("int").alias(ordinal_col),
                        F.col("new_order").cast("string").try_cast("int").alias("_new")))
-    out = (children.join(mapping, [parent, ordinal_col], "left")
+    out = (join_null_safe(children, mapping, [parent, ordinal_col], "left")
            .withColumn(ordinal_col, F.coalesce("_new", ordinal_col).cast("int")).drop("_new"))
     return out.select(*children.columns), report
 

@@ -84,6 +84,29 @@ def test_reorder_plans_agree_on_random_requests(spark):
     assert got["auto"] == got["split"]
 
 
+def test_reorder_plans_agree_on_duplicate_orders_and_null_parents(spark):
+    kids = [("a1", "dup", 1), ("a2", "dup", 1), ("a3", "dup", 2), ("b1", None, 1), ("b2", None, 2), ("c1", "nil", 1), ("c2", "nil", None), ("d1", "ok", 1), ("d2", "ok", 2),
+            ("e1", "both", 1), ("e2", "both", 1)]
+    reqs = [("dup", 1, "2"), ("dup", 2, "1"), (None, 1, "2"), (None, 2, "1"), ("nil", 1, "2"), ("nil", None, "1"), ("ok", 1, "2"), ("ok", 2, "1"),
+            ("none", 1, "1"), ("both", 1, "1"), ("both", 1, "2"), ("nul2", None, "1"), ("nul2", None, "2")]
+    children, requests = _df(spark, kids, "id string, parent string, ord int"), _df(spark, reqs, "parent string, old_order int, new_order string")
+    got = {}
+    for strategy in ("window", "split"):
+        spark.conf.set("spark.regimen.ordinal.strategy", strategy)
+        try:
+            out, report = I.reorder(children, "parent", "ord", requests)
+            checked = I.reorder_check(children, "parent", "ord", requests)
+            key = lambda r: tuple(str(x) for x in r)
+            got[strategy] = (sorted(out.collect(), key=key), sorted(report.collect(), key=key), sorted(checked.collect(), key=key))
+        finally:
+            spark.conf.unset("spark.regimen.ordinal.strategy")
+    assert got["window"] == got["split"]
+    told = {r["parent"]: (r["listed"], r["n"], r["reason"]) for r in got["split"][1]}
+    assert told == {"dup": (2, 3, "incomplete permutation"), None: (2, 2, None), "nil": (2, 2, None), "ok": (2, 2, None), "none": (1, 0, "order out of range"),
+                    "both": (2, 2, "unknown exercise"), "nul2": (2, 0, "order out of range")}
+    assert {r["id"]: r["ord"] for r in got["split"][0]} == {"a1": 1, "a2": 1, "a3": 2, "b1": 2, "b2": 1, "c1": 2, "c2": 1, "d1": 2, "d2": 1, "e1": 1, "e2": 1}
+
+
 def test_cascade_delete_leaves_no_orphans(spark):
     m = seed_model(spark)
     new = I.delete_plan_tree(m, _df(spark, [("routine:ppl",)], "id string"))
