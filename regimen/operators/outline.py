@@ -57,6 +57,16 @@ def track_levels(m: Model) -> dict[str, DataFrame]:
     )
 
 
+def exercise_sets_of(m: Model, name: str) -> DataFrame:
+    """Exercises joined with their sets (``plan_sets`` or ``log_sets``), with the columns of the two levels: as the
+    source has them ready, or by the join."""
+    lv = setup_levels(m) if name == "plan_sets" else track_levels(m)
+    ready = m.joined(name)
+    if ready is None:
+        return lv["exercises"].join(lv["sets"], "sse_id")
+    return ready.select("sse_id", *[c for level in ("exercises", "sets") for c in lv[level].columns if c != "sse_id"])
+
+
 def custom_names(m: Model) -> DataFrame:
     return _r(m.custom_exercises, custom_exercise_id="id", exercise_name="name")
 
@@ -75,26 +85,25 @@ OUTLINE_COLUMNS = ["user_id", "user", "routine_id", "routine_name", "day_number"
                    "session_order", "exercise_name", "exercise_order", "cur_set"]
 
 
-def _outline(m: Model, lv: dict[str, DataFrame]) -> DataFrame:
+def _outline(m: Model, lv: dict[str, DataFrame], sets: str) -> DataFrame:
     u = _r(m.users, user_id="id", user="username")
     return (u.join(lv["routines"], "user_id")
             .join(lv["days"], "routine_id")
             .join(lv["slots"], "day_id")
             .join(lv["sessions"], "session_id")
-            .join(lv["exercises"], "session_id")
+            .join(exercise_sets_of(m, sets), "session_id")
             .join(catalog_names(m), "exercise_id")
-            .join(lv["sets"], "sse_id")
             .select(*OUTLINE_COLUMNS))
 
 
 def plan_outline(m: Model) -> DataFrame:
     """User -> routine -> day -> slot -> session -> exercise -> set (inner joins)."""
-    return _outline(m, setup_levels(m))
+    return _outline(m, setup_levels(m), "plan_sets")
 
 
 def log_outline(m: Model) -> DataFrame:
     """The same over the log tables."""
-    return _outline(m, track_levels(m))
+    return _outline(m, track_levels(m), "log_sets")
 
 
 def sort_outline(df: DataFrame) -> DataFrame:
@@ -170,9 +179,7 @@ def rest_flags(m: Model, cursors: DataFrame) -> DataFrame:
 
 def session_plan(m: Model) -> DataFrame:
     """Exercises and planned sets of every session (inner joins)."""
-    lv = setup_levels(m)
-    return (lv["exercises"].join(custom_names(m), "custom_exercise_id")
-            .join(lv["sets"], "sse_id")
+    return (exercise_sets_of(m, "plan_sets").join(custom_names(m), "custom_exercise_id")
             .select("session_id", "sse_id", "set_id", F.col("exercise_name").alias("name"),
                     F.col("exercise_order").alias("order_number"), F.col("cur_set").alias("set"),
                     F.col("reps_goal").alias("reps")))
@@ -192,8 +199,7 @@ def open_workout_sets(m: Model) -> DataFrame:
     return (lv["routines"].filter(F.col("in_progress"))
             .select("routine_id", "user_id")
             .join(lv["sessions"].withColumnRenamed("session_routine_id", "routine_id"), "routine_id")
-            .join(lv["exercises"], "session_id")
-            .join(lv["sets"], "sse_id")
+            .join(exercise_sets_of(m, "log_sets"), "session_id")
             .join(custom_names(m), "custom_exercise_id")
             .select("user_id", "routine_id", "session_id", "session_name", "sse_id", "set_id",
                     "exercise_name", "exercise_order", "cur_set", "reps_goal", "weight",
@@ -237,15 +243,15 @@ def workout_details(m: Model, requests: DataFrame) -> DataFrame:
     day_number, session_name. The date matches at second precision (B16).
     """
     lv = track_levels(m)
-    # from the requests down: a request for one workout never joins the rest of the log
-    req = requests.withColumn("_sec", second(F.col("completion_date"))).drop("completion_date")
-    workouts = lv["routines"].select("routine_id", "user_id", "routine_name", second(F.col("completion_date")).alias("_sec"))
-    return (req.join(workouts, ["user_id", "routine_name", "_sec"])
-            .join(lv["days"], ["routine_id", "day_number"])
-            .join(lv["slots"], "day_id")
-            .join(lv["sessions"].select("session_id", "session_name"), ["session_id", "session_name"])
-            .join(lv["exercises"], "session_id")
-            .join(lv["sets"], "sse_id")
+    # one row per logged session first: these narrow levels share the workout's key, so a source that deals
+    # them by it joins them in place; only requests and the sessions that they name meet by shuffle
+    sessions = (lv["routines"].select("routine_id", "user_id", "routine_name", second(F.col("completion_date")).alias("_sec"))
+                .join(lv["days"], "routine_id")
+                .join(lv["slots"].select("day_id", "session_id"), "day_id")
+                .join(lv["sessions"].select("session_id", "session_name"), "session_id"))
+    req = requests.select("request_id", "user_id", "routine_name", second(F.col("completion_date")).alias("_sec"), "day_number", "session_name")
+    return (req.join(sessions, ["user_id", "routine_name", "_sec", "day_number", "session_name"])
+            .join(exercise_sets_of(m, "log_sets"), "session_id")
             .join(custom_names(m), "custom_exercise_id")
             .select("request_id", "user_id", "routine_id", "session_id", "session_name", "sse_id",
                     "set_id", "exercise_name", "exercise_order", "cur_set", "reps_goal", "weight",

@@ -20,8 +20,8 @@ def streamed_events(spark, m, path: str, base: str, files_per_trigger: int | Non
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     checkpoint_dir(spark)
-    lookup = R.set_log_lookup(m).checkpoint()                                    # once per run, not per batch
-    return R.as_set_logs(reader.parquet(path), lookup)
+    counts, days = (t.checkpoint() for t in R.set_log_lookup(m))                 # once per run, not per batch
+    return R.as_set_logs(reader.parquet(path), counts, days)
 
 
 def _run(spark, sf):

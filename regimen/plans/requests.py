@@ -89,33 +89,34 @@ def assign_requests(spark, sf, m: Model) -> DataFrame:
     return upd.unionByName(ins).unionByName(bad)
 
 
-def set_log_lookup(m: Model) -> DataFrame:
-    """(user_id, day_number, session_name, n_days): what turns a raw event into a set log."""
-    n = m.setup_days.groupBy(F.col("setup_routine_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n_days"))
-    days = m.setup_days.select(F.col("setup_routine_id").alias("user_id"), "day_number").distinct()
-    ds = day_session(m).select(F.col("routine_id").alias("user_id"), "day_number", "session_name")
-    return days.join(n, "user_id").join(ds, ["user_id", "day_number"], "left")
+def set_log_lookup(m: Model) -> tuple[DataFrame, DataFrame]:
+    """What turns a raw event into a set log: (user_id, n_days), and (user_id, day_number, session_name) of
+    slot 1; days are unique (J1)."""
+    day = m.setup_days.select(F.col("id").alias("day_id"), "day_number", F.col("setup_routine_id").alias("user_id"))
+    first = (m.setup_days_sessions.filter(F.col("session_order") == 1).select("day_id", "session_id")
+             .join(m.setup_sessions.select(F.col("id").alias("session_id"), F.col("name").alias("session_name")), "session_id"))
+    return (day.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_days")),
+            day.join(first, "day_id", "left").select("user_id", "day_number", "session_name"))
 
 
-def as_set_logs(events: DataFrame, lookup: DataFrame) -> DataFrame:
+def as_set_logs(events: DataFrame, counts: DataFrame, days: DataFrame) -> DataFrame:
     """Set logs from raw ``events`` (a batch or a stream): user, day = event_id % days
     + 1, the day's session, exercise 1, set 1; weight = floor(value*2)/2 for even
     ids (else the raw value); reps = props.k. Raw text fields, unvalidated."""
-    counts = lookup.select("user_id", "n_days").distinct()
     w = F.when(F.col("event_id") % 2 == 0, F.floor(F.col("value") * 2) / 2).otherwise(F.col("value"))
     e = (events.join(counts, "user_id")
          .select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
                  (F.col("event_id") % F.col("n_days") + 1).cast("int").alias("day_number"),
                  w.cast("string").alias("weight_text"),
                  F.from_json("props", "k string")["k"].alias("reps_text")))
-    return (e.join(lookup.drop("n_days"), ["user_id", "day_number"], "left")
+    return (e.join(days, ["user_id", "day_number"], "left")
             .withColumn("routine_name", plan_name("user_id"))
             .withColumn("exercise_order", F.lit(1)).withColumn("set_number", F.lit(1)))
 
 
 def set_log_events(spark, sf, m: Model) -> DataFrame:
     """The set logs of the ``events`` table."""
-    return as_set_logs(driver_table(spark, sf, "events"), set_log_lookup(m))
+    return as_set_logs(driver_table(spark, sf, "events"), *set_log_lookup(m))
 
 
 def validated_set_log(events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,8 +6,10 @@ session's exercises are the order's line items (numbered by line number,
 part, supplier), each with one planned set. Orders are also logged workouts:
 status F = completed at the order date, O and P = in progress.
 
-Every table is a lazy DataFrame over the parquet files; a query pays only for
-the tables it touches, and Catalyst prunes columns down to the scan.
+Every table is a lazy DataFrame; a query pays only for the tables it touches, and Catalyst
+prunes columns down to the scan. What costs a shuffle to derive (numbered orders, numbered line items, the
+exercise catalogue with its owners) is written once per version of the source files, in buckets
+of the order (``levels``): all levels of a workout or a session then join without an exchange.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.operators.ordinal import ordinal
+from regimen.operators.ordinal import STRATEGY_CONF, ordinal
+from regimen.sources.levels import Levels
 from regimen.sources.tables import Model
 
 # Fixed values of the adapter (mirrored by the DuckDB oracle).
@@ -45,22 +48,17 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 
 def from_driver(spark: SparkSession, sf_dir: str) -> Model:
-    """The model over the driver tables, derived lazily: a query reads the files as they
-    are when it runs, and only those that its tables need."""
+    """The model over the driver tables as they are now, derived lazily: a query reads only
+    those that its tables need."""
     customer = driver_table(spark, sf_dir, "customer")
-    orders = driver_table(spark, sf_dir, "orders")
-    lineitem = driver_table(spark, sf_dir, "lineitem")
     part = driver_table(spark, sf_dir, "part")
+    numbered = Numbered(spark, sf_dir)
+    days, lines = numbered.days, numbered.lines
 
     users = customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"),
                             F.lit(PASSWORD_PLACEHOLDER).alias("password"))
     exercises = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    # a part is owned by the customer of the first order that used it
-    owner = (lineitem.select("l_orderkey", "l_partkey")
-             .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-             .groupBy("l_partkey").agg(F.min_by("o_custkey", "o_orderkey").alias("user_id")))
-    custom_exercises = (part.join(owner, F.col("p_partkey") == F.col("l_partkey"), "left")
-                        .select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "user_id"))
+    custom_exercises = numbered.exercises
 
     setup_routines = customer.select(
         F.col("c_custkey").alias("id"),
@@ -69,29 +67,17 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Model:
         (F.col("c_custkey") % DRAFT_MODULUS != 0).alias("routine_created"),
         F.lit(False).alias("routine_edit_in_progress"))
 
-    @functools.cache
-    def days():
-        return ordinal(orders.select("o_orderkey", "o_custkey", "o_orderdate"),
-                       ["o_custkey"], ["o_orderdate", "o_orderkey"], "day_number")
-
     setup_days = lambda: days().select(F.col("o_orderkey").alias("id"), "day_number",
                              F.col("o_custkey").alias("setup_routine_id"))
     session_name = F.concat(F.col("o_orderpriority"), F.lit(" "), F.col("o_orderkey").cast("string"))
-    setup_sessions = orders.select(F.col("o_orderkey").alias("id"),
+    setup_sessions = lambda: days().select(F.col("o_orderkey").alias("id"),
                                    F.col("o_custkey").alias("setup_routine_id"),
                                    session_name.alias("name"))
-    setup_days_sessions = orders.select(F.col("o_orderkey").alias("id"),
+    setup_days_sessions = lambda: days().select(F.col("o_orderkey").alias("id"),
                                         F.col("o_orderkey").alias("day_id"),
                                         F.col("o_orderkey").alias("session_id"),
                                         F.lit(1).alias("session_order"))
 
-    @functools.cache
-    def lines():
-        numbered = ordinal(lineitem.select("l_orderkey", *LINE_ORDER), ["l_orderkey"], LINE_ORDER,
-                           "exercise_order")
-        return numbered.withColumn("line_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                                                          F.col("exercise_order").cast("string")))
-
     setup_session_exercises = lambda: lines().select(
         F.col("line_id").alias("id"), F.col("l_orderkey").alias("setup_session_id"),
         F.col("l_partkey").alias("exercise_id"), F.col("l_partkey").alias("custom_exercise_id"),
@@ -103,7 +89,7 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Model:
         weight.alias("weight"), F.lit(1).alias("cur_set"), reps_goal.alias("reps_goal"),
         F.lit(None).cast("int").alias("myo_order"))
 
-    n_days = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_days"))
+    n_days = driver_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_days"))
     users_current_details = (customer.select("c_custkey")
                              .join(n_days, F.col("c_custkey") == F.col("o_custkey"), "left")
                              .select(F.col("c_custkey").alias("user_id"),
@@ -115,7 +101,7 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Model:
 
     completed = F.col("o_orderstatus") == "F"
     blocking = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % BLOCKING_MODULUS == 0)
-    track_routines = orders.select(
+    track_routines = lambda: days().select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit(ROUTINE_PREFIX), F.col("o_custkey").cast("string")).alias("name"),
         F.col("o_custkey").alias("user_id"),
@@ -125,7 +111,7 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Model:
     track_days = lambda: days().select(F.col("o_orderkey").alias("id"), "day_number",
                              F.col("o_orderkey").alias("track_routine_id"),
                              F.lit(None).cast("long").alias("setup_id"))
-    track_sessions = orders.select(F.col("o_orderkey").alias("id"),
+    track_sessions = lambda: days().select(F.col("o_orderkey").alias("id"),
                                    F.col("o_orderkey").alias("track_routine_id"),
                                    session_name.alias("name"),
                                    F.lit(None).cast("long").alias("setup_id"))
@@ -143,6 +129,12 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Model:
         reps_done.alias("reps_done"), F.lit(None).cast("int").alias("myo_order"),
         F.lit(None).cast("string").alias("setup_id"))
 
+    exercise = {"sse_id": F.col("line_id"), "session_id": F.col("l_orderkey"), "exercise_id": F.col("l_partkey"),
+                "custom_exercise_id": F.col("l_partkey"), "exercise_order": F.col("exercise_order"),
+                "exercise_comment": F.lit(None).cast("string"), "set_id": F.col("line_id"), "weight": weight,
+                "cur_set": F.lit(1), "reps_goal": reps_goal, "reps_done": reps_done, "myo_order": F.lit(None).cast("int")}
+    both = lambda: lines().select(*[c.alias(name) for name, c in exercise.items()])
+
     return Model(dict(
         users=users, users_current_details=users_current_details, exercises=exercises,
         custom_exercises=custom_exercises, setup_routines=setup_routines, setup_days=setup_days,
@@ -151,4 +143,41 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Model:
         setup_exercise_details=setup_exercise_details, track_routines=track_routines,
         track_days=track_days, track_sessions=track_sessions,
         track_days_sessions=track_days_sessions, track_session_exercises=track_session_exercises,
-        track_exercise_details=track_exercise_details))
+        track_exercise_details=track_exercise_details), dict(plan_sets=both, log_sets=both))
+
+
+class Numbered:
+    """The derived levels of one version of the driver tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.read = functools.partial(driver_table, spark, sf_dir)
+
+    @functools.cached_property
+    def levels(self) -> Levels:
+        tag = self.spark.conf.get(STRATEGY_CONF, "auto")        # the forced plans are kept apart, for tests
+        return Levels(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "part")], "" if tag == "auto" else tag)
+
+    def days(self) -> DataFrame:
+        """Orders with the number of their day among those of the customer."""
+        def build():
+            columns = ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"]
+            return ordinal(self.read("orders").select(*columns), ["o_custkey"], ["o_orderdate", "o_orderkey"], "day_number")
+        return self.levels.table("days", build, "o_orderkey", ["o_orderkey"])
+
+    def lines(self) -> DataFrame:
+        """Line items with their place in the order."""
+        def build():
+            placed = ordinal(self.read("lineitem").select("l_orderkey", *LINE_ORDER), ["l_orderkey"], LINE_ORDER, "exercise_order")
+            return placed.withColumn("line_id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("exercise_order").cast("string")))
+        return self.levels.table("lines", build, "l_orderkey", ["l_orderkey", "exercise_order"])
+
+    def exercises(self) -> DataFrame:
+        """Parts, each owned by the customer of the first order that used it."""
+        def build():
+            owner = (self.read("lineitem").select("l_orderkey", "l_partkey")
+                     .join(self.read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+                     .groupBy("l_partkey").agg(F.min_by("o_custkey", "o_orderkey").alias("user_id")))
+            return (self.read("part").join(owner, F.col("p_partkey") == F.col("l_partkey"), "left")
+                    .select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "user_id"))
+        return self.levels.table("exercises", build, "id", ["id"])

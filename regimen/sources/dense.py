@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.operators.ordinal import ordinal
-from regimen.sources.adapter import LINE_ORDER, driver_table, from_driver
+from regimen.sources.adapter import Numbered, from_driver
 from regimen.sources.tables import Model
 
 # Fixed values of the fixture (mirrored by the DuckDB oracle).
@@ -29,16 +28,20 @@ TWO_SETS_FROM = 25
 def from_driver_dense(spark: SparkSession, sf_dir: str) -> Model:
     """The denser model, derived lazily."""
     base = from_driver(spark, sf_dir)
-    orders = driver_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    numbered = Numbered(spark, sf_dir)
+    lines = numbered.lines
     key = F.col("o_orderkey")
 
-    def paired() -> DataFrame:
-        ranked = ordinal(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "rk").withColumn("day_no", F.floor((F.col("rk") + 1) / 2).cast("int"))
+    def pair() -> DataFrame:
+        ranked = numbered.days().withColumnRenamed("day_number", "rk").withColumn("day_no", F.floor((F.col("rk") + 1) / 2).cast("int"))
         heads = ranked.filter("rk % 2 = 1").select("o_custkey", "day_no", key.alias("day_id"))
         named = (F.when(key % NO_NAME_MODULUS == 0, F.lit(None).cast("string")).when(key % SAME_NAME_MODULUS == 0, F.col("o_orderpriority"))
                  .otherwise(F.concat_ws(" ", "o_orderpriority", key.cast("string"))))
         return ranked.join(heads, ["o_custkey", "day_no"]).withColumn("title", named)
 
+    def paired() -> DataFrame:
+        return numbered.levels.table("paired", pair, "o_orderkey", ["o_orderkey"])
+
     def setup_days() -> DataFrame:
         p = paired().filter("rk % 2 = 1")
         rest = (p.filter(F.col("o_custkey") % REST_MODULUS == 0).groupBy("o_custkey").agg(F.max("day_no").alias("last"))
@@ -62,10 +65,6 @@ def from_driver_dense(spark: SparkSession, sf_dir: str) -> Model:
                 .select((F.col("user_id") + F.col("k") * DRAFT_OFFSET).alias("id"), F.lit(None).cast("string").alias("name"), "user_id",
                         F.lit(False).alias("routine_created"), F.lit(False).alias("routine_edit_in_progress")))
 
-    def lines() -> DataFrame:
-        numbered = ordinal(driver_table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER), ["l_orderkey"], LINE_ORDER, "exercise_order")
-        return numbered.withColumn("line_id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("exercise_order").cast("string")))
-
     def sets() -> DataFrame:
         n = F.when(F.col("l_quantity") > TWO_SETS_FROM, 2).otherwise(1)
         return lines().withColumn("cur_set", F.explode(F.sequence(F.lit(1), n))).withColumn(

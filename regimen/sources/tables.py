@@ -20,15 +20,27 @@ from regimen.sources import claims
 from regimen.sources.schema import SCHEMAS, TABLES
 
 
+#: joins of two levels that a source may hold ready, and the tables they stand for
+JOINED = {"plan_sets": ("setup_session_exercises", "setup_exercise_details"),
+          "log_sets": ("track_session_exercises", "track_exercise_details")}
+
+
 class Model:
     """The 16 tables as DataFrames.
 
     A table may be given as a zero-argument function; it is built on first
-    use and kept, so a query pays only for the tables it reads.
+    use and kept, so a query pays only for the tables it reads. ``joined`` gives joins of levels
+    (``JOINED``) that the source has ready; they go when one of their tables is replaced.
     """
 
-    def __init__(self, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None):
+    def __init__(self, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None,
+                 joined: dict[str, Callable[[], DataFrame]] | None = None):
         self._tables = dict(tables or {})
+        self._joined = dict(joined or {})
+
+    def joined(self, name: str) -> DataFrame | None:
+        """The join ``name`` of ``JOINED``, if the source has it ready."""
+        return self._joined[name]() if name in self._joined else None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -53,7 +65,7 @@ class Model:
         unknown = set(changed) - set(TABLES)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
-        return Model({**self._tables, **changed})
+        return Model({**self._tables, **changed}, {name: df for name, df in self._joined.items() if not set(JOINED[name]) & set(changed)})
 
 
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
