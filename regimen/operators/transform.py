@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from regimen.functions.keys import det_id
 from regimen.operators.nesting import count_days
 from regimen.operators.ordinal import count_before, groups_bounded, hot_rows, join_null_safe, largest_group, ordinal
-from regimen.operators.outline import active_slots, setup_levels, slot_sessions, track_levels
+from regimen.operators.outline import active_slots, exercise_sets_of, setup_levels, slot_sessions, track_levels
 from regimen.session import checkpoint_dir
 from regimen.sources import schema as S
 from regimen.sources.tables import Model
@@ -176,56 +176,68 @@ def snapshot(m: Model, requests: DataFrame, run: str, whole_routine: bool = Fals
     stays NULL; ``setup_id`` keeps the lineage (see ``clear_lineage``).
     """
     lv = setup_levels(m)
-    wanted = ["request_id", "user_id", "routine_name"] + ([] if whole_routine else
-                                                         ["day_number", "session_name"])
-    req = requests.select(*wanted)
-    # six outputs read the resolved requests: materialise them once (one row
-    # per request) instead of re-deriving the request batch in every branch
+    named = [] if whole_routine else ["day_number", "session_name"]
     checkpoint_dir(m.setup_routines.sparkSession)
-    routines = (req.join(lv["routines"].select("routine_id", "routine_name", "user_id"),
-                         ["user_id", "routine_name"])).checkpoint(eager=True)
-    rid = det_id(run, "routine", "request_id", "routine_id")
-    track_routines = routines.select(rid.alias("id"), F.col("routine_name").alias("name"), "user_id",
-                                     F.col("routine_id").cast("string").alias("setup_id"),
-                                     F.lit(True).alias("in_progress"),
-                                     _lit_null("timestamp").alias("completion_date"))
-    base = routines.select("request_id", "routine_id", rid.alias("_rid"),
-                           *([] if whole_routine else ["day_number", "session_name"]))
-    day_keys = ["routine_id"] if whole_routine else ["routine_id", "day_number"]
-    days = base.join(lv["days"], day_keys)
-    did = det_id(run, "day", "request_id", "day_id")
-    track_days = days.select(did.alias("id"), "day_number", F.col("_rid").alias("track_routine_id"),
-                             F.col("day_id").cast("string").alias("setup_id"))
-    ses = lv["sessions"].withColumnRenamed("session_routine_id", "routine_id")
-    sessions = base.join(ses, ["routine_id"] if whole_routine else ["routine_id", "session_name"])
-    sid = det_id(run, "session", "request_id", "session_id")
-    track_sessions = sessions.select(sid.alias("id"), F.col("_rid").alias("track_routine_id"),
-                                     F.col("session_name").alias("name"),
-                                     F.col("session_id").cast("string").alias("setup_id"))
-    slots = (days.select("request_id", "day_id", did.alias("_did"))
-             .join(lv["slots"], "day_id")
-             .join(sessions.select("request_id", "session_id", sid.alias("_sid")),
-                   ["request_id", "session_id"]))
-    track_days_sessions = slots.select(det_id(run, "slot", "request_id", "slot_id").alias("id"),
-                                       F.col("_did").alias("day_id"), F.col("_sid").alias("session_id"),
-                                       "session_order")
-    exs = sessions.select("request_id", "session_id", sid.alias("_sid")).join(lv["exercises"], "session_id")
-    xid = det_id(run, "exercise", "request_id", "sse_id")
-    track_session_exercises = exs.select(xid.alias("id"), F.col("_sid").alias("track_session_id"),
-                                         "exercise_id", "custom_exercise_id", "exercise_order",
-                                         "exercise_comment", F.col("sse_id").cast("string").alias("setup_id"))
-    sets = exs.select("request_id", "sse_id", xid.alias("_xid")).join(lv["sets"], "sse_id")
-    track_exercise_details = sets.select(
-        det_id(run, "set", "request_id", "set_id").alias("id"),
-        F.col("_xid").alias("track_session_exercise_id"), "weight", "cur_set", "reps_goal",
-        _lit_null("int").alias("reps_done"), "myo_order",
-        F.col("set_id").cast("string").alias("setup_id"))
+    rows = _snapshot_walk(lv, exercise_sets_of(m, "plan_sets"), requests.select("request_id", "user_id", "routine_name", *named), named)
+    # one row per new log row, all tables together, computed once; the six tables are filters of it
+    rows = rows.checkpoint()
+    request = F.col("request_id")
+
+    def new(entity: str, source: str) -> Column:
+        return det_id(run, entity, request, F.col(source))
+
+    def of(table: str) -> DataFrame:
+        return rows.filter(F.col("table") == table)
+
+    track_routines = of("routine").select(new("routine", "key").alias("id"), F.col("name"), "user_id", F.col("key").alias("setup_id"),
+                                          F.lit(True).alias("in_progress"), _lit_null("timestamp").alias("completion_date"))
+    track_days = of("day").select(new("day", "key").alias("id"), F.col("ordinal").alias("day_number"), new("routine", "parent").alias("track_routine_id"),
+                                  F.col("key").alias("setup_id"))
+    track_sessions = of("session").select(new("session", "key").alias("id"), new("routine", "parent").alias("track_routine_id"), "name",
+                                          F.col("key").alias("setup_id"))
+    track_days_sessions = of("slot").select(new("slot", "key").alias("id"), new("day", "parent").alias("day_id"),
+                                            new("session", "parent2").alias("session_id"), F.col("ordinal").alias("session_order"))
+    track_session_exercises = of("exercise").select(new("exercise", "key").alias("id"), new("session", "parent").alias("track_session_id"), "exercise.*",
+                                                    F.col("key").alias("setup_id"))
+    track_exercise_details = of("set").select(new("set", "key").alias("id"), new("exercise", "parent").alias("track_session_exercise_id"), "set.*",
+                                              F.col("key").alias("setup_id"))
     return dict(track_routines=track_routines, track_days=track_days, track_sessions=track_sessions,
                 track_days_sessions=track_days_sessions,
                 track_session_exercises=track_session_exercises,
                 track_exercise_details=track_exercise_details)
 
 
+def _snapshot_walk(lv: dict[str, DataFrame], sets: DataFrame, requests: DataFrame, named: list[str]) -> DataFrame:
+    """The rows of all six tables that the requests copy, as one frame: table, request_id, source key and parent keys
+    as text, and the payload. ``named``: day_number and session_name, or nothing for whole routines."""
+    def text(c: str) -> Column:
+        return F.col(c).cast("string")
+
+    def rows(df: DataFrame, table: str, key: str, parent: str | None = None, parent2: str | None = None, **payload: Column) -> DataFrame:
+        found = {"user_id": F.lit(None).cast(dict(lv["routines"].dtypes)["user_id"]), "name": _lit_null("string"), "ordinal": _lit_null("int"),
+                 "exercise": F.lit(None).cast(exercise_type), "set": F.lit(None).cast(set_type)} | payload
+        return df.select(F.lit(table).alias("table"), "request_id", text(key).alias("key"), (text(parent) if parent else _lit_null("string")).alias("parent"),
+                         (text(parent2) if parent2 else _lit_null("string")).alias("parent2"), *[c.alias(n) for n, c in found.items()])
+
+    exercise = F.struct("exercise_id", "custom_exercise_id", "exercise_order", "exercise_comment")
+    one_set = F.struct("weight", "cur_set", "reps_goal", _lit_null("int").alias("reps_done"), "myo_order")
+    exercise_type = lv["exercises"].select(exercise.alias("x")).schema["x"].dataType
+    set_type = sets.select(one_set.alias("x")).schema["x"].dataType
+    routines = (requests.join(lv["routines"].select("routine_id", "routine_name", "user_id"), ["user_id", "routine_name"])).checkpoint()
+    base = routines.select("request_id", "routine_id", *named)
+    days = base.join(lv["days"], ["routine_id"] + named[:1]).select("request_id", "routine_id", "day_id", "day_number")
+    sessions = (base.join(lv["sessions"].withColumnRenamed("session_routine_id", "routine_id"), ["routine_id"] + named[1:])
+                .select("request_id", "routine_id", "session_id", "session_name")).checkpoint()
+    slots = (days.join(lv["slots"], "day_id").join(sessions.select("request_id", "session_id"), ["request_id", "session_id"]))
+    below = sessions.select("request_id", "session_id")
+    return (rows(routines, "routine", "routine_id", user_id=F.col("user_id"), name=F.col("routine_name"))
+            .unionByName(rows(days, "day", "day_id", "routine_id", ordinal=F.col("day_number")))
+            .unionByName(rows(sessions, "session", "session_id", "routine_id", name=F.col("session_name")))
+            .unionByName(rows(slots, "slot", "slot_id", "day_id", "session_id", ordinal=F.col("session_order")))
+            .unionByName(rows(below.join(lv["exercises"], "session_id"), "exercise", "sse_id", "session_id", exercise=exercise))
+            .unionByName(rows(below.join(sets, "session_id"), "set", "set_id", "sse_id", set=one_set)))
+
+
 def append_snapshot(m: Model, new: dict[str, DataFrame]) -> Model:
     """Add snapshot rows to the log tables (new model; union, no shuffle).
 
@@ -569,8 +581,8 @@ def open_set_index(m: Model) -> DataFrame:
             .join(lv["days"], "routine_id")
             .join(lv["slots"].filter(F.col("session_order") == 1), "day_id")
             .join(lv["sessions"].select("session_id", "session_name"), "session_id")
-            .join(lv["exercises"].select("sse_id", "session_id", "exercise_order"), "session_id")
-            .join(lv["sets"].select("set_id", "sse_id", F.col("cur_set").alias("set_number")), "sse_id")
+            .join(exercise_sets_of(m, "log_sets").select("session_id", "exercise_order", "set_id", F.col("cur_set").alias("set_number")),
+                  "session_id")
             .select(*TARGET_KEYS, "set_id"))
 
 
@@ -656,27 +668,42 @@ def complete_workouts(m: Model, requests: DataFrame, as_of: str) -> dict[str, Da
     return dict(track_routines=new_tr, users_current_details=advance_cursor(m, closed_users))
 
 
+PLAN_TABLES = ("setup_routines", "setup_days", "setup_sessions", "setup_days_sessions", "setup_session_exercises", "setup_exercise_details")
+
+
+def cascade(m: Model, root: str, ids: DataFrame, tables: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Delete the rows of ``root`` with the keys ``ids`` (``id``) and all that hangs on them, by the declared cascading
+    foreign keys among ``tables``. The graph is walked parents first. The deleted keys of a table that others
+    refer to are found once, by its own references, and stored; the kept rows are then told by the table's own key, so the
+    large side keeps its layout. Returns every table of ``tables``, those out of reach as they are."""
+    checkpoint_dir(ids.sparkSession)
+    keys = [(t, col, pt) for t, col, pt, _, rule in S.FOREIGN_KEYS if rule == "cascade" and t in tables and pt in tables]
+    gone = {root: ids.select("id").filter(F.col("id").isNotNull()).distinct().checkpoint()}
+    out = {t: m[t] for t in tables}
+    out[root] = m[root].join(gone[root], "id", "left_anti")
+    waiting = [t for t in tables if t != root]
+    while waiting:
+        t = next(x for x in waiting if not any(c == x and p in waiting for c, _, p in keys))         # all its parents are done
+        waiting.remove(t)
+        hits = [(col, gone[pt].withColumnRenamed("id", col)) for c, col, pt in keys if c == t and pt in gone]
+        if not hits:
+            continue
+        if any(pt == t for _, _, pt in keys):
+            found = None
+            for col, g in hits:
+                part = m[t].select("id", col).join(g, col, "left_semi").select("id")
+                found = part if found is None else found.unionByName(part)
+            gone[t] = (found if len(hits) == 1 else found.distinct()).checkpoint()
+            out[t] = m[t].join(gone[t], "id", "left_anti")
+        else:
+            for col, g in hits:
+                out[t] = out[t].join(g, col, "left_anti").select(*m[t].columns)
+    return out
+
+
 def delete_log_tree(m: Model, routine_ids: DataFrame) -> dict[str, DataFrame]:
-    """I13 on the log: delete track routines (``id``) and cascade 4 levels down."""
-    gone = routine_ids.select("id").distinct()
-    tr = m.track_routines.join(gone, "id", "left_anti")
-    days_gone = m.track_days.join(gone.withColumnRenamed("id", "track_routine_id"), "track_routine_id",
-                                  "left_semi").select(F.col("id").alias("day_id"))
-    ses_gone = m.track_sessions.join(gone.withColumnRenamed("id", "track_routine_id"),
-                                     "track_routine_id", "left_semi").select(F.col("id").alias("session_id"))
-    days = m.track_days.join(gone.withColumnRenamed("id", "track_routine_id"), "track_routine_id", "left_anti")
-    ses = m.track_sessions.join(gone.withColumnRenamed("id", "track_routine_id"), "track_routine_id",
-                                "left_anti")
-    slots = (m.track_days_sessions.join(days_gone, "day_id", "left_anti")
-             .join(ses_gone, "session_id", "left_anti"))
-    ex_gone = m.track_session_exercises.join(ses_gone.withColumnRenamed("session_id", "track_session_id"),
-                                             "track_session_id", "left_semi").select(
-        F.col("id").alias("track_session_exercise_id"))
-    ex = m.track_session_exercises.join(ses_gone.withColumnRenamed("session_id", "track_session_id"),
-                                        "track_session_id", "left_anti")
-    sets = m.track_exercise_details.join(ex_gone, "track_session_exercise_id", "left_anti")
-    return dict(track_routines=tr, track_days=days, track_sessions=ses, track_days_sessions=slots,
-                track_session_exercises=ex, track_exercise_details=sets)
+    """I13 on the log: delete track routines (``id``) and all below."""
+    return cascade(m, "track_routines", routine_ids, TRACK_TABLES)
 
 
 def discard_open_workouts(m: Model, requests: DataFrame) -> dict[str, DataFrame]:
@@ -690,41 +717,16 @@ def discard_open_workouts(m: Model, requests: DataFrame) -> dict[str, DataFrame]
 
 
 def delete_plan_tree(m: Model, routine_ids: DataFrame) -> dict[str, DataFrame]:
-    """I13 on the plan: delete setup routines (``id``) and cascade down."""
-    gone = routine_ids.select("id").distinct()
-    rk = gone.withColumnRenamed("id", "setup_routine_id")
-    days_gone = m.setup_days.join(rk, "setup_routine_id", "left_semi").select(F.col("id").alias("day_id"))
-    ses_gone = m.setup_sessions.join(rk, "setup_routine_id", "left_semi").select(
-        F.col("id").alias("session_id"))
-    return _cascade_plan(m, gone, days_gone, ses_gone)
+    """I13 on the plan: delete setup routines (``id``) and all below."""
+    return cascade(m, "setup_routines", routine_ids, PLAN_TABLES)
 
 
 def delete_sessions(m: Model, requests: DataFrame) -> dict[str, DataFrame]:
-    """Requests (routine_id, session_name) delete named sessions and below."""
-    ses_gone = (m.setup_sessions.join(
+    """Requests (routine_id, session_name) delete named sessions and all below."""
+    ids = m.setup_sessions.join(
         requests.select(F.col("routine_id").alias("setup_routine_id"), F.col("session_name").alias("name")),
-        ["setup_routine_id", "name"], "left_semi").select(F.col("id").alias("session_id")))
-    return _cascade_plan(m, None, None, ses_gone)
-
-
-def _cascade_plan(m: Model, routines_gone, days_gone, ses_gone) -> dict[str, DataFrame]:
-    """Remove the gone rows level by level (fixed depth: the plan has 4 levels
-    below a routine); ``None`` means nothing goes at that level."""
-    sr = m.setup_routines if routines_gone is None else m.setup_routines.join(routines_gone, "id", "left_anti")
-    days = (m.setup_days if days_gone is None
-            else m.setup_days.join(days_gone.withColumnRenamed("day_id", "id"), "id", "left_anti"))
-    ses = m.setup_sessions.join(ses_gone.withColumnRenamed("session_id", "id"), "id", "left_anti")
-    slots = m.setup_days_sessions.join(ses_gone, "session_id", "left_anti")
-    if days_gone is not None:
-        slots = slots.join(days_gone, "day_id", "left_anti")
-    ex_gone = m.setup_session_exercises.join(
-        ses_gone.withColumnRenamed("session_id", "setup_session_id"), "setup_session_id", "left_semi"
-    ).select(F.col("id").alias("setup_session_exercise_id"))
-    ex = m.setup_session_exercises.join(ses_gone.withColumnRenamed("session_id", "setup_session_id"),
-                                        "setup_session_id", "left_anti")
-    sets = m.setup_exercise_details.join(ex_gone, "setup_session_exercise_id", "left_anti")
-    return dict(setup_routines=sr, setup_days=days, setup_sessions=ses, setup_days_sessions=slots,
-                setup_session_exercises=ex, setup_exercise_details=sets)
+        ["setup_routine_id", "name"], "left_semi").select("id")
+    return cascade(m, "setup_sessions", ids, PLAN_TABLES)
 
 
 def restrict_check(m: Model, routine_ids: DataFrame) -> DataFrame:
