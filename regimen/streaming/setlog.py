@@ -69,14 +69,17 @@ def run_set_log_stream(m: Model, logs: DataFrame, root: str | None = None, bucke
     checkpoint_dir(spark)
     index = open_set_index(m).select(*TARGET_KEYS, F.col("set_id").cast("string").alias("set_id")).checkpoint()
 
+    here: set[int] = set()                                      # epochs that this run has judged, by this index
+
     def write(batch: DataFrame, epoch_id: int) -> None:
+        here.add(epoch_id)
         judged(batch, index).write.partitionBy("outcome").mode("overwrite").parquet(f"{root}/log/epoch={epoch_id}")
         claims.publish(spark, f"{root}/log/_epochs/{epoch_id:012d}", "")
 
     query = (logs.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    fold(spark, root, index, buckets)
+    fold(spark, root, index, buckets, here)
     return root
 
 
@@ -107,21 +110,25 @@ def _bucket(n: int):
     return F.pmod(F.xxhash64("set_id"), F.lit(n)).cast("int")
 
 
-def fold(spark: SparkSession, root: str, index: DataFrame, buckets: int = BUCKETS) -> dict:
+def fold(spark: SparkSession, root: str, index: DataFrame, buckets: int = BUCKETS, judged_here: set[int] = frozenset()) -> dict:
     """Fold the finished epochs that the state has not, and the waiting logs whose workout is open by now, into the
-    state; returns the manifest in force. A run without either leaves everything as it is."""
+    state; returns the manifest in force. A run without either leaves everything as it is. The logs of the epochs
+    ``judged_here`` were judged by ``index`` already."""
     old = manifest(spark, root) or {"number": -1, "epoch": -1, "buckets": buckets, "folders": {}, "waiting": None, "resolved": []}
     n, run = old["buckets"], uuid.uuid4().hex
     finished = claims.listed(spark, f"{root}/log/_epochs")
     last = int(finished[-1]) if finished else -1
     fresh = _epochs(spark, root, old["epoch"], "unresolved").select(*TARGET_KEYS, "weight", "reps_done", "ts", "event_id")
     earlier = _rows(spark, [old["waiting"]] if old["waiting"] else [], _WAITING)
-    waits = earlier.unionByName(fresh)                          # fresh epochs too: a run that died may have judged them by an older index
-    late = waits.join(index, TARGET_KEYS).select("set_id", "weight", "reps_done", "ts", "event_id").checkpoint()
+    waits = earlier.unionByName(fresh)
+    unjudged = any(old["epoch"] < int(e) and int(e) not in judged_here for e in finished)      # by a run that died, with an older index
+    late = _rows(spark, [], _STATE)
+    if old["waiting"] or unjudged:
+        late = (waits if unjudged else earlier).join(index, TARGET_KEYS).select("set_id", "weight", "reps_done", "ts", "event_id").checkpoint()
     new = (_epochs(spark, root, old["epoch"], "update").select("set_id", "weight", "reps_done", "ts", "event_id").unionByName(late)
            .withColumn("bucket", _bucket(n)))
     touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())          # at most ``buckets`` rows
-    none_late = late.isEmpty()
+    none_late = not (old["waiting"] or unjudged) or late.isEmpty()
     if last <= old["epoch"] and none_late:
         return old
     folders, waiting, resolved = dict(old["folders"]), old["waiting"], list(old["resolved"])
