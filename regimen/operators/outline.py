@@ -16,55 +16,64 @@ from regimen.sources.tables import Model
 
 def _r(df: DataFrame, **names: str) -> DataFrame:
     """Select and rename: ``_r(df, new=old, ...)``."""
-    return df.select(*[F.col(old).alias(new) for new, old in names.items()])
+    return df.selectExpr(*[f"`{old}` AS `{new}`" for new, old in names.items()])
 
 
 # --- building blocks: each level renamed to unambiguous columns -----------------------
 
-def setup_levels(m: Model) -> dict[str, DataFrame]:
-    return dict(
-        routines=_r(m.setup_routines, routine_id="id", routine_name="name", user_id="user_id",
-                    routine_created="routine_created"),
-        days=_r(m.setup_days, day_id="id", day_number="day_number", routine_id="setup_routine_id"),
-        slots=_r(m.setup_days_sessions, slot_id="id", day_id="day_id", session_id="session_id",
-                 session_order="session_order"),
-        sessions=_r(m.setup_sessions, session_id="id", session_name="name",
-                    session_routine_id="setup_routine_id"),
-        exercises=_r(m.setup_session_exercises, sse_id="id", session_id="setup_session_id",
-                     exercise_id="exercise_id", custom_exercise_id="custom_exercise_id",
-                     exercise_order="exercise_order", exercise_comment="exercise_comment"),
-        sets=_r(m.setup_exercise_details, set_id="id", sse_id="setup_session_exercise_id",
-                weight="weight", cur_set="cur_set", reps_goal="reps_goal", myo_order="myo_order"),
-    )
-
-
-def track_levels(m: Model) -> dict[str, DataFrame]:
-    return dict(
-        routines=_r(m.track_routines, routine_id="id", routine_name="name", user_id="user_id",
-                    in_progress="in_progress", completion_date="completion_date",
-                    routine_setup_id="setup_id"),
-        days=_r(m.track_days, day_id="id", day_number="day_number", routine_id="track_routine_id"),
-        slots=_r(m.track_days_sessions, slot_id="id", day_id="day_id", session_id="session_id",
-                 session_order="session_order"),
-        sessions=_r(m.track_sessions, session_id="id", session_name="name",
-                    session_routine_id="track_routine_id"),
-        exercises=_r(m.track_session_exercises, sse_id="id", session_id="track_session_id",
-                     exercise_id="exercise_id", custom_exercise_id="custom_exercise_id",
-                     exercise_order="exercise_order", exercise_comment="exercise_comment"),
-        sets=_r(m.track_exercise_details, set_id="id", sse_id="track_session_exercise_id",
-                weight="weight", cur_set="cur_set", reps_goal="reps_goal", reps_done="reps_done",
-                myo_order="myo_order"),
-    )
+class Levels(dict):
+    """The renamed levels of one hierarchy, each made when it is first asked for."""
+
+    def __init__(self, m: Model, spec: dict[str, tuple[str, dict[str, str]]]):
+        super().__init__()
+        self.m, self.spec = m, spec
+
+    def __missing__(self, level: str) -> DataFrame:
+        table, names = self.spec[level]
+        self[level] = _r(self.m[table], **names)
+        return self[level]
+
+
+_PLAN = dict(
+    routines=("setup_routines", dict(routine_id="id", routine_name="name", user_id="user_id", routine_created="routine_created")),
+    days=("setup_days", dict(day_id="id", day_number="day_number", routine_id="setup_routine_id")),
+    slots=("setup_days_sessions", dict(slot_id="id", day_id="day_id", session_id="session_id", session_order="session_order")),
+    sessions=("setup_sessions", dict(session_id="id", session_name="name", session_routine_id="setup_routine_id")),
+    exercises=("setup_session_exercises", dict(sse_id="id", session_id="setup_session_id", exercise_id="exercise_id",
+                                               custom_exercise_id="custom_exercise_id", exercise_order="exercise_order",
+                                               exercise_comment="exercise_comment")),
+    sets=("setup_exercise_details", dict(set_id="id", sse_id="setup_session_exercise_id", weight="weight", cur_set="cur_set",
+                                         reps_goal="reps_goal", myo_order="myo_order")))
+
+_LOG = dict(
+    routines=("track_routines", dict(routine_id="id", routine_name="name", user_id="user_id", in_progress="in_progress",
+                                     completion_date="completion_date", routine_setup_id="setup_id")),
+    days=("track_days", dict(day_id="id", day_number="day_number", routine_id="track_routine_id")),
+    slots=("track_days_sessions", dict(slot_id="id", day_id="day_id", session_id="session_id", session_order="session_order")),
+    sessions=("track_sessions", dict(session_id="id", session_name="name", session_routine_id="track_routine_id")),
+    exercises=("track_session_exercises", dict(sse_id="id", session_id="track_session_id", exercise_id="exercise_id",
+                                               custom_exercise_id="custom_exercise_id", exercise_order="exercise_order",
+                                               exercise_comment="exercise_comment")),
+    sets=("track_exercise_details", dict(set_id="id", sse_id="track_session_exercise_id", weight="weight", cur_set="cur_set",
+                                         reps_goal="reps_goal", reps_done="reps_done", myo_order="myo_order")))
+
+
+def setup_levels(m: Model) -> Levels:
+    return Levels(m, _PLAN)
+
+
+def track_levels(m: Model) -> Levels:
+    return Levels(m, _LOG)
 
 
 def exercise_sets_of(m: Model, name: str) -> DataFrame:
     """Exercises joined with their sets (``plan_sets`` or ``log_sets``), with the columns of the two levels: as the
     source has them ready, or by the join."""
-    lv = setup_levels(m) if name == "plan_sets" else track_levels(m)
-    ready = m.joined(name)
+    ready, spec = m.joined(name), _PLAN if name == "plan_sets" else _LOG
     if ready is None:
+        lv = Levels(m, spec)
         return lv["exercises"].join(lv["sets"], "sse_id")
-    return ready.select("sse_id", *[c for level in ("exercises", "sets") for c in lv[level].columns if c != "sse_id"])
+    return ready.select(*{c: None for level in ("exercises", "sets") for c in spec[level][1]})
 
 
 def custom_names(m: Model) -> DataFrame:
@@ -85,7 +94,7 @@ OUTLINE_COLUMNS = ["user_id", "user", "routine_id", "routine_name", "day_number"
                    "session_order", "exercise_name", "exercise_order", "cur_set"]
 
 
-def _outline(m: Model, lv: dict[str, DataFrame], sets: str) -> DataFrame:
+def _outline(m: Model, lv: Levels, sets: str) -> DataFrame:
     u = _r(m.users, user_id="id", user="username")
     return (u.join(lv["routines"], "user_id")
             .join(lv["days"], "routine_id")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regimen.functions.scalar import js_trim, to_int, to_weight
 from regimen.operators.setops import union_all
@@ -74,27 +75,31 @@ def dangling_references(child: DataFrame, col: str, parent: DataFrame, parent_co
 
 
 def all_dangling_references(m: Model) -> DataFrame:
-    """J3 for every declared foreign key, one join per *parent* table: the
-    references of all children of a parent are unioned (cast to the parent's
-    key type), counted by (table, column, value) before the shuffle, and only
-    the counts meet the parent keys. One row per dangling child row."""
-    by_parent: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    """J3 for every declared foreign key in one exchange: each table is scanned once and gives its own key and all its
+    references (cast to the parent's key type) as (parent, key) rows; they are summed up per task before the shuffle and
+    meet under the key, whole numbers and texts in columns of their own. A key with references that no row of the
+    parent claims is dangling. One row per dangling child row."""
+    parents: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for t, col, pt, pcol, _ in S.FOREIGN_KEYS:
-        by_parent.setdefault((pt, pcol), []).append((t, col))
-    parts = []
-    for (pt, pcol), children in by_parent.items():
-        key_type = m[pt].schema[pcol].dataType
-        refs = union_all(*[m[t].filter(F.col(col).isNotNull())
-                           .select(F.lit(t).alias("table"), F.lit(col).alias("detail"), F.col(col).cast(key_type).alias("_ref"))
-                           for t, col in children])
-        refs = refs.groupBy("table", "detail", "_ref").agg(F.count(F.lit(1)).alias("_n"))
-        p = m[pt].select(F.col(pcol).alias("_ref")).distinct().withColumn("_found", F.lit(True))
-        # a left join + IS NULL stays one join per parent (an anti join would be
-        # pushed into every branch of the union, re-joining the parent per rule)
-        miss = refs.join(p, "_ref", "left").filter(F.col("_found").isNull())
-        parts.append(miss.select(F.lit("foreign_key").alias("rule"), "table", F.col("_ref").cast("string").alias("key"), "detail",
-                                 F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i")).drop("_i"))
-    return union_all(*parts)
+        parents.setdefault((pt, pcol), []).append((t, col))
+    most = max(map(len, parents.values()))
+    entries: dict[str, list[str]] = {}
+    for k, ((pt, pcol), children) in enumerate(parents.items()):
+        kind = m[pt].schema[pcol].dataType
+        key_type, whole = kind.simpleString(), isinstance(kind, T.IntegralType)
+        for place, (t, col) in enumerate([(pt, pcol), *children], -1):
+            key = f"CAST(`{col}` AS {key_type})"
+            number, text = (f"CAST({key} AS BIGINT)", "CAST(NULL AS STRING)") if whole else ("CAST(NULL AS BIGINT)", f"CAST({key} AS STRING)")
+            entries.setdefault(t, []).append(f"IF(`{col}` IS NULL, NULL, named_struct('parent', {k}, 'number', {number}, 'text', {text}, 'place', {place}))")
+    rows = union_all(*[m[t].selectExpr(f"inline(filter(array({', '.join(found)}), x -> x IS NOT NULL))") for t, found in entries.items()])
+    sums = [F.expr(f"count_if(place = {p}) AS n{p}") for p in range(most)]
+    keys = rows.groupBy("parent", "number", "text").agg(F.expr("max(place < 0) AS there"), *sums)
+    names = ", ".join("array(" + ", ".join(f"named_struct('table', '{t}', 'detail', '{col}')" for t, col in children) + ")" for children in parents.values())
+    hits = ", ".join(f"named_struct('place', {p}, 'n', n{p})" for p in range(most))
+    return (keys.filter("NOT there")
+            .selectExpr("parent", "coalesce(CAST(number AS STRING), text) AS key", f"inline(filter(array({hits}), x -> x.n > 0))")
+            .selectExpr("'foreign_key' AS rule", "key", f"array({names})[parent][place] AS x", "explode(sequence(1L, n)) AS _i")
+            .select("rule", "x.table", "key", "x.detail"))
 
 
 def row_rules(df: DataFrame, checks: Sequence[tuple] = (), not_null: Sequence[str] = (), table: str = "") -> DataFrame:

@@ -15,8 +15,9 @@ of the order (``levels``): all levels of a workout or a session then join withou
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimen.operators.ordinal import STRATEGY_CONF, ordinal
@@ -35,115 +36,70 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def line_id(prefix: str = "l_") -> Column:
-    """Natural key of a line item as text (not unique in every data set)."""
-    return F.concat_ws("-", *[F.col(prefix + c).cast("string")
-                              for c in ("orderkey", "linenumber", "partkey", "suppkey")])
-
-
 # order of line items inside an order; every column takes part, so equal rows
 # are the only ties and the numbering is deterministic
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
               "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+_SESSION_NAME = "concat(o_orderpriority, ' ', CAST(o_orderkey AS STRING))"
+_PLAN_NAME = f"concat('{ROUTINE_PREFIX}', CAST({{}} AS STRING))"
+_COMPLETED = "o_orderstatus = 'F'"
+_NO_TEXT, _NO_INT, _NO_KEY = "CAST(NULL AS STRING)", "CAST(NULL AS INT)", "CAST(NULL AS BIGINT)"
+_WEIGHT = "CAST(l_quantity * 0.5D AS DECIMAL(6,2))"
+_GOAL = "CAST(floor(l_quantity) AS INT)"
+_DONE = "CASE WHEN l_linestatus = 'F' THEN CAST(floor(l_quantity * (1.0D - l_discount)) AS INT) END"
+_SLOTS = dict(id="o_orderkey", day_id="o_orderkey", session_id="o_orderkey", session_order="1")
+
+#: every table as columns over what it is derived from
+DERIVED: dict[str, tuple[str, dict[str, str]]] = dict(
+    users=("customer", dict(id="c_custkey", username="c_name", password=f"'{PASSWORD_PLACEHOLDER}'")),
+    users_current_details=("cursors", dict(
+        user_id="c_custkey", current_routine_id=f"CASE WHEN c_custkey % {NO_ROUTINE_MODULUS} != 0 THEN c_custkey END",
+        current_day_number="CAST(c_custkey % n_days + 1 AS INT)", current_session_number="1")),
+    exercises=("part", dict(id="p_partkey", name="p_name")),
+    custom_exercises=("exercises", dict(id="id", name="name", user_id="user_id")),
+    setup_routines=("customer", dict(
+        id="c_custkey", name=_PLAN_NAME.format("c_custkey"), user_id="c_custkey", routine_created=f"c_custkey % {DRAFT_MODULUS} != 0",
+        routine_edit_in_progress="false")),
+    setup_days=("days", dict(id="o_orderkey", day_number="day_number", setup_routine_id="o_custkey")),
+    setup_sessions=("days", dict(id="o_orderkey", setup_routine_id="o_custkey", name=_SESSION_NAME)),
+    setup_days_sessions=("days", _SLOTS),
+    setup_session_exercises=("lines", dict(
+        id="line_id", setup_session_id="l_orderkey", exercise_id="l_partkey", custom_exercise_id="l_partkey", exercise_order="exercise_order",
+        exercise_comment=_NO_TEXT)),
+    setup_exercise_details=("lines", dict(
+        id="line_id", setup_session_exercise_id="line_id", weight=_WEIGHT, cur_set="1", reps_goal=_GOAL, myo_order=_NO_INT)),
+    track_routines=("days", dict(
+        id="o_orderkey", name=_PLAN_NAME.format("o_custkey"), user_id="o_custkey",
+        setup_id=f"CASE WHEN o_orderstatus = 'P' AND o_orderkey % {BLOCKING_MODULUS} = 0 THEN o_custkey END", in_progress=f"NOT ({_COMPLETED})",
+        completion_date=f"CASE WHEN {_COMPLETED} THEN CAST(o_orderdate AS TIMESTAMP) END")),
+    track_days=("days", dict(id="o_orderkey", day_number="day_number", track_routine_id="o_orderkey", setup_id=_NO_KEY)),
+    track_sessions=("days", dict(id="o_orderkey", track_routine_id="o_orderkey", name=_SESSION_NAME, setup_id=_NO_KEY)),
+    track_days_sessions=("days", _SLOTS),
+    track_session_exercises=("lines", dict(
+        id="line_id", track_session_id="l_orderkey", exercise_id="l_partkey", custom_exercise_id="l_partkey", exercise_order="exercise_order",
+        exercise_comment=_NO_TEXT, setup_id=_NO_TEXT)),
+    track_exercise_details=("lines", dict(
+        id="line_id", track_session_exercise_id="line_id", weight=_WEIGHT, cur_set="1", reps_goal=_GOAL, reps_done=_DONE, myo_order=_NO_INT,
+        setup_id=_NO_TEXT)))
+
+#: a line item is an exercise with its one set
+_BOTH = ("lines", dict(
+    sse_id="line_id", session_id="l_orderkey", exercise_id="l_partkey", custom_exercise_id="l_partkey", exercise_order="exercise_order",
+    exercise_comment=_NO_TEXT, set_id="line_id", weight=_WEIGHT, cur_set="1", reps_goal=_GOAL, reps_done=_DONE, myo_order=_NO_INT))
+
+
 def from_driver(spark: SparkSession, sf_dir: str) -> Model:
     """The model over the driver tables as they are now, derived lazily: a query reads only
     those that its tables need."""
-    customer = driver_table(spark, sf_dir, "customer")
-    part = driver_table(spark, sf_dir, "part")
     numbered = Numbered(spark, sf_dir)
-    days, lines = numbered.days, numbered.lines
-
-    users = customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"),
-                            F.lit(PASSWORD_PLACEHOLDER).alias("password"))
-    exercises = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    custom_exercises = numbered.exercises
-
-    setup_routines = customer.select(
-        F.col("c_custkey").alias("id"),
-        F.concat(F.lit(ROUTINE_PREFIX), F.col("c_custkey").cast("string")).alias("name"),
-        F.col("c_custkey").alias("user_id"),
-        (F.col("c_custkey") % DRAFT_MODULUS != 0).alias("routine_created"),
-        F.lit(False).alias("routine_edit_in_progress"))
-
-    setup_days = lambda: days().select(F.col("o_orderkey").alias("id"), "day_number",
-                             F.col("o_custkey").alias("setup_routine_id"))
-    session_name = F.concat(F.col("o_orderpriority"), F.lit(" "), F.col("o_orderkey").cast("string"))
-    setup_sessions = lambda: days().select(F.col("o_orderkey").alias("id"),
-                                   F.col("o_custkey").alias("setup_routine_id"),
-                                   session_name.alias("name"))
-    setup_days_sessions = lambda: days().select(F.col("o_orderkey").alias("id"),
-                                        F.col("o_orderkey").alias("day_id"),
-                                        F.col("o_orderkey").alias("session_id"),
-                                        F.lit(1).alias("session_order"))
-
-    setup_session_exercises = lambda: lines().select(
-        F.col("line_id").alias("id"), F.col("l_orderkey").alias("setup_session_id"),
-        F.col("l_partkey").alias("exercise_id"), F.col("l_partkey").alias("custom_exercise_id"),
-        "exercise_order", F.lit(None).cast("string").alias("exercise_comment"))
-    weight = (F.col("l_quantity") * F.lit(0.5)).cast("decimal(6,2)")
-    reps_goal = F.floor("l_quantity").cast("int")
-    setup_exercise_details = lambda: lines().select(
-        F.col("line_id").alias("id"), F.col("line_id").alias("setup_session_exercise_id"),
-        weight.alias("weight"), F.lit(1).alias("cur_set"), reps_goal.alias("reps_goal"),
-        F.lit(None).cast("int").alias("myo_order"))
-
-    n_days = driver_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_days"))
-    users_current_details = (customer.select("c_custkey")
-                             .join(n_days, F.col("c_custkey") == F.col("o_custkey"), "left")
-                             .select(F.col("c_custkey").alias("user_id"),
-                                     F.when(F.col("c_custkey") % NO_ROUTINE_MODULUS != 0,
-                                            F.col("c_custkey")).alias("current_routine_id"),
-                                     (F.col("c_custkey") % F.col("n_days") + 1).cast("int")
-                                     .alias("current_day_number"),
-                                     F.lit(1).alias("current_session_number")))
-
-    completed = F.col("o_orderstatus") == "F"
-    blocking = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % BLOCKING_MODULUS == 0)
-    track_routines = lambda: days().select(
-        F.col("o_orderkey").alias("id"),
-        F.concat(F.lit(ROUTINE_PREFIX), F.col("o_custkey").cast("string")).alias("name"),
-        F.col("o_custkey").alias("user_id"),
-        F.when(blocking, F.col("o_custkey")).alias("setup_id"),
-        (~completed).alias("in_progress"),
-        F.when(completed, F.col("o_orderdate").cast("timestamp")).alias("completion_date"))
-    track_days = lambda: days().select(F.col("o_orderkey").alias("id"), "day_number",
-                             F.col("o_orderkey").alias("track_routine_id"),
-                             F.lit(None).cast("long").alias("setup_id"))
-    track_sessions = lambda: days().select(F.col("o_orderkey").alias("id"),
-                                   F.col("o_orderkey").alias("track_routine_id"),
-                                   session_name.alias("name"),
-                                   F.lit(None).cast("long").alias("setup_id"))
-    track_days_sessions = setup_days_sessions
-    track_session_exercises = lambda: lines().select(
-        F.col("line_id").alias("id"), F.col("l_orderkey").alias("track_session_id"),
-        F.col("l_partkey").alias("exercise_id"), F.col("l_partkey").alias("custom_exercise_id"),
-        "exercise_order", F.lit(None).cast("string").alias("exercise_comment"),
-        F.lit(None).cast("string").alias("setup_id"))
-    reps_done = F.when(F.col("l_linestatus") == "F",
-                       F.floor(F.col("l_quantity") * (F.lit(1.0) - F.col("l_discount"))).cast("int"))
-    track_exercise_details = lambda: lines().select(
-        F.col("line_id").alias("id"), F.col("line_id").alias("track_session_exercise_id"),
-        weight.alias("weight"), F.lit(1).alias("cur_set"), reps_goal.alias("reps_goal"),
-        reps_done.alias("reps_done"), F.lit(None).cast("int").alias("myo_order"),
-        F.lit(None).cast("string").alias("setup_id"))
-
-    exercise = {"sse_id": F.col("line_id"), "session_id": F.col("l_orderkey"), "exercise_id": F.col("l_partkey"),
-                "custom_exercise_id": F.col("l_partkey"), "exercise_order": F.col("exercise_order"),
-                "exercise_comment": F.lit(None).cast("string"), "set_id": F.col("line_id"), "weight": weight,
-                "cur_set": F.lit(1), "reps_goal": reps_goal, "reps_done": reps_done, "myo_order": F.lit(None).cast("int")}
-    both = lambda: lines().select(*[c.alias(name) for name, c in exercise.items()])
-
-    return Model(dict(
-        users=users, users_current_details=users_current_details, exercises=exercises,
-        custom_exercises=custom_exercises, setup_routines=setup_routines, setup_days=setup_days,
-        setup_sessions=setup_sessions, setup_days_sessions=setup_days_sessions,
-        setup_session_exercises=setup_session_exercises,
-        setup_exercise_details=setup_exercise_details, track_routines=track_routines,
-        track_days=track_days, track_sessions=track_sessions,
-        track_days_sessions=track_days_sessions, track_session_exercises=track_session_exercises,
-        track_exercise_details=track_exercise_details), dict(plan_sets=both, log_sets=both))
+
+    def derived(spec: tuple[str, dict[str, str]]) -> Callable[[], DataFrame]:
+        source, columns = spec
+        return lambda: numbered.source(source).selectExpr(*[f"{text} AS {name}" for name, text in columns.items()])
+
+    return Model({name: derived(spec) for name, spec in DERIVED.items()}, dict(plan_sets=derived(_BOTH), log_sets=derived(_BOTH)))
 
 
 class Numbered:
@@ -153,6 +109,14 @@ class Numbered:
         self.spark, self.sf_dir = spark, sf_dir
         self.read = functools.partial(driver_table, spark, sf_dir)
 
+    def source(self, name: str) -> DataFrame:
+        return getattr(self, name)() if name in ("days", "lines", "exercises", "cursors") else self.read(name)
+
+    def cursors(self) -> DataFrame:
+        """Customers with their number of orders."""
+        n_days = self.read("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_days"))
+        return self.read("customer").select("c_custkey").join(n_days, F.col("c_custkey") == F.col("o_custkey"), "left")
+
     @functools.cached_property
     def levels(self) -> Levels:
         tag = self.spark.conf.get(STRATEGY_CONF, "auto")        # the forced plans are kept apart, for tests
