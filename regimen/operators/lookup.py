@@ -81,6 +81,12 @@ def session_exercise_ids(m: Model, requests: DataFrame) -> DataFrame:
     return _resolve(requests, dim, ["session_id", "exercise_order"], "id", "sse_id")
 
 
+def logged_exercise_ids(m: Model, requests: DataFrame) -> DataFrame:
+    """B7 on the log: (track_session_id, exercise_order) -> logged exercise id, with or without a custom exercise."""
+    dim = m.track_session_exercises.select("track_session_id", "exercise_order", "id")
+    return _resolve(requests, dim, ["track_session_id", "exercise_order"], "id", "track_session_exercise_id")
+
+
 def session_name_exists(m: Model, requests: DataFrame) -> DataFrame:
     """(routine_id, session_name) -> ``exists`` (case-insensitive)."""
     dim = (m.setup_sessions.select(F.col("setup_routine_id").alias("routine_id"),

@@ -15,9 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regimen.operators.ordinal import groups_bounded, hot_rows, join_null_safe, largest_group, ordinal, proven_bounded
-from regimen.operators.outline import (day_exercise_rows, days_with_sessions, open_workout_sets,
-                                       session_plan, workout_details)
+from regimen.operators.ordinal import groups_bounded, hot_rows, join_null_safe, largest_sum, ordinal, proven_bounded
+from regimen.operators.outline import (day_exercise_rows, days_with_sessions, exercise_sets_of, open_workout_sets,
+                                       requested_sessions, session_plan, track_levels, workout_details)
 from regimen.sources.tables import Model
 
 
@@ -81,7 +81,7 @@ def day_outline(m: Model) -> DataFrame:
     has one row with NULL exercise; empty exercise names are skipped.
     """
     rows = day_exercise_rows(m)
-    if day_rows_bound(m) <= hot_rows(m.setup_days.sparkSession):
+    if day_rows_bound(m) <= hot_rows(rows.sparkSession):
         return _day_outline_one_pass(rows)
     # a hot day: every later group lies inside one day, all of them split
     bounded = False
@@ -101,10 +101,16 @@ def day_outline(m: Model) -> DataFrame:
 
 
 def day_rows_bound(m: Model) -> int:
-    """Upper bound of outline rows per day from two base-table aggregates:
-    (slots of the largest day) x (exercises of the largest session). Cheaper
-    than measuring the joined rows, and a proof for the one-pass plan."""
-    return largest_group((m.setup_days_sessions, ["day_id"]), (m.setup_session_exercises, ["setup_session_id"]))
+    """Outline rows of the largest day: the exercises of each session are counted where they lie and
+    summed over the slots of each day."""
+    n = m.setup_session_exercises.groupBy(F.col("setup_session_id").alias("session_id")).agg(F.count(F.lit(1)).alias("n"))
+    slots = m.setup_days_sessions.select("day_id", "session_id").join(n, "session_id", "left")
+    return largest_sum(slots.withColumn("n", F.coalesce("n", F.lit(1))), ["day_id"])
+
+
+def sets_of_sessions(m: Model, name: str) -> DataFrame:
+    """(session_id, n): the sets below each session, counted where they lie."""
+    return exercise_sets_of(m, name).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _day_outline_one_pass(rows: DataFrame) -> DataFrame:
@@ -216,9 +222,11 @@ def open_session_exercises(m: Model) -> DataFrame:
     interleave, with session id and set id as tie-break.
     """
     rows = open_workout_sets(m)
-    bounded = proven_bounded(rows.sparkSession, (m.track_routines.filter("in_progress"), ["user_id"]),
-                             (m.track_sessions, ["track_routine_id"]), (m.track_session_exercises, ["track_session_id"]),
-                             (m.track_exercise_details, ["track_session_exercise_id"]))
+    lv = track_levels(m)
+    sessions = (lv["routines"].filter("in_progress").select("routine_id", "user_id")
+                .join(lv["sessions"].withColumnRenamed("session_routine_id", "routine_id"), "routine_id"))
+    counted = sessions.join(sets_of_sessions(m, "log_sets"), "session_id")
+    bounded = largest_sum(counted, ["user_id", "session_name"]) <= hot_rows(rows.sparkSession)
     return runs(rows, ["user_id", "session_name"], ["exercise_name", "exercise_order"],
                 ["exercise_order", "cur_set", "session_id", "set_id"],
                 run_name="exercise_pos", item_name="set_pos", bounded=bounded)
@@ -232,8 +240,7 @@ def exercise_first_order(m: Model) -> DataFrame:
 
 def plan_sets_by_order(m: Model) -> DataFrame:
     """Planned sets grouped under their exercise by order number (runs of order)."""
-    bounded = proven_bounded(m.setup_sessions.sparkSession, (m.setup_session_exercises, ["setup_session_id"]),
-                             (m.setup_exercise_details, ["setup_session_exercise_id"]))
+    bounded = largest_sum(sets_of_sessions(m, "plan_sets"), ["session_id"]) <= hot_rows(m.setup_sessions.sparkSession)
     return runs(session_plan(m), ["session_id"], ["order_number"], ["order_number", "set", "set_id"],
                 run_name="exercise_pos", item_name="set_pos", bounded=bounded)
 
@@ -241,7 +248,7 @@ def plan_sets_by_order(m: Model) -> DataFrame:
 def workout_page(m: Model, requests: DataFrame) -> DataFrame:
     """D6 on C13: the exercises (with comment) and sets of requested workouts, by request."""
     rows = workout_details(m, requests)
-    bounded = proven_bounded(rows.sparkSession, (requests, ["request_id"]), (m.track_session_exercises, ["track_session_id"]),
-                             (m.track_exercise_details, ["track_session_exercise_id"]))
+    counted = requested_sessions(m, requests).join(sets_of_sessions(m, "log_sets"), "session_id")
+    bounded = largest_sum(counted, ["request_id"]) <= hot_rows(rows.sparkSession)
     return runs(rows, ["request_id"], ["exercise_name", "exercise_order"], ["exercise_order", "cur_set", "set_id"],
                 run_name="exercise_pos", item_name="set_pos", bounded=bounded)

@@ -179,9 +179,9 @@ def active_slots(m: Model) -> DataFrame:
 
 def rest_flags(m: Model, cursors: DataFrame) -> DataFrame:
     """C11: ``is_rest`` for each (routine_id, day_number, session_order) request row."""
-    hit = active_slots(m).withColumn("_active", F.lit(True))
-    return (cursors.join(hit, ["routine_id", "day_number", "session_order"], "left")
-            .withColumn("is_rest", F.col("_active").isNull()).drop("_active"))
+    keys = ["routine_id", "day_number", "session_order"]
+    hit = active_slots(m).join(cursors.select(*keys), keys, "left_semi").distinct().withColumn("_active", F.lit(True))   # asked slots, each once
+    return cursors.join(hit, keys, "left").withColumn("is_rest", F.col("_active").isNull()).drop("_active")
 
 
 # --- C7 / C8: plan of a session ------------------------------------------------------
@@ -245,12 +245,8 @@ def second(ts: Column) -> Column:
     return F.date_trunc("second", ts.cast("timestamp"))
 
 
-def workout_details(m: Model, requests: DataFrame) -> DataFrame:
-    """Detail rows of requested workouts (7 tables).
-
-    ``requests``: request_id, user_id, routine_name, completion_date,
-    day_number, session_name. The date matches at second precision (B16).
-    """
+def requested_sessions(m: Model, requests: DataFrame) -> DataFrame:
+    """The logged sessions of the requested workouts: request_id, user_id, routine_id, session_id, session_name."""
     lv = track_levels(m)
     # one row per logged session first: these narrow levels share the workout's key, so a source that deals
     # them by it joins them in place; only requests and the sessions that they name meet by shuffle
@@ -260,6 +256,16 @@ def workout_details(m: Model, requests: DataFrame) -> DataFrame:
                 .join(lv["sessions"].select("session_id", "session_name"), "session_id"))
     req = requests.select("request_id", "user_id", "routine_name", second(F.col("completion_date")).alias("_sec"), "day_number", "session_name")
     return (req.join(sessions, ["user_id", "routine_name", "_sec", "day_number", "session_name"])
+            .select("request_id", "user_id", "routine_id", "session_id", "session_name"))
+
+
+def workout_details(m: Model, requests: DataFrame) -> DataFrame:
+    """Detail rows of requested workouts (7 tables).
+
+    ``requests``: request_id, user_id, routine_name, completion_date,
+    day_number, session_name. The date matches at second precision (B16).
+    """
+    return (requested_sessions(m, requests)
             .join(exercise_sets_of(m, "log_sets"), "session_id")
             .join(custom_names(m), "custom_exercise_id")
             .select("request_id", "user_id", "routine_id", "session_id", "session_name", "sse_id",

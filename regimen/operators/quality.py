@@ -165,10 +165,9 @@ def name_problem(name: Column, max_len: int | None = None) -> Column:
     """Trimmed name of length 1..max_len made of letters, digits, ( ) + - and space."""
     limit = max_len or S.NAME_MAX
     t = js_trim(name)
-    return (F.when(t.isNull() | (F.length(t) == 0), F.lit("name is empty"))
-            .when(F.length(t) > limit, F.lit(f"name longer than {limit}"))
-            .when(~t.rlike(S.NAME_PATTERN), F.lit("name has characters other than letters, "
-                                                  "digits, ( ) + - and space")))
+    return (F.when(t.isNull() | (F.length(t) == 0), F.lit("name:empty"))
+            .when(F.length(t) > limit, F.lit("name:too_long"))
+            .when(~t.rlike(S.NAME_PATTERN), F.lit("name:bad_character")))
 
 
 def name_violations(df: DataFrame, name: str, key: str, table: str = "",

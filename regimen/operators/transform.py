@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimen.functions.keys import det_id
+from regimen.operators.lookup import logged_exercise_ids, session_ids
 from regimen.operators.nesting import count_days
 from regimen.operators.ordinal import count_before, groups_bounded, hot_rows, join_null_safe, largest_group, ordinal
 from regimen.operators.outline import active_slots, exercise_sets_of, setup_levels, slot_sessions, track_levels
@@ -344,6 +345,15 @@ def add_logged_sets(m: Model, requests: DataFrame, run: str) -> DataFrame:
                          _lit_null("int").alias("myo_order"), _lit_null("string").alias("setup_id"))
 
 
+def add_logged_sets_by_order(m: Model, requests: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
+    """I4 (log) by address: requests (request_id, seq, track_session_id, exercise_order) add a set to the exercise at that
+    place (B7). Returns the new sets and the requests that name no exercise."""
+    found = logged_exercise_ids(m, requests)
+    known = F.col("track_session_exercise_id").isNotNull()
+    new = add_logged_sets(m, found.filter(known).select("request_id", "seq", "track_session_exercise_id"), run)
+    return new, found.filter(~known).select("request_id", F.lit("unknown exercise").alias("reason"))
+
+
 def add_planned_sets(m: Model, requests: DataFrame, run: str) -> DataFrame:
     """I4 (plan): a new set at ``COALESCE(MAX(cur_set), 0) + 1`` of a planned exercise."""
     placed = append_children(m.setup_exercise_details, "setup_session_exercise_id", "cur_set", requests)
@@ -788,6 +798,16 @@ def rename_sessions(m: Model, requests: DataFrame) -> tuple[DataFrame, DataFrame
     return new, bad.withColumnRenamed("id", "session_id")
 
 
+def rename_sessions_named(m: Model, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """I18 for sessions by their present name: requests (request_id, seq, routine_id, session_name, new_name); B2 finds the
+    session, and all requests of a batch mean the names before it. Returns (new setup_sessions, rejected requests
+    with reason); a name that the routine doesn't have is an unknown session."""
+    found = session_ids(m, requests)
+    new, bad = rename_sessions(m, found.filter(F.col("session_id").isNotNull()).select("request_id", "seq", "session_id", "new_name"))
+    unknown = found.filter(F.col("session_id").isNull()).select("request_id", F.lit("unknown session").alias("reason"))
+    return new, bad.select("request_id", "reason").unionByName(unknown)
+
+
 def rename_routines(m: Model, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """I18 for routines: requests (request_id, seq, routine_id, new_name); 1 to 100
     characters, unique among the user's *created* routines."""

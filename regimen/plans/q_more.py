@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from regimen.functions import scalar as H
+from regimen.operators import lookup as B
 from regimen.operators import nesting as D
 from regimen.operators import outline as C
 from regimen.operators import paging as P
@@ -275,10 +276,10 @@ req AS (
   UNION ALL SELECT user_id * 3 + 2, 3, user_id, upper(first_name) FROM owned WHERE user_id % 7 = 0),
 r AS (
   SELECT request_id, seq, user_id, trim(name, ' ') AS name, lower(trim(name, ' ')) AS lname,
-         CASE WHEN length(trim(name, ' ')) = 0 THEN 'name is empty'
-              WHEN length(trim(name, ' ')) > 255 THEN 'name longer than 255'
+         CASE WHEN length(trim(name, ' ')) = 0 THEN 'name:empty'
+              WHEN length(trim(name, ' ')) > 255 THEN 'name:too_long'
               WHEN NOT regexp_full_match(trim(name, ' '), '[a-zA-Z0-9()+\- ]+')
-                THEN 'name has characters other than letters, digits, ( ) + - and space' END AS p
+                THEN 'name:bad_character' END AS p
   FROM req),
 firsts AS (SELECT user_id, lname, arg_min(request_id, (seq, request_id)) AS first_id
            FROM r WHERE p IS NULL GROUP BY 1, 2),
@@ -387,9 +388,9 @@ req AS (
   FROM customer),
 judged AS (
   SELECT *, trim(new_name, ' ') AS clean,
-         CASE WHEN trim(new_name, ' ') = '' THEN 'name is empty' WHEN length(trim(new_name, ' ')) > 100 THEN 'name longer than 100'
+         CASE WHEN trim(new_name, ' ') = '' THEN 'name:empty' WHEN length(trim(new_name, ' ')) > 100 THEN 'name:too_long'
               WHEN NOT regexp_full_match(trim(new_name, ' '), '[a-zA-Z0-9()+\- ]+')
-                THEN 'name has characters other than letters, digits, ( ) + - and space' END AS reason
+                THEN 'name:bad_character' END AS reason
   FROM req)
 """
 
@@ -473,3 +474,82 @@ def i7_repeated_requests(spark, sf):
         (F.col("routine_id") * 4 + F.col("k")).alias("request_id"), F.lit(1).alias("seq"), "routine_id", F.lit(1).alias("day_number"),
         F.lit(1).alias("slot"), "session_name")
     return I.assign_sessions(m, req, RUN)[0].select("day_id", "session_id", "session_order")
+
+
+# --- addresses: logged exercises, sessions by name, restricted deletes ---------------------------
+
+_NEXT_PLACE = "SELECT track_session_id, exercise_order + 1 AS exercise_order FROM track_session_exercises"
+
+
+@query("b7_logged_exercise_ids", f"""
+SELECT q.track_session_id, q.exercise_order, x.id AS track_session_exercise_id
+FROM ({_NEXT_PLACE}) q LEFT JOIN track_session_exercises x USING (track_session_id, exercise_order)""")
+def b7_logged_exercise_ids(spark, sf):
+    """B7 on the log: the exercise after each logged one; the last of a session names nothing."""
+    m = from_driver(spark, sf)
+    req = m.track_session_exercises.selectExpr("track_session_id", "exercise_order + 1 AS exercise_order")
+    return B.logged_exercise_ids(m, req)
+
+
+@query("i4_add_logged_sets_by_order", f"""
+req AS (SELECT id AS request_id, track_session_id, exercise_order + 1 AS exercise_order FROM track_session_exercises),
+found AS (SELECT q.request_id, x.id AS parent FROM req q LEFT JOIN track_session_exercises x USING (track_session_id, exercise_order)),
+base AS (SELECT track_session_exercise_id AS parent, count(cur_set) AS n FROM track_exercise_details GROUP BY 1)
+SELECT {_h('set', 'request_id')} AS id, parent, CAST(coalesce(n, 0) + 1 AS INTEGER) AS cur_set, NULL AS reason FROM found LEFT JOIN base USING (parent)
+WHERE parent IS NOT NULL
+UNION ALL SELECT request_id, NULL, NULL, 'unknown exercise' FROM found WHERE parent IS NULL""")
+def i4_add_logged_sets_by_order(spark, sf):
+    """I4 (log) by address: every logged exercise asks for a set of the next one in its session."""
+    m = from_driver(spark, sf)
+    req = m.track_session_exercises.selectExpr("id AS request_id", "1 AS seq", "track_session_id", "exercise_order + 1 AS exercise_order")
+    new, bad = I.add_logged_sets_by_order(m, req, RUN)
+    return (new.selectExpr("id", "track_session_exercise_id AS parent", "cur_set", "CAST(NULL AS STRING) AS reason")
+            .unionByName(bad.selectExpr("request_id AS id", "CAST(NULL AS STRING) AS parent", "CAST(NULL AS INT) AS cur_set", "reason")))
+
+
+_RENAME_NAMED = """
+req AS (SELECT id AS request_id, setup_routine_id AS routine_id, CASE WHEN id % 3 = 0 THEN lower(name) ELSE name END AS session_name,
+               CASE WHEN id % 5 = 0 THEN '  ' ELSE ' Day ' || CAST(id AS VARCHAR) END AS new_name FROM setup_sessions WHERE id % 2 = 1),
+found AS (SELECT q.*, s.id FROM req q LEFT JOIN setup_sessions s ON s.setup_routine_id = q.routine_id AND s.name = q.session_name),
+judged AS (SELECT *, CASE WHEN id IS NULL THEN 'unknown session' WHEN trim(new_name, ' ') = '' THEN 'name:empty' END AS reason FROM found)
+"""
+
+
+@query("i18_rename_sessions_by_name", _RENAME_NAMED + """
+SELECT CAST(s.id AS VARCHAR) AS id, coalesce(trim(j.new_name, ' '), s.name) AS name, NULL AS reason
+FROM setup_sessions s LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) j ON j.id = s.id
+UNION ALL SELECT CAST(request_id AS VARCHAR), NULL, reason FROM judged WHERE reason IS NOT NULL""")
+def i18_rename_sessions_by_name(spark, sf):
+    """I18 by the present name (B2): odd sessions; those of keys % 3 = 0 are asked for in other case, % 5 = 0 get a blank."""
+    m = from_driver(spark, sf)
+    req = m.setup_sessions.filter("id % 2 = 1").selectExpr(
+        "id AS request_id", "1 AS seq", "setup_routine_id AS routine_id", "IF(id % 3 = 0, lower(name), name) AS session_name",
+        "IF(id % 5 = 0, '  ', concat(' Day ', CAST(id AS STRING))) AS new_name")
+    new, bad = I.rename_sessions_named(m, req)
+    return (new.selectExpr("CAST(id AS STRING) AS id", "name", "CAST(NULL AS STRING) AS reason")
+            .unionByName(bad.selectExpr("CAST(request_id AS STRING) AS id", "CAST(NULL AS STRING) AS name", "reason")))
+
+
+@query("i14_delete_allowed_routines", """
+req AS (SELECT id FROM setup_routines WHERE id % 2 = 0),
+held AS (SELECT id, id IN (SELECT current_routine_id FROM users_current_details WHERE current_routine_id IS NOT NULL) AS cur,
+                id IN (SELECT setup_id FROM track_routines WHERE setup_id IS NOT NULL) AS lin FROM req),
+gone AS (SELECT id FROM held WHERE NOT cur AND NOT lin),
+ss AS (SELECT id FROM setup_sessions WHERE setup_routine_id NOT IN (SELECT id FROM gone)),
+sse AS (SELECT id FROM setup_session_exercises WHERE setup_session_id IN (SELECT id FROM ss))
+SELECT 'setup_routines' AS "table", CAST(id AS VARCHAR) AS id, NULL AS blocked_by FROM setup_routines WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'setup_days', CAST(id AS VARCHAR), NULL FROM setup_days WHERE setup_routine_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'setup_sessions', CAST(id AS VARCHAR), NULL FROM ss
+UNION ALL SELECT 'setup_days_sessions', CAST(id AS VARCHAR), NULL FROM setup_days_sessions WHERE session_id IN (SELECT id FROM ss)
+UNION ALL SELECT 'setup_session_exercises', CAST(id AS VARCHAR), NULL FROM sse
+UNION ALL SELECT 'setup_exercise_details', CAST(id AS VARCHAR), NULL FROM setup_exercise_details WHERE setup_session_exercise_id IN (SELECT id FROM sse)
+UNION ALL SELECT 'blocked', CAST(id AS VARCHAR), concat_ws(', ', CASE WHEN cur THEN 'current routine' END, CASE WHEN lin THEN 'log lineage' END)
+FROM held WHERE cur OR lin""")
+def i14_delete_allowed_routines(spark, sf):
+    """I13 + I14: every second routine is to be deleted; those that are current or have lineage stay, the others go with all below."""
+    m = from_driver(spark, sf)
+    new, blocked = I.delete_routines(m, m.setup_routines.filter("id % 2 = 0").select("id"))
+    out = blocked.selectExpr("'blocked' AS `table`", "CAST(id AS STRING) AS id", "blocked_by")
+    for t, df in new.items():
+        out = out.unionByName(df.selectExpr(f"'{t}' AS `table`", "CAST(id AS STRING) AS id", "CAST(NULL AS STRING) AS blocked_by"))
+    return out

@@ -332,9 +332,9 @@ def j_model_violations(spark, sf, model=from_driver):
 
 _NAME_SQL = r"""
 SELECT 'name' AS rule, '{t}' AS "table", CAST({key} AS VARCHAR) AS key,
-       CASE WHEN {n} IS NULL OR length(trim({n}, ' ')) = 0 THEN 'name is empty'
-            WHEN length(trim({n}, ' ')) > {mx} THEN 'name longer than {mx}'
-            ELSE 'name has characters other than letters, digits, ( ) + - and space' END AS detail
+       CASE WHEN {n} IS NULL OR length(trim({n}, ' ')) = 0 THEN 'name:empty'
+            WHEN length(trim({n}, ' ')) > {mx} THEN 'name:too_long'
+            ELSE 'name:bad_character' END AS detail
 FROM {t} WHERE {n} IS NULL OR length(trim({n}, ' ')) = 0 OR length(trim({n}, ' ')) > {mx}
    OR NOT regexp_full_match(trim({n}, ' '), '[a-zA-Z0-9()+\- ]+')"""
 

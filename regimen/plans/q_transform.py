@@ -552,10 +552,10 @@ req AS (
   WHERE c.c_custkey % 4 = 0),
 r AS (
   SELECT q.*, s.setup_routine_id, lower(q.new_name) AS lname,
-         CASE WHEN q.new_name IS NULL OR length(trim(q.new_name, ' ')) = 0 THEN 'name is empty'
-              WHEN length(q.new_name) > 255 THEN 'name longer than 255'
+         CASE WHEN q.new_name IS NULL OR length(trim(q.new_name, ' ')) = 0 THEN 'name:empty'
+              WHEN length(q.new_name) > 255 THEN 'name:too_long'
               WHEN NOT regexp_full_match(q.new_name, '[a-zA-Z0-9()+\- ]+')
-                THEN 'name has characters other than letters, digits, ( ) + - and space' END AS p
+                THEN 'name:bad_character' END AS p
   FROM req q JOIN setup_sessions s ON s.id = q.session_id),
 r2 AS (
   SELECT r.*, coalesce(p,
@@ -593,10 +593,10 @@ req AS (
   UNION ALL SELECT c_custkey * 3 + 2, 3, c_custkey, '  Bad#Name ' FROM customer WHERE c_custkey % 10 = 0),
 r AS (
   SELECT request_id, seq, setup_routine_id, trim(name, ' ') AS name, lower(trim(name, ' ')) AS lname,
-         CASE WHEN length(trim(name, ' ')) = 0 THEN 'name is empty'
-              WHEN length(trim(name, ' ')) > 255 THEN 'name longer than 255'
+         CASE WHEN length(trim(name, ' ')) = 0 THEN 'name:empty'
+              WHEN length(trim(name, ' ')) > 255 THEN 'name:too_long'
               WHEN NOT regexp_full_match(trim(name, ' '), '[a-zA-Z0-9()+\- ]+')
-                THEN 'name has characters other than letters, digits, ( ) + - and space' END AS p
+                THEN 'name:bad_character' END AS p
   FROM req),
 firsts AS (SELECT setup_routine_id, lname, arg_min(request_id, (seq, request_id)) AS first_id
            FROM r WHERE p IS NULL GROUP BY 1, 2),

@@ -40,8 +40,8 @@ def test_reps_rules_and_integer_parse(spark):
 
 def test_name_rule(spark):
     got = _one(spark, ["Push ups", "a%b", "a_b", "line\n", " ok ", "", "x" * 256, "(A)+-1"], J.name_problem)
-    bad_chars = "name has characters other than letters, digits, ( ) + - and space"
-    assert got == [None, bad_chars, bad_chars, None, None, "name is empty", "name longer than 255", None]
+    bad_chars = "name:bad_character"
+    assert got == [None, bad_chars, bad_chars, None, None, "name:empty", "name:too_long", None]
 
 
 def test_whole_match_rejects_trailing_newline(spark):

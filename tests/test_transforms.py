@@ -140,7 +140,7 @@ def test_rename_case_only_is_allowed_and_clash_refused(spark):
     assert names["ses:Push"] == "PUSH" and names["ses:Pull"] == "Pull"
     assert {r.request_id: r.reason for r in rejected.collect()} == {
         2: "name already used",
-        3: "name has characters other than letters, digits, ( ) + - and space"}
+        3: "name:bad_character"}
 
 
 def test_create_named_dedupes_in_batch(spark):
@@ -151,7 +151,7 @@ def test_create_named_dedupes_in_batch(spark):
     new, rejected = I.create_named(m.setup_sessions, "setup_routine_id", req, "t", "session")
     assert [r.name for r in new.collect()] == ["Core"]
     assert {r.request_id: r.reason for r in rejected.collect()} == {
-        2: "duplicate in batch", 3: "name already used", 4: "name is empty"}
+        2: "duplicate in batch", 3: "name already used", 4: "name:empty"}
 
 
 def test_select_routine_resets_cursor_only_on_change(spark):
