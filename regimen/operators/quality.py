@@ -37,13 +37,23 @@ def repeated_keys(df: DataFrame, keys: Sequence[tuple[str, Sequence[Column], Seq
 
     Every row yields one entry per key; entries are counted together, pre-aggregated
     per task."""
+    found = key_entries(df, keys).groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return key_report(found, table, F.col("_n"))
+
+
+def key_entries(df: DataFrame, keys: Sequence[tuple[str, Sequence[Column], Sequence[Column]]], *keep: str) -> DataFrame:
+    """One row ``x`` (place of the key, rule, parts as text) for every key that a row of ``df`` holds, with the columns ``keep``."""
     entries = F.filter(F.array(*[
         F.when(functools.reduce(lambda x, y: x & y, [c.isNotNull() for c in needed]),
                F.struct(F.lit(k).alias("k"), F.lit(rule).alias("rule"), F.array(*[c.cast("string") for c in cols]).alias("parts")))
         for k, (rule, cols, needed) in enumerate(keys)]), lambda x: x.isNotNull())
-    found = df.select(F.explode(entries).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return df.select(F.explode(entries).alias("x"), *keep)
+
+
+def key_report(found: DataFrame, table: str, held: Column, *keep: str) -> DataFrame:
+    """Report rows of the entries ``x``; the detail is the number of rows that hold the key."""
     return found.select(F.col("x.rule").alias("rule"), F.lit(table).alias("table"), F.concat_ws("|", "x.parts").alias("key"),
-                        F.col("_n").cast("string").alias("detail"))
+                        held.cast("string").alias("detail"), *keep)
 
 
 def duplicate_keys(df: DataFrame, cols: Sequence[str], table: str = "", rule: str = "unique") -> DataFrame:
@@ -74,31 +84,59 @@ def dangling_references(child: DataFrame, col: str, parent: DataFrame, parent_co
     return _report(miss, "foreign_key", table, F.col(col).cast("string"), F.lit(col))
 
 
-def all_dangling_references(m: Model) -> DataFrame:
-    """J3 for every declared foreign key in one exchange: each table is scanned once and gives its own key and all its
-    references (cast to the parent's key type) as (parent, key) rows; they are summed up per task before the shuffle and
-    meet under the key, whole numbers and texts in columns of their own. A key with references that no row of the
-    parent claims is dangling. One row per dangling child row."""
+def reference_rules(m: Model) -> list[tuple[str, str, list[tuple[str, str]], T.DataType]]:
+    """Of each referenced key: table, column, the (table, column) pairs that refer to it, type."""
     parents: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for t, col, pt, pcol, _ in S.FOREIGN_KEYS:
         parents.setdefault((pt, pcol), []).append((t, col))
-    most = max(map(len, parents.values()))
-    entries: dict[str, list[str]] = {}
-    for k, ((pt, pcol), children) in enumerate(parents.items()):
-        kind = m[pt].schema[pcol].dataType
-        key_type, whole = kind.simpleString(), isinstance(kind, T.IntegralType)
-        for place, (t, col) in enumerate([(pt, pcol), *children], -1):
-            key = f"CAST(`{col}` AS {key_type})"
+    return [(pt, pcol, children, m[pt].schema[pcol].dataType) for (pt, pcol), children in parents.items()]
+
+
+def _entries(table: str, rules: list[tuple]) -> list[tuple[int, int, str, T.DataType]]:
+    """The keys of ``table``: (number of the parent, place of the reference or -1 for the own key, column, type)."""
+    return [(p, place, col, kind) for p, (pt, pcol, children, kind) in enumerate(rules)
+            for place, (t, col) in enumerate([(pt, pcol), *children], -1) if t == table]
+
+
+def reference_entries(df: DataFrame, table: str, rules: list[tuple], wanted: set | None = None, *keep: str) -> DataFrame:
+    """(parent, number, text, place) for the own keys and references of the rows of ``table``, cast to the parent's
+    key type; whole numbers and texts have columns of their own. ``wanted``: only these parents or (parent, place)
+    pairs. One scan."""
+    found = []
+    for p, place, col, kind in _entries(table, rules):
+        if wanted is None or p in wanted or (p, place) in wanted:
+            key = f"CAST(`{col}` AS {kind.simpleString()})"
+            whole = isinstance(kind, T.IntegralType)
             number, text = (f"CAST({key} AS BIGINT)", "CAST(NULL AS STRING)") if whole else ("CAST(NULL AS BIGINT)", f"CAST({key} AS STRING)")
-            entries.setdefault(t, []).append(f"IF(`{col}` IS NULL, NULL, named_struct('parent', {k}, 'number', {number}, 'text', {text}, 'place', {place}))")
-    rows = union_all(*[m[t].selectExpr(f"inline(filter(array({', '.join(found)}), x -> x IS NOT NULL))") for t, found in entries.items()])
+            found.append(f"IF(`{col}` IS NULL, NULL, named_struct('parent', {p}, 'number', {number}, 'text', {text}, 'place', {place}))")
+    return df.selectExpr(f"inline(filter(array({', '.join(found)}), x -> x IS NOT NULL))", *keep)
+
+
+def refers(table: str, rules: list[tuple], parents: set[int]) -> bool:
+    """Whether ``table`` holds a key or a reference of one of ``parents``."""
+    return any(p in parents for p, *_ in _entries(table, rules))
+
+
+def reference_names(rules: list[tuple]) -> str:
+    """SQL text: (table, detail) of a reference by [parent][place]."""
+    return "array(" + ", ".join("array(" + ", ".join(f"named_struct('table', '{t}', 'detail', '{col}')" for t, col in children) + ")"
+                                for _, _, children, _ in rules) + ")"
+
+
+def all_dangling_references(m: Model) -> DataFrame:
+    """J3 for every declared foreign key in one exchange: each table is scanned once and gives its own key and all its
+    references as (parent, key) rows; they are summed up per task before the shuffle and
+    meet under the key. A key with references that no row of the
+    parent claims is dangling. One row per dangling child row."""
+    rules = reference_rules(m)
+    most = max(len(children) for _, _, children, _ in rules)
+    rows = union_all(*[reference_entries(m[t], t, rules) for t in S.TABLES if _entries(t, rules)])
     sums = [F.expr(f"count_if(place = {p}) AS n{p}") for p in range(most)]
     keys = rows.groupBy("parent", "number", "text").agg(F.expr("max(place < 0) AS there"), *sums)
-    names = ", ".join("array(" + ", ".join(f"named_struct('table', '{t}', 'detail', '{col}')" for t, col in children) + ")" for children in parents.values())
     hits = ", ".join(f"named_struct('place', {p}, 'n', n{p})" for p in range(most))
     return (keys.filter("NOT there")
             .selectExpr("parent", "coalesce(CAST(number AS STRING), text) AS key", f"inline(filter(array({hits}), x -> x.n > 0))")
-            .selectExpr("'foreign_key' AS rule", "key", f"array({names})[parent][place] AS x", "explode(sequence(1L, n)) AS _i")
+            .selectExpr("'foreign_key' AS rule", "key", f"{reference_names(rules)}[parent][place] AS x", "explode(sequence(1L, n)) AS _i")
             .select("rule", "x.table", "key", "x.detail"))
 
 

@@ -3,6 +3,7 @@ and the start-workout / history flows (E2, E3)."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from regimen.operators import outline as C
 from regimen.operators import paging as P
 from regimen.operators import quality as J
 from regimen.operators import transform as I
+from regimen.operators import upkeep as K
 from regimen.plans import requests as R
 from regimen.plans.q_outline import _D5_SQL
-from regimen.plans.q_rules import _COMPLETED, _fk_sql
+from regimen.plans.q_rules import _ALL_RULES, _COMPLETED, _fk_sql
 from regimen.plans.q_transform import _ACTIVE, _h
 from regimen.plans.registry import query
 from regimen.session import checkpoint_dir
@@ -553,3 +555,38 @@ def i14_delete_allowed_routines(spark, sf):
     for t, df in new.items():
         out = out.unionByName(df.selectExpr(f"'{t}' AS `table`", "CAST(id AS STRING) AS id", "CAST(NULL AS STRING) AS blocked_by"))
     return out
+
+
+# --- J1-J5 on changes only -------------------------------------------------------------------
+
+_V2 = {"setup_days": "SELECT * FROM setup_days WHERE id % 7 <> 0",
+       "setup_sessions": """SELECT id, setup_routine_id, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN 'Again' ELSE name END AS name FROM setup_sessions
+                            UNION ALL SELECT * FROM setup_sessions WHERE id % 17 = 0""",
+       "track_exercise_details": """SELECT * REPLACE (CASE WHEN cur_set = 2 THEN 0 ELSE cur_set END AS cur_set,
+                                    track_session_exercise_id || CASE WHEN reps_goal = 7 THEN '?' ELSE '' END AS track_session_exercise_id)
+                                    FROM track_exercise_details"""}
+
+
+def _after(sql: str) -> str:
+    """The rules' text over the changed tables."""
+    for t in _V2:
+        sql = re.sub(rf"FROM {t}\b", f"FROM v2_{t}", sql)
+    return ",\n".join(f"v2_{t} AS ({text})" for t, text in _V2.items()) + "\n" + sql
+
+
+@query("j_report_from_changes", _after(_ALL_RULES), dense=True)
+def j_report_from_changes(spark, sf, model=from_driver):
+    """J1-J5 of a second version, from the report of the first and the changes of three tables (deleted days, renamed,
+    unnamed and doubled sessions, moved and renumbered sets) between two store versions."""
+    m = model(spark, sf)
+    store = TableStore(spark, f"{checkpoint_dir(spark)}/regimen-report/{uuid.uuid4().hex}")
+    store.commit(m.tables)
+    first = store.load(1)
+    sets, sessions = first.track_exercise_details, first.setup_sessions
+    name = F.expr("CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN 'Again' ELSE name END")
+    store.commit({"setup_days": first.setup_days.filter("id % 7 <> 0"),
+                  "setup_sessions": sessions.withColumn("name", name).unionByName(sessions.filter("id % 17 = 0")),
+                  "track_exercise_details": sets.withColumn("cur_set", F.expr("IF(cur_set = 2, 0, cur_set)")).withColumn(
+                      "track_session_exercise_id", F.expr("concat(track_session_exercise_id, IF(reps_goal = 7, '?', ''))"))})
+    delta = K.report_delta(first, store.load(2), K.changed_tables(store, 1, 2))
+    return K.apply_delta(J.model_violations(first), delta)
