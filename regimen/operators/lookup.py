@@ -18,8 +18,8 @@ from regimen.operators.outline import second
 from regimen.sources.tables import Model
 
 
-#: characters of a pattern's literal head that narrow the names it is tried on
-HEAD = 3
+#: characters of the longest grams in the index of names
+GRAM = 3
 
 
 def _resolve(requests: DataFrame, dim: DataFrame, on: Sequence[str], id_col: str,
@@ -102,10 +102,8 @@ def routine_name_like(m: Model, requests: DataFrame) -> DataFrame:
     escape); a NULL pattern matches nothing.
 
     Patterns without wildcards are an equi-join on the lower-case name;
-    prefix patterns (``abc%``) a pair-free successor lookup. Any other
-    pattern is matched against the names that share its literal head (up to
-    ``HEAD`` characters before the first wildcard or escape) by an equi-join;
-    a pattern without such a head meets the names of its user.
+    prefix patterns (``abc%``) a pair-free successor lookup. Any other pattern
+    is looked up in an index of the names' grams (``_like_exists``).
     """
     created = m.setup_routines.filter(F.col("routine_created")).select("user_id", "name")
     names = created.filter(F.col("name").isNotNull()).select("user_id", F.lower("name").alias("_l")).distinct()
@@ -121,18 +119,50 @@ def routine_name_like(m: Model, requests: DataFrame) -> DataFrame:
          .join(names.withColumn("_hit", F.lit(True)), ["user_id", "_l"], "left")
          .select("request_id", F.col("_hit").isNotNull().alias("exists")))
     b = _prefix_exists(names, prefix.select("request_id", "user_id", F.lower(body).alias("_p")))
-    head = F.lower(F.regexp_extract("pattern", r"^[^%_\\]*", 0)).substr(1, HEAD)
-    heads = wild.select("request_id", "user_id", F.lower(unescaped).alias("_pattern"), head.alias("_head"))
-    lengths = F.explode(F.sequence(F.lit(0), F.least(F.length("_l"), F.lit(HEAD))))
-    by_head = names.select("user_id", "_l", lengths.alias("_n")).select("user_id", "_l", F.col("_l").substr(F.lit(1), F.col("_n")).alias("_head"))
-    wanted = heads.select("user_id", "_head").distinct()
-    c = (heads.join(by_head.join(wanted, ["user_id", "_head"], "left_semi"), ["user_id", "_head"], "left")
-         .withColumn("_m", F.expr("_l LIKE _pattern"))
-         .groupBy("request_id").agg(F.coalesce(F.max("_m"), F.lit(False)).alias("exists")))
+    asked = wild.select("request_id", "user_id", F.lower(unescaped).alias("_pattern"))
+    found = _like_exists(names, asked.select("user_id", "_pattern").distinct())
+    c = (asked.join(found.withColumn("_m", F.lit(True)), ["user_id", "_pattern"], "left")
+         .select("request_id", F.col("_m").isNotNull().alias("exists")))
     hit = a.unionByName(b).unionByName(c)
     return requests.join(hit, "request_id", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
+def _like_exists(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The (user_id, _pattern) rows for which some ``_l`` of the user is LIKE the pattern.
+
+    An inverted index of the names' grams (runs of 1 to ``GRAM`` characters), of which only those asked for are
+    kept: the literal pieces of a pattern give its grams, the one that the fewest names of the user hold gives the candidates,
+    and LIKE judges them. A pattern with a gram that no name holds meets none. A pattern without any literal
+    character asks for a length only."""
+    pieces = F.transform(F.regexp_extract_all("_pattern", F.lit(r"((?:(?s)\\.|[^%_\\])+)"), 1), lambda x: F.regexp_replace(x, r"(?s)\\(.)", "$1"))
+    parsed = patterns.withColumn("_pieces", pieces)
+
+    # no literal at all: at least, or exactly, as many characters as there are underscores
+    bare = parsed.filter(F.size("_pieces") == 0).select("user_id", "_pattern", F.length(F.replace("_pattern", F.lit("%"))).alias("_n"),
+                                                        F.col("_pattern").contains("%").alias("_open"))
+    lengths = names.select("user_id", F.length("_l").alias("_n")).distinct()
+    exact = bare.filter(~F.col("_open")).join(lengths, ["user_id", "_n"], "left_semi").select("user_id", "_pattern")
+    longest = lengths.groupBy("user_id").agg(F.max("_n").alias("_most"))
+    at_least = bare.filter("_open").join(longest, "user_id").filter("_most >= _n").select("user_id", "_pattern")
+
+    def grams(text: Column, low: int) -> Column:
+        """The grams of ``text``: of all lengths from ``low`` on, or the text itself if it is shorter."""
+        sizes = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+                 .otherwise(F.array().cast("array<string>")) for n in range(low, GRAM + 1)]
+        return F.array_distinct(F.concat(*sizes))
+
+    longer = F.filter("_pieces", lambda x: F.length(x) >= GRAM)
+    own = F.when(F.size(longer) > 0, F.array_distinct(F.flatten(F.transform(longer, lambda x: grams(x, GRAM))))).otherwise(F.col("_pieces"))
+    asked = parsed.filter(F.size("_pieces") > 0).select("user_id", "_pattern", F.explode(own).alias("_gram"))
+    index = (names.select("user_id", "_l", F.explode(grams(F.col("_l"), 1)).alias("_gram"))
+             .join(asked.select("user_id", "_gram").distinct(), ["user_id", "_gram"], "left_semi"))
+    held = index.groupBy("user_id", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (asked.join(held, ["user_id", "_gram"], "left").groupBy("user_id", "_pattern")
+              .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.min(F.col("_n").isNotNull()).alias("_all")).filter("_all"))
+    by_gram = rarest.join(index, ["user_id", "_gram"]).filter("_l LIKE _pattern").select("user_id", "_pattern").distinct()
+    return exact.unionByName(at_least).unionByName(by_gram)
+
+
 def _prefix_exists(names: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``exists`` a name of the user starting with the prefix, without pairs:
     the smallest name >= the prefix starts with it exactly when any name
