@@ -4,8 +4,9 @@ Words are what ASCII white space separates, unchanged; the set of a text holds i
 shingles (of a text of fewer words: all its words as one shingle). Two texts are linked if the
 Jaccard similarity of their sets is ``threshold`` or more.
 
-1. One pass makes a sketch per row: set size, a 128-bit hash of the set, and band hashes of its
-   MinHash values. Bands and rows are chosen for ``recall`` at the threshold.
+1. One pass makes a sketch per row: set size, two 64-bit hashes of the set, and band hashes of its
+   MinHash values. Bands and rows are chosen for ``recall`` at the threshold. Size and hashes give a
+   class id of 64 bits that is taken as equality of the sets.
 2. Rows with equal sets are one class; one representative of a class goes on.
 3. Representatives meet on band hashes. Large buckets are cut into blocks, and pairs of blocks are the
    units of work, so no task holds a bucket that grows and no pair becomes a row. A first pass over
