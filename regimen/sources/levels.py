@@ -55,9 +55,10 @@ class Levels:
     def table(self, name: str, build: Callable[[], DataFrame], key: str, order: Sequence[str] = ()) -> DataFrame:
         marker = f"{self.root}/{name}.json"
         here = (self.spark.sparkContext.applicationId, marker)
-        if here in _REGISTERED and self.spark.catalog.tableExists(_REGISTERED[here]):
+        written = f"{name}.json" in claims.listed(self.spark, self.root)             # the folder may have been cleared
+        if written and here in _REGISTERED and self.spark.catalog.tableExists(_REGISTERED[here]):
             return self.spark.table(_REGISTERED[here])
-        if f"{name}.json" not in claims.listed(self.spark, self.root):
+        if not written:
             self._write(marker, name, build(), key, order)
         told = json.loads(claims.content(self.spark, marker))
         table = f"regimen_level_{uuid.uuid4().hex}"
