@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regimen.operators.ordinal import groups_bounded, hot_rows, join_null_safe, largest_sum, ordinal, proven_bounded
+from regimen.operators.ordinal import groups_bounded, hot_rows, join_null_safe, largest_sum, ordinal, proven_bounded, split_runs
 from regimen.operators.outline import (day_exercise_rows, days_with_sessions, exercise_sets_of, open_workout_sets,
                                        requested_sessions, session_plan, track_levels, workout_details)
 from regimen.sources.tables import Model
@@ -164,10 +164,8 @@ def runs(df: DataFrame, keys: Sequence[str], run_cols: Sequence[str], order: Seq
     """Gaps and islands: a new run starts when any of ``run_cols`` changes
     between adjacent rows (by ``order``) of a ``keys`` group.
 
-    No lag and no running sum: with ``pos`` = position in the group and
-    ``pos2`` = position among rows with the same run values, ``pos - pos2`` is
-    constant exactly along a run. Every step is a skew-safe ``ordinal``, so a
-    hot owner is split. NULL is a value like any other in keys and ``run_cols``.
+    Groups that fit one task are numbered in one window pass; otherwise a segmented scan over one range cut
+    (``ordinal.split_runs``) does it, so a hot owner is split. NULL is a value like any other in keys and ``run_cols``.
     ``bounded``: the caller's proof from base tables; None measures ``df``.
     """
     keys, run_cols = list(keys), list(run_cols)
@@ -175,14 +173,7 @@ def runs(df: DataFrame, keys: Sequence[str], run_cols: Sequence[str], order: Seq
         bounded = groups_bounded(df, keys)          # all groups below lie inside a keys group
     if bounded and hot_rows(df.sparkSession) > 0:
         return _runs_one_pass(df, keys, run_cols, order, run_name, item_name)
-    x = ordinal(df, keys, order, "_pos", bounded=bounded)
-    x = ordinal(x, keys + run_cols, order, "_pos2", bounded=bounded)
-    x = x.withColumn("_island", F.col("_pos") - F.col("_pos2"))
-    starts = x.groupBy(*keys, *run_cols, "_island").agg(F.min("_pos").alias("_start"))
-    starts = ordinal(starts, keys, ["_start"], run_name, bounded=bounded)
-    return (join_null_safe(x, starts, keys + run_cols + ["_island"])
-            .withColumn(item_name, (F.col("_pos") - F.col("_start") + 1).cast("int"))
-            .drop("_pos", "_pos2", "_island", "_start"))
+    return split_runs(df, keys, run_cols, order, run_name, item_name)
 
 
 def _runs_one_pass(df: DataFrame, keys: list[str], run_cols: list[str], order: Sequence,

@@ -124,20 +124,25 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "or
     return _split_ordinal(df, keys, order_cols, name, partitions or _partitions(df))
 
 
-def _split_ordinal(df: DataFrame, keys: list[str], order_cols: list[Column], name: str,
-                   n: int) -> DataFrame:
+def cut_ranges(df: DataFrame, keys: list[str], order_cols: list[Column], n: int) -> tuple[DataFrame, DataFrame]:
+    """(``df`` cut into ``n`` ranges of (keys, order), stored once, with the range's number; the rows of the fewer
+    than n groups that stand in several ranges). Such a group is the first or the last one of each of its ranges."""
     checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *_cols(keys), *order_cols)
               .withColumn(_PID, F.spark_partition_id())
               .checkpoint(eager=True))
+    ends = ranged.groupBy(_PID).agg(F.min(F.struct(*keys)).alias("_lo"), F.max(F.struct(*keys)).alias("_hi"))     # n rows
+    ends = ends.select(_PID, F.explode(F.array("_lo", "_hi")).alias("_k")).select(_PID, *[F.col("_k")[k].alias(k) for k in keys])
+    several = ends.groupBy(*keys).agg(F.min(_PID).alias("_a"), F.max(_PID).alias("_b")).filter("_a < _b").select(*keys)
+    return ranged, join_null_safe(ranged, F.broadcast(several), keys, "left_semi")
+
+
+def _split_ordinal(df: DataFrame, keys: list[str], order_cols: list[Column], name: str,
+                   n: int) -> DataFrame:
+    ranged, crossing = cut_ranges(df, keys, order_cols, n)
     local = ranged.withColumn(
         _LRN, F.row_number().over(Window.partitionBy(_PID, *keys).orderBy(*order_cols)))
-    # first and last owner of every partition: P rows
-    ends = ranged.groupBy(_PID).agg(F.min(F.struct(*keys)).alias("_lo"), F.max(F.struct(*keys)).alias("_hi"))
-    edge = (ends.select(F.col("_lo").alias("_k")).unionByName(ends.select(F.col("_hi").alias("_k")))
-            .select(*[F.col("_k")[k].alias(k) for k in keys]).distinct())          # <= 2P owners
-    pieces = (join_null_safe(ranged, F.broadcast(edge), keys, "left_semi")
-              .groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias(_N)))           # <= 2P rows
+    pieces = crossing.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias(_N))           # <= 2P rows
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     carry = (pieces.withColumn(_OFF, F.sum(_N).over(before))
              .filter(F.col(_OFF).isNotNull()).select(_PID, *keys, _OFF))
@@ -146,6 +151,50 @@ def _split_ordinal(df: DataFrame, keys: list[str], order_cols: list[Column], nam
             .drop(_PID, _LRN, _OFF))
 
 
+def split_runs(df: DataFrame, keys: Sequence[str], run_cols: Sequence[str], order: Sequence, run_name: str, item_name: str,
+               partitions: int | None = None) -> DataFrame:
+    """``run_name`` and ``item_name``: the run of adjacent rows (by ``order``, a ``keys`` group) with equal ``run_cols``, and the
+    place in it, by a segmented scan over one range cut.
+
+    Each range numbers its own runs as if nothing stood before it. A piece (the rows of one group in one range) is then
+    summed up by its first and last values, its number of runs and the length of its last run. Two summaries next to each
+    other join if the last values of one are the first of the other, and a piece that is one run hands the run before it on;
+    both are running sums over the pieces of a group, of which there are at most 2P in all, so the carry is broadcast.
+    """
+    keys, run_cols, order_cols = list(keys), list(run_cols), _cols(order)
+    ranged, crossing = cut_ranges(df, keys, order_cols, partitions or _partitions(df))
+    piece = Window.partitionBy(_PID, *keys).orderBy(*order_cols)
+    values = F.struct(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(run_cols)])
+    starts = F.when(F.lag(F.lit(1)).over(piece).isNull() | ~F.lag(values).over(piece).eqNullSafe(values), 1).otherwise(0)
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_start", starts).withColumn(
+            "_run", F.sum("_start").over(piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    in_run = Window.partitionBy(_PID, *keys, "_run").orderBy(*order_cols)
+    local = numbered(ranged).withColumn("_item", F.row_number().over(in_run))
+
+    tails = numbered(crossing).groupBy(_PID, *keys, "_run").agg(F.count(F.lit(1)).alias("_len"), F.first(values).alias("_v"))
+    pieces = tails.groupBy(_PID, *keys).agg(
+        F.max("_run").alias("_runs"), F.max_by("_len", "_run").alias("_len"),
+        F.min_by("_v", "_run").alias("_first"), F.max_by("_v", "_run").alias("_last"))                      # <= 2P rows
+    group = Window.partitionBy(*keys).orderBy(_PID)
+    earlier, to_here = group.rowsBetween(Window.unboundedPreceding, -1), group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = F.lag(F.lit(1)).over(group).isNotNull() & F.lag("_last").over(group).eqNullSafe(F.col("_first"))
+    carry = (pieces.withColumn("_joined", joined)
+             .withColumn("_chain", F.sum(F.when(F.col("_joined") & (F.col("_runs") == 1), 0).otherwise(1)).over(to_here))
+             .withColumn("_open", F.sum("_len").over(Window.partitionBy(*keys, "_chain").orderBy(_PID)
+                                                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+             .withColumn("_items", F.when(F.col("_joined"), F.lag("_open").over(group)).otherwise(0))
+             .withColumn("_before", F.coalesce(F.sum("_runs").over(earlier), F.lit(0)) - F.sum(F.col("_joined").cast("int")).over(to_here))
+             .select(_PID, *keys, "_items", "_before"))
+    open_items = F.when(F.col("_run") == 1, F.coalesce("_items", F.lit(0))).otherwise(0)
+    return (join_null_safe(local, F.broadcast(carry), [_PID, *keys], "left")
+            .withColumn(run_name, (F.col("_run") + F.coalesce("_before", F.lit(0))).cast("int"))
+            .withColumn(item_name, (F.col("_item") + open_items).cast("int"))
+            .drop(_PID, "_start", "_run", "_item", "_items", "_before"))
+
+
 def count_before(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str,
                  left_id: str, name: str = "n_before", inclusive: bool = False,
                  bounded: bool | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from regimen.operators import transform as I
 from regimen.operators.nesting import runs
-from regimen.operators.ordinal import count_before, groups_bounded, ordinal
+from regimen.operators.ordinal import count_before, groups_bounded, ordinal, split_runs
 from regimen.plans import catalog
 
 
@@ -70,6 +70,42 @@ def test_runs_match_adjacent_grouping(spark):
             assert got[(g, pos)] == (run, item)
 
 
+def _grouped(rows):
+    """(run, item) by (group, pos), row after row."""
+    out, last = {}, {}
+    for g, pos, name, o in sorted(rows, key=lambda r: r[1]):
+        run, item, prev = last.get(g, (0, 0, ()))
+        run, item = (run, item + 1) if prev == (name, o) else (run + 1, 1)
+        last[g] = (run, item, (name, o))
+        out[g, pos] = (run, item)
+    return out
+
+
+@pytest.mark.parametrize("seed,stay", [(1, 0.0), (2, 0.9), (3, 0.995), (4, 1.0)])
+def test_runs_across_ranges(spark, seed, stay):
+    """Runs that end at, begin at and cover whole ranges: a third of the rows in one group, short to endless runs."""
+    rnd = random.Random(seed)
+    rows, value = [], ("a", None)
+    for pos in range(600):
+        if rnd.random() >= stay:
+            value = (rnd.choice(["a", "b", None]), rnd.choice([1, None]))
+        rows.append((rnd.choice([0, 0, None, 1, 2, rnd.randrange(3, 30)]), pos, *value))
+    df = spark.createDataFrame(rows, "g int, pos int, name string, ord int").repartition(5)
+    got = split_runs(df, ["g"], ["name", "ord"], ["pos"], "run_pos", "item_pos", partitions=23)
+    assert got.columns == [*df.columns, "run_pos", "item_pos"]
+    assert {(r.g, r.pos): (r.run_pos, r.item_pos) for r in got.collect()} == _grouped(rows)
+    assert split_runs(df.filter("false"), ["g"], ["name"], ["pos"], "run_pos", "item_pos").collect() == []
+
+
+def test_split_runs_store_the_rows_once(spark, monkeypatch):
+    calls = []
+    whole = type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, *a, **k: calls.append(1) or whole(self, *a, **k))
+    df = spark.createDataFrame([(1, k, k // 3) for k in range(50)], "g int, pos int, v int")
+    got = runs(df, ["g"], ["v"], ["pos"], bounded=False)
+    assert got.filter("run_pos <> v + 1 OR item_pos <> pos % 3 + 1").count() == 0 and len(calls) == 1
+
+
 def test_hot_group_is_detected(spark):
     df = _skewed(spark)
     assert groups_bounded(df, ["k"])                 # default floor: 1M rows per group
