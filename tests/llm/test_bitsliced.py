@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -9,13 +10,13 @@ from regimen.llm import bitsliced
 
 
 def brute(rows, every=50, k=5):
-    kept = sorted({(i, tuple(math.floor(256 * float(x)) for x in v)) for i, v in rows
+    kept = sorted({(i, tuple(math.floor(256 * Fraction(float(x))) for x in v)) for i, v in rows
                    if i is not None and v and all(x is not None and math.isfinite(x) for x in v)})
     out = set()
     for i, q in kept:
         if i % every == 0:
             scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in kept if j != i and len(v) == len(q))[:k]
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)}
+            out |= {(i, r + 1, j, min(max(-s, -2 ** 63), 2 ** 63 - 1)) for r, (s, j) in enumerate(scored)}
     return sorted(out)
 
 
@@ -40,6 +41,25 @@ def test_edges_and_blocks(spark, monkeypatch):
     assert found(table, 10) == brute(rows, 10)
 
 
+def test_components_of_any_finite_size(spark, monkeypatch):
+    monkeypatch.setattr(bitsliced, "ROWS", 20)
+    monkeypatch.setattr(bitsliced, "WIDE_ROWS", 3)
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(40)]
+    for k, big in enumerate([1e30, -1e30, 1e30, 5000.25, -4096.0, 1e17, 1.7e308, -1.7e308, 2.0 ** 53 + 2, 12345.678]):
+        rows.append((50 + k, [*rng.normal(size=2).tolist(), big, 0.5]))
+    rows += [(60, [0.0, 0.0, 1e30, 0.0]), (60, [0.0, 0.0, 1e30, 0.0]), (61, [1e300, 1e300, 1e300, 1e300]), (70, [1e20])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(table, 10) == brute(rows, 10)
+    only = table.where("vec_id >= 50 and vec_id < 60")
+    assert found(only, 10) == brute([r for r in rows if 50 <= r[0] < 60], 10)
+
+
+def test_keys_follow_the_scores():
+    scores = [0, 1, -1, 255, 256, -255, -256, 2 ** 63, -2 ** 63, 10 ** 40, -10 ** 40, 10 ** 600, 3 * 10 ** 40]
+    assert sorted(scores, key=bitsliced.sort_key) == sorted(scores, reverse=True)
+
+
 def test_no_queries_and_empty_table(spark):
     table = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert found(table) == [] and found(table.where("false")) == []
