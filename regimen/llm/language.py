@@ -1,14 +1,15 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
 Texts are lower-cased; what isn't a letter counts as one blank. ``train`` counts the n-grams of each
-language in Spark over a bounded sample of labelled rows (``max_rows``, those with the smallest hash of
-their id) and gives an n-gram to every language in which it is frequent, at least ``share`` of its
-highest frequency in any. The filters of all languages lie side by side: each cell holds one bit per
+language in Spark over a bounded sample of labelled rows (of each language the ``max_rows`` with the smallest hash of
+their id, so a rare language keeps its rows however many the others have) and gives an n-gram to every language in which
+it is frequent, at least ``share`` of its highest frequency in any. A frequency is the count over the language's n-grams
+and ``prior`` more: every n-gram counts, those seen once too, but a few rows don't outweigh a language of many. The filters of all languages lie side by side: each cell holds one bit per
 language, so the AND of an n-gram's cells is the set of all languages that hold it.
 
 ``predict`` reads every text whole, counts per language the n-grams whose set holds it, corrects the
 share for the filter's false positives, and takes the largest; ties go to the language with more
-training rows, then to the smaller name. The score is the corrected share (0 to 1).
+labelled rows, then to the smaller name. The score is the corrected share (0 to 1).
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if no row is labelled.
 A text with letters but no known n-gram gets the most frequent language with score 0. Rows with a
@@ -98,15 +99,23 @@ def _text_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str | N
         yield a, b, batch.column("text").slice(a, b - a).to_pylist()
 
 
-def train(docs: DataFrame, max_rows: int = 20_000, most_grams: int = 50_000, share: float = 0.2) -> Filters:
-    """Filters from at most ``max_rows`` labelled rows, and ``most_grams`` n-grams a language."""
-    text = F.col("text").cast("string")
+def sampled(docs: DataFrame, max_rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """((lang, text) of at most ``max_rows`` rows a language, number of labelled rows of each)."""
     usable = F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 5) != 0)
-    kept = (docs.where(usable).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "lang")
-            .limit(max_rows))
-    sizes = {r["lang"]: r["n"] for r in kept.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    sample = docs.where(usable).select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text")).join(
-        F.broadcast(kept.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")       # at most max_rows ids
+    rows = docs.where(usable).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"),
+                                     F.xxhash64("doc_id").alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}            # one row a language
+    limits = docs.sparkSession.createDataFrame(list(sizes.items()), "lang string, n long")
+    # about twice the rows wanted pass by their hash, before rows of one language meet
+    passes = F.pmod("h", F.lit(1 << 40)) < F.ceil(2.0 * max_rows / F.col("n") * (1 << 40))
+    few = rows.join(F.broadcast(limits), "lang").where(passes)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    return few.withColumn("place", place).where(F.col("place") <= max_rows).select("lang", "text"), sizes
+
+
+def train(docs: DataFrame, max_rows: int = 5_000, most_grams: int = 50_000, share: float = 0.2, prior: int = 10_000) -> Filters:
+    """Filters from at most ``max_rows`` labelled rows and ``most_grams`` n-grams a language."""
+    sample, sizes = sampled(docs, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +127,7 @@ def train(docs: DataFrame, max_rows: int = 20_000, most_grams: int = 50_000, sha
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.where("n > 1").join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))     # one row a language
+    rates = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / (F.col("total") + prior))       # one row a language
     peak = rates.groupBy("gram").agg(F.max("rate").alias("peak"))
     ranked = (rates.join(peak, "gram").where(F.col("rate") >= share * F.col("peak"))
               .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram"))).where(F.col("place") <= most_grams))
@@ -129,7 +138,7 @@ def train(docs: DataFrame, max_rows: int = 20_000, most_grams: int = 50_000, sha
     return Filters(names, [np.array(found[x], np.int64).view(np.uint64) for x in names])
 
 
-def identify(docs: DataFrame, max_rows: int = 20_000) -> DataFrame:
+def identify(docs: DataFrame, max_rows: int = 5_000) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score``, which replace columns of these names."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, max_rows))        # CELLS words a language word
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -55,3 +56,33 @@ def test_edges(spark):
         assert (lang == "und") == (not any(c.isalpha() for c in text or "")) and (lang != "und" or score == 0)
     assert {r["lang_pred"] for r in language.identify(documents(spark, rows)).collect()} == {"und"}      # nothing to learn from
     assert language.identify(docs.where("false")).collect() == []
+
+
+def _told(docs, **more):
+    return {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, **more).collect()}
+
+
+def test_language_of_one_row(spark):
+    """One labelled row is enough to learn from, also beside a language of very many rows."""
+    ids = [k for k in range(600) if zlib.crc32(str(k).encode()) % 5]
+    rare, mixed, many = ids[0], ids[1], ids[2:302]
+    words = sentence(1, 300).split()                       # a language has a vocabulary; random letters have none
+    rows = [(k, " ".join(random.Random(k).choices(words, k=90))) for k in many]
+    rows += [(rare, "ukuthi abantu bayakwazi ngempela lapho kusihlwa"), (mixed, rows[0][1]), (900, "lapho abantu bayakwazi ukuthi"), (901, rows[5][1])]
+    langs = ["aa"] * len(many) + ["zu", "xx", None, None]
+    for max_rows in (5_000, 20):
+        told = _told(documents(spark, rows, langs), max_rows=max_rows)
+        assert told[900][0] == "zu" and told[900][1] > 0.5 and told[rare][0] == "zu"
+        assert told[901][0] == "aa" and told[901][1] > 0.9
+        assert sum(told[k][0] == "aa" for k in many) >= len(many) - 1
+
+
+def test_sample_is_bounded_by_language(spark):
+    rows = [(k, sentence(k, 5)) for k in range(400)] + [(7, "copy")] * 300
+    langs = ["aa" if k % 50 else "bb" for k in range(400)] + ["aa"] * 300
+    docs = documents(spark, rows, langs)
+    usable = [lang for (k, _), lang in zip(rows, langs) if zlib.crc32(str(k).encode()) % 5]
+    sample, sizes = language.sampled(docs, 30)
+    got = [r["lang"] for r in sample.collect()]
+    assert sizes == {x: usable.count(x) for x in ("aa", "bb")}
+    assert got.count("bb") == min(30, sizes["bb"]) and 0 < got.count("aa") <= 30
