@@ -37,6 +37,21 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def join_salted(rows: DataFrame, unique: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``unique`` (stored; one row a key, without nulls, with the number ``n`` of the key's rows),
+    without ``n``. A key with more rows than a quarter of an even partition is dealt over as many salts as it has such
+    quarters, and its one row repeated for each. No more than four keys a partition can be so hot: they are broadcast."""
+    parts = shuffle_partitions(rows.sparkSession)
+    total = unique.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    quarter = int(total) // (4 * parts) + 1
+    salts = F.ceil(F.col("n") / quarter).cast("int")
+    hot = F.broadcast(unique.where(F.col("n") > quarter).select(*keys, salts.alias("__salts")))        # fewer than 4 * parts rows
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("__salts", F.lit(1))).cast("int")
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", salt).drop("__salts")
+    each = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > quarter, salts - 1).otherwise(0)))).drop("n")
+    return dealt.join(each, [*keys, "__salt"]).drop("__salt")
+
+
 #: bits of a bitmap of keys: at least, and at most (16 MiB); beyond that it only filters less
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 _PAGE = 1 << 15

@@ -17,6 +17,9 @@ judged on the input, not on what is left.
    a group every line is within the bound of the earliest.
 4. The earliest partner of every line found is verified word by word.
 
+A line, half or variant that very many lines share is dealt over several tasks wherever its rows are joined
+(``frames.join_salted``).
+
 Blank lines are never removed. Null and empty texts have no lines to remove. A null doc_id comes
 before all others. Rows that share a doc_id count as documents in the order of a hash of their text;
 wholly equal rows count as one document and get the same result. Long lines are treated as all others.
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from regimen.llm.frames import bitmap_of, maybe_in, stored, text_key
+from regimen.llm.frames import bitmap_of, join_salted, maybe_in, stored, text_key
 
 _BLANK = "^[\\x20\\x09-\\x0D]*$"
 
@@ -50,9 +53,10 @@ def _half_keys() -> Column:
 
 def _candidates(table: DataFrame) -> DataFrame:
     """(h) of the distinct lines of which another one shares a half."""
-    keys = table.where("keys is not null").select("h", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
-    return stored(keys.join(shared, "key").select("h").distinct())
+    keys = table.where("keys is not null").select("h", F.explode("keys").alias("key")).distinct()
+    shared = (keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low <> high")
+              .select("key", "n"))
+    return stored(join_salted(keys, stored(shared), ["key"]).select("h").distinct())
 
 
 def _variants(found: DataFrame) -> DataFrame:
@@ -97,15 +101,16 @@ def near_lines(docs: DataFrame, table: DataFrame, min_words: int) -> DataFrame:
     found = stored(words.join(candidates, "h").join(places, "h").select("h", "n", "words", "place"))
     every = stored(_variants(found))
     # most variants belong to one line alone; the others are few
-    shared = stored(every.groupBy("v").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("v"))
-    variants = stored(maybe_in(every, "v", bitmap_of(shared, "v")).join(shared, "v")
+    shared = stored(every.groupBy("v").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low <> high")
+                    .select("v", "n"))
+    variants = stored(join_salted(maybe_in(every, "v", bitmap_of(shared, "v")), shared, ["v"])
                       .join(found.select("h", F.struct("place", "h").alias("at")), "h"))
-    groups = (variants.groupBy("m", "v", "i").agg(F.min("at").alias("first")))
+    groups = variants.groupBy("m", "v", "i").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     by_variant = (groups.groupBy("m", "v").agg(F.min(F.when(F.col("i") < 0, F.col("first"))).alias("full"),
                                                F.min(F.when(F.col("i") >= 0, F.col("first"))).alias("longer")))
-    earliest = groups.join(by_variant, ["m", "v"]).select(
-        "m", "v", "i", F.when(F.col("i") < 0, F.col("longer")).otherwise(F.least("first", "full")).alias("partner"))
-    pairs = (variants.join(earliest, ["m", "v", "i"]).where("partner < at").groupBy("h").agg(F.min("partner.h").alias("partner")))
+    earliest = stored(groups.join(by_variant, ["m", "v"]).select(
+        "m", "v", "i", F.when(F.col("i") < 0, F.col("longer")).otherwise(F.least("first", "full")).alias("partner"), "n"))
+    pairs = (join_salted(variants, earliest, ["m", "v", "i"]).where("partner < at").groupBy("h").agg(F.min("partner.h").alias("partner")))
     words = found.select("h", "words")
     return (pairs.join(words, "h").join(words.select(F.col("h").alias("partner"), F.col("words").alias("other")), "partner")
             .where(_near(F.col("words"), F.col("other"))).select("h", "partner"))
@@ -115,11 +120,11 @@ def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """(doc_id, t, no, near) of every line that goes; near: no equal line stands earlier."""
     table = line_table(docs, min_words)
     place = F.struct("doc_id", "t", "no")
-    distinct = table.groupBy("h").agg(F.min(place).alias("place"), F.max(place).alias("last"))
+    distinct = table.groupBy("h").agg(F.min(place).alias("place"), F.max(place).alias("last"), F.count("*").alias("n"))
     near = near_lines(docs, table, min_words).select("h", F.lit(True).alias("is_near"))
-    judged = (distinct.join(near, "h", "left").where("is_near or place < last")
-              .select("h", "place", F.coalesce("is_near", F.lit(False)).alias("is_near")))
-    return (table.select("h", "doc_id", "t", "no").join(judged, "h")
+    judged = stored(distinct.join(near, "h", "left").where("is_near or place < last")
+                    .select("h", "place", F.coalesce("is_near", F.lit(False)).alias("is_near"), "n"))
+    return (join_salted(table.select("h", "doc_id", "t", "no"), judged, ["h"])
             .where(F.col("is_near") | (place > F.col("place")))
             .select("doc_id", "t", "no", (place == F.col("place")).alias("near")))
 
