@@ -53,10 +53,12 @@ def _half_keys() -> Column:
 
 def _candidates(table: DataFrame) -> DataFrame:
     """(h) of the distinct lines of which another one shares a half."""
-    keys = table.where("keys is not null").select("h", F.explode("keys").alias("key")).distinct()
-    shared = (keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low <> high")
-              .select("key", "n"))
-    return stored(join_salted(keys, stored(shared), ["key"]).select("h").distinct())
+    keys = table.where("keys is not null").select("h", F.explode("keys").alias("key"))
+    shared = stored(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low <> high")
+                    .select("key", "n"))
+    # few halves are shared; a line's copies count once before they meet
+    few = maybe_in(keys, "key", bitmap_of(shared, "key")).distinct()
+    return stored(join_salted(few, shared, ["key"]).select("h").distinct())
 
 
 def _variants(found: DataFrame) -> DataFrame:
