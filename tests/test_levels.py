@@ -102,3 +102,38 @@ def test_joined_levels_equal_the_join_and_go_with_their_tables(spark):
     changed = m.replace(track_exercise_details=m.track_exercise_details.filter("false"))
     assert changed.joined("log_sets") is None and changed.joined("plan_sets") is not None
     assert C.open_workout_sets(changed).count() == 0 and R.customers(spark, SMALL).count() > 0
+
+
+def test_partitions_follow_the_stored_bytes_of_the_sources(spark):
+    """More source bytes, more shuffle partitions and buckets; a smaller source gets the user's own number again."""
+    from regimen.sources import levels as L
+
+    given, paths = spark.conf.get("spark.sql.shuffle.partitions"), [f"{SMALL}/{t}.parquet" for t in ("orders", "lineitem")]
+    size = sum(os.path.getsize(p) for p in paths)
+    spark.conf.set(L.PARTITION_BYTES_CONF, "4096")
+    try:
+        assert L.fit_partitions(spark, paths) == -(-size // 4096) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert L.Levels(spark, paths).buckets == -(-size // 4096)
+        assert L.fit_partitions(spark, []) == int(given)
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert L.fit_partitions(spark, [f"{SMALL}/no-such.parquet"]) == 3
+    finally:
+        spark.conf.unset(L.PARTITION_BYTES_CONF)
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+
+
+def test_dealt_rows_are_written_without_another_exchange(spark, monkeypatch, tmp_path):
+    """Numbering the line items and writing their buckets is one exchange of the rows."""
+    from regimen.sources import adapter, levels as L
+
+    monkeypatch.setattr(L, "checkpoint_dir", lambda _: str(tmp_path))
+    seen, write = [], L.Levels._write
+
+    def watched(self, marker, name, df, key, order):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append((plan.count("REPARTITION_BY_NUM"), plan.count("ENSURE_REQUIREMENTS")))
+        write(self, marker, name, df, key, order)
+
+    monkeypatch.setattr(L.Levels, "_write", watched)
+    lines = adapter.Numbered(spark, SMALL).lines()
+    assert seen == [(1, 0)] and lines.count() == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
