@@ -32,22 +32,35 @@ def _report(df: DataFrame, rule: str, table: str, key: Column, detail: Column) -
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[tuple[str, Sequence[Column], Sequence[Column]]], table: str = "") -> DataFrame:
-    """J1/J2 for several keys of a table in one pass: ``keys`` are (rule, columns, the
+    """J1/J2 for several keys of a table: ``keys`` are (rule, columns, the
     columns that must be present: a NULL among them never collides).
 
-    Every row yields one entry per key; entries are counted together, pre-aggregated
-    per task."""
-    found = key_entries(df, keys).groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return key_report(found, table, F.col("_n"))
+    Every key is counted by its own columns, pre-aggregated per task: rows that are dealt by one of them (buckets) are counted
+    in place, others travel as these columns alone."""
+    def part(c: Column) -> Column:          # whole numbers and texts are equal as their texts are
+        return c if isinstance(df.select(c).schema[0].dataType, (T.IntegralType, T.StringType)) else c.cast("string")
+
+    found = []
+    for rule, cols, needed in keys:
+        parts = [f"_{k}" for k in range(len(cols))]
+        held = df.filter(_present(needed)).select(*[part(c).alias(p) for c, p in zip(cols, parts)])
+        twice = held.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        found.append(_report(twice, rule, table, _key(parts), F.col("_n")))
+    return union_all(*found)
+
+
+def _present(needed: Sequence[Column]) -> Column:
+    return functools.reduce(lambda x, y: x & y, [c.isNotNull() for c in needed])
+
+
+def _entry(k: int, rule: str, cols: Sequence[Column]) -> Column:
+    return F.struct(F.lit(k).alias("k"), F.lit(rule).alias("rule"), F.array(*[c.cast("string") for c in cols]).alias("parts"))
 
 
 def key_entries(df: DataFrame, keys: Sequence[tuple[str, Sequence[Column], Sequence[Column]]], *keep: str) -> DataFrame:
     """One row ``x`` (place of the key, rule, parts as text) for every key that a row of ``df`` holds, with the columns ``keep``."""
-    entries = F.filter(F.array(*[
-        F.when(functools.reduce(lambda x, y: x & y, [c.isNotNull() for c in needed]),
-               F.struct(F.lit(k).alias("k"), F.lit(rule).alias("rule"), F.array(*[c.cast("string") for c in cols]).alias("parts")))
-        for k, (rule, cols, needed) in enumerate(keys)]), lambda x: x.isNotNull())
-    return df.select(F.explode(entries).alias("x"), *keep)
+    entries = F.array(*[F.when(_present(needed), _entry(k, rule, cols)) for k, (rule, cols, needed) in enumerate(keys)])
+    return df.select(F.explode(entries).alias("x"), *keep).filter("x IS NOT NULL")
 
 
 def key_report(found: DataFrame, table: str, held: Column, *keep: str) -> DataFrame:
@@ -66,8 +79,13 @@ def duplicate_lower_names(df: DataFrame, owner: str | None, name: str, table: st
     return repeated_keys(df, [("unique_lower", [*([F.col(owner)] if owner else []), F.lower(name)], [F.col(name)])], table)
 
 
+def lower_names(m: Model) -> DataFrame:
+    """J2 over all tables."""
+    return union_all(*[duplicate_lower_names(m[t], owner, name, t) for t, owner, name in S.UNIQUE_LOWER])
+
+
 def unique_keys(m: Model) -> DataFrame:
-    """J1 over all tables: primary and unique keys, one pass per table."""
+    """J1 over all tables: primary and unique keys."""
     by_table: dict[str, list] = {}
     for t, cols in S.PRIMARY_KEYS.items():
         by_table.setdefault(t, []).append(("primary_key", *[[F.col(c) for c in cols]] * 2))
@@ -109,7 +127,7 @@ def reference_entries(df: DataFrame, table: str, rules: list[tuple], wanted: set
             whole = isinstance(kind, T.IntegralType)
             number, text = (f"CAST({key} AS BIGINT)", "CAST(NULL AS STRING)") if whole else ("CAST(NULL AS BIGINT)", f"CAST({key} AS STRING)")
             found.append(f"IF(`{col}` IS NULL, NULL, named_struct('parent', {p}, 'number', {number}, 'text', {text}, 'place', {place}))")
-    return df.selectExpr(f"inline(filter(array({', '.join(found)}), x -> x IS NOT NULL))", *keep)
+    return df.selectExpr(f"inline(array({', '.join(found)}))", *keep).filter("parent IS NOT NULL")
 
 
 def refers(table: str, rules: list[tuple], parents: set[int]) -> bool:
@@ -148,9 +166,12 @@ def row_rules(df: DataFrame, checks: Sequence[tuple] = (), not_null: Sequence[st
     def entry(bad: Column, rule: str, key: Column, detail: str) -> Column:
         return F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(table).alias("table"), key.alias("key"), F.lit(detail).alias("detail")))
 
-    found = [entry(~F.expr(f"`{c}` {op} {bound}"), "check", F.col(c).cast("string"), f"{c} {op} {bound}") for c, op, bound in checks]
-    found += [entry(F.col(c).isNull(), "not_null", row_id, c) for c in not_null]
-    return df.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    found = [(~F.expr(f"`{c}` {op} {bound}"), "check", F.col(c).cast("string"), f"{c} {op} {bound}") for c, op, bound in checks]
+    found += [(F.col(c).isNull(), "not_null", row_id, c) for c in not_null]
+    if not found:
+        return df.select(*[F.lit(None).cast("string").alias(c) for c in REPORT_COLUMNS]).limit(0)
+    broken = df.filter(functools.reduce(lambda x, y: x | y, [bad for bad, *_ in found]))             # the few rows that get entries
+    return broken.select(F.explode(F.array(*[entry(*f) for f in found])).alias("x")).filter("x IS NOT NULL").select("x.*")
 
 
 def failed_checks(df: DataFrame, col: str, op: str, bound, table: str = "") -> DataFrame:
@@ -176,8 +197,7 @@ def row_violations(m: Model, rules: str = "check,not_null") -> DataFrame:
 
 def model_violations(m: Model) -> DataFrame:
     """J1-J5 over all tables, from the rules declared in ``schema``."""
-    lower = [duplicate_lower_names(m[t], owner, name, t) for t, owner, name in S.UNIQUE_LOWER]
-    return union_all(unique_keys(m), *lower, all_dangling_references(m), row_violations(m))
+    return union_all(unique_keys(m), lower_names(m), all_dangling_references(m), row_violations(m))
 
 
 # --- input rules (J6-J8, J11-J14) -----------------------------------------------------

@@ -273,8 +273,7 @@ def _lower_sql() -> str:
 
 @query("j2_unique_lower_names", _lower_sql(), dense=True)
 def j2_unique_lower_names(spark, sf, model=from_driver):
-    m = model(spark, sf)
-    return G.union_all(*[J.duplicate_lower_names(m[t], o, n, t) for t, o, n in S.UNIQUE_LOWER])
+    return J.lower_names(model(spark, sf))
 
 
 def _fk_sql(source: dict[str, str] | None = None) -> str:

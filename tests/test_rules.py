@@ -72,3 +72,24 @@ def test_seed_model_has_no_violations_except_empty_catalog(spark):
     bad = J.model_violations(m).collect()
     assert bad == []
     assert J.empty_routines(m).count() == 0
+
+
+def test_keys_are_counted_where_their_rows_stand(spark):
+    """A key that holds the column by which its rows are dealt needs no exchange of its own; counts, NULLs and texts of other types stay."""
+    rows = spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.5), (1, 2, None), (2, 1, 1.0), (2, None, 1.0), (2, None, 1.0)], "s int, o int, w double")
+    keys = [(rule, [F.col(c) for c in cols], [F.col(c) for c in cols]) for rule, cols in (("a", ["s"]), ("b", ["s", "o"]), ("c", ["s", "w"]))]
+    report = J.repeated_keys(rows.repartition(4, "s"), keys, "t")
+    got = sorted((r.rule, r.key, r.detail) for r in report.collect())
+    assert got == [("a", "1", "3"), ("a", "2", "3"), ("b", "1|1", "2"), ("c", "1|0.5", "2"), ("c", "2|1.0", "3")]
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "struct<" not in plan
+
+
+def test_rows_that_keep_the_rules_get_no_entries(spark):
+    """J4 and J5 build report entries of broken rows only, several of a row."""
+    df = spark.createDataFrame([("a", 1), ("b", 0), (None, -1), ("c", None)], "id string, n int")
+    report = J.row_rules(df, [("n", ">", 0)], ["id", "n"], "t")
+    assert sorted((r.rule, r.key or "", r.detail) for r in report.collect()) == [
+        ("check", "-1", "n > 0"), ("check", "0", "n > 0"), ("not_null", "", "id"), ("not_null", "c", "n")]
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Filter", plan.index("Generate")) and "lambda" not in plan
