@@ -8,7 +8,7 @@ of independent jobs (each a filter, a grouped count or an anti join).
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +45,16 @@ def repeated_keys(df: DataFrame, keys: Sequence[tuple[str, Sequence[Column], Seq
         parts = [f"_{k}" for k in range(len(cols))]
         held = df.filter(_present(needed)).select(*[part(c).alias(p) for c, p in zip(cols, parts)])
         twice = held.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        found.append(_report(twice, rule, table, _key(parts), F.col("_n")))
+        found.append(_report(_dealt(twice, parts), rule, table, _key(parts), F.col("_n")))
     return union_all(*found)
 
 
+def _dealt(found: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The few rows ``found``, dealt anew: where tables hold the same keys (a plan's sets and the log's), Spark counts them in one stage
+    and reads what that stage found for each of them."""
+    return found.repartition(F.xxhash64(*key))
+
+
 def _present(needed: Sequence[Column]) -> Column:
     return functools.reduce(lambda x, y: x & y, [c.isNotNull() for c in needed])
 
@@ -84,10 +90,12 @@ def lower_names(m: Model) -> DataFrame:
     return union_all(*[duplicate_lower_names(m[t], owner, name, t) for t, owner, name in S.UNIQUE_LOWER])
 
 
-def unique_keys(m: Model) -> DataFrame:
-    """J1 over all tables: primary and unique keys."""
+def unique_keys(m: Model, without: Collection[tuple[str, tuple[str, ...]]] = ()) -> DataFrame:
+    """J1 over all tables: primary and unique keys. ``without``: (table, columns) of primary keys that are counted elsewhere."""
     by_table: dict[str, list] = {}
     for t, cols in S.PRIMARY_KEYS.items():
+        if (t, cols) in without:
+            continue
         by_table.setdefault(t, []).append(("primary_key", *[[F.col(c) for c in cols]] * 2))
     for t, cols in S.UNIQUE:
         by_table.setdefault(t, []).append(("unique", *[[F.col(c) for c in cols]] * 2))
@@ -141,21 +149,39 @@ def reference_names(rules: list[tuple]) -> str:
                                 for _, _, children, _ in rules) + ")"
 
 
+def reference_counts(m: Model, rule: tuple) -> DataFrame:
+    """Of one referenced key (as of ``reference_rules``): ``key``, the rows ``own`` of the parent that hold it, the rows ``n0``, ``n1``, ...
+    of the children that refer to it. Every table gives this one column in its own type, and rows are summed up per task before they meet."""
+    pt, pcol, children, kind = rule
+    plain = isinstance(kind, (T.IntegralType, T.StringType))
+
+    def held(table: str, col: str, place: int) -> DataFrame:
+        key = F.col(col).cast(kind)
+        return m[table].filter(F.col(col).isNotNull()).select((key if plain else key.cast("string")).alias("key"), F.lit(place).alias("place"))
+
+    rows = union_all(*[held(t, col, place) for place, (t, col) in enumerate([(pt, pcol), *children], -1)])
+    names = {-1: "own"} | {k: f"n{k}" for k in range(len(children))}
+    return rows.groupBy("key").agg(*[F.expr(f"count_if(place = {k}) AS {name}") for k, name in names.items()])
+
+
+def reference_report(m: Model, primary_keys: bool = False) -> DataFrame:
+    """J3 for every declared foreign key: a key with references that no row of the parent claims is dangling, one row per
+    dangling child row. ``primary_keys``: also J1 of the referenced primary keys, from the same counts."""
+    found = []
+    for rule in reference_rules(m):
+        pt, pcol, children, _ = rule
+        unique = primary_keys and S.PRIMARY_KEYS[pt] == (pcol,)
+        entries = [f"named_struct('rule', 'foreign_key', 'table', '{t}', 'detail', '{col}', 'n', IF(own = 0, n{k}, 0L))" for k, (t, col) in enumerate(children)]
+        entries += [f"named_struct('rule', 'primary_key', 'table', '{pt}', 'detail', CAST(own AS STRING), 'n', IF(own > 1, 1L, 0L))"] if unique else []
+        broken = _dealt(reference_counts(m, rule).filter("own <> 1" if unique else "own = 0"), ["key"])           # the few keys that get entries
+        told = broken.selectExpr("CAST(key AS STRING) AS key", f"inline(array({', '.join(entries)}))").filter("n > 0")
+        found.append(told.select("rule", "table", "key", "detail", F.explode(F.expr("sequence(1L, n)")).alias("_i")).drop("_i"))
+    return union_all(*found)
+
+
 def all_dangling_references(m: Model) -> DataFrame:
-    """J3 for every declared foreign key in one exchange: each table is scanned once and gives its own key and all its
-    references as (parent, key) rows; they are summed up per task before the shuffle and
-    meet under the key. A key with references that no row of the
-    parent claims is dangling. One row per dangling child row."""
-    rules = reference_rules(m)
-    most = max(len(children) for _, _, children, _ in rules)
-    rows = union_all(*[reference_entries(m[t], t, rules) for t in S.TABLES if _entries(t, rules)])
-    sums = [F.expr(f"count_if(place = {p}) AS n{p}") for p in range(most)]
-    keys = rows.groupBy("parent", "number", "text").agg(F.expr("max(place < 0) AS there"), *sums)
-    hits = ", ".join(f"named_struct('place', {p}, 'n', n{p})" for p in range(most))
-    return (keys.filter("NOT there")
-            .selectExpr("parent", "coalesce(CAST(number AS STRING), text) AS key", f"inline(filter(array({hits}), x -> x.n > 0))")
-            .selectExpr("'foreign_key' AS rule", "key", f"{reference_names(rules)}[parent][place] AS x", "explode(sequence(1L, n)) AS _i")
-            .select("rule", "x.table", "key", "x.detail"))
+    """J3 for every declared foreign key."""
+    return reference_report(m)
 
 
 def row_rules(df: DataFrame, checks: Sequence[tuple] = (), not_null: Sequence[str] = (), table: str = "") -> DataFrame:
@@ -196,8 +222,9 @@ def row_violations(m: Model, rules: str = "check,not_null") -> DataFrame:
 
 
 def model_violations(m: Model) -> DataFrame:
-    """J1-J5 over all tables, from the rules declared in ``schema``."""
-    return union_all(unique_keys(m), lower_names(m), all_dangling_references(m), row_violations(m))
+    """J1-J5 over all tables, from the rules declared in ``schema``. A primary key that others refer to is counted once for both rules."""
+    referenced = {(pt, (pcol,)) for pt, pcol, *_ in reference_rules(m)}
+    return union_all(unique_keys(m, referenced), lower_names(m), reference_report(m, primary_keys=True), row_violations(m))
 
 
 # --- input rules (J6-J8, J11-J14) -----------------------------------------------------

@@ -93,3 +93,34 @@ def test_rows_that_keep_the_rules_get_no_entries(spark):
         ("check", "-1", "n > 0"), ("check", "0", "n > 0"), ("not_null", "", "id"), ("not_null", "c", "n")]
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Filter", plan.index("Generate")) and "lambda" not in plan
+
+
+def test_referenced_keys_are_counted_once_in_their_own_type(spark):
+    """J1 and J3 of a referenced key come from one count: doubled and missing parents, and NULLs, among whole-number and text keys."""
+    m = seed_model(spark)
+    users, sets = m.users, m.track_exercise_details
+    rows = spark.createDataFrame([("a", "s1", 1, None, 1, None, None), ("a", "s1", 1, None, 2, None, None)], m.track_session_exercises.schema)
+    parts = spark.createDataFrame([(f"p{k}", sse, None, k, 1, None, None, None) for k, sse in enumerate(["a", "a", "b", "b", None], 1)], sets.schema)
+    m = m.replace(users=users.unionByName(users), track_session_exercises=rows, track_exercise_details=parts)
+    bad = J.model_violations(m)
+    got = sorted((r.rule, r.table, r.key, r.detail) for r in bad.collect())
+    ids = [str(r.id) for r in users.collect()]
+    assert [g for g in got if g[1] == "users" and g[0] == "primary_key"] == sorted(("primary_key", "users", k, "2") for k in ids)
+    assert ("primary_key", "track_session_exercises", "a", "2") in got
+    assert [g[2:] for g in got if g[:2] == ("foreign_key", "track_exercise_details")] == [("b", "track_session_exercise_id")] * 2
+    assert [g[2:] for g in got if g[:2] == ("foreign_key", "track_session_exercises")] == [("1", "exercise_id")] * 2 + [("s1", "track_session_id")] * 2
+    assert sorted((r.rule, r.table, r.key, r.detail) for r in J.all_dangling_references(m).collect()) == [g for g in got if g[0] == "foreign_key"]
+    assert "parent#" not in bad._jdf.queryExecution().optimizedPlan().toString()           # no entries of all keys under one number and text
+
+
+def test_equal_keys_of_two_tables_are_counted_in_one_stage(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ids = spark.range(100).selectExpr("id % 60 AS id")
+        report = J.duplicate_keys(ids, ["id"], "plan").unionByName(J.duplicate_keys(ids, ["id"], "log"))
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("HashAggregate") == 2 and "ReusedExchange" in plan                # one count, partial and final
+        assert sorted({(r.table, r.detail) for r in report.collect()}) == [("log", "2"), ("plan", "2")] and report.count() == 80
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
