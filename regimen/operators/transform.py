@@ -21,6 +21,7 @@ from regimen.operators.ordinal import count_before, groups_bounded, hot_rows, jo
 from regimen.operators.outline import active_slots, exercise_sets_of, setup_levels, slot_sessions, track_levels
 from regimen.session import checkpoint_dir
 from regimen.sources import schema as S
+from regimen.sources.levels import stored
 from regimen.sources.tables import Model
 
 TRACK_TABLES = ("track_routines", "track_days", "track_sessions", "track_days_sessions",
@@ -180,8 +181,8 @@ def snapshot(m: Model, requests: DataFrame, run: str, whole_routine: bool = Fals
     named = [] if whole_routine else ["day_number", "session_name"]
     checkpoint_dir(m.setup_routines.sparkSession)
     rows = _snapshot_walk(lv, exercise_sets_of(m, "plan_sets"), requests.select("request_id", "user_id", "routine_name", *named), named)
-    # one row per new log row, all tables together, computed once; the six tables are filters of it
-    rows = rows.checkpoint()
+    # one row per new log row, all tables together, computed once; the six tables are filters of it and read their own rows
+    rows = stored(rows, "snapshot", "table")
     request = F.col("request_id")
 
     def new(entity: str, source: str) -> Column:
@@ -266,10 +267,10 @@ def clear_lineage(m: Model, users: DataFrame) -> dict[str, DataFrame]:
            .withColumn("_hit", F.lit(True)))
 
     def clear(df: DataFrame, key: str, hits: DataFrame) -> DataFrame:
-        j = df.join(hits.withColumnRenamed("_rid", key) if key != "id" else
-                    hits.withColumnRenamed("_rid", "id"), key, "left")
-        return j.withColumn("setup_id", F.when(F.col("_hit"), None).otherwise(F.col("setup_id"))
-                            ).drop("_hit")
+        # only rows that have lineage meet the hits; the others stay where they are
+        j = df.filter(F.col("setup_id").isNotNull()).join(hits.withColumnRenamed("_rid", key), key, "left")
+        cleared = j.withColumn("setup_id", F.when(F.col("_hit"), None).otherwise(F.col("setup_id"))).drop("_hit")
+        return df.filter(F.col("setup_id").isNull()).unionByName(cleared)
 
     new_tr = clear(tr, "id", hit)
     new_days = clear(m.track_days, "track_routine_id", hit)

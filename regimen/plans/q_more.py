@@ -241,8 +241,9 @@ def e2_start_workout(spark, sf):
     """Flow E2: every user starts their next workout (I16 -> I1 -> I3), then the
     open session of (user, day, session name) is looked up (C10)."""
     m = from_driver(spark, sf)
+    checkpoint_dir(spark)
     req = (I.whats_next(m).filter(F.col("session_name").isNotNull())
-           .withColumn("request_id", F.col("user_id")))
+           .withColumn("request_id", F.col("user_id"))).checkpoint()             # asked three times below
     m2 = I.append_snapshot(m, I.snapshot(m, req, RUN))
     m3 = m2.replace(**I.clear_lineage(m2, req.select("user_id")))
     active = C.active_sessions(m3)
