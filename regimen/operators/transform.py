@@ -583,12 +583,15 @@ def assign_sessions(m: Model, requests: DataFrame, run: str) -> tuple[DataFrame,
 TARGET_KEYS = ["user_id", "routine_name", "day_number", "session_name", "exercise_order", "set_number"]
 
 
-def open_set_index(m: Model) -> DataFrame:
+def open_set_index(m: Model, users: DataFrame | None = None) -> DataFrame:
     """Logged sets of open workouts (slot 1) by their natural address: the
-    targets of I8. Only in-progress workouts, so it is a small part of the log."""
+    targets of I8. Only in-progress workouts, so it is a small part of the log;
+    only those of ``users`` (user_id), if given."""
     lv = track_levels(m)
-    return (lv["routines"].filter(F.col("in_progress"))
-            .select("routine_id", "user_id", "routine_name")
+    opened = lv["routines"].filter(F.col("in_progress")).select("routine_id", "user_id", "routine_name")
+    if users is not None:
+        opened = opened.join(users, "user_id", "left_semi")
+    return (opened
             .join(lv["days"], "routine_id")
             .join(lv["slots"].filter(F.col("session_order") == 1), "day_id")
             .join(lv["sessions"].select("session_id", "session_name"), "session_id")

@@ -9,6 +9,7 @@ from regimen.plans import requests as R
 from regimen.plans.registry import query
 from regimen.session import checkpoint_dir
 from regimen.sources.adapter import from_driver
+from regimen.sources.levels import stored
 from regimen.streaming import setlog as K
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -20,7 +21,7 @@ def streamed_events(spark, m, path: str, base: str, files_per_trigger: int | Non
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     checkpoint_dir(spark)
-    counts, days = (t.checkpoint() for t in R.set_log_lookup(m))                 # once per run, not per batch
+    counts, days = (stored(t, "set-log-lookup") for t in R.set_log_lookup(m))    # once per run, not per batch
     return R.as_set_logs(reader.parquet(path), counts, days)
 
 

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ from regimen.operators.quality import validated_set_log
 from regimen.operators.transform import TARGET_KEYS, open_set_index
 from regimen.session import checkpoint_dir
 from regimen.sources import claims
+from regimen.sources.levels import stored
 from regimen.sources.tables import Model
 
 _ADDRESS = "user_id long, routine_name string, day_number int, session_name string, exercise_order int, set_number int"
@@ -62,24 +64,28 @@ def judged(batch: DataFrame, index: DataFrame) -> DataFrame:
 def run_set_log_stream(m: Model, logs: DataFrame, root: str | None = None, buckets: int = BUCKETS) -> str:
     """Process what the stream ``logs`` has now (``availableNow``) and return the state
     folder. The stream's own checkpoint lives under the same root, so a restarted job
-    resumes where it stopped. The sets of open workouts are resolved once per run:
-    a run sees the workouts open when it starts, a later one also those opened since."""
+    resumes where it stopped. The sets of open workouts are resolved once for all batches of a run, when the first
+    one comes, and those of the users of waiting logs when these are judged: a later run sees also the workouts opened since."""
     spark = logs.sparkSession
     root = root or f"{checkpoint_dir(spark)}/regimen-setlog/{uuid.uuid4().hex}"
     checkpoint_dir(spark)
-    index = open_set_index(m).select(*TARGET_KEYS, F.col("set_id").cast("string").alias("set_id")).checkpoint()
-
     here: set[int] = set()                                      # epochs that this run has judged, by this index
+    whole: list[DataFrame] = []                                 # the index, once a batch has asked for it
+
+    def targets(users: DataFrame | None = None) -> DataFrame:
+        return open_set_index(m, users).select(*TARGET_KEYS, F.col("set_id").cast("string").alias("set_id"))
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         here.add(epoch_id)
-        judged(batch, index).write.partitionBy("outcome").mode("overwrite").parquet(f"{root}/log/epoch={epoch_id}")
+        if not whole:
+            whole.append(stored(targets(), "open-sets"))
+        judged(batch, whole[0]).write.partitionBy("outcome").mode("overwrite").parquet(f"{root}/log/epoch={epoch_id}")
         claims.publish(spark, f"{root}/log/_epochs/{epoch_id:012d}", "")
 
     query = (logs.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    fold(spark, root, index, buckets, here)
+    fold(spark, root, targets, buckets, here)
     return root
 
 
@@ -110,21 +116,27 @@ def _bucket(n: int):
     return F.pmod(F.xxhash64("set_id"), F.lit(n)).cast("int")
 
 
-def fold(spark: SparkSession, root: str, index: DataFrame, buckets: int = BUCKETS, judged_here: set[int] = frozenset()) -> dict:
+def fold(spark: SparkSession, root: str, targets: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS,
+         judged_here: set[int] = frozenset()) -> dict:
     """Fold the finished epochs that the state has not, and the waiting logs whose workout is open by now, into the
-    state; returns the manifest in force. A run without either leaves everything as it is. The logs of the epochs
-    ``judged_here`` were judged by ``index`` already."""
+    state; returns the manifest in force. A run without either leaves everything as it is. ``targets`` gives the open sets
+    of the given users. The logs of the epochs ``judged_here`` were judged by them already and are not asked again; the
+    other waiting logs meet their users' open sets once."""
     old = manifest(spark, root) or {"number": -1, "epoch": -1, "buckets": buckets, "folders": {}, "waiting": None, "resolved": []}
     n, run = old["buckets"], uuid.uuid4().hex
     finished = claims.listed(spark, f"{root}/log/_epochs")
     last = int(finished[-1]) if finished else -1
     fresh = _epochs(spark, root, old["epoch"], "unresolved").select(*TARGET_KEYS, "weight", "reps_done", "ts", "event_id")
     earlier = _rows(spark, [old["waiting"]] if old["waiting"] else [], _WAITING)
-    waits = earlier.unionByName(fresh)
     unjudged = any(old["epoch"] < int(e) and int(e) not in judged_here for e in finished)      # by a run that died, with an older index
-    late = _rows(spark, [], _STATE)
+    late, still = _rows(spark, [], _STATE), fresh
     if old["waiting"] or unjudged:
-        late = (waits if unjudged else earlier).join(index, TARGET_KEYS).select("set_id", "weight", "reps_done", "ts", "event_id").checkpoint()
+        asked = earlier.unionByName(fresh) if unjudged else earlier
+        met = asked.join(targets(asked.select("user_id").distinct()), TARGET_KEYS, "left")
+        met = stored(met.withColumn("found", F.col("set_id").isNotNull()), "late", "found")
+        late = met.filter("found").select("set_id", "weight", "reps_done", "ts", "event_id")
+        missed = met.filter("NOT found").select(earlier.columns)
+        still = missed if unjudged else missed.unionByName(fresh)
     new = (_epochs(spark, root, old["epoch"], "update").select("set_id", "weight", "reps_done", "ts", "event_id").unionByName(late)
            .withColumn("bucket", _bucket(n)))
     touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())          # at most ``buckets`` rows
@@ -143,7 +155,6 @@ def fold(spark: SparkSession, root: str, index: DataFrame, buckets: int = BUCKET
         late.select("event_id", F.lit(True).alias("found"), "set_id").write.parquet(f"{root}/state/resolved/{run}")
         resolved.append(f"{root}/state/resolved/{run}")
     if last > old["epoch"] or not none_late:
-        still = waits.join(index.select(*TARGET_KEYS), TARGET_KEYS, "left_anti")
         still.write.parquet(f"{root}/state/waiting/{run}")
         waiting = f"{root}/state/waiting/{run}"
     entry = {"number": old["number"] + 1, "epoch": last, "buckets": n, "folders": folders, "waiting": waiting, "resolved": resolved, "wrote": touched}

@@ -1,14 +1,17 @@
 """Steps whose work grows with the tables: what is written, read and shuffled of them."""
 
 import re
+import tempfile
 
 from pyspark.sql import functions as F
 
 from regimen.operators import transform as I
 from regimen.plans.catalog import QUERIES
+from regimen.plans.q_stream import streamed_events
 from regimen.sources import adapter
 from regimen.sources.adapter import from_driver
 from regimen.sources.dense import from_driver_dense
+from regimen.streaming import setlog as K
 
 from conftest import SMALL
 
@@ -52,3 +55,35 @@ def test_the_next_workouts_of_a_start_are_found_once(spark):
     """E2's result asks for them twice; their windows are no part of its plan."""
     plan = _plan(QUERIES["e2_start_workout"](spark, SMALL))
     assert "Window" not in plan
+
+
+def test_the_stream_asks_for_the_sets_of_all_users_once_and_of_waiting_users_later(spark, monkeypatch):
+    m = from_driver(spark, SMALL)
+    folder = tempfile.mkdtemp(prefix="regimen-events-", dir="/tmp")
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    for i in (0, 1):
+        events.filter(F.col("event_id") % 2 == i).write.parquet(f"{folder}/part{i}")
+    asked, real = [], K.open_set_index
+
+    def index(model, users=None):
+        asked.append(None if users is None else {r.user_id for r in users.collect()})
+        return real(model, users)
+
+    monkeypatch.setattr(K, "open_set_index", index)
+    few = m.replace(track_routines=m.track_routines.filter("id % 3 > 0"))
+    root = K.run_set_log_stream(few, streamed_events(spark, m, f"{folder}/part*", folder, 1))
+    assert asked == [None]                                                        # for both batches; no log of this run is judged again
+    waiting = {r.user_id for r in spark.read.parquet(K.manifest(spark, root)["waiting"]).collect()}
+    told = {r.event_id: r.set_id for r in K.set_log(spark, root).filter("outcome = 'unresolved'").collect()}
+    root = K.run_set_log_stream(m, streamed_events(spark, m, f"{folder}/part*", folder, 1), root)
+    assert asked == [None, waiting]                                               # no batch, but the waiting logs
+    straight = K.run_set_log_stream(m, streamed_events(spark, m, f"{folder}/part*", folder))
+    want, have = ({r.event_id: (r.outcome, r.set_id) for r in K.set_log(spark, x).collect()} for x in (straight, root))
+    assert have == want and any(have[e][0] == "update" for e in told)
+
+
+def test_open_sets_of_users(spark):
+    m = from_driver_dense(spark, SMALL)
+    users = m.users.filter("id % 4 = 1").select(F.col("id").alias("user_id"))
+    some, every = I.open_set_index(m, users), I.open_set_index(m)
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.select(some.columns).filter("user_id % 4 = 1").collect())) != []
