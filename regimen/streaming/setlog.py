@@ -64,22 +64,23 @@ def judged(batch: DataFrame, index: DataFrame) -> DataFrame:
 def run_set_log_stream(m: Model, logs: DataFrame, root: str | None = None, buckets: int = BUCKETS) -> str:
     """Process what the stream ``logs`` has now (``availableNow``) and return the state
     folder. The stream's own checkpoint lives under the same root, so a restarted job
-    resumes where it stopped. The sets of open workouts are resolved once for all batches of a run, when the first
-    one comes, and those of the users of waiting logs when these are judged: a later run sees also the workouts opened since."""
+    resumes where it stopped. The sets of open workouts are resolved by the first batch of a run and, where others
+    follow, stored for these; those of the users of waiting logs are resolved when these are judged. A later run sees also the
+    workouts opened since."""
     spark = logs.sparkSession
     root = root or f"{checkpoint_dir(spark)}/regimen-setlog/{uuid.uuid4().hex}"
     checkpoint_dir(spark)
     here: set[int] = set()                                      # epochs that this run has judged, by this index
-    whole: list[DataFrame] = []                                 # the index, once a batch has asked for it
+    whole: list[DataFrame] = []                                 # the index of the first batch; the same stored, for all others
 
     def targets(users: DataFrame | None = None) -> DataFrame:
         return open_set_index(m, users).select(*TARGET_KEYS, F.col("set_id").cast("string").alias("set_id"))
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         here.add(epoch_id)
-        if not whole:
-            whole.append(stored(targets(), "open-sets"))
-        judged(batch, whole[0]).write.partitionBy("outcome").mode("overwrite").parquet(f"{root}/log/epoch={epoch_id}")
+        if len(whole) < 2:
+            whole.append(stored(whole[0], "open-sets") if whole else targets())
+        judged(batch, whole[-1]).write.partitionBy("outcome").mode("overwrite").parquet(f"{root}/log/epoch={epoch_id}")
         claims.publish(spark, f"{root}/log/_epochs/{epoch_id:012d}", "")
 
     query = (logs.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from regimen.operators import transform as I
 from regimen.plans.catalog import QUERIES
 from regimen.plans.q_stream import streamed_events
-from regimen.sources import adapter
+from regimen.session import checkpoint_dir
+from regimen.sources import adapter, claims
 from regimen.sources.adapter import from_driver
 from regimen.sources.dense import from_driver_dense
 from regimen.streaming import setlog as K
@@ -69,10 +70,15 @@ def test_the_stream_asks_for_the_sets_of_all_users_once_and_of_waiting_users_lat
         asked.append(None if users is None else {r.user_id for r in users.collect()})
         return real(model, users)
 
+    def kept():
+        return [n for n in claims.listed(spark, f"{checkpoint_dir(spark)}/regimen-stored") if n.startswith("open-sets")]
+
     monkeypatch.setattr(K, "open_set_index", index)
+    before = len(kept())
     few = m.replace(track_routines=m.track_routines.filter("id % 3 > 0"))
     root = K.run_set_log_stream(few, streamed_events(spark, m, f"{folder}/part*", folder, 1))
     assert asked == [None]                                                        # for both batches; no log of this run is judged again
+    assert len(kept()) == before + 1                                              # the second batch reads them stored
     waiting = {r.user_id for r in spark.read.parquet(K.manifest(spark, root)["waiting"]).collect()}
     told = {r.event_id: r.set_id for r in K.set_log(spark, root).filter("outcome = 'unresolved'").collect()}
     root = K.run_set_log_stream(m, streamed_events(spark, m, f"{folder}/part*", folder, 1), root)
@@ -80,6 +86,7 @@ def test_the_stream_asks_for_the_sets_of_all_users_once_and_of_waiting_users_lat
     straight = K.run_set_log_stream(m, streamed_events(spark, m, f"{folder}/part*", folder))
     want, have = ({r.event_id: (r.outcome, r.set_id) for r in K.set_log(spark, x).collect()} for x in (straight, root))
     assert have == want and any(have[e][0] == "update" for e in told)
+    assert len(kept()) == before + 1                                              # a run of one batch stores none
 
 
 def test_open_sets_of_users(spark):
