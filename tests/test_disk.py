@@ -1,13 +1,19 @@
 """What steps whose result is stored leave on the disk."""
 
 import os
+import tempfile
 import time
 
 from pyspark.sql import functions as F
 
+from regimen.operators import quality as J
 from regimen.operators import transform as I
+from regimen.operators import upkeep as K
+from regimen.plans.catalog import QUERIES
+from regimen.sources import levels
 from regimen.sources.dense import from_driver_dense
-from regimen.sources.levels import PACKED, shuffles_removed, stored
+from regimen.sources.levels import packed, shuffles_removed, stored
+from regimen.sources.tables import TableStore
 
 from conftest import SMALL
 
@@ -46,7 +52,7 @@ def test_frames_are_stored_one_after_another_and_packed(spark):
     assert all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
     plain = f"{os.path.dirname(rows.inputFiles()[0])}-plain"
     ids.coalesce(1).write.parquet(plain)
-    ids.coalesce(1).write.options(**PACKED).parquet(f"{plain}-packed")
+    ids.coalesce(1).write.options(**packed(["id", "n"])).parquet(f"{plain}-packed")
 
     def size(path):
         path = path.removeprefix("file:").replace("///", "/")
@@ -60,3 +66,34 @@ def test_the_setting_is_given_back(spark):
     with shuffles_removed(spark):
         assert spark.conf.get(key) == "true"
     assert spark.conf.get(key, None) == given
+
+
+def test_a_report_from_changes_leaves_no_shuffle_files_and_reads_stored_parts(spark):
+    before = shuffle_files(spark)
+    report = QUERIES["j_report_from_changes"](spark, SMALL)
+    assert not left(spark, before)
+    assert report.inputFiles() and all("/regimen-stored/" in f for f in report.inputFiles())
+
+
+def test_reports_from_changes_in_slices_equal_full_reports(spark, monkeypatch):
+    store = TableStore(spark, tempfile.mkdtemp(prefix="regimen-store-", dir="/tmp"))
+    store.commit(from_driver_dense(spark, SMALL).tables)
+    old = store.load()
+    sessions, exercises = old.setup_sessions, old.track_session_exercises
+    store.commit({"setup_sessions": sessions.filter("id % 5 <> 0").unionByName(sessions.filter("id % 17 = 0")),
+                  "track_session_exercises": exercises.filter("exercise_order <> 2 OR track_session_id % 3 <> 0")
+                  .withColumn("exercise_order", F.expr("IF(track_session_id % 7 = 0, 1, exercise_order)"))})
+    new, changed = store.load(), K.changed_tables(store, 1, 2)
+    monkeypatch.setattr(levels, "SLICE_BYTES", 1)
+    assert levels.slices(old.setup_sessions, new.setup_sessions) == levels.MOST_SLICES > 1
+    report = K.apply_delta(J.model_violations(old, apart=True), K.report_delta(old, new, changed, apart=True))
+    rows, want = (sorted(map(str, df.select(*J.REPORT_COLUMNS).collect())) for df in (report, J.model_violations(new)))
+    assert rows == want and {"unique", "primary_key", "foreign_key"} <= {r.rule for r in report.select("rule").distinct().collect()}
+
+
+def test_rows_are_compared_on_the_columns_of_rules(spark):
+    columns = ["id", "track_session_exercise_id", "weight", "cur_set", "reps_goal", "reps_done", "myo_order", "setup_id"]
+    assert K._read_columns("track_exercise_details", columns) == ["id", "track_session_exercise_id", "cur_set", "reps_goal", "reps_done", "myo_order"]
+    m = from_driver_dense(spark, SMALL)
+    lighter = m.replace(track_exercise_details=m.track_exercise_details.withColumn("weight", F.lit(1).cast("decimal(6,2)")))
+    assert K.report_delta(m, lighter, ["track_exercise_details"]).count() == 0
